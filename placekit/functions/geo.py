@@ -54,12 +54,15 @@ def cube_at(lat, lon, cls: Column) -> Column:
 
 
 def cubes_within(lat, lon, km, cls: Column) -> Column:
-    """Array of cubes of class ``cls`` that a ball of ``km`` around a point can touch (at most 8)."""
+    """Array of cubes of class ``cls`` that a ball of ``km`` around a point can touch.
+
+    A cube edge is at least the ball's diameter, so each axis meets one or two slabs.
+    """
     km = F.lit(float(km)) if isinstance(km, (int, float)) else km
     edge = F.pow(F.lit(2.0), cls)
-    spans = [F.sequence(F.floor((v - km) / edge), F.floor((v + km) / edge)) for v in xyz(lat, lon)]
-    return F.flatten(F.transform(spans[0], lambda x: F.flatten(F.transform(
-        spans[1], lambda y: F.transform(spans[2], lambda z: cube_key(cls, x, y, z))))))
+    ends = [(F.floor((v - km) / edge), F.floor((v + km) / edge)) for v in xyz(lat, lon)]
+    keys = [cube_key(cls, x, y, z) for x in ends[0] for y in ends[1] for z in ends[2]]
+    return F.array_distinct(F.array(*keys))
 
 
 def chord(km) -> Column:
@@ -68,6 +71,11 @@ def chord(km) -> Column:
     return 2 * EARTH_KM * F.sin(F.least(km / (2 * EARTH_KM), F.lit(1.5707963267948966)))
 
 
+def tick(km: Column) -> Column:
+    """Distance to the millimetre, so equal distances tie the same way everywhere."""
+    return F.rint(km * 1e6) / 1e6
+
+
 # ---------------------------------------------------------------- printed map (P25)
 def map_scale(width_m: Column) -> dict[str, Column]:
     """Height, scale denominator and the kilometre sizes a map width implies."""

@@ -17,6 +17,8 @@ from placekit.plans.session import cut
 # A cube with more right-hand rows than this is split (all-pairs join) or searched through
 # finer cubes (nearest join).
 HOT_CUBE_ROWS = 5_000
+# Above this a nearest join first tries a quarter of the radius.
+BUSY_CUBE_ROWS = 64
 PYRAMID_STEP = 3        # each level is 2**3 times finer
 PYRAMID_FLOOR = -2      # finest cube edge 0.25 km
 
@@ -60,21 +62,37 @@ def radius_join(left: DataFrame, right: DataFrame, km, on: list[str] | None = No
     on = on or []
     classes = _classes(left, km)
     r = _keyed_right(right, km, classes)
-    radius = _radius(km)
-    l = left.withColumn("_km", radius).withColumn(
+    return _cube_join(left, r, km, on, hottest_cube(r, on) > hot_rows, hot_rows)
+
+
+def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, hot_rows: int) -> DataFrame:
+    l = left.withColumn("_km", _radius(km)).withColumn(
         "_cube", F.explode(geo.cubes_within("lat", "lon", F.col("_km"), geo.cube_class(F.col("_km")))))
     keys = ["_cube", *on]
-    if hottest_cube(r, on) > hot_rows:
+    if salted:
         hot = (r.groupBy(*keys).count().where(F.col("count") > hot_rows)
                .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
         parts = F.coalesce(F.col("_parts"), F.lit(1))
-        r = r.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("r_lat", "r_lon", F.monotonically_increasing_id()), parts)).drop("_parts")
+        spread = F.pmod(F.xxhash64("r_lat", "r_lon", F.monotonically_increasing_id()), parts)
+        r = r.join(hot, keys, "left").withColumn("_salt", spread).drop("_parts")
         l = l.join(hot, keys, "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<bigint>"))).drop("_parts")
         keys = [*keys, "_salt"]
-    km_col = geo.haversine("lat", "lon", "r_lat", "r_lon")
-    return (l.join(r, keys).withColumn("km", km_col).where(F.col("km") <= F.col("_km"))
-            .drop("_cube", "_km", "_salt"))
+    # a chord test on ready coordinates settles most pairs before any trigonometry
+    for side, frame in (("l", l), ("r", r)):
+        at = ("lat", "lon") if side == "l" else ("r_lat", "r_lon")
+        for axis, value in zip("xyz", geo.xyz(*at)):
+            frame = frame.withColumn(f"_{side}{axis}", value)
+        l, r = (frame, r) if side == "l" else (l, frame)
+    l = l.withColumn("_chord2", F.pow(geo.chord(F.col("_km")), F.lit(2.0)) * (1 + 1e-9) + 1e-6)
+    gap2 = F.lit(0.0)
+    for axis in "xyz":
+        d = F.col(f"_l{axis}") - F.col(f"_r{axis}")
+        gap2 = gap2 + d * d
+    near = l.join(r, keys).where(gap2 <= F.col("_chord2"))
+    return (near.withColumn("km", geo.tick(geo.haversine("lat", "lon", "r_lat", "r_lon")))
+            .where(F.col("km") <= F.col("_km"))
+            .drop("_cube", "_km", "_salt", "_chord2", *[f"_{s}{a}" for s in "lr" for a in "xyz"]))
 
 
 def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right_id: str,
@@ -85,26 +103,36 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right
     top-k; otherwise a coarse-to-fine search that never opens a crowded cube it can rule out.
     """
     on = on or []
+    fixed = isinstance(km, (int, float))
     pts = right.select(right_id, "r_lat", "r_lon", *on)
     # copies at one position: only the first k ids can ever be among the k nearest
     copies = W.partitionBy("r_lat", "r_lon", *on).orderBy(right_id)
     pts = pts.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     l = left.select(left_id, "lat", "lon", *on, _radius(km).alias("_r"))
-    classes = _classes(left, km)
-    crowded = hottest_cube(_keyed_right(pts, km, classes), on)
-    if crowded <= hot_rows:
-        pairs = radius_join(l, pts, km if isinstance(km, (int, float)) else F.col("_r"), on, hot_rows)
-    else:
+    keyed = _keyed_right(pts, km, _classes(left, km))
+    crowd = hottest_cube(keyed, on)
+    if crowd > hot_rows:
         pairs = _pyramid(l, pts, k, left_id, on)
+    elif k == 1 and fixed and crowd > BUSY_CUBE_ROWS:
+        # most rows have a neighbour close by; only the others look at the whole radius
+        close = _best(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, right_id)
+        rest = l.join(close.select(left_id), left_id, "left_anti")
+        far = _best(_cube_join(rest, keyed, km, on, False, hot_rows), left_id, right_id)
+        return close.unionByName(far)
+    else:
+        pairs = _cube_join(l, keyed, km if fixed else F.col("_r"), on, False, hot_rows)
     if k == 1:
-        best = F.min(F.struct("km", F.col(right_id))).alias("_b")
-        return pairs.groupBy(left_id).agg(best).select(
-            left_id, F.col(f"_b.{right_id}"), F.col("_b.km"), F.lit(1).alias("nth"))
+        return _best(pairs, left_id, right_id)
     top = W.partitionBy(left_id).orderBy("km", right_id)
     return (pairs.select(left_id, right_id, "km").withColumn("nth", F.row_number().over(top))
             .where(F.col("nth") <= k))
 
 
+def _best(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    return pairs.groupBy(left_id).agg(F.min(F.struct("km", F.col(right_id))).alias("_b")).select(
+        left_id, F.col(f"_b.{right_id}"), F.col("_b.km"), F.lit(1).alias("nth"))
+
+
 def nearest(left: DataFrame, right: DataFrame, km, left_id: str, right_id: str,
             on: list[str] | None = None, hot_rows: int = HOT_CUBE_ROWS) -> DataFrame:
     """The single nearest right row within ``km`` (J02, J05, J06): (left_id, right_id, km)."""
@@ -165,7 +193,7 @@ def _pyramid(left: DataFrame, pts: DataFrame, k: int, left_id: str, on: list[str
                              geo.cube_key(F.lit(level), F.col("_ix"), F.col("_iy"), F.col("_iz")).alias("_cube"))
     last = pts.withColumn("_cube", geo.cube_at("r_lat", "r_lon", F.lit(level))).drop("_x", "_y", "_z")
     pairs = seen.select(left_id, "lat", "lon", *on, "_r", "_cube").join(last, ["_cube", *on])
-    return (pairs.withColumn("km", geo.haversine("lat", "lon", "r_lat", "r_lon"))
+    return (pairs.withColumn("km", geo.tick(geo.haversine("lat", "lon", "r_lat", "r_lon")))
             .where(F.col("km") <= F.col("_r")).drop("_cube", "_r"))
 
 
