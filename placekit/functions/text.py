@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from placekit.functions.vocab import (
     DISSOLVE_ISO3, DISSOLVE_LABELS, ENTRY_STATES, ENTRY_SUBTYPES, KINDS, UNRULED_LABELS, lookup,
@@ -17,7 +18,7 @@ NAMESAKES = {"tanger": "tangier", "tangiers": "tangier", "fès": "fes", "fez": "
 
 
 # ---------------------------------------------------------------- folding
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_key(names: pd.Series) -> pd.Series:
     """Compatibility form, no marks, caseless, letters and digits only."""
     def one(text):
@@ -27,7 +28,7 @@ def fold_key(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_words(names: pd.Series) -> pd.Series:
     """Canonical form, no non-spacing marks, caseless; spaces and signs stay."""
     def one(text):

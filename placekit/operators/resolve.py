@@ -105,7 +105,7 @@ def apply_folds(cands: DataFrame, folds: DataFrame, kinds_scale: float = 1.0,
     """
     gone = folds.select(F.col("guest_id").alias("candidate_id"), F.col("root_id").alias("_host"))
     guests = cands.join(gone, "candidate_id")
-    pop = {"max": F.max("population"), "sum": F.sum("population")}[population]
+    pop = F.sum("population") if population == "sum" else F.max("population")
     gain = guests.groupBy("_host").agg(
         kinds.tier_sum("tiers").alias("_tiers"), kinds.max_vector("kinds").alias("_kinds"),
         F.array_distinct(F.flatten(F.collect_set("landforms"))).alias("_forms"),   # vocabulary-sized
@@ -120,13 +120,16 @@ def apply_folds(cands: DataFrame, folds: DataFrame, kinds_scale: float = 1.0,
         return F.when(met, value).otherwise(F.col(name)).alias(name)
 
     heads = F.greatest("population", "_pop") if population == "max" else F.col("population") + F.col("_pop")
+    capital = F.col("historic_capital") | F.col("_capital")
+    if population == "keep":  # an absorbed site brings neither residents nor a seat of state
+        heads, capital = F.col("population"), F.col("historic_capital")
     new = {
         "tiers": kinds.add_tiers(F.col("tiers"), F.col("_tiers")),
         "kinds": kinds.longest(F.col("kinds"), F.transform("_kinds", lambda w: w * kinds_scale)),
         "landforms": F.array_sort(F.array_union("landforms", "_forms")),
         "sources": F.array_sort(F.array_union("sources", "_sources")),
         "relief_m": F.greatest("relief_m", "_relief"), "coherence": F.greatest("coherence", "_coherence"),
-        "historic_capital": F.col("historic_capital") | F.col("_capital"), "population": heads,
+        "historic_capital": capital, "population": heads,
     }
     return out.select(*[merged(c, new[c]) if c in new else F.col(c) for c in cands.columns])
 
@@ -477,7 +480,7 @@ def absorb_sites(cands: DataFrame, p: Params = PARAMS) -> Resolved:
     tail = F.array_join(F.transform(rest, lambda s: F.concat(F.lit(" (+"), s["site"], F.lit(")"))), "")
     lead = lead.select(F.col("host_id").alias("candidate_id"), stronger.alias("_wins"), F.col("_top.site").alias("_site"),
                        F.col("_top._slat").alias("_slat"), F.col("_top._slon").alias("_slon"), tail.alias("_tail"))
-    kept = apply_folds(cands, folds, kinds_scale=0.8, population="max").join(lead, "candidate_id", "left")
+    kept = apply_folds(cands, folds, kinds_scale=0.8, population="keep").join(lead, "candidate_id", "left")
     wins = F.coalesce("_wins", F.lit(False))
     new = {
         "name": F.concat(F.when(wins, F.concat("_site", F.lit(" / "), "name")).otherwise(F.col("name")), F.coalesce("_tail", F.lit(""))),

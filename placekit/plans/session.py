@@ -77,3 +77,14 @@ def number_rows(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
         .withColumn(name, F.row_number().over(within) + F.col("_start"))
         .drop("_part", "_start")
     )
+
+
+def number_within(df: DataFrame, group: list[str], order: list, name: str = "nth") -> DataFrame:
+    """1..n inside each group, in order, however large a group is.
+
+    Rows get a global number over (group, order); a group's numbers are consecutive, so its
+    smallest one (a partial minimum) turns them into 1..n.
+    """
+    rows = cut(number_rows(df, [*[F.col(g) for g in group], *order], "_all"))
+    first = rows.groupBy(*group).agg(F.min("_all").alias("_first"))
+    return rows.join(first, group).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_first")
