@@ -13,7 +13,14 @@ _HALF = 1 << 15
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
-    """Great-circle kilometres (P12); the root is clamped so antipodes do not give NaN."""
+    """Great-circle kilometres (P12); the root is clamped so antipodes do not give NaN.
+
+    Arguments are column names or columns.
+    """
+    if all(isinstance(c, str) for c in (lat1, lon1, lat2, lon2)):
+        sp = f"sin((radians({lat2}) - radians({lat1})) / 2)"
+        sl = f"sin(radians({lon2} - {lon1}) / 2)"
+        return F.expr(f"{2 * radius}D * asin(least(1.0D, sqrt({sp} * {sp} + cos(radians({lat1})) * cos(radians({lat2})) * {sl} * {sl})))")
     lat1, lon1, lat2, lon2 = (F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2))
     p1, p2 = F.radians(lat1), F.radians(lat2)
     sp = F.sin((p2 - p1) / 2)
@@ -21,54 +28,52 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(sp * sp + F.cos(p1) * F.cos(p2) * sl * sl)))
 
 
-def xyz(lat, lon) -> tuple[Column, Column, Column]:
-    """Position on the sphere in kilometres from the centre.
+# Cube helpers take column names or SQL text, because they run inside every distance join.
+def xyz(lat: str, lon: str) -> tuple[str, str, str]:
+    """Position on the sphere in kilometres from the centre, as SQL text.
 
     Chord length never exceeds arc length, so cubes of this space find every neighbour
     within an arc radius with no special case at the poles or at 180 degrees.
     """
-    lat = F.col(lat) if isinstance(lat, str) else lat
-    lon = F.col(lon) if isinstance(lon, str) else lon
-    p, l = F.radians(lat), F.radians(lon)
-    return (EARTH_KM * F.cos(p) * F.cos(l), EARTH_KM * F.cos(p) * F.sin(l), EARTH_KM * F.sin(p))
+    p, l = f"radians({lat})", f"radians({lon})"
+    return (f"({EARTH_KM}D * cos({p}) * cos({l}))", f"({EARTH_KM}D * cos({p}) * sin({l}))", f"({EARTH_KM}D * sin({p}))")
+
+
+def cube_class(km) -> str:
+    """Smallest power-of-two class whose cube edge is at least twice the radius, as SQL text."""
+    return f"greatest(-2, cast(ceil(log2(2.0D * {_num(km)})) as int))"
 
 
-def cube_class(km) -> Column:
-    """Smallest power-of-two class whose cube edge is at least twice the radius."""
-    km = F.lit(float(km)) if isinstance(km, (int, float)) else km
-    return F.greatest(F.lit(-2), F.ceil(F.log2(2 * km)).cast("int"))
+def _num(km) -> str:
+    return f"{float(km)!r}D" if isinstance(km, (int, float)) else f"({km})"
 
 
-def cube_key(cls: Column, ix: Column, iy: Column, iz: Column) -> Column:
-    def shifted(c: Column, bits: int) -> Column:
-        return F.shiftleft((c + _HALF).cast("bigint"), bits)
+def cube_key(cls, ix: str, iy: str, iz: str) -> str:
+    """One bigint per cube: class and three 16-bit slab numbers."""
+    def part(c: str, bits: int) -> str:
+        return f"shiftleft(cast(({c}) + {_HALF} as bigint), {bits})"
 
-    return (F.shiftleft((cls + 8).cast("bigint"), 48) + shifted(ix, 32) + shifted(iy, 16)
-            + shifted(iz, 0))
+    return f"(shiftleft(cast(({cls}) + 8 as bigint), 48) + {part(ix, 32)} + {part(iy, 16)} + {part(iz, 0)})"
 
 
-def cube_at(lat, lon, cls: Column) -> Column:
+def cube_at(lat: str, lon: str, cls) -> str:
     """The cube of class ``cls`` holding a point."""
-    edge = F.pow(F.lit(2.0), cls)
-    return cube_key(cls, *(F.floor(v / edge) for v in xyz(lat, lon)))
+    return cube_key(cls, *(f"floor({v} / pow(2.0D, {cls}))" for v in xyz(lat, lon)))
 
 
-def cubes_within(lat, lon, km, cls: Column) -> Column:
+def cubes_within(lat: str, lon: str, km, cls) -> str:
     """Array of cubes of class ``cls`` that a ball of ``km`` around a point can touch.
 
     A cube edge is at least the ball's diameter, so each axis meets one or two slabs.
     """
-    km = F.lit(float(km)) if isinstance(km, (int, float)) else km
-    edge = F.pow(F.lit(2.0), cls)
-    ends = [(F.floor((v - km) / edge), F.floor((v + km) / edge)) for v in xyz(lat, lon)]
+    ends = [(f"floor(({v} - {_num(km)}) / pow(2.0D, {cls}))", f"floor(({v} + {_num(km)}) / pow(2.0D, {cls}))") for v in xyz(lat, lon)]
     keys = [cube_key(cls, x, y, z) for x in ends[0] for y in ends[1] for z in ends[2]]
-    return F.array_distinct(F.array(*keys))
+    return f"array_distinct(array({', '.join(keys)}))"
 
 
-def chord(km) -> Column:
+def chord(km) -> str:
     """Chord length of an arc."""
-    km = F.lit(float(km)) if isinstance(km, (int, float)) else km
-    return 2 * EARTH_KM * F.sin(F.least(km / (2 * EARTH_KM), F.lit(1.5707963267948966)))
+    return f"({2 * EARTH_KM}D * sin(least({_num(km)} / {2 * EARTH_KM}D, 1.5707963267948966D)))"
 
 
 def tick(km: Column) -> Column:

@@ -17,11 +17,11 @@ N = len(KIND_CODES)
 
 
 def codes() -> Column:
-    return F.array(*[F.lit(c) for c in KIND_CODES])
+    return F.expr("array(" + ", ".join(f"'{c}'" for c in KIND_CODES) + ")")
 
 
 def zero() -> Column:
-    return F.array(*[F.lit(0.0)] * N)
+    return F.expr("array(" + ", ".join(["0.0D"] * N) + ")")
 
 
 def at(vec: Column, code: str) -> Column:
@@ -30,13 +30,11 @@ def at(vec: Column, code: str) -> Column:
 
 def fixed(weights: dict[str, float]) -> Column:
     """Literal vector from ``{code: weight}``."""
-    return F.array(*[F.lit(float(weights.get(c, 0.0))) for c in KIND_CODES])
+    return F.expr(fixed_sql(weights))
 
 
-def bump(vec: Column, code: str, weight: Column) -> Column:
-    """Max-accumulate one kind."""
-    i = KIND_CODES.index(code)
-    return F.array(*[F.greatest(vec[j], weight) if j == i else vec[j] for j in range(N)])
+def fixed_sql(weights: dict[str, float]) -> str:
+    return "array(" + ", ".join(f"{float(weights.get(c, 0.0))!r}D" for c in KIND_CODES) + ")"
 
 
 def longest(a: Column, b: Column) -> Column:
@@ -46,11 +44,11 @@ def longest(a: Column, b: Column) -> Column:
 
 def max_vector(col: str) -> Column:
     """Aggregate: element-wise maximum over a group (twelve partial maxima, no collecting)."""
-    return F.array(*[F.coalesce(F.max(F.col(col)[i]), F.lit(0.0)) for i in range(N)])
+    return F.expr("array(" + ", ".join(f"coalesce(max({col}[{i}]), 0.0D)" for i in range(N)) + ")")
 
 
 def ranked(vec: Column) -> Column:
-    """Kinds with weight, strongest first, ties in code order: array<struct<w,code,i>>."""
+    """Kinds with weight, strongest first, ties in code order: array<struct<neg,i,w,code>>."""
     pairs = F.zip_with(vec, codes(), lambda w, c: F.struct(w.alias("w"), c.alias("code")))
     pairs = F.transform(pairs, lambda p, i: F.struct((-p["w"]).alias("neg"), i.alias("i"),
                                                      p["w"].alias("w"), p["code"].alias("code")))
@@ -179,18 +177,21 @@ def tier(col: Column, name: str) -> Column:
 
 def tier_sum(col: str) -> Column:
     """Aggregate: element-wise sum of tier-count arrays."""
-    return F.array(*[F.coalesce(F.sum(F.col(col)[i]), F.lit(0)).cast("bigint") for i in range(len(TIER_NAMES))])
+    return F.expr("array(" + ", ".join(f"coalesce(sum({col}[{i}]), 0L)" for i in range(len(TIER_NAMES))) + ")")
 
 
-def tier_counts(tier_col: str, n_col: str | None = None) -> Column:
+def tier_counts(tier_col: str, n_col: str = "1L") -> Column:
     """Aggregate rows of (tier, n) into a tier-count array."""
-    n = F.col(n_col) if n_col else F.lit(1)
-    return F.array(*[F.coalesce(F.sum(F.when(F.col(tier_col) == t, n)), F.lit(0)).cast("bigint")
-                     for t in TIER_NAMES])
+    return F.expr("array(" + ", ".join(f"coalesce(sum(case when {tier_col} = '{t}' then {n_col} end), 0L)" for t in TIER_NAMES) + ")")
 
 
 def no_tiers() -> Column:
-    return F.array(*[F.lit(0).cast("bigint")] * len(TIER_NAMES))
+    return F.expr("array(" + ", ".join(["0L"] * len(TIER_NAMES)) + ")")
+
+
+def tier_at(col: str, name: str) -> str:
+    """SQL text of one tier's count."""
+    return f"{col}[{TIER_NAMES.index(name)}]"
 
 
 def add_tiers(a: Column, b: Column) -> Column:

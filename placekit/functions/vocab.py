@@ -236,8 +236,16 @@ MIN_GREY_KM2 = 12_000.0
 MAX_GREY_KM2 = 700_000.0
 
 
+def sql_value(x) -> str:
+    """A Python value as SQL text."""
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, float):
+        return f"{x!r}D"
+    return "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+
+
 def lookup(table: dict, key: Column, default=None) -> Column:
     """A small fixed table as a literal map lookup; missing keys give ``default``."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    found = F.element_at(F.create_map(*pairs), key)
+    found = F.element_at(F.expr("map(" + ", ".join(sql_value(x) for kv in table.items() for x in kv) + ")"), key)
     return found if default is None else F.coalesce(found, F.lit(default))

@@ -38,7 +38,7 @@ def orphans(assets: DataFrame, assigned: DataFrame) -> DataFrame:
 def fan_out(cands: DataFrame, areas: DataFrame, limit: int = PARAMS.area_fanout) -> DataFrame:
     """Area assets reach the nearest ``limit`` candidates inside their own radius."""
     pairs = spatial.nearest_k(areas.select("asset_id", "lat", "lon", "radius_km"), _sites(cands),
-                              limit, F.col("radius_km"), "asset_id", "candidate_id")
+                              limit, "radius_km", "asset_id", "candidate_id")
     return areas.join(pairs, "asset_id")
 
 

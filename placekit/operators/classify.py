@@ -12,37 +12,38 @@ from placekit.functions.vocab import (
 )
 
 
-def _strongest(signals: dict[str, list[Column]]) -> Column:
-    """Vector of the strongest signal per kind; 0 where nothing speaks."""
-    cells = []
-    for code in KIND_CODES:
-        found = signals.get(code, [])
-        cells.append(F.greatest(F.lit(0.0), F.lit(0.0), *found) if found else F.lit(0.0))
-    return F.array(*cells)
-
-
-def from_landforms(forms: Column, floor: float = 0.0) -> Column:
-    """Kinds a list of landforms evidences, by maximum (A29); weaker than ``floor`` does not count."""
-    signals: dict[str, list[Column]] = {}
-    for form, table in LANDFORM_KINDS.items():
-        for code, strength in table.items():
+def _strongest(signals: dict[str, list[str]]) -> Column:
+    """Vector of the strongest signal per kind; 0 where nothing speaks. Signals are SQL text."""
+    cells = [f"greatest(0.0D, {', '.join(signals[c])})" if signals.get(c) and len(signals[c]) else "0.0D" for c in KIND_CODES]
+    return F.expr(f"array({', '.join(cells)})")
+
+
+def _add(signals: dict[str, list[str]], code: str, when: str, weight: str) -> None:
+    signals.setdefault(code, []).append(f"if({when}, {weight}, 0.0D)")
+
+
+def _listed(signals: dict[str, list[str]], column: str, table: dict, floor: float) -> None:
+    for token, weights in table.items():
+        for code, strength in weights.items():
             if strength >= floor:
-                signals.setdefault(code, []).append(
-                    F.when(F.array_contains(forms, form), strength).otherwise(0.0))
+                _add(signals, code, f"array_contains({column}, '{token}')", f"{strength!r}D")
+
+
+def from_landforms(forms: str = "landforms", floor: float = 0.0) -> Column:
+    """Kinds a landform list column evidences, by maximum (A29); weaker than ``floor`` does not count."""
+    signals: dict[str, list[str]] = {}
+    _listed(signals, forms, LANDFORM_KINDS, floor)
     return _strongest(signals)
 
 
-def qualifying_landforms(forms: Column) -> Column:
+def qualifying_landforms(forms: str = "landforms") -> Column:
     """Only kinds that clear the model's floor: a river alone is not a lake."""
     return from_landforms(forms, KIND_FLOOR)
 
 
-def from_sources(sources: Column) -> Column:
-    signals: dict[str, list[Column]] = {}
-    for source, table in SOURCE_KINDS.items():
-        for code, strength in table.items():
-            signals.setdefault(code, []).append(
-                F.when(F.array_contains(sources, source), strength).otherwise(0.0))
+def from_sources(sources: str = "sources") -> Column:
+    signals: dict[str, list[str]] = {}
+    _listed(signals, sources, SOURCE_KINDS, 0.0)
     return _strongest(signals)
 
 
@@ -51,31 +52,20 @@ def kind_vector() -> Column:
 
     Signals accumulate by maximum: three parks make a place no wilder than one, only surer.
     """
-    signals: dict[str, list[Column]] = {}
-
-    def add(code: str, weight: Column) -> None:
-        signals.setdefault(code, []).append(weight)
-
-    for i, code in enumerate(KIND_CODES):
-        add(code, from_landforms(F.col("landforms"))[i])
+    signals: dict[str, list[str]] = {}
+    _listed(signals, "landforms", LANDFORM_KINDS, 0.0)
     for tier, table in TIER_KINDS.items():
-        n = kinds.tier(F.col("tiers"), tier)
-        sure = F.least(F.lit(1.0), 0.7 + 0.15 * F.least(n, F.lit(3)))
+        n = kinds.tier_at("tiers", tier)
         for code, strength in table.items():
-            add(code, F.when(n > 0, strength * sure).otherwise(0.0))
-    relief, heads = F.col("relief_m"), F.col("population")
-    lived_in = ~F.col("is_site")
-    quarter = lived_in & (F.col("coherence") >= QUARTER_COHERENCE)
-    add("A4", F.when(relief >= RELIEF_FLOOR_M, F.least(F.lit(0.95), 0.5 + relief / 6000)).otherwise(0.0))
-    add("A1", F.when(F.col("historic_capital"), 0.9).otherwise(0.0))
-    add("A12", F.when(lived_in & (heads >= METROPOLIS_HEADS), F.least(
-        F.lit(0.95), 0.45 + 0.5 * F.least(heads / 1e6 / 8.0, F.lit(1.0)))).otherwise(0.0))
-    add("A2", F.when(quarter & (kinds.tier(F.col("tiers"), "whs_cultural") > 0), 0.95)
-        .when(quarter, 0.7).otherwise(0.0))
-    add("A11", F.when(lived_in & (heads < VILLAGE_HEADS)
-                      & (kinds.tier(F.col("tiers"), "craft_cluster") > 0), 0.9).otherwise(0.0))
-    vec = _strongest(signals)
-    return vec
+            _add(signals, code, f"{n} > 0", f"{strength!r}D * least(1.0D, 0.7D + 0.15D * least({n}, 3))")
+    whs, craft = kinds.tier_at("tiers", "whs_cultural"), kinds.tier_at("tiers", "craft_cluster")
+    quarter = f"not is_site and coherence >= {QUARTER_COHERENCE}D"
+    _add(signals, "A4", f"relief_m >= {RELIEF_FLOOR_M}D", "least(0.95D, 0.5D + relief_m / 6000)")
+    _add(signals, "A1", "historic_capital", "0.9D")
+    _add(signals, "A12", f"not is_site and population >= {METROPOLIS_HEADS}D", "least(0.95D, 0.45D + 0.5D * least(population / 1e6D / 8.0D, 1.0D))")
+    _add(signals, "A2", quarter, f"if({whs} > 0, 0.95D, 0.7D)")
+    _add(signals, "A11", f"not is_site and population < {VILLAGE_HEADS}D and {craft} > 0", "0.9D")
+    return _strongest(signals)
 
 
 def derive(cands: DataFrame, keep_existing: bool = False) -> DataFrame:

@@ -102,7 +102,7 @@ def _rounds_fixed(rows: DataFrame, on: list[str], rule: str) -> DataFrame:
     best = F.min(F.struct(*order, "host_id")).alias("_b")
 
     def reach(guests: DataFrame, hosts: DataFrame) -> DataFrame:
-        pairs = spatial.radius_join(guests, hosts, F.col("radius"), on).where(F.col("h_rank") < F.col("rank"))
+        pairs = spatial.radius_join(guests, hosts, "radius", on).where(F.col("h_rank") < F.col("rank"))
         return pairs.groupBy("id").agg(best)
 
     todo = rows.where("foldable")
@@ -111,17 +111,17 @@ def _rounds_fixed(rows: DataFrame, on: list[str], rule: str) -> DataFrame:
         todo = todo.withColumn("_b", F.lit(None).cast(reach(todo, _as_hosts(todo, on)).schema["_b"].dataType))
     else:
         # the nearest fixed host is enough: later hosts only compete with it
-        near = spatial.nearest(todo, _as_hosts(fixed, on), F.col("radius"), "id", "host_id", on)
+        near = spatial.nearest(todo, _as_hosts(fixed, on), "radius", "id", "host_id", on)
         ranks = fixed.select(F.col("id").alias("host_id"), F.col("rank").alias("h_rank"))
         near = near.join(ranks, "host_id").select("id", F.struct(*order, "host_id").alias("_b"))
         todo = todo.join(near, "id", "left")
     todo = cut(todo)
-    block = spatial.block_of(F.col("radius"))
+    block = spatial.block_of("radius")
     while True:
         open_ = todo.where(F.col("_b").isNull())
         if is_empty(open_):
             break
-        firsts = spatial.block_min(open_, "rank", F.col("radius"), on).withColumnRenamed("rank", "_first")
+        firsts = spatial.block_min(open_, "rank", "radius", on).withColumnRenamed("rank", "_first")
         leaders = cut(open_.withColumn("_block", block).join(firsts, ["_block", *on])
                       .where(F.col("rank") == F.col("_first")).drop("_block", "_first", "_b"))
         rest = todo.join(leaders.select("id"), "id", "left_anti")
@@ -138,10 +138,10 @@ def _rounds_with_kinds(rows: DataFrame, on: list[str]) -> DataFrame:
     """
     todo, folds = cut(rows), []
     hosts = cut(_as_hosts(rows, on).limit(0))
-    twice = 2 * F.col("radius")
+    twice = "2 * radius"
     while not is_empty(todo):
         mask, held = F.col("mask"), F.col("h_mask")
-        pairs = spatial.radius_join(todo, hosts, F.col("radius"), on).where(F.col("h_rank") < F.col("rank"))
+        pairs = spatial.radius_join(todo, hosts, "radius", on).where(F.col("h_rank") < F.col("rank"))
         pairs = pairs.where((mask == 0) | (held == 0) | (mask.bitwiseAND(held) != 0))
         best = pairs.groupBy("id").agg(F.min(F.struct("km", "h_rank", "host_id", "h_mask")).alias("_b"))
         seen = todo.join(best, "id", "left")

@@ -63,10 +63,9 @@ def complete(cands: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ who is stronger
 def harvest_only() -> Column:
     """The record exists because a crawl found it, not a globally adjudicated list."""
-    listed = F.lit(False)
-    for t in PROTECTED_TIERS:
-        listed = listed | (kinds.tier(F.col("tiers"), t) > 0)
-    return ~(listed | F.arrays_overlap("sources", F.array(*[F.lit(s) for s in PROTECTED_SOURCES])))
+    listed = " or ".join(f"{kinds.tier_at('tiers', t)} > 0" for t in PROTECTED_TIERS)
+    names = ", ".join(f"'{s}'" for s in PROTECTED_SOURCES)
+    return F.expr(f"not ({listed} or arrays_overlap(sources, array({names})))")
 
 
 def density_extra(p: Params = PARAMS) -> Column:
@@ -244,7 +243,7 @@ def _grow_cities_rounds(rows: DataFrame, share: float) -> DataFrame:
     heads of one round cannot touch the same suburbs. Growth only ever adds, so each head's
     suburbs are the least fixed point of "in reach and small enough".
     """
-    wide = F.lit(2 * CITY_RADIUS_MAX)
+    wide = 2 * CITY_RADIUS_MAX
     state = cut(number_rows(rows, [F.col("population").desc(), F.col("candidate_id")])
                 .withColumn("heads", F.col("population")).withColumn("done", F.lit(False)))
     folds = None
@@ -467,8 +466,8 @@ def absorb_sites(cands: DataFrame, p: Params = PARAMS) -> Resolved:
     """
     said = cut(site_decisions(cands, p))
     who = cands.select(F.col("candidate_id").alias("site_id"), F.col("name").alias("site"), "country",
-                       F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), bulk(F.col("tiers"), p).alias("_sbulk"))
-    host = cands.select(F.col("candidate_id").alias("host_id"), F.col("name").alias("host"), bulk(F.col("tiers"), p).alias("_hbulk"))
+                       F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), bulk("tiers", p).alias("_sbulk"))
+    host = cands.select(F.col("candidate_id").alias("host_id"), F.col("name").alias("host"), bulk("tiers", p).alias("_hbulk"))
     rows = said.join(who, "site_id").join(host, "host_id")
     taken = rows.where("absorbed")
     folds = taken.select(F.col("site_id").alias("guest_id"), F.col("host_id").alias("root_id"))

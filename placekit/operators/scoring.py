@@ -24,24 +24,22 @@ def saturating(weight, n: Column, delta: float) -> Column:
     return F.when(n > 0, w * (1.0 - F.pow(F.lit(delta), n)) / (1.0 - delta)).otherwise(0.0)
 
 
-def tiered_sum(tiers: Column, pillar: str, p: Params = PARAMS, cross_country: bool = False) -> Column:
-    """Discounted tier sum of one pillar (A01, A02); tiers of equal weight share one discount."""
-    by_weight: dict[float, list[Column]] = {}
+def _tiered_sql(tiers: str, pillar: str, p: Params, cross_country: bool = False) -> str:
+    by_weight: dict[float, list[str]] = {}
     for name, pil, weight, cross in TIERS:
         if pil == pillar and (cross or not cross_country):
-            by_weight.setdefault(weight, []).append(kinds.tier(tiers, name))
-    total = F.lit(0.0)
-    for weight, counts in by_weight.items():
-        n = counts[0]
-        for c in counts[1:]:
-            n = n + c
-        total = total + saturating(weight, n, p.delta)
-    return total
+            by_weight.setdefault(weight, []).append(kinds.tier_at(tiers, name))
+    return "(" + " + ".join(f"{w!r}D * (1.0D - pow({p.delta!r}D, {' + '.join(n)})) / {1.0 - p.delta!r}D" for w, n in by_weight.items()) + ")"
+
+
+def tiered_sum(tiers: str, pillar: str, p: Params = PARAMS, cross_country: bool = False) -> Column:
+    """Discounted tier sum of one pillar (A01, A02); tiers of equal weight share one discount."""
+    return F.expr(_tiered_sql(tiers, pillar, p, cross_country))
 
 
-def bulk(tiers: Column, p: Params = PARAMS) -> Column:
+def bulk(tiers: str = "tiers", p: Params = PARAMS) -> Column:
     """All three pillars' tier sums together."""
-    return tiered_sum(tiers, "H", p) + tiered_sum(tiers, "N", p) + tiered_sum(tiers, "L", p)
+    return F.expr(" + ".join(_tiered_sql(tiers, x, p) for x in "HNL"))
 
 
 def rarity(share: float) -> float:
@@ -74,7 +72,7 @@ def pillars(cands: DataFrame, p: Params = PARAMS) -> DataFrame:
     out = out.withColumn("_w", weights)
     setting = F.aggregate(F.array_distinct("_w"), F.lit(0.0), lambda acc, w: acc + saturating(
         w, F.size(F.filter("_w", lambda x: x == w)), p.delta))
-    tiers = F.col("tiers")
+    tiers = "tiers"
     return out.select(
         *cands.columns,
         (tiered_sum(tiers, "H", p) * (1.0 + p.coherence * F.col("coherence"))).alias("h_raw"),
@@ -185,9 +183,7 @@ def score(cands: DataFrame, p: Params = PARAMS) -> DataFrame:
 def country_facts(scored: DataFrame, countries: DataFrame, p: Params = PARAMS) -> DataFrame:
     """Per country: area, kinds covered, globally adjudicated assets, quality."""
     known = countries.select("country", "area_km2", "iso3")
-    cross = F.lit(0).cast("bigint")
-    for t in CROSS_COUNTRY_TIERS:
-        cross = cross + kinds.tier(F.col("tiers"), t)
+    cross = F.expr(" + ".join(kinds.tier_at("tiers", t) for t in CROSS_COUNTRY_TIERS))
     out = (scored.groupBy("country").agg(
         F.count(F.lit(1)).alias("candidates"), F.bit_or(kinds.covered_mask(F.col("kinds"))).alias("_mask"),
         F.sum(cross).alias("global_assets")).join(known, "country", "left"))

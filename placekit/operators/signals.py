@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placekit.functions import geo, kinds
-from placekit.functions.vocab import KIND_FLOOR
+from placekit.functions.vocab import KIND_CODES, KIND_FLOOR
 from placekit.operators import spatial
 from placekit.operators.classify import from_sources, qualifying_landforms
 from placekit.plans.session import cut
@@ -50,9 +50,8 @@ def marked(places: DataFrame, points: DataFrame | None, km: float, flag: str) ->
 
 def kind_points_vector(rows: DataFrame, key: str) -> DataFrame:
     """Strongest weight per (key, kind) as a vector."""
-    cells = [F.coalesce(F.max(F.when(F.col("kind") == c, F.col("weight"))), F.lit(0.0)) for c in
-             [f"A{i}" for i in range(1, 13)]]
-    return rows.where(F.col("weight") >= KIND_FLOOR).groupBy(key).agg(F.array(*cells).alias("vec"))
+    cells = ", ".join(f"coalesce(max(if(kind = '{c}', weight, null)), 0.0D)" for c in KIND_CODES)
+    return rows.where(F.col("weight") >= KIND_FLOOR).groupBy(key).agg(F.expr(f"array({cells})").alias("vec"))
 
 
 def harvest_kinds(places: DataFrame, points: DataFrame, km: float = FEATURE_KM) -> DataFrame:
@@ -64,7 +63,7 @@ def harvest_kinds(places: DataFrame, points: DataFrame, km: float = FEATURE_KM)
 
 def nearest_qualifying(places: DataFrame, landforms: DataFrame, km: float = FEATURE_KM) -> DataFrame:
     """Nearest landform row whose kinds clear the floor (J06): place_id, near_vec."""
-    rows = landforms.withColumn("near_vec", qualifying_landforms(F.col("forms"))).where(kinds.any_kind(F.col("near_vec")))
+    rows = landforms.withColumn("near_vec", qualifying_landforms("forms")).where(kinds.any_kind(F.col("near_vec")))
     right = spatial.as_right(rows.select("source_id", "lat", "lon"))
     near = spatial.nearest(places.select("place_id", "lat", "lon"), right, km, "place_id", "source_id")
     return near.join(rows.select("source_id", "near_vec").dropDuplicates(["source_id"]), "source_id").select("place_id", "near_vec")
@@ -78,7 +77,7 @@ def apply_signals(places: DataFrame, layers: Layers) -> DataFrame:
     """
     out = places
     if layers.landforms is not None:
-        by_id = layers.landforms.select(F.col("source_id").alias("_sid"), qualifying_landforms(F.col("forms")).alias("_id_vec")).dropDuplicates(["_sid"])
+        by_id = layers.landforms.select(F.col("source_id").alias("_sid"), qualifying_landforms("forms").alias("_id_vec")).dropDuplicates(["_sid"])
         out = out.withColumn("_sid", geo.geoname_tail(F.col("place_id"))).join(by_id, "_sid", "left").drop("_sid")
         empty = out.where(~kinds.any_kind(F.col("kinds")) & ~F.coalesce(kinds.any_kind(F.col("_id_vec")), F.lit(False)))
         out = out.join(nearest_qualifying(empty, layers.landforms), "place_id", "left")
@@ -111,7 +110,7 @@ def apply_signals(places: DataFrame, layers: Layers) -> DataFrame:
         if only_empty:
             when = when & ~kinds.any_kind(F.col(vec))
         out = out.withColumn(flag, when).withColumn(vec, F.when(F.col(flag), kinds.merge(F.col(vec), extra)).otherwise(F.col(vec)))
-    said = from_sources(F.col("sources"))
+    said = from_sources("sources")
     out = out.withColumn(vec, F.when(kinds.any_kind(said), kinds.merge(F.col(vec), said)).otherwise(F.col(vec)))
     out = out.withColumn("kinds", F.transform("kinds", lambda w: F.bround(w, 2))).withColumn("historic_capital", F.col("via_capital"))
     return out.drop("_id_vec", "near_vec", "_harvest", "_manual")

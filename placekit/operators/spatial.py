@@ -24,7 +24,7 @@ PYRAMID_FLOOR = -2      # finest cube edge 0.25 km
 
 
 def _radius(km) -> Column:
-    return F.lit(float(km)) if isinstance(km, (int, float)) else km
+    return F.lit(float(km)) if isinstance(km, (int, float)) else F.col(km)
 
 
 def _classes(left: DataFrame, km) -> list[int] | None:
@@ -32,17 +32,17 @@ def _classes(left: DataFrame, km) -> list[int] | None:
     if isinstance(km, (int, float)):
         return None
     # radii map to powers of two, so this is at most about twenty integers
-    rows = left.select(geo.cube_class(km).alias("c")).distinct().collect()
+    rows = left.select(F.expr(geo.cube_class(km)).alias("c")).distinct().collect()
     return sorted(r["c"] for r in rows if r["c"] is not None)
 
 
 def _keyed_right(right: DataFrame, km, classes: list[int] | None) -> DataFrame:
     if classes is None:
-        return right.withColumn("_cube", geo.cube_at("r_lat", "r_lon", geo.cube_class(km)))
+        return right.withColumn("_cube", F.expr(geo.cube_at("r_lat", "r_lon", geo.cube_class(km))))
     if not classes:
         return right.withColumn("_cube", F.lit(None).cast("bigint"))
-    keys = F.array(*[geo.cube_at("r_lat", "r_lon", F.lit(c)) for c in classes])
-    return right.withColumn("_cube", F.explode(keys))
+    keys = ", ".join(geo.cube_at("r_lat", "r_lon", c) for c in classes)
+    return right.withColumn("_cube", F.explode(F.expr(f"array({keys})")))
 
 
 def hottest_cube(right: DataFrame, on: list[str]) -> int:
@@ -53,7 +53,7 @@ def hottest_cube(right: DataFrame, on: list[str]) -> int:
 
 def radius_join(left: DataFrame, right: DataFrame, km, on: list[str] | None = None,
                 hot_rows: int = HOT_CUBE_ROWS) -> DataFrame:
-    """All pairs within ``km`` (a number or a column of ``left``), with their distance.
+    """All pairs within ``km`` (a number or the name of a column of ``left``), with their distance.
 
     ``on`` names columns that must be equal on both sides. Full cubes are salted: their right
     rows are spread over several keys and the left rows that probe them are repeated per key,
@@ -67,7 +67,7 @@ def radius_join(left: DataFrame, right: DataFrame, km, on: list[str] | None = No
 
 def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, hot_rows: int) -> DataFrame:
     l = left.withColumn("_km", _radius(km)).withColumn(
-        "_cube", F.explode(geo.cubes_within("lat", "lon", F.col("_km"), geo.cube_class(F.col("_km")))))
+        "_cube", F.explode(F.expr(geo.cubes_within("lat", "lon", km, geo.cube_class(km)))))
     keys = ["_cube", *on]
     if salted:
         hot = (r.groupBy(*keys).count().where(F.col("count") > hot_rows)
@@ -79,17 +79,11 @@ def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, h
             "_salt", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<bigint>"))).drop("_parts")
         keys = [*keys, "_salt"]
     # a chord test on ready coordinates settles most pairs before any trigonometry
-    for side, frame in (("l", l), ("r", r)):
-        at = ("lat", "lon") if side == "l" else ("r_lat", "r_lon")
-        for axis, value in zip("xyz", geo.xyz(*at)):
-            frame = frame.withColumn(f"_{side}{axis}", value)
-        l, r = (frame, r) if side == "l" else (l, frame)
-    l = l.withColumn("_chord2", F.pow(geo.chord(F.col("_km")), F.lit(2.0)) * (1 + 1e-9) + 1e-6)
-    gap2 = F.lit(0.0)
-    for axis in "xyz":
-        d = F.col(f"_l{axis}") - F.col(f"_r{axis}")
-        gap2 = gap2 + d * d
-    near = l.join(r, keys).where(gap2 <= F.col("_chord2"))
+    l = l.withColumns({f"_l{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("lat", "lon"))} | {
+        "_chord2": F.expr(f"pow({geo.chord(km)}, 2) * {1 + 1e-9!r}D + 1e-6D")})
+    r = r.withColumns({f"_r{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("r_lat", "r_lon"))})
+    gap2 = " + ".join(f"(_l{a} - _r{a}) * (_l{a} - _r{a})" for a in "xyz")
+    near = l.join(r, keys).where(f"{gap2} <= _chord2")
     return (near.withColumn("km", geo.tick(geo.haversine("lat", "lon", "r_lat", "r_lon")))
             .where(F.col("km") <= F.col("_km"))
             .drop("_cube", "_km", "_salt", "_chord2", *[f"_{s}{a}" for s in "lr" for a in "xyz"]))
@@ -120,7 +114,7 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right
         far = _best(_cube_join(rest, keyed, km, on, False, hot_rows), left_id, right_id)
         return close.unionByName(far)
     else:
-        pairs = _cube_join(l, keyed, km if fixed else F.col("_r"), on, False, hot_rows)
+        pairs = _cube_join(l, keyed, km if fixed else "_r", on, False, hot_rows)
     if k == 1:
         return _best(pairs, left_id, right_id)
     top = W.partitionBy(left_id).orderBy("km", right_id)
@@ -146,20 +140,18 @@ def _pyramid(left: DataFrame, pts: DataFrame, k: int, left_id: str, on: list[str
     distance within which boxes already seen hold at least ``k`` points. Distances are chords,
     which order pairs exactly as arcs do.
     """
-    px, py, pz = geo.xyz("r_lat", "r_lon")
-    pts = cut(pts.withColumn("_x", px).withColumn("_y", py).withColumn("_z", pz))
-    qx, qy, qz = geo.xyz("lat", "lon")
+    pts = cut(pts.withColumns({f"_{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("r_lat", "r_lon"))}))
     # chord tests get a hair of slack; the final haversine test is the exact one
-    front = (left.withColumn("_qx", qx).withColumn("_qy", qy).withColumn("_qz", qz)
-             .withColumn("_reach", geo.chord(F.col("_r")) * (1 + 1e-9) + 1e-6))
-    top = left.agg(F.max(geo.cube_class(F.col("_r"))).alias("c")).first()["c"]
+    front = left.withColumns({f"_q{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("lat", "lon"))} | {
+        "_reach": F.expr(f"{geo.chord('_r')} * {1 + 1e-9!r}D + 1e-6D")})
+    top = left.agg(F.max(F.expr(geo.cube_class("_r"))).alias("c")).first()["c"]
     if top is None:
         return left.join(pts, on or F.lit(False)).withColumn("km", F.lit(0.0)).limit(0)
     level = int(top)
-    front = front.withColumn("_cube", F.explode(geo.cubes_within("lat", "lon", F.col("_r"), F.lit(level))))
+    front = front.withColumn("_cube", F.explode(F.expr(geo.cubes_within("lat", "lon", "_r", level))))
     while True:
         edge = float(2.0 ** level)
-        boxes = (pts.withColumn("_cube", geo.cube_at("r_lat", "r_lon", F.lit(level)))
+        boxes = (pts.withColumn("_cube", F.expr(geo.cube_at("r_lat", "r_lon", level)))
                  .groupBy("_cube", *on)
                  .agg(F.count(F.lit(1)).alias("_n"), *[f(a).alias(f"_{a[1]}{s}") for a in ("_x", "_y", "_z")
                                                        for f, s in ((F.min, "0"), (F.max, "1"))]))
@@ -190,8 +182,8 @@ def _pyramid(left: DataFrame, pts: DataFrame, k: int, left_id: str, on: list[str
             reach = F.least(F.col("_reach"), F.coalesce(F.col("_bound"), F.col("_reach"))) + 1e-6
             front = front.where(F.greatest(lo - q, q - hi) <= reach)
         front = front.select(left_id, "lat", "lon", *on, "_r", "_qx", "_qy", "_qz", "_reach",
-                             geo.cube_key(F.lit(level), F.col("_ix"), F.col("_iy"), F.col("_iz")).alias("_cube"))
-    last = pts.withColumn("_cube", geo.cube_at("r_lat", "r_lon", F.lit(level))).drop("_x", "_y", "_z")
+                             F.expr(geo.cube_key(level, "_ix", "_iy", "_iz")).alias("_cube"))
+    last = pts.withColumn("_cube", F.expr(geo.cube_at("r_lat", "r_lon", level))).drop("_x", "_y", "_z")
     pairs = seen.select(left_id, "lat", "lon", *on, "_r", "_cube").join(last, ["_cube", *on])
     return (pairs.withColumn("km", geo.tick(geo.haversine("lat", "lon", "r_lat", "r_lon")))
             .where(F.col("km") <= F.col("_r")).drop("_cube", "_r"))
@@ -205,22 +197,26 @@ def as_right(df: DataFrame, **names: str) -> DataFrame:
     return out
 
 
-def block_min(df: DataFrame, value: str, km: Column, on: list[str]) -> DataFrame:
+def block_min(df: DataFrame, value: str, km, on: list[str]) -> DataFrame:
     """Smallest ``value`` among rows of the 27 cubes around each cube: (on, _block, value).
 
-    Cube edge is at least ``km``, so the block covers everything within ``km`` of its centre cube.
+    Cube edge is at least ``km`` (a number or column name), so the block covers everything
+    within ``km`` of its centre cube.
     """
-    cls = geo.cube_class(km / 2)
-    edge = F.pow(F.lit(2.0), cls)
-    ix, iy, iz = (F.floor(v / edge) for v in geo.xyz("lat", "lon"))
-    own = (df.select(*on, value, cls.alias("_c"), ix.alias("_ix"), iy.alias("_iy"), iz.alias("_iz"))
-           .groupBy(*on, "_c", "_ix", "_iy", "_iz").agg(F.min(value).alias(value)))
-    for a in ("_ix", "_iy", "_iz"):
-        own = own.withColumn(a, F.explode(F.sequence(F.col(a) - 1, F.col(a) + 1)))
-    return (own.withColumn("_block", geo.cube_key(F.col("_c"), F.col("_ix"), F.col("_iy"), F.col("_iz")))
+    cls = _block_class(km)
+    slabs = {f"_i{a}": F.expr(f"floor({e} / pow(2.0D, {cls}))") for a, e in zip("xyz", geo.xyz("lat", "lon"))}
+    own = (df.select(*on, value, F.expr(cls).alias("_c"), *[e.alias(n) for n, e in slabs.items()])
+           .groupBy(*on, "_c", *slabs).agg(F.min(value).alias(value)))
+    for n in slabs:
+        own = own.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
+    return (own.withColumn("_block", F.expr(geo.cube_key("_c", "_ix", "_iy", "_iz")))
             .groupBy(*on, "_block").agg(F.min(value).alias(value)))
 
 
-def block_of(km: Column) -> Column:
+def block_of(km) -> Column:
     """The block cube of a row, matching :func:`block_min`."""
-    return geo.cube_at("lat", "lon", geo.cube_class(km / 2))
+    return F.expr(geo.cube_at("lat", "lon", _block_class(km)))
+
+
+def _block_class(km) -> str:
+    return geo.cube_class(km / 2 if isinstance(km, (int, float)) else f"({km}) / 2")

@@ -80,9 +80,15 @@ SELECT o_custkey AS trip_id, concat('c', (o_orderkey * 17) % 150) AS place_id, o
   o_orderkey % 4 AS day, (o_orderkey * 13) % 10 AS position
 FROM orders"""
 
+VIEWS["pin"] = """
+SELECT candidate_id AS place_id, name, iso3, country, cand.n AS n, lat, lon, CAST((k * 37) % 101 AS INT) AS score,
+  CAST((k * 1237 + 77) % 4095 + 1 AS INT) AS kmask, CAST((k * 331) % 4096 AS INT) AS months,
+  (k * 7) % 5 = 0 AS printed, CAST((k * 3) % 4 AS INT) AS whs, concat('src', k % 3) AS source
+FROM cand JOIN country ON country.n = cand.n"""
+
 _NEEDS = {
     "cand": (), "attr": ("cand",), "landform": ("cand",), "asset": ("cand",), "visit": (),
-    "country": (), "admin_rect": ("country",), "passport": ("country",), "trip": (),
+    "country": (), "admin_rect": ("country",), "passport": ("country",), "trip": (), "pin": ("cand", "country"),
 }
 
 
@@ -113,14 +119,19 @@ class Views:
         self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        key = f"table {name}"
+        if key not in self._made:
+            self._made[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._made[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
         if name not in self._made:
-            # names resolve while the statement is analysed, so later folders may reuse them
+            text = "\n".join(VIEWS[n] for n in _closure([name]))
             for t in TABLES:
-                self.table(t).createOrReplaceTempView(t)
+                # names resolve while the statement is analysed, so later folders may reuse them
+                if f"FROM {t}" in text:
+                    self.table(t).createOrReplaceTempView(t)
             self._made[name] = self.spark.sql(f"{with_views(name)} SELECT * FROM {name}")
         return self._made[name]
