@@ -1 +1,283 @@
-"""Registered queries: resolve."""
+"""Registered queries: entity resolution, selection, identity, gates and whole jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from placekit.functions import geo, kinds
+from placekit.operators import gates, identity, reports, resolve, scoring, selection, signals
+from placekit.plans import build as jobs
+from placekit.plans.oracles import km, sql
+from placekit.plans.queries import asset_rows, attached, candidates, long_kinds, query, r6
+from placekit.plans.session import cut
+
+
+def _built(v) -> jobs.BuildResult:
+    return jobs.build(candidates(v), asset_rows(v), v.country)
+
+
+# ------------------------------------------------------------------ resolution
+@query("transliteration_merge", sql("""SELECT country, guest_id, host_id, 'transliteration' AS decision FROM (
+  SELECT c.country, b.candidate_id AS guest_id, a.candidate_id AS host_id FROM cand a JOIN cand b ON a.n = b.n AND round_even(a.lat, 3) = round_even(b.lat, 3)
+    AND round_even(a.lon, 3) = round_even(b.lon, 3) AND a.candidate_id <> b.candidate_id JOIN country c ON c.n = a.n
+    JOIN attr x ON x.candidate_id = a.candidate_id JOIN attr y ON y.candidate_id = b.candidate_id
+  WHERE (levenshtein(regexp_replace(lower(a.name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(b.name), '[^a-z0-9]', '', 'g')) <= 2)
+    AND ((a.population >= 50000)::INT, (x.source = 'wdpa')::INT, a.population, -length(a.name)) > ((b.population >= 50000)::INT, (y.source = 'wdpa')::INT, b.population, -length(b.name))
+    OR (a.n = b.n AND round_even(a.lat, 3) = round_even(b.lat, 3) AND round_even(a.lon, 3) = round_even(b.lon, 3) AND a.candidate_id < b.candidate_id
+      AND ((a.population >= 50000)::INT, (x.source = 'wdpa')::INT, a.population, -length(a.name)) = ((b.population >= 50000)::INT, (y.source = 'wdpa')::INT, b.population, -length(b.name))))""",
+  "cand", "attr", "country"))
+def _(v):
+    return resolve.merge_transliterations(candidates(v)).log.select("country", "guest_id", "host_id", "decision")
+
+
+@query("strength_and_radius", sql("""SELECT candidate_id, source <> 'wdpa' AS harvest_only, source <> 'wdpa' AND population < 50000 AS density_extra,
+  CASE WHEN population >= 1000000 THEN 18 WHEN population >= 500000 THEN 14 WHEN population >= 250000 THEN 12 WHEN population >= 50000 THEN 8 ELSE 5 END::DOUBLE AS radius_km
+  FROM cand JOIN attr USING (candidate_id)""", "cand", "attr"))
+def _(v):
+    return candidates(v).select("candidate_id", resolve.harvest_only().alias("harvest_only"), resolve.density_extra().alias("density_extra"),
+                                resolve.city_radius(F.col("population")).alias("radius_km"))
+
+
+@query("harvest_spacing", sql("""SELECT country, round(greatest(8, 0.35 * sqrt(area_km2 / (m * (8 + 4 * ln(1 + area_km2 / 50000.0))))) + 1e-9, 6) AS spacing_km FROM (
+  SELECT c.country, area_km2, count(DISTINCT kind) AS m FROM kv JOIN cand USING (candidate_id) JOIN country c ON c.n = cand.n GROUP BY ALL)""", "kv", "cand", "country"))
+def _(v):
+    rows = resolve.density_rows(attached(v), v.country)
+    return rows.select("country", r6("spacing").alias("spacing_km")).distinct()
+
+
+@query("agglomerate")
+def _(v):
+    return resolve.agglomerate(candidates(v)).log.select("country", "guest_id", "host_id", "km")
+
+
+@query("absorb_sites")
+def _(v):
+    return resolve.absorb_sites(cut(attached(v))).log.select("country", "guest_id", "host_id", "decision", "km", "similarity")
+
+
+@query("absorb_near_duplicates")
+def _(v):
+    return resolve.absorb_near_duplicates(cut(attached(v))).log.select("country", "guest_id", "host_id", "km")
+
+
+@query("density_cap")
+def _(v):
+    return resolve.cap_density(cut(attached(v)), v.country).log.select("country", "guest_id", "host_id", "km")
+
+
+@query("orphan_sites")
+def _(v):
+    from placekit.operators import assets
+
+    rows = cut(asset_rows(v))
+    point, _ = assets.split_point_and_area(rows)
+    sites, _ = resolve.orphan_sites(assets.orphans(point, assets.assign(candidates(v), point)))
+    return sites.select("candidate_id", "country", "lat", "lon")
+
+
+@query("resolve_all")
+def _(v):
+    _, log = jobs.resolve_stage(jobs.attach_stage(candidates(v), asset_rows(v)), v.country)
+    return log.select("country", "guest_id", "host_id", "decision", "km")
+
+
+@query("moved_ids", sql("""SELECT b.candidate_id AS old_id, a.candidate_id AS new_id FROM cand a JOIN attr x USING (candidate_id)
+  JOIN cand b ON a.n = b.n AND a.k = b.k AND a.candidate_id <> b.candidate_id JOIN attr y ON y.candidate_id = b.candidate_id
+  WHERE ((a.population >= 50000)::INT, (x.source = 'wdpa')::INT, a.population, -length(a.name)) > ((b.population >= 50000)::INT, (y.source = 'wdpa')::INT, b.population, -length(b.name))""", "cand", "attr"))
+def _(v):
+    got = resolve.merge_transliterations(candidates(v))
+    return resolve.moved_ids(got.log, got.kept)
+
+
+@query("absorption_counts", sql("""SELECT c.country, 'transliteration' AS decision, count(*) AS n FROM supplier JOIN cand ON candidate_id = 's' || s_suppkey JOIN country c USING (n) GROUP BY ALL""", "cand", "country"))
+def _(v):
+    return resolve.absorption_counts(resolve.merge_transliterations(candidates(v)).log)
+
+
+# ------------------------------------------------------------------ selection
+def _scored(v):
+    scored = cut(scoring.score(attached(v)))
+    return scored, cut(scoring.quotas(scoring.country_facts(scored, v.country)))
+
+
+@query("coverage_selection")
+def _(v):
+    scored, quotas = _scored(v)
+    return selection.select_coverage(scoring.above_floor(scored), quotas).select("country", "candidate_id", "pick", r6("gain").alias("gain"))
+
+
+@query("rank_selection")
+def _(v):
+    scored, quotas = _scored(v)
+    return selection.select_by_rank(scoring.above_floor(scored), quotas).select("country", "candidate_id", "pick", r6("gain").alias("score"))
+
+
+@query("selection_redundancy")
+def _(v):
+    scored, quotas = _scored(v)
+    kept = cut(scoring.above_floor(scored))
+    out = None
+    for how, picks in (("coverage", selection.select_coverage(kept, quotas)), ("rank", selection.select_by_rank(kept, quotas))):
+        stats = selection.pair_stats(kept.join(picks.select("candidate_id"), "candidate_id", "left_semi")).withColumn("how", F.lit(how))
+        out = stats if out is None else out.unionByName(stats)
+    return out.select("country", "how", "n", r6("redundancy").alias("redundancy"), "closest_km")
+
+
+@query("spacing_conflicts", sql(f"""SELECT country, count(*) AS pairs, min(km) AS closest_km, round(greatest(1, 4.5 * 40075.017 / (greatest(min(km), 1e-9) * 1000) / 3.0) + 1e-9, 6) AS inset FROM (
+  SELECT a.country, round_even({km('a', 'b')}, 1) AS km FROM r a JOIN r b ON a.country = b.country AND a.nth < b.nth AND a.nth <= 3 * a.quota AND b.nth <= 3 * b.quota
+  WHERE {km('a', 'b')} < greatest(60, 0.35 * sqrt(a.area_km2 / a.quota))) GROUP BY ALL""", "top100", "cand", "country", "quota").replace("\nSELECT country, count(*) AS pairs", """,
+r AS (SELECT c.country, c.area_km2, q.quota, t.candidate_id, cand.lat, cand.lon, row_number() OVER (PARTITION BY c.country ORDER BY t.score DESC, t.candidate_id) AS nth
+  FROM top100 t JOIN cand USING (candidate_id, n) JOIN country c ON c.n = t.n JOIN quota q ON q.country = c.country)
+SELECT country, count(*) AS pairs""", 1))
+def _(v):
+    scored, quotas = _scored(v)
+    out = selection.conflict_summary(selection.spacing_conflicts(scoring.above_floor(scored), quotas))
+    return out.select("country", "pairs", "closest_km", r6("inset").alias("inset"))
+
+
+# ------------------------------------------------------------------ identity and gates
+@query("build_number", sql("SELECT substr(sha256(string_agg(place_id, chr(10) ORDER BY place_id)), 1, 12) AS build FROM pin", "pin"))
+def _(v):
+    return identity.build_number(v.pin)
+
+
+def _old_snapshot(v):
+    """A previous build drawn from the pins: some ids since gone, some since reused."""
+    k = F.col("score")
+    old = v.pin.select(F.when(k == 11, F.concat(F.lit("old-"), "place_id")).otherwise(F.col("place_id")).alias("place_id"),
+                       F.when(k == 13, F.concat(F.lit("Other "), "name")).otherwise(F.col("name")).alias("name"), "country", "lat", "lon", "score")
+    mapping = old.where((k == 11) & (F.col("lat") > 0)).select(F.col("place_id").alias("old_id"), F.regexp_replace("place_id", "^old-", "").alias("new_id"))
+    dead = old.where((k == 11) & (F.col("lat") < -30)).select(F.col("place_id").alias("old_id"), F.lit("nowhere").alias("new_id"))
+    return old.drop("score"), mapping.unionByName(dead)
+
+
+@query("id_stability", sql("""SELECT 'vanished' AS problem, 'old-' || place_id AS place_id FROM pin WHERE score = 11 AND lat <= 0 AND lat >= -30
+  UNION ALL SELECT 'missing_target', 'nowhere' WHERE EXISTS (SELECT 1 FROM pin WHERE score = 11 AND lat < -30)
+  UNION ALL SELECT 'reused', place_id FROM pin WHERE score = 13""", "pin"))
+def _(v):
+    old, mapping = _old_snapshot(v)
+    return identity.stability(old, v.pin, mapping)
+
+
+@query("manifest_agreement", sql("""SELECT 'printed' AS item, count(*) FILTER (printed) + 1 AS claimed, count(*) FILTER (printed) AS actual FROM pin""", "pin"))
+def _(v):
+    tiles = v.admin_rect.withColumnRenamed("region_id", "territory_id")
+    actual = identity.bundle_counts(v.pin, tiles)
+    return identity.manifest_errors(actual.withColumn("printed", F.col("printed") + 1), actual)
+
+
+@query("fingerprints", sql("""SELECT place_id, country || '|' || lower(trim(name)) AS said, round_even(lat, 3) AS lat, round_even(lon, 3) AS lon FROM pin""", "pin"))
+def _(v):
+    from placekit.functions import text
+
+    mark = text.fingerprint(F.col("name"), F.col("country"), F.col("lat"), F.col("lon"))
+    parts = F.split(mark, "\\|")
+    return v.pin.select("place_id", F.concat_ws("|", parts[0], parts[1]).alias("said"), parts[2].cast("double").alias("lat"), parts[3].cast("double").alias("lon"))
+
+
+@query("gate_results", sql("""SELECT gate, rule, bad = 0 AS ok, bad FROM (
+  SELECT 'kind_audit' AS gate, 'every kind is present' AS rule, 12 - bit_count(bit_or(kmask)) AS bad FROM pin
+  UNION ALL SELECT 'kind_audit', 'no place without a kind', count(*) FROM pin WHERE kmask = 0
+  UNION ALL SELECT 'place_id_stability', 'ids are unique', 0
+  UNION ALL SELECT 'place_id_stability', 'ids are stable', count(*) FILTER (score = 11 AND lat <= 0 AND lat >= -30) + count(*) FILTER (score = 13)
+    + (count(*) FILTER (score = 11 AND lat < -30) > 0)::INT FROM pin
+  UNION ALL SELECT 'dissolve_resolution', 'no dissolved polygon', 0
+  UNION ALL SELECT 'dissolve_resolution', 'no dissolved place', 0
+  UNION ALL SELECT 'manifest_agreement', 'totals equal the tables', 0
+  UNION ALL SELECT 'manifest_agreement', 'build equals the ids', 0)""", "pin"))
+def _(v):
+    old, mapping = _old_snapshot(v)
+    tiles = v.admin_rect.withColumnRenamed("region_id", "territory_id")
+    manifest = identity.bundle_counts(v.pin, tiles).join(F.broadcast(identity.build_number(v.pin)))  # one row each
+    out = gates.kind_audit(v.pin).unionByName(gates.id_stability(v.pin, old, mapping)).unionByName(
+        gates.dissolve_resolution(v.pin, v.country)).unionByName(gates.manifest_agreement(v.pin, tiles, manifest))
+    return out.select("gate", "rule", "ok", "bad")
+
+
+@query("close_pair_checks", sql(f"""SELECT rule, n = 0 AS ok, n AS bad FROM (
+  SELECT 'no same-kind pair under 2 km' AS rule, count(*) FILTER (same) AS n FROM p UNION ALL
+  SELECT 'close different-kind pairs are listed', count(*) FILTER (NOT same AND a NOT LIKE '%7') FROM p)""", "pin").replace("\nSELECT rule, n = 0", f""",
+p AS (SELECT a.place_id AS a, b.place_id AS b, a.kmask & b.kmask <> 0 AS same FROM pin a JOIN pin b ON a.country = b.country AND a.place_id < b.place_id
+  AND b.lat BETWEEN a.lat - 0.1 AND a.lat + 0.1 AND b.lon BETWEEN a.lon - 0.1 AND a.lon + 0.1 WHERE {km('a', 'b')} <= 2)
+SELECT rule, n = 0""", 1))
+def _(v):
+    vec = F.transform(kinds.codes(), lambda c: F.when(F.array_contains(kinds.decode(F.col("kmask")), c), 0.5).otherwise(0.0))
+    rows = resolve.complete(v.pin.withColumnRenamed("place_id", "candidate_id").withColumn("kinds", vec))
+    pairs = resolve.close_pairs(rows)
+    allowed = pairs.where(F.col("id_a").endswith("7")).select("id_a", "id_b")
+    places = rows.withColumnRenamed("candidate_id", "place_id")
+    return gates.candidate_checks(places, allowed).select("rule", "ok", "bad")
+
+
+@query("shape_checks", sql("""SELECT rule, n = 0 AS ok, n AS bad FROM (
+  SELECT 'ids are unique' AS rule, 0 AS n UNION ALL SELECT 'coordinates in range, never null island', 0 UNION ALL SELECT 'every place has a name', 0
+  UNION ALL SELECT 'every place carries provenance', 0 UNION ALL SELECT 'scores are 0-100', 0 UNION ALL SELECT 'hole budget respected', 0
+  UNION ALL SELECT 'every printed place has a rank', 0 UNION ALL SELECT 'no two holes under the country''s spacing', 0
+  UNION ALL SELECT 'no country exceeds its quota', 0)"""))
+def _(v):
+    built = _built(v)
+    return gates.shape_checks(built.places, built.quotas).select("rule", "ok", "bad")
+
+
+# ------------------------------------------------------------------ signals and jobs
+def _layers(v) -> signals.Layers:
+    """Signal layers drawn from the candidate and asset views."""
+    forms = v.landform.groupBy("candidate_id").agg(F.collect_list("landform").alias("forms"))
+    land = v.cand.join(forms, "candidate_id").select(F.concat(F.lit("p"), "k").alias("source_id"), "lat", "lon", "forms")
+    point = v.asset.select(F.col("asset_id").alias("point_id"), "lat", "lon", "tier")
+    return signals.Layers(
+        landforms=land.where(F.col("lon") < 0), capitals=point.where(F.col("tier") == "whs_cultural"), volcanoes=point.where(F.col("tier") == "whs_natural"),
+        geothermal=point.where(F.col("tier") == "festival"), forests=point.where(F.col("tier") == "ramsar_geopark"),
+        protected=point.where(F.col("tier") == "wdpa_iucn_i_ii"),
+        harvest=point.where(F.col("tier") == "market").withColumn("kind", F.lit("A7")).withColumn("weight", F.lit(0.6)),
+        manual=v.cand.where(F.col("lat") > 30).select(F.col("candidate_id").alias("place_id"), F.lit("A12").alias("kind"), F.lit(0.6).alias("weight")))
+
+
+def _signal_places(v):
+    return candidates(v).withColumnRenamed("candidate_id", "place_id").withColumn("place_id", F.concat(F.lit("X-"), "place_id"))
+
+
+@query("apply_signals")
+def _(v):
+    out = signals.apply_signals(_signal_places(v), _layers(v))
+    return long_kinds(out, "place_id")
+
+
+@query("signal_stats")
+def _(v):
+    return signals.signal_stats(signals.apply_signals(_signal_places(v), _layers(v)))
+
+
+@query("signal_fill_preview")
+def _(v):
+    places = cut(_signal_places(v))
+    return signals.fill_preview(places, signals.apply_signals(places, _layers(v)))[0]
+
+
+@query("livability", sql("""SELECT country, CASE WHEN n IN (SELECT n FROM cand JOIN attr USING (candidate_id) WHERE source = 'osm' AND lat > 0) THEN 'scored' ELSE 'unscored' END AS livability FROM country""", "country", "cand", "attr"))
+def _(v):
+    countries = v.country.withColumn("iso2", F.substring("iso3", 2, 2))
+    reached = v.cand.join(v.attr.where(F.col("source") == "osm").select("candidate_id"), "candidate_id").where(F.col("lat") > 0).join(
+        countries.select("n", "iso2"), "n").select(F.lower("iso2").alias("iso"))
+    return signals.livability(countries, reached).select("country", "livability")
+
+
+@query("full_build")
+def _(v):
+    return _built(v).places.select("place_id", "name", "country", "lat", "lon", "score", F.array_join("archetypes", "/").alias("kinds"),
+                                   "whs", "on_printed_map", "printed_rank", "merged")
+
+
+@query("build_stats")
+def _(v):
+    return reports.selection_evidence(_built(v).stats)
+
+
+@query("repair_candidates")
+def _(v):
+    pins = v.pin.withColumn("sources", F.array("source")).withColumn("printed_rank", F.when(F.col("printed"), F.col("score") + 1))
+    vec = F.transform(kinds.codes(), lambda c: F.when(F.array_contains(kinds.decode(F.col("kmask")), c), 0.5).otherwise(0.0))
+    pop = v.cand.select(F.col("candidate_id").alias("place_id"), "population", "is_site")
+    places, moved, _ = jobs.repair_candidates(cut(pins.withColumn("kinds", vec).join(pop, "place_id")), v.country)
+    return places.join(moved.groupBy(F.col("new_id").alias("place_id")).count(), "place_id", "left").select(
+        "place_id", "iso3", "printed", "whs", "kmask", F.coalesce("count", F.lit(0)).alias("folded"))

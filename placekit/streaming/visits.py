@@ -25,30 +25,45 @@ def read_marks(spark, path: str, schema: str, files_per_batch: int | None = None
     return reader.parquet(path)
 
 
-def write_merged(marks: DataFrame, path: str, checkpoint: str):
-    """Merge each batch into a versioned table (T01, T03); replaying a batch rewrites its own version.
+def _combine(rows: DataFrame) -> DataFrame:
+    """Newest mark and newest note per (user, place). Applying it twice changes nothing."""
+    order, note = F.struct("marked_at", "side", "event_id"), F.struct("note_at", "note_side", "note_event")
+    last = rows.groupBy("user_id", "place_id").agg(
+        F.max_by(F.struct("visited", "marked_at", "side", "event_id"), order).alias("w"),
+        F.max_by(F.struct("note", "note_at", "note_side", "note_event"), F.when(F.col("note").isNotNull(), note)).alias("n"))
+    return last.select("user_id", "place_id", "w.*", "n.*")
 
-    Batch ``n`` reads version ``n - 1`` and writes version ``n``, so a batch that runs twice
-    produces the same rows. Within a batch marks are combined before they meet the table.
+
+def _parts(spark, path: str, batch: int, every: int) -> DataFrame:
+    """The last compacted table at or before ``batch`` and the deltas after it."""
+    base = (batch + 1) // every * every - 1
+    names = ([f"{path}/base/{base}"] if base >= 0 else []) + [f"{path}/delta/{n}" for n in range(base + 1, batch + 1)]
+    return spark.read.parquet(*names)
+
+
+def write_merged(marks: DataFrame, path: str, checkpoint: str, compact_every: int = 16):
+    """Last write wins as a stream.
+
+    A batch writes only its own combined delta, under its own number, so a replayed batch
+    rewrites the same rows; every ``compact_every`` batches the deltas are folded into a new
+    base. Work per batch follows the batch, not the table.
     """
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.select("user_id", "place_id", "visited", "marked_at", "side", "event_id", "note", F.col("marked_at").alias("note_at"),
-                           F.col("side").alias("note_side"), F.col("event_id").alias("note_event"))
-        rows = new
-        if number > 0:
-            rows = batch.sparkSession.read.parquet(f"{path}/{number - 1}").unionByName(new)
-        order, note = F.struct("marked_at", "side", "event_id"), F.struct("note_at", "note_side", "note_event")
-        said = F.when(F.col("note").isNotNull(), note)
-        last = rows.groupBy("user_id", "place_id").agg(
-            F.max_by(F.struct("visited", "marked_at", "side", "event_id"), order).alias("w"),
-            F.max_by(F.struct("note", "note_at", "note_side", "note_event"), said).alias("n"))
-        last.select("user_id", "place_id", "w.*", "n.*").write.mode("overwrite").parquet(f"{path}/{number}")
+                           F.col("side").alias("note_side"), F.col("event_id").alias("note_event")).where(F.col("place_id").isNotNull())
+        _combine(new).write.mode("overwrite").parquet(f"{path}/delta/{number}")
+        if (number + 1) % compact_every == 0:
+            spark = batch.sparkSession
+            start = number - compact_every
+            names = ([f"{path}/base/{start}"] if start >= 0 else []) + [f"{path}/delta/{n}" for n in range(start + 1, number + 1)]
+            _combine(spark.read.parquet(*names)).write.mode("overwrite").parquet(f"{path}/base/{number}")
 
     return marks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def merged_table(spark, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/{version}").select("user_id", "place_id", "visited", "marked_at", "note")
+def merged_table(spark, path: str, batch: int, compact_every: int = 16) -> DataFrame:
+    """The merged record as of a batch."""
+    return _combine(_parts(spark, path, batch, compact_every)).select("user_id", "place_id", "visited", "marked_at", "note")
 
 
 def _new_kinds(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
