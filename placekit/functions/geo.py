@@ -41,10 +41,11 @@ def xyz(lat: str, lon: str) -> tuple[str, str, str]:
 
 def cube_class(km) -> str:
     """Smallest power-of-two class whose cube edge is at least twice the radius, as SQL text."""
-    return f"greatest(-2, cast(ceil(log2(2.0D * {_num(km)})) as int))"
+    return f"greatest(-2, cast(ceil(log2(2.0D * {number(km)})) as int))"
 
 
-def _num(km) -> str:
+def number(km) -> str:
+    """A number or column as SQL text."""
     return f"{float(km)!r}D" if isinstance(km, (int, float)) else f"({km})"
 
 
@@ -61,19 +62,9 @@ def cube_at(lat: str, lon: str, cls) -> str:
     return cube_key(cls, *(f"floor({v} / pow(2.0D, {cls}))" for v in xyz(lat, lon)))
 
 
-def cubes_within(lat: str, lon: str, km, cls) -> str:
-    """Array of cubes of class ``cls`` that a ball of ``km`` around a point can touch.
-
-    A cube edge is at least the ball's diameter, so each axis meets one or two slabs.
-    """
-    ends = [(f"floor(({v} - {_num(km)}) / pow(2.0D, {cls}))", f"floor(({v} + {_num(km)}) / pow(2.0D, {cls}))") for v in xyz(lat, lon)]
-    keys = [cube_key(cls, x, y, z) for x in ends[0] for y in ends[1] for z in ends[2]]
-    return f"array_distinct(array({', '.join(keys)}))"
-
-
 def chord(km) -> str:
     """Chord length of an arc."""
-    return f"({2 * EARTH_KM}D * sin(least({_num(km)} / {2 * EARTH_KM}D, 1.5707963267948966D)))"
+    return f"({2 * EARTH_KM}D * sin(least({number(km)} / {2 * EARTH_KM}D, 1.5707963267948966D)))"
 
 
 def tick(km: Column) -> Column:

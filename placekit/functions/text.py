@@ -239,11 +239,18 @@ def when_to_go(months: Column) -> Column:
 
 
 def months_in_range(start: Column, end: Column) -> Column:
-    """Months an inclusive date range touches, stepping at most 24 months."""
+    """Months an inclusive date range touches, walked a month at a time for at most 24 steps.
+
+    A day the next month lacks runs over into the month after, as calendar arithmetic does.
+    """
     a, b = F.least(start, F.coalesce(end, start)), F.greatest(start, F.coalesce(end, start))
-    steps = F.least(F.floor(F.months_between(b, a)).cast("int"), F.lit(23))
-    walk = F.transform(F.sequence(F.lit(0), steps), lambda i: F.month(F.add_months(a, i)))
-    return F.when(start.isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(walk))
+
+    def onward(d: Column) -> Column:
+        return F.date_add(F.add_months(F.trunc(d, "MM"), 1), F.dayofmonth(d) - 1)
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(23)), F.array(a), lambda acc, _: F.concat(acc, F.array(onward(F.element_at(acc, -1)))))
+    seen = F.transform(F.filter(walk, lambda d: d <= b), lambda d: F.month(d))
+    return F.when(start.isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(seen))
 
 
 def parse_point(wkt: Column) -> tuple[Column, Column]:

@@ -79,7 +79,7 @@ def fold(rows: DataFrame, on: list[str], rule: str, limit: int) -> DataFrame:
         hit = host >= 0
         return pd.DataFrame({"guest_id": ids[hit], "host_id": ids[host[hit]], "km": km[hit]})
 
-    groups = small.groupBy(*on) if on else small.groupBy(F.lit(0))
+    groups = small.groupBy(*on) if on else small.withColumn("_one", F.lit(0)).groupBy("_one")
     out = groups.applyInPandas(local, FOLDS)
     if large is not None:
         out = out.unionByName(fold_rounds(large, on, rule))

@@ -160,9 +160,9 @@ def rasterise(edge_rows: DataFrame, q: float) -> DataFrame:
     x = F.col("x0") + (yc - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
     # the crossings of one polygon on one row of cells
     row = rows.withColumn("_x", x).groupBy("poly_id", "grp", "gy").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
-    spans = F.transform(F.sequence(F.lit(0), F.size("_xs") / 2 - 1), lambda i: F.struct(
-        F.ceil(F.get("_xs", (2 * i).cast("int")) / q - 0.5).alias("a"),
-        (F.ceil(F.get("_xs", (2 * i + 1).cast("int")) / q - 0.5) - 1).alias("b")))
+    spans = F.transform(F.expr("sequence(0, cast(size(_xs) div 2 as int) - 1)"), lambda i: F.struct(
+        F.ceil(F.get("_xs", 2 * i) / q - 0.5).alias("a"),
+        (F.ceil(F.get("_xs", 2 * i + 1) / q - 0.5) - 1).alias("b")))
     spans = F.filter(spans, lambda s: s["a"] <= s["b"])
     return (row.where(F.size("_xs") >= 2).withColumn("_s", F.explode(spans))
             .select(F.col("poly_id").alias("owner"), "grp", "gy", F.explode(F.sequence(F.col("_s.a"), F.col("_s.b"))).alias("gx")))

@@ -65,9 +65,22 @@ def radius_join(left: DataFrame, right: DataFrame, km, on: list[str] | None = No
     return _cube_join(left, r, km, on, hottest_cube(r, on) > hot_rows, hot_rows)
 
 
+def _probe(left: DataFrame, km, cls) -> DataFrame:
+    """Left rows once per cube their ball can touch, with positions ``_lx, _ly, _lz``.
+
+    A cube edge is at least the ball's diameter, so each axis meets one or two slabs. The axes
+    are opened one by one, which keeps the generated code of every step small enough to compile.
+    """
+    out = left.withColumns({f"_l{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("lat", "lon"))})
+    edge, num = f"pow(2.0D, {cls})", geo.number(km)
+    for a in "xyz":
+        ends = f"array_distinct(array(floor((_l{a} - {num}) / {edge}), floor((_l{a} + {num}) / {edge})))"
+        out = out.withColumn(f"_i{a}", F.explode(F.expr(ends)))
+    return out.withColumn("_cube", F.expr(geo.cube_key(cls, "_ix", "_iy", "_iz"))).drop("_ix", "_iy", "_iz")
+
+
 def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, hot_rows: int) -> DataFrame:
-    l = left.withColumn("_km", _radius(km)).withColumn(
-        "_cube", F.explode(F.expr(geo.cubes_within("lat", "lon", km, geo.cube_class(km)))))
+    l = _probe(left.withColumn("_km", _radius(km)), km, geo.cube_class(km))
     keys = ["_cube", *on]
     if salted:
         hot = (r.groupBy(*keys).count().where(F.col("count") > hot_rows)
@@ -79,8 +92,7 @@ def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, h
             "_salt", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<bigint>"))).drop("_parts")
         keys = [*keys, "_salt"]
     # a chord test on ready coordinates settles most pairs before any trigonometry
-    l = l.withColumns({f"_l{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("lat", "lon"))} | {
-        "_chord2": F.expr(f"pow({geo.chord(km)}, 2) * {1 + 1e-9!r}D + 1e-6D")})
+    l = l.withColumn("_chord2", F.expr(f"pow({geo.chord(km)}, 2) * {1 + 1e-9!r}D + 1e-6D"))
     r = r.withColumns({f"_r{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("r_lat", "r_lon"))})
     gap2 = " + ".join(f"(_l{a} - _r{a}) * (_l{a} - _r{a})" for a in "xyz")
     near = l.join(r, keys).where(f"{gap2} <= _chord2")
@@ -142,13 +154,12 @@ def _pyramid(left: DataFrame, pts: DataFrame, k: int, left_id: str, on: list[str
     """
     pts = cut(pts.withColumns({f"_{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("r_lat", "r_lon"))}))
     # chord tests get a hair of slack; the final haversine test is the exact one
-    front = left.withColumns({f"_q{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("lat", "lon"))} | {
-        "_reach": F.expr(f"{geo.chord('_r')} * {1 + 1e-9!r}D + 1e-6D")})
     top = left.agg(F.max(F.expr(geo.cube_class("_r"))).alias("c")).first()["c"]
     if top is None:
         return left.join(pts, on or F.lit(False)).withColumn("km", F.lit(0.0)).limit(0)
     level = int(top)
-    front = front.withColumn("_cube", F.explode(F.expr(geo.cubes_within("lat", "lon", "_r", level))))
+    front = _probe(left, "_r", level).withColumn("_reach", F.expr(f"{geo.chord('_r')} * {1 + 1e-9!r}D + 1e-6D"))
+    front = front.withColumnsRenamed({f"_l{a}": f"_q{a}" for a in "xyz"})
     while True:
         edge = float(2.0 ** level)
         boxes = (pts.withColumn("_cube", F.expr(geo.cube_at("r_lat", "r_lon", level)))

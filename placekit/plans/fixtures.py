@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placekit.plans.session import spread
+
 TABLES = ("nation", "customer", "supplier", "orders", "events")
 
 VIEWS: dict[str, str] = {}
@@ -121,7 +123,9 @@ class Views:
     def table(self, name: str) -> DataFrame:
         key = f"table {name}"
         if key not in self._made:
-            self._made[key] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            # every place view is computed from these, so they should use every core
+            self._made[key] = spread(df) if name in ("customer", "orders", "events") else df
         return self._made[key]
 
     def __getattr__(self, name: str) -> DataFrame:

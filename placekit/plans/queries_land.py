@@ -81,7 +81,7 @@ def _(v):
     return out.select("owner", "n_cells", "deg2", "perimeter", r6("extent_km").alias("extent_km"))
 
 
-@query("region_coverage_gap", with_cells("""SELECT grp, count(*) AS cells, round(count(*) FILTER (owner LIKE '%-R0%' AND right(owner, 1) = '7' AND gx % 4 = 1 AND gy % 4 IN (1, 2)) / count(*) + 1e-9, 6) AS gap FROM (
+@query("region_coverage_gap", with_cells("""SELECT grp, count(*) AS cells, round(count(*) FILTER (owner LIKE '%-R0%' AND right(owner, 1) = '7' AND ((gx % 4) + 4) % 4 = 1 AND ((gy % 4) + 4) % 4 IN (1, 2)) / count(*) + 1e-9, 6) AS gap FROM (
   SELECT DISTINCT ON (grp, gy, gx) * FROM cells) GROUP BY ALL"""))
 def _(v):
     cells = _cells(v)

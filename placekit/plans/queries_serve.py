@@ -268,10 +268,14 @@ def _(v):
                        text.travel_effort(F.col("reach")).alias("effort"))
 
 
-@query("months_of_trip", sql("""SELECT o_orderkey AS trip, array_to_string(list_distinct_ordered, ',') AS months FROM (
-  SELECT o_orderkey, list_transform(range(0, least(date_diff('month', a, b) - CASE WHEN day(b) < day(a) AND b <> last_day(b) THEN 1 ELSE 0 END, 11) + 1),
-    lambda i: month(a + to_months(i::INT))) AS list_distinct_ordered
-  FROM (SELECT o_orderkey, o_orderdate::DATE AS a, (o_orderdate::DATE + (o_orderkey % 300)::INT) AS b FROM orders))"""))
+@query("months_of_trip", sql("""SELECT trip, string_agg(m, ',' ORDER BY i) AS months FROM (
+  SELECT trip, month(d) AS m, min(i) AS i FROM (
+    SELECT trip, b, i, CASE WHEN k IS NULL OR i < k THEN ms + to_months(i::INT) + to_days((day(a) - 1)::INT)
+      ELSE date_trunc('month', over) + to_months((i - k)::INT) + to_days((day(over) - 1)::INT) END AS d FROM (
+      SELECT *, ms + to_months(k::INT) + to_days((day(a) - 1)::INT) AS over, unnest(range(0, 24)) AS i FROM (
+        SELECT *, list_filter(range(1, 13), lambda j: day(a) > day(last_day((ms + to_months(j::INT))::DATE)))[1] AS k FROM (
+          SELECT o_orderkey AS trip, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 300)::INT AS b, date_trunc('month', o_orderdate::DATE) AS ms FROM orders))))
+  WHERE d <= b GROUP BY ALL) GROUP BY ALL"""))
 def _(v):
     a = F.col("o_orderdate").cast("date")
     b = F.date_add(a, (F.col("o_orderkey") % 300).cast("int"))

@@ -17,6 +17,8 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # distance joins do much work on few bytes: do not squeeze them into one task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # top-k per group keeps only k rows per map task before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
@@ -53,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that reads as fewer splits than there are cores a split per core.
+
+    Tables of any size that matters already have more splits than that and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return len(df.select(F.lit(1)).take(1)) == 0
 
