@@ -59,7 +59,9 @@ def attached(v: Views) -> DataFrame:
     """Candidates with their point and area assets and derived kinds."""
     cands = cut(candidates(v))
     point, area = assets.split_point_and_area(cut(asset_rows(v)))
-    return classify.derive(assets.attach(cands, assets.assign(cands, point), assets.fan_out(cands, area)))
+    held = assets.attach(cands, assets.assign(cands, point), assets.fan_out(cands, area))
+    # scoring reads this several times (per country, then per candidate)
+    return cut(classify.derive(held))
 
 
 def long_tiers(cands: DataFrame) -> DataFrame:
@@ -75,21 +77,21 @@ def long_kinds(df: DataFrame, key: str = "candidate_id", col: str = "kinds") ->
 # ------------------------------------------------------------------ assignment
 @query("nearest_asset_assignment", sql("SELECT asset_id, tier, candidate_id, km FROM near", "near"))
 def _(v):
-    point, _ = assets.split_point_and_area(v.asset)
-    return assets.assign(v.cand, point).select("asset_id", "tier", "candidate_id", "km")
+    point, _ = assets.split_point_and_area(cut(v.asset))
+    return assets.assign(cut(v.cand), point).select("asset_id", "tier", "candidate_id", "km")
 
 
 @query("orphan_assets", sql("""SELECT asset_id, tier FROM asset WHERE radius_km = 0
   AND asset_id NOT IN (SELECT asset_id FROM near)""", "asset", "near"))
 def _(v):
-    point, _ = assets.split_point_and_area(v.asset)
-    return assets.orphans(point, assets.assign(v.cand, point)).select("asset_id", "tier")
+    point, _ = assets.split_point_and_area(cut(v.asset))
+    return assets.orphans(point, assets.assign(cut(v.cand), point)).select("asset_id", "tier")
 
 
 @query("area_fanout", sql("SELECT asset_id, candidate_id, km, nth::INT AS nth FROM fan", "fan"))
 def _(v):
-    _, area = assets.split_point_and_area(v.asset)
-    return assets.fan_out(v.cand, area).select("asset_id", "candidate_id", "km", "nth")
+    _, area = assets.split_point_and_area(cut(v.asset))
+    return assets.fan_out(cut(v.cand), area).select("asset_id", "candidate_id", "km", "nth")
 
 
 @query("tier_counts", sql("SELECT candidate_id, tier, n FROM tn", "tn"))
@@ -101,8 +103,8 @@ def _(v):
   SELECT candidate_id, trunc(lat / (1.0 / 111.32)) AS gy, trunc(lon / (1.0 / 111.32)) AS gx, count(*) AS m
   FROM near JOIN tw USING (tier) WHERE pillar = 'H' GROUP BY ALL) GROUP BY ALL""", "near", "tw"))
 def _(v):
-    point, _ = assets.split_point_and_area(v.asset)
-    return assets.coherence(assets.assign(v.cand, point)).select("candidate_id", r6("coherence").alias("coherence"))
+    point, _ = assets.split_point_and_area(cut(v.asset))
+    return assets.coherence(assets.assign(cut(v.cand), point)).select("candidate_id", r6("coherence").alias("coherence"))
 
 
 @query("close_pairs", sql(f"""SELECT a.candidate_id AS id_a, b.candidate_id AS id_b, c.country, {km('a', 'b')} AS km
