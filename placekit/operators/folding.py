@@ -108,7 +108,8 @@ def _rounds_fixed(rows: DataFrame, on: list[str], rule: str) -> DataFrame:
     todo = rows.where("foldable")
     fixed = rows.where(~F.col("foldable"))
     if is_empty(fixed):
-        todo = todo.withColumn("_b", F.lit(None).cast(reach(todo, _as_hosts(todo, on)).schema["_b"].dataType))
+        kind = ", ".join(f"{c}: {'double' if c == 'km' else 'bigint'}" for c in order)
+        todo = todo.withColumn("_b", F.lit(None).cast(f"struct<{kind}, host_id: string>"))
     else:
         # the nearest fixed host is enough: later hosts only compete with it
         near = spatial.nearest(todo, _as_hosts(fixed, on), "radius", "id", "host_id", on)
