@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placekit.llm import jaccard, langid, tokens
+from placekit.llm import jaccard, langid, mixing, sharding, tokens
 from placekit.llm.common import read
 
 QUERIES: dict = {}
@@ -35,3 +35,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of each document."""
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).drop("_row")
+
+
+ORACLE["op2_source_mix"] = mixing.oracle()
+
+
+@query
+def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near-equal bytes over fixed virtual slots."""
+    return sharding.shard(read(spark, sf_dir, "documents"))
