@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placekit.llm import jaccard, langid, mixing, sharding, tokens
+from placekit.llm import html, jaccard, langid, mixing, sharding, tokens, warc
 from placekit.llm.common import read
 
 QUERIES: dict = {}
@@ -50,3 +50,15 @@ ORACLE["op2_source_mix"] = mixing.oracle()
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of near-equal bytes over fixed virtual slots."""
     return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back."""
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without what its site repeats."""
+    return html.extract(read(spark, sf_dir, "pages"))
