@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placekit.llm import html, jaccard, langid, mixing, sharding, tokens, warc
+from placekit.llm import ann, decontaminate, html, jaccard, langid, licenses, mixing, sharding, tokens, warc
 from placekit.llm.common import read
 
 QUERIES: dict = {}
@@ -62,3 +62,24 @@ def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, without what its site repeats."""
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each query found by multi-index hashing."""
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and the licences their order names, of every whole text."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_license_sentences"] = licenses.oracle()
+
+
+@query
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with its place."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
