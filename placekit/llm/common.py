@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -77,3 +77,29 @@ def concat_words(words_of: list[list], hashes: WordHashes) -> tuple[np.ndarray,
     np.cumsum([len(w) for w in words_of], out=starts[1:])
     flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words_of)), np.uint64, int(starts[-1]))
     return flat, starts
+
+
+BITMAP_BITS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may occur in ``keys``: all that do, and a few others.
+
+    A bitmap of hashes, 8 MB at any size of the data, is broadcast, so a join that keeps few rows shuffles few.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+    maps = keys.select(F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0
+    return marked.join(F.broadcast(maps), "_bucket").where(held).drop("_bucket", "_at", "_map")
+
+
+def keep_rows(docs: DataFrame, column: str, decide: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows, all columns, of which ``decide`` says so from ``column``; it gets a bounded batch of values at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column):
+            yield batch.filter(pa.array(decide(batch.column(column).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

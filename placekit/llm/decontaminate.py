@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekit.llm.common import WordHashes, concat_words, mix, slices
+from placekit.llm.common import WordHashes, concat_words, keep_rows, mix, slices
 
 SHINGLE = 5
 PERCENT = 80
@@ -230,11 +230,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> D
     for items in item_blocks(benchmark):
         index = spark.sparkContext.broadcast(BenchmarkIndex(items, radius))
 
-        @F.pandas_udf("boolean")
-        def clean(texts, index=index):
-            import pandas as pd
+        def clean(texts: list[str | None], index=index) -> list[bool]:
+            return [not f for f in index.value.search(texts, WordHashes())]
 
-            return pd.Series([not f for f in index.value.search([None if t is None else t for t in texts], WordHashes())], dtype=bool)
-
-        out = out.where(clean(F.col("text")))
+        out = keep_rows(out, "text", clean)
     return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placekit.llm.common import slices
+from placekit.llm.common import keep_rows, slices
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -238,14 +238,10 @@ def keep_known(docs: DataFrame, net: Network, min_score: float = 0.4) -> DataFra
     """The documents, all columns, whose text has a language the network knows with at least ``min_score``."""
     model = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
+    def known(texts: list[str | None]) -> list[bool]:
+        return [k != UNKNOWN and s >= min_score for k, s in zip(*model.value.predict(texts), strict=True)]
 
-        langs, scores = model.value.predict(list(texts))
-        return pd.Series([k != UNKNOWN and s >= min_score for k, s in zip(langs, scores, strict=True)], dtype=bool)
-
-    return docs.where(known(F.col("text")))
+    return keep_rows(docs, "text", known)
 
 
 def crc_mod4(doc_id) -> int:
