@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placekit.llm.common import WORD, cut, row_id
+from placekit.llm.common import WORD, cut, fresh, row_id
 from placekit.plans.session import number_rows
 
 WEIGHTS = (5, 2, 1)
@@ -58,7 +58,7 @@ def expected_copies(classes: DataFrame, most: int = MOST) -> DataFrame:
     down = W.partitionBy("source").orderBy(F.desc("weight"))
     before = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rest = F.sum(F.col("words") * F.col("weight")).over(down.rowsBetween(0, W.unboundedFollowing))
-    tried = classes.withColumn("k", (F.col("target") - most * before) / rest)
+    tried = classes.withColumn("k", F.try_divide(F.col("target") - most * before, rest))
     fit = F.max(F.when(F.col("k") * F.col("weight") <= most + EPS, F.struct("weight", "k"))).over(W.partitionBy("source"))["k"]
     copies = F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most))).otherwise(F.least(F.coalesce(fit, F.lit(0.0)) * F.col("weight"), F.lit(float(most))))
     made = tried.withColumn("copies", copies).withColumn("whole", F.floor(F.col("copies") + EPS))
@@ -128,9 +128,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: all columns of ``docs``, each document as often as it is taken."""
-    copies = mix_sources(docs, weights, most).where((F.col("copies") > 0) & (F.col("size") > 0)).select("_row", F.col("copies").alias("_copies"))
-    kept = row_id(docs).join(copies, "_row")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_row", "_copies", "_copy")
+    row, copies, copy = (fresh(docs, c) for c in ("_row", "_copies", "_copy"))
+    taken = mix_sources(docs, weights, most).where((F.col("copies") > 0) & (F.col("size") > 0)).select(F.col("_row").alias(row), F.col("copies").cast("int").alias(copies))
+    kept = row_id(docs, row).join(taken, row)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def oracle(weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> str:
