@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekit.llm.common import WordHashes, concat_words, cut, mix, row_id, slices
+from placekit.llm.common import WordHashes, concat_words, cut, fresh, may_be_in, mix, row_id, slices
 from placekit.operators.graph import components
 
 SHINGLE = 3
@@ -263,7 +263,7 @@ def find_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     # leaf 0 is a whole small tree; others are (size band, number) as one number
     leaf = F.when(F.col("leaves") == 0, F.lit(0)).otherwise((F.col("size_band") + 1) * (1 << 32) + F.pmod(F.xxhash64("name"), F.greatest("leaves", F.lit(1)))).cast("long")
     placed = points.join(packs.select("tree", "size_band", "leaves"), ["tree", "size_band"]).withColumn("leaf", leaf)
-    texts = row_id(docs.select("text")).join(placed.select("_row", "name", "n", "tree", "leaf", "leaves"), "_row")
+    texts = may_be_in(row_id(docs.select("text")), points, "_row").join(placed.select("_row", "name", "n", "tree", "leaf", "leaves"), "_row")
     members = cut(texts.select("tree", "leaf", "leaves", "n", "name", "text").mapInArrow(_elements, "tree long, leaf long, leaves long, n long, name long, elements binary"))
     large = members.where("leaves > 0")
     ranges = large.groupBy("tree", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -300,4 +300,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     lone = found.where("n_shingles = 0").select("_row")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     first = found.where("n_shingles > 0").groupBy("component_id").agg(best.alias("best")).select("best._row")
-    return row_id(docs).join(lone.unionByName(first), "_row", "left_semi").drop("_row")
+    row = fresh(docs, "_row")
+    return row_id(docs, row).join(lone.unionByName(first).withColumnRenamed("_row", row), row, "left_semi").select(*docs.columns)
