@@ -7,26 +7,19 @@ from pyspark.sql import functions as F
 
 from placekit.functions import text
 
-# Above this many ids the build number digests per-prefix digests instead of one joined text.
-ONE_DIGEST_IDS = 1_000_000
+PREFIX = 3  # hex digits: 4,096 groups of ids, digested on their own
 
 
-def build_number(ids: DataFrame, id_col: str = "place_id", limit: int = ONE_DIGEST_IDS) -> DataFrame:
+def build_number(ids: DataFrame, id_col: str = "place_id") -> DataFrame:
     """Twelve hex of a digest over the sorted ids (A20): one row, ``build``.
 
-    Up to ``limit`` ids the text digested is exactly the newline-joined sorted ids. Beyond it,
-    ids are digested per hash bucket in parallel and the bucket digests are digested in order.
+    The same at every size: ids are grouped by the first digits of their own digest, each group's sorted ids are
+    digested in parallel, and the groups' digests are digested in order. No group holds more than a few thousandths.
     """
-    size = len(ids.select(F.lit(1)).take(limit + 1))
-    if size <= limit:
-        joined = F.array_join(F.array_sort(F.collect_list(id_col)), "\n")
-        return ids.agg(F.substring(F.sha2(joined, 256), 1, 12).alias("build"))
-    from placekit.plans.session import cut
-
-    buckets = max(2, -(-ids.count() // (limit // 10 or 1)))
-    part = cut(ids.groupBy(F.pmod(F.xxhash64(id_col), F.lit(buckets)).alias("b")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(id_col)), "\n"), 256).alias("d")))
-    return build_number(part.select(F.concat_ws(":", F.col("b").cast("string"), "d").alias("d")), "d", max(limit, buckets))
+    part = ids.groupBy(F.substring(F.sha2(F.col(id_col), 256), 1, PREFIX).alias("p")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(id_col)), "\n"), 256).alias("d"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: F.concat_ws(":", x["p"], x["d"])), "\n")
+    return part.agg(F.substring(F.sha2(lines, 256), 1, 12).alias("build"))
 
 
 def bundle_counts(places: DataFrame, territories: DataFrame) -> DataFrame:

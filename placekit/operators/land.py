@@ -7,6 +7,7 @@ centre does. Areas, borders, unions and gaps of cells are joins and sums.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
@@ -214,13 +215,17 @@ def measures(cells: DataFrame, q: float) -> DataFrame:
 
 
 def parts(cells: DataFrame) -> DataFrame:
-    """Connected parts of each (owner, grp): cells with ``part`` (smallest cell id of the part)."""
+    """Connected parts of each (owner, grp): cells with ``part`` (smallest cell id of the part).
+
+    A cell may have several owners, in several groups: each is a node of its own.
+    """
     rows = cut(cells.withColumn("cid", cell_id()))
-    links = _neighbours(rows, rows.select("gy", "gx", "grp", F.struct("owner", "cid").alias("to")), "to")
-    links = links.where(F.col("owner") == F.col("n_to.owner")).select(F.col("cid").alias("a"), F.col("n_to.cid").alias("b"))
-    alone = rows.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    label = graph.components(links.unionByName(alone)).select(F.col("node").alias("cid"), F.col("label").alias("part"))
-    return rows.join(label, "cid").drop("cid")
+    node = F.struct("grp", "owner", "cid")
+    links = _neighbours(rows.withColumn("_a", node), rows.withColumn("_b", node), "_b")
+    links = links.where(F.col("owner") == F.col("n__b.owner")).select(F.col("_a").alias("a"), F.col("n__b").alias("b"))
+    alone = rows.select(node.alias("a"), node.alias("b"))
+    label = graph.components(links.unionByName(alone)).select("node.*", F.col("label.cid").alias("part"))
+    return rows.join(label, ["grp", "owner", "cid"]).drop("cid")
 
 
 def disjoint(cells: DataFrame, priority: list) -> DataFrame:
@@ -312,6 +317,23 @@ def regions(admin: DataFrame, land: DataFrame, iso3: DataFrame) -> DataFrame:
             .join(ids.select("grp", F.coalesce("unit", F.col("part").cast("string")).alias("_k"), "region_id"), ["grp", "_k"]).drop("_k"))
 
 
+def _nearest_cells(points: DataFrame, cells: DataFrame, q: float, key: str, own: str) -> DataFrame:
+    """For each point the ``own`` of the nearest cell of its grp: key, own, km.
+
+    The radius starts at a few cells and grows for the points that have found none, so a point meets few cells.
+    """
+    centre = cells.select("grp", F.struct(cell_id().alias("cid"), own).alias("cell"), ((F.col("gy") + 0.5) * q).alias("r_lat"), ((F.col("gx") + 0.5) * q).alias("r_lon"))
+    todo = cut(points.join(cells.select("grp").distinct(), "grp", "left_semi"))
+    out, km = None, 111.32 * q * 4
+    while not is_empty(todo):
+        near = cut(spatial.nearest(todo, centre, km, key, "cell", ["grp"]).select(key, F.col(f"cell.{own}").alias(own), "km"))
+        out = near if out is None else out.unionByName(near)
+        if km >= WORLD_KM:
+            break
+        todo, km = cut(todo.join(near.select(key), key, "left_anti")), min(km * 4, WORLD_KM)
+    return out if out is not None else points.select(key, F.lit(None).cast("string").alias(own), F.lit(0.0).alias("km")).limit(0)
+
+
 def place_in_cells(places: DataFrame, cells: DataFrame, q: float, id_col: str) -> DataFrame:
     """Owner cell of each place, else the nearest cell of its country: place_id, <id_col>."""
     y, x = cell_of_point(q)
@@ -319,28 +341,13 @@ def place_in_cells(places: DataFrame, cells: DataFrame, q: float, id_col: str) -
     own = cut(at.join(cells.select("grp", "gy", "gx", id_col), ["grp", "gy", "gx"], "left"))
     found = own.where(F.col(id_col).isNotNull()).groupBy("place_id").agg(F.min(id_col).alias(id_col))
     lost = own.where(F.col(id_col).isNull()).select("place_id", "grp", "lat", "lon")
-    if is_empty(lost):
-        return found
-    centre = cells.select(cell_id().cast("string").alias("cid"), "grp", id_col,
-                          ((F.col("gy") + 0.5) * q).alias("r_lat"), ((F.col("gx") + 0.5) * q).alias("r_lon"))
-    near = spatial.nearest(lost, centre, WORLD_KM, "place_id", "cid", ["grp"])
-    back = near.join(centre.select("cid", id_col), "cid").groupBy("place_id").agg(F.min(id_col).alias(id_col))
-    return found.unionByName(back)
+    return found.unionByName(_nearest_cells(lost, cells, q, "place_id", id_col).select("place_id", id_col))
 
 
 # ------------------------------------------------------------------ merging tiles
-MAX_UNITS = 20_000
 _MERGED = "grp string, unit string, tile string"
 
 
-def _bounded(units: DataFrame) -> DataFrame:
-    """Units of one country are a fixed tessellation; refuse a table that is not one."""
-    over = units.groupBy("grp").count().where(F.col("count") > MAX_UNITS).select("grp").take(1)
-    if over:
-        raise ValueError(f"{over[0]['grp']} has more than {MAX_UNITS} land units; merge a coarser level first")
-    return units
-
-
 def split_oversized(units: DataFrame, children: DataFrame) -> DataFrame:
     """Units holding more than six places give way to their children.
 
@@ -352,98 +359,108 @@ def split_oversized(units: DataFrame, children: DataFrame) -> DataFrame:
     return units.join(big, "unit", "left_anti").unionByName(kids, allowMissingColumns=True)
 
 
-def _links(pdf: pd.DataFrame) -> tuple[dict, dict]:
-    """Unit rows by id and neighbour lengths, from one country's unit and border rows together."""
-    units = {r.unit: r for r in pdf[pdf["b"].isna()].itertuples()}
-    near: dict[str, dict[str, float]] = {u: {} for u in units}
-    for r in pdf[pdf["b"].notna()].itertuples():
-        if r.unit in near and r.b in near:
-            near[r.unit][r.b] = near[r.b][r.unit] = float(r.shared)
-    return units, near
-
-
-def _merge_thin(pdf: pd.DataFrame) -> pd.DataFrame:
-    grp = pdf["grp"].iloc[0]
-    units, near = _links(pdf)
-    n = {u: int(r.n_places) for u, r in units.items()}
-    rim = {u: float(r.perimeter) for u, r in units.items()}
-    mask = {u: int(r.kmask) for u, r in units.items()}
-    members = {u: [u] for u in units}
-
-    def cost(a: str, b: str) -> float:
-        added = rim[a] + rim[b] - 2 * near[a][b] - max(rim[a], rim[b])
-        both, either = mask[a] & mask[b], mask[a] | mask[b]
-        alike = both.bit_count() / either.bit_count() if mask[a] and mask[b] else 0.0
-        return max(0.0, added) + 4.0 * (1.0 - alike)
-
-    while True:
-        thin = [u for u in n if 0 < n[u] < TILE_MIN_PLACES]
-        if not thin:
-            break
-        a = min(thin, key=lambda u: (n[u], u))
-        if not near[a]:
-            break
-        b = min(near[a], key=lambda u: (cost(a, u), u))
-        joined = min(a, b)
-        gone = b if joined == a else a
-        shared = near[a][b]
-        links = {}
-        for u in (set(near[a]) | set(near[b])) - {a, b}:
-            links[u] = near[a].get(u, 0.0) + near[b].get(u, 0.0)
-            near[u].pop(a, None)
-            near[u].pop(b, None)
-            near[u][joined] = links[u]
-        n[joined], rim[joined] = n[a] + n[b], rim[a] + rim[b] - 2 * shared
-        mask[joined], members[joined] = mask[a] | mask[b], members[a] + members[b]
-        near[joined] = links
-        for table in (n, rim, mask, members, near):
-            table.pop(gone)
-    return pd.DataFrame([(grp, u, t) for t, us in members.items() for u in us], columns=["grp", "unit", "tile"])
-
-
-def _merge_small(pdf: pd.DataFrame, least: float, cap: float) -> pd.DataFrame:
-    grp = pdf["grp"].iloc[0]
-    units, near = _links(pdf)
-    area = {u: float(r.deg2) for u, r in units.items()}
-    members = {u: [u] for u in units}
-    stuck: set[str] = set()
-    while True:
-        small = [u for u in area if area[u] < least and u not in stuck]
-        if not small or len(area) == 1:
-            break
-        a = min(small, key=lambda u: (area[u], u))
-        if not near[a]:
-            stuck.add(a)  # an island
-            continue
-        fits = [u for u in near[a] if area[u] + area[a] <= cap]
-        if fits:
-            b = max(fits, key=lambda u: (near[a][u], u))
-        else:
-            b = min(near[a], key=lambda u: (area[u], u))
-        area[b] += area.pop(a)
-        members[b] += members.pop(a)
-        for u, length in near.pop(a).items():
-            near[u].pop(a, None)
-            if u != b:
-                near[b][u] = near[u][b] = near[b].get(u, 0.0) + length
-        stuck.discard(b)
-    return pd.DataFrame([(grp, u, t) for t, us in members.items() for u in us], columns=["grp", "unit", "tile"])
-
-
-def _with_borders(units: DataFrame, border: DataFrame, cols: list[str]) -> DataFrame:
-    a = units.select("grp", "unit", *cols, F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("shared"))
-    b = border.select("grp", F.col("a").alias("unit"), "b", "shared")
-    return a.unionByName(b, allowMissingColumns=True)
+class _Mosaic:
+    """Tiles of one cluster with what they share, and what each was made of."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.grp = rows["grp"].iloc[0]
+        own = rows[rows["b"].isna()]
+        self.tile = {r["unit"]: r for r in own.to_dict("records")}
+        self.made_of = {u: [u] for u in self.tile}
+        self.beside: dict[str, dict[str, float]] = {u: {} for u in self.tile}
+        for a, b, shared in rows.loc[rows["b"].notna(), ["unit", "b", "shared"]].itertuples(index=False):
+            if a in self.tile and b in self.tile:
+                self.beside[a][b] = self.beside[b][a] = float(shared)
+
+    def absorb(self, keep: str, gone: str) -> None:
+        """``gone`` becomes part of ``keep``; borders with a third tile add up."""
+        self.made_of[keep] += self.made_of.pop(gone)
+        del self.tile[gone]
+        for other, shared in self.beside.pop(gone).items():
+            self.beside[other].pop(gone)
+            if other != keep:
+                total = self.beside[keep].get(other, 0.0) + shared
+                self.beside[keep][other] = self.beside[other][keep] = total
+
+    def settle(self, weight: str, small, partner) -> pd.DataFrame:
+        """Lightest first, join every small tile that touches another to its ``partner``, until none is left.
+
+        ``partner`` names the pair (kept, gone) and what the kept tile becomes. A tile alone is set aside.
+        """
+        heap = [(t[weight], u) for u, t in self.tile.items() if small(t[weight])]
+        heapq.heapify(heap)
+        while heap:
+            size, u = heapq.heappop(heap)
+            if u not in self.tile or self.tile[u][weight] != size or not self.beside[u]:
+                continue  # an older entry, or an island
+            keep, gone, becomes = partner(u)
+            self.absorb(keep, gone)
+            self.tile[keep].update(becomes)
+            if small(self.tile[keep][weight]):
+                heapq.heappush(heap, (self.tile[keep][weight], keep))
+        return pd.DataFrame([(self.grp, u, t) for t, us in self.made_of.items() for u in us], columns=["grp", "unit", "tile"])
+
+
+def _settle_thin(rows: pd.DataFrame) -> pd.DataFrame:
+    m = _Mosaic(rows)
+
+    def joined(a: str, b: str) -> float:
+        return m.tile[a]["perimeter"] + m.tile[b]["perimeter"] - 2 * m.beside[a][b]
+
+    def price(a: str, b: str) -> float:
+        x, y = int(m.tile[a]["kmask"]), int(m.tile[b]["kmask"])
+        common = (x & y).bit_count() / (x | y).bit_count() if x and y else 0.0
+        longer = joined(a, b) - max(m.tile[a]["perimeter"], m.tile[b]["perimeter"])
+        return max(0.0, longer) + 4.0 * (1.0 - common)
+
+    def partner(u: str):
+        _, v = min((price(u, v), v) for v in m.beside[u])
+        a, b = m.tile[u], m.tile[v]
+        return min(u, v), max(u, v), {"n_places": a["n_places"] + b["n_places"], "perimeter": joined(u, v), "kmask": int(a["kmask"]) | int(b["kmask"])}
+
+    return m.settle("n_places", lambda n: 0 < n < TILE_MIN_PLACES, partner)
+
+
+def _settle_small(rows: pd.DataFrame, least: float, most: float) -> pd.DataFrame:
+    m = _Mosaic(rows)
+
+    def partner(u: str):
+        size = m.tile[u]["deg2"]
+        # the longest border with a tile that stays within bounds; where none does, the smallest tile
+        ranked = [((1, shared, v), v) if m.tile[v]["deg2"] + size <= most else ((0, 0.0, ""), v) for v, shared in m.beside[u].items()]
+        v = max(ranked)[1] if max(ranked)[0][0] else min((m.tile[v]["deg2"], v) for v in m.beside[u])[1]
+        return v, u, {"deg2": m.tile[v]["deg2"] + size}
+
+    return m.settle("deg2", lambda a: a < least, partner)
+
+
+def _by_cluster(units: DataFrame, border: DataFrame, cols: list[str], active: Column, solve) -> DataFrame:
+    """Merge each cluster of active units and the units that touch them on its own: grp, unit, tile.
+
+    A merge looks at and changes only neighbours, and what it makes is active only if both parts were, so clusters
+    (connected by borders of which one side is active) never meet. Units in none stay as they are.
+    """
+    node = F.struct("grp", "unit")
+    flagged = cut(units.select("grp", "unit", *cols, active.alias("_active")))
+    side = flagged.select("grp", "unit", "_active")
+    near = border.select("grp", "a", "b", "shared")
+    near = near.join(side.select("grp", F.col("unit").alias("a"), F.col("_active").alias("_x")), ["grp", "a"])
+    near = cut(near.join(side.select("grp", F.col("unit").alias("b"), F.col("_active").alias("_y")), ["grp", "b"]).where("_x or _y"))
+    label = cut(graph.components(near.select(F.struct("grp", F.col("a").alias("unit")).alias("a"), F.struct("grp", F.col("b").alias("unit")).alias("b"))).select("node.*", F.col("label").alias("_cluster")))
+    rows = flagged.drop("_active").join(label, ["grp", "unit"]).withColumns({"b": F.lit(None).cast("string"), "shared": F.lit(0.0)})
+    sides = near.select("grp", F.col("a").alias("unit"), "b", "shared").join(label, ["grp", "unit"])
+    merged = rows.unionByName(sides, allowMissingColumns=True).groupBy("_cluster").applyInPandas(solve, _MERGED)
+    alone = flagged.select(node.alias("_n"), "grp", "unit").join(label.select(node.alias("_n")), "_n", "left_anti")
+    return merged.unionByName(alone.select("grp", "unit", F.col("unit").alias("tile")))
 
 
 def merge_undersized(units: DataFrame, border: DataFrame) -> DataFrame:
     """Merge units of one or two places with their cheapest neighbour (G09): grp, unit, tile.
 
     ``units``: grp, unit, n_places, perimeter, kmask. Cost is added outline plus four times the
-    share of kinds not held in common. A tile never crosses a border.
+    share of kinds not held in common. A tile never crosses a border; one without a neighbour stays.
     """
-    rows = _with_borders(_bounded(units), border, ["n_places", "perimeter", "kmask"])
-    return rows.groupBy("grp").applyInPandas(_merge_thin, _MERGED)
+    return _by_cluster(units, border, ["n_places", "perimeter", "kmask"], F.col("n_places") < TILE_MIN_PLACES, _settle_thin)
 
 
 def side_deg(width_mm: float) -> float:
@@ -454,8 +471,7 @@ def side_deg(width_mm: float) -> float:
 def merge_to_size(units: DataFrame, border: DataFrame, width_mm: float, cap_times: float = 3.0) -> DataFrame:
     """Merge the smallest tile into its longest-border neighbour until all can be cut (G10): grp, unit, tile."""
     least = side_deg(width_mm) ** 2
-    rows = _with_borders(_bounded(units), border, ["deg2"])
-    return rows.groupBy("grp").applyInPandas(lambda pdf: _merge_small(pdf, least, least * cap_times), _MERGED)
+    return _by_cluster(units, border, ["deg2"], F.col("deg2") < least, lambda rows: _settle_small(rows, least, least * cap_times))
 
 
 def nest_levels(cells: DataFrame, base: DataFrame, q: float, widths=LEVEL_WIDTHS) -> DataFrame:
@@ -503,14 +519,10 @@ def _nearest_owner(pieces: DataFrame, tiles: DataFrame, q: float) -> DataFrame:
     """Nearest tile of the same country for each piece: piece, owner."""
     touch = cut(_touching(pieces, tiles))
     far = pieces.join(touch, "piece", "left_anti").select(
-        "grp", "piece", cell_id().cast("string").alias("pid"), ((F.col("gy") + 0.5) * q).alias("lat"), ((F.col("gx") + 0.5) * q).alias("lon"))
-    if is_empty(far):
-        return touch
-    right = tiles.select("grp", "owner", cell_id().cast("string").alias("cid"), ((F.col("gy") + 0.5) * q).alias("r_lat"), ((F.col("gx") + 0.5) * q).alias("r_lon"))
-    near = spatial.nearest(far, right, WORLD_KM, "pid", "cid", ["grp"])
-    best = near.join(far.select("pid", "piece"), "pid").groupBy("piece").agg(F.min(F.struct("km", "cid")).alias("_b"))
-    return touch.unionByName(best.join(right.select(F.col("cid").alias("_cid"), "owner"), F.col("_b.cid") == F.col("_cid"))
-                             .groupBy("piece").agg(F.min("owner").alias("owner")))
+        "grp", "piece", F.struct("piece", cell_id().alias("cid")).alias("pid"), ((F.col("gy") + 0.5) * q).alias("lat"), ((F.col("gx") + 0.5) * q).alias("lon"))
+    near = _nearest_cells(far, tiles, q, "pid", "owner")
+    best = near.groupBy("pid.piece").agg(F.min(F.struct("km", "owner")).alias("_b"))
+    return touch.unionByName(best.select("piece", "_b.owner"))
 
 
 def grow_tiles(tiles: DataFrame, land: DataFrame, admin: DataFrame, q: float) -> DataFrame:

@@ -86,7 +86,8 @@ def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, h
         hot = (r.groupBy(*keys).count().where(F.col("count") > hot_rows)
                .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
         parts = F.coalesce(F.col("_parts"), F.lit(1))
-        spread = F.pmod(F.xxhash64("r_lat", "r_lon", F.monotonically_increasing_id()), parts)
+        # by the row's own values, so a retried task salts a row as before
+        spread = F.pmod(F.xxhash64(*[c for c, kind in r.dtypes if "map<" not in kind]), parts)
         r = r.join(hot, keys, "left").withColumn("_salt", spread).drop("_parts")
         l = l.join(hot, keys, "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), parts - 1).cast("array<bigint>"))).drop("_parts")

@@ -40,7 +40,7 @@ _CELLS = """cells AS (SELECT region_id AS owner, iso3 AS grp, gy.g AS gy, gx.g A
 
 
 def with_cells(final: str, *needs: str) -> str:
-    return sql("", *needs, "admin_rect").rstrip() + ",\n" + _CELLS + "\n" + final.strip()
+    return sql("", *needs, "admin_rect").rstrip() + ",\n" + _CELLS + ("" if final.strip().startswith(",") else "\n") + final.strip()
 
 
 @query("point_in_region", sql("""SELECT place_id, region_id FROM pin p JOIN admin_rect r ON r.iso3 = p.iso3 AND lat >= y0 AND lat < y1 AND lon >= x0 AND lon < x1""", "pin", "admin_rect"))
@@ -144,20 +144,27 @@ def _land_with_gap(v):
     return cells, cells.where(~F.col("owner").endswith("-R06"))
 
 
-@query("regions", sql("""SELECT region_id, iso3 AS grp, 16::BIGINT AS cells FROM admin_rect""", "admin_rect"))
+_REGION_IDS = """ids AS (SELECT iso3, region_id AS unit, iso3 || '-R' || lpad(CAST(row_number() OVER (PARTITION BY iso3 ORDER BY region_id LIKE '%-R06', region_id) AS VARCHAR), 2, '0') AS region_id FROM admin_rect)"""
+
+
+@query("regions", with_cells(f""", {_REGION_IDS}
+  SELECT ids.region_id, grp, gy, gx, CASE WHEN unit LIKE '%-R06' THEN NULL ELSE unit END AS unit FROM cells JOIN ids ON cells.owner = ids.unit"""))
 def _(v):
     cells, admin = _land_with_gap(v)
     iso3 = v.country.select(F.col("iso3").alias("grp"), "iso3")
-    out = land.regions(admin, cells, iso3)
-    return out.groupBy("region_id", "grp").agg(F.count(F.lit(1)).alias("cells"))
+    return land.regions(admin, cells, iso3).select("region_id", "grp", "gy", "gx", "unit")
 
 
-@query("place_regions", sql("""SELECT count(*) AS places, count(DISTINCT iso3) AS countries FROM pin""", "pin"))
+# a place off the land is nearest to the cell at the land's edge beside it
+@query("place_regions", with_cells(f""", {_REGION_IDS},
+  box AS (SELECT grp, min(gy) AS y0, max(gy) AS y1, min(gx) AS x0, max(gx) AS x1 FROM cells GROUP BY grp)
+  SELECT place_id, min(ids.region_id) AS region_id FROM pin p JOIN box b ON b.grp = p.iso3
+    JOIN cells c ON c.grp = p.iso3 AND c.gy = least(greatest(CAST(floor(lat * 4) AS BIGINT), y0), y1) AND c.gx = least(greatest(CAST(floor(lon * 4) AS BIGINT), x0), x1)
+    JOIN ids ON ids.unit = c.owner GROUP BY place_id""", "pin"))
 def _(v):
     cells, admin = _land_with_gap(v)
     regions = cut(land.regions(admin, cells, v.country.select(F.col("iso3").alias("grp"), "iso3")))
-    at = land.place_in_cells(v.pin.withColumn("grp", F.col("iso3")), regions, Q, "region_id")
-    return at.agg(F.count(F.lit(1)).alias("places"), F.count_distinct(F.substring("region_id", 1, 3)).alias("countries"))
+    return land.place_in_cells(v.pin.withColumn("grp", F.col("iso3")), regions, Q, "region_id")
 
 
 @query("grow_tiles", sql("""SELECT iso3 AS grp, count(*) * 16 AS cells FROM admin_rect GROUP BY ALL""", "admin_rect"))

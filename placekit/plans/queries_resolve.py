@@ -136,7 +136,8 @@ def _(v):
 
 
 # ------------------------------------------------------------------ identity and gates
-@query("build_number", sql("SELECT substr(sha256(string_agg(place_id, chr(10) ORDER BY place_id)), 1, 12) AS build FROM pin", "pin"))
+@query("build_number", sql("""SELECT substr(sha256(string_agg(p || ':' || d, chr(10) ORDER BY p)), 1, 12) AS build FROM (
+  SELECT substr(sha256(place_id), 1, 3) AS p, sha256(string_agg(place_id, chr(10) ORDER BY place_id)) AS d FROM pin GROUP BY 1)""", "pin"))
 def _(v):
     return identity.build_number(v.pin)
 

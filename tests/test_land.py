@@ -65,3 +65,83 @@ def test_disputed_labels_dissolve_and_places_keep_their_point(spark):
     p = spark.createDataFrame([("1", "Western Sahara", "ESH", 24.0), ("2", "Chile", "CHL", -30.0)], "place_id string, country string, iso3 string, lat double")
     got = {r.place_id: (r.country, r.iso3, r.disputed, r.lat) for r in land.flag_disputed(p).collect()}
     assert got == {"1": ("Morocco", "MAR", "ESH", 24.0), "2": ("Chile", "CHL", None, -30.0)}
+
+
+CELLS = "owner string, grp string, gy long, gx long"
+
+
+def test_parts_of_overlapping_owners_stay_apart(spark):
+    rows = [("A", "X", 0, 0), ("A", "X", 0, 2), *[("B", "X", 0, x) for x in range(3)], ("A", "Y", 0, 1)]
+    got = {}
+    for r in land.parts(spark.createDataFrame(rows, CELLS)).collect():
+        got.setdefault((r.owner, r.grp, r.part), set()).add(r.gx)
+    assert sorted((o, g, sorted(x)) for (o, g, _), x in got.items()) == [("A", "X", [0]), ("A", "X", [2]), ("A", "Y", [1]), ("B", "X", [0, 1, 2])]
+
+
+def test_nearest_cell_is_of_the_own_country(spark):
+    cells = spark.createDataFrame([("g1", "G", 0, 5), ("h1", "H", 0, 5), ("h0", "H", 0, 90)], CELLS)
+    places = spark.createDataFrame([("p", "H", 0.1, 0.1), ("q", "G", 0.1, 0.1), ("in", "H", 0.1, 1.3), ("none", "Z", 0.0, 0.0), ("far", "G", -60.0, 170.0)], "place_id string, grp string, lat double, lon double")
+    got = {r.place_id: r.owner for r in land.place_in_cells(places, cells, 0.25, "owner").collect()}
+    assert got == {"p": "h1", "q": "g1", "in": "h1", "far": "g1"}
+
+
+def test_grown_land_goes_to_the_nearest_tile_of_its_country(spark):
+    tiles = spark.createDataFrame([("g", "G", 0, 0), ("h", "H", 0, 9)], CELLS)
+    pieces = spark.createDataFrame([("x", "G", 0, 8, "pg"), ("x", "H", 0, 2, "ph"), ("x", "G", 0, 1, "touch")], CELLS + ", piece string")
+    assert {r.piece: r.owner for r in land._nearest_owner(pieces, tiles, 0.25).collect()} == {"pg": "g", "ph": "h", "touch": "g"}
+
+
+def _merge_by_hand(units, border, weight, small, pick, join):
+    """One merge at a time over the whole country, always the lightest small tile that touches another."""
+    tile = {u: dict(r) for u, r in units.items()}
+    of, near = {u: u for u in units}, {frozenset(k): v for k, v in border.items()}
+    while True:
+        todo = sorted((t[weight], u) for u, t in tile.items() if small(t[weight]) and any(u in k for k in near))
+        if not todo:
+            return of
+        u = todo[0][1]
+        beside = {next(iter(k - {u})): s for k, s in near.items() if u in k}
+        v = pick(tile, u, beside)
+        keep, gone, new = join(tile, u, v, beside[v])
+        tile[keep] |= new
+        del tile[gone]
+        of = {x: keep if t == gone else t for x, t in of.items()}
+        moved = {}
+        for k, s in near.items():
+            k = frozenset(keep if x == gone else x for x in k)
+            if len(k) == 2:
+                moved[k] = moved.get(k, 0.0) + s
+        near = moved
+
+
+def test_merges_equal_one_merge_at_a_time(spark):
+    import random
+
+    rng = random.Random(4)
+    units = {f"u{i:02d}": {"n_places": rng.choice([0, 0, 1, 1, 2, 4, 7]), "perimeter": rng.randrange(4, 40) / 4, "kmask": rng.randrange(0, 8), "deg2": rng.randrange(1, 64) / 16} for i in range(40)}
+    names = sorted(units)
+    border = {(names[i], names[j]): rng.randrange(1, 9) / 4 for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.06}
+    rows = spark.createDataFrame([("X", u, r["n_places"], r["perimeter"], r["kmask"], r["deg2"]) for u, r in units.items()], "grp string, unit string, n_places int, perimeter double, kmask int, deg2 double")
+    edge = spark.createDataFrame([("X", a, b, s) for (a, b), s in border.items()], "grp string, a string, b string, shared double")
+    least = land.side_deg(1400.0) ** 2
+
+    def longest(tile, u, beside):
+        fit = [(s, v) for v, s in beside.items() if tile[v]["deg2"] + tile[u]["deg2"] <= 3 * least]
+        return max(fit)[1] if fit else min((tile[v]["deg2"], v) for v in beside)[1]
+
+    want = _merge_by_hand(units, border, "deg2", lambda a: a < least, longest, lambda t, u, v, s: (v, u, {"deg2": t[u]["deg2"] + t[v]["deg2"]}))
+    assert {r.unit: r.tile for r in land.merge_to_size(rows, edge, 1400.0).collect()} == want
+
+    def cheapest(tile, u, beside):
+        def cost(v):
+            a, b = tile[u], tile[v]
+            x, y = a["kmask"], b["kmask"]
+            alike = bin(x & y).count("1") / bin(x | y).count("1") if x and y else 0.0
+            return max(0.0, a["perimeter"] + b["perimeter"] - 2 * beside[v] - max(a["perimeter"], b["perimeter"])) + 4.0 * (1.0 - alike)
+        return min((cost(v), v) for v in beside)[1]
+
+    def smaller_name(t, u, v, s):
+        return min(u, v), max(u, v), {"n_places": t[u]["n_places"] + t[v]["n_places"], "perimeter": t[u]["perimeter"] + t[v]["perimeter"] - 2 * s, "kmask": t[u]["kmask"] | t[v]["kmask"]}
+
+    want = _merge_by_hand(units, border, "n_places", lambda n: 0 < n < 3, cheapest, smaller_name)
+    assert {r.unit: r.tile for r in land.merge_undersized(rows, edge).collect()} == want
