@@ -61,19 +61,15 @@ def dissolve_resolution(places: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def polygon_naming(towns: DataFrame, regions: DataFrame) -> DataFrame:
-    """A region named for a town must hold its namesake: towns whose namesake region is another one fail (Q04).
+    """The region a town lies in must bear the town's name or a known respelling of it (Q04).
 
-    ``towns``: name, region_id, iso3. ``regions``: region_id, iso3, name.
+    ``towns``: name, region_id, iso3 of the towns the rule is for. ``regions``: region_id, iso3, name. A town whose
+    region is missing fails.
     """
-    r = regions.select("region_id", "iso3", text.fold_words("name").alias("_rf"), text.fold_words(text.head_word(F.col("name"))).alias("_head"))
-    t = towns.select("region_id", "iso3", "name", text.fold_words("name").alias("_tf"))
-    alias = F.coalesce(text.lookup(text.NAMESAKES, F.col("_tf")), F.col("_tf"))
-    head = F.coalesce(text.lookup(text.NAMESAKES, F.col("_head")), F.col("_head"))
-    # a region's own name word decides which towns it claims: an equi-join, not a text search
-    claim = t.withColumn("_key", alias).join(r.select("iso3", F.col("region_id").alias("named_region"), head.alias("_key")), ["iso3", "_key"])
-    own = claim.where(F.col("region_id") == F.col("named_region")).select("iso3", "_key").distinct()
-    wrong = claim.join(own, ["iso3", "_key"], "left_anti")
-    return _rule("polygon_naming", "a region named for a town holds it", wrong, F.concat_ws(" not in ", "name", "named_region"))
+    r = regions.select("iso3", "region_id", F.col("name").alias("region_name"), text.fold_words("name").alias("_region"), text.fold_words(text.head_word(F.col("name"))).alias("_head"))
+    t = towns.select("iso3", "region_id", "name", text.fold_words("name").alias("_town")).join(r, ["iso3", "region_id"], "left")
+    wrong = t.where(~F.coalesce(text.namesake_in(F.col("_region"), F.col("_town"), F.col("_head")), F.lit(False)))
+    return _rule("polygon_naming", "a town's region bears its name", wrong, F.concat_ws(" in ", "name", F.coalesce("region_name", F.lit("no region"))))
 
 
 def id_stability(places: DataFrame, previous: DataFrame, mapping: DataFrame) -> DataFrame:

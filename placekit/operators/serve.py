@@ -289,27 +289,33 @@ def cuttable(min_deg: Column, max_deg: Column, width_mm: Column) -> Column:
 
 def tile_size_report(tiles: DataFrame, width_mm: float, by: list[str] | None = None) -> DataFrame:
     """Pieces too small to cut at a width, places on them, and a width that cuts most."""
-    by = by or []
     w = F.lit(float(width_mm))
-    small = ~cuttable(F.col("min_deg"), F.col("max_deg"), w)
-    out = tiles.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("tiles"), F.count(F.when(small, 1)).alias("too_small"),
-        F.sum(F.when(small, F.col("places")).otherwise(0)).alias("places_lost"),
-        # tiles are a fixed tessellation of land, not data that grows
-        F.sort_array(F.collect_list(F.when(small, F.col("max_deg"))), False).alias("_sides"))
-    pick = F.coalesce(F.get("_sides", F.floor(F.size("_sides") * 0.35).cast("int")), F.lit(0.0))
-    want = F.when(pick > 0, F.ceil((CUT_MM / pick) * 360.0 / 100.0) * 100).otherwise(w)
-    return out.withColumn("suggest_width_mm", F.greatest(w, want.cast("double"))).drop("_sides")
+    group = by or ["_all"]
+    rows = (tiles if by else tiles.withColumn("_all", F.lit(0))).withColumn("_small", ~cuttable(F.col("min_deg"), F.col("max_deg"), w))
+    out = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("tiles"), F.count(F.when(F.col("_small"), 1)).alias("too_small"),
+        F.sum(F.when(F.col("_small"), F.col("places")).otherwise(0)).alias("places_lost"))
+    # sides are counted first, so only distinct ones are ordered
+    sides = rows.where("_small").groupBy(*group, F.col("max_deg").alias("_side")).agg(F.count(F.lit(1)).alias("_n"))
+    down = W.partitionBy(*group).orderBy(F.desc("_side"))
+    upto, n = F.sum("_n").over(down.rowsBetween(W.unboundedPreceding, W.currentRow)), F.sum("_n").over(W.partitionBy(*group))
+    at = sides.withColumns({"_upto": upto, "_at": F.floor(n * 0.35)}).where((F.col("_at") < F.col("_upto")) & (F.col("_at") >= F.col("_upto") - F.col("_n")))
+    want = F.when(F.col("_side") > 0, F.ceil((CUT_MM / F.col("_side")) * 360.0 / 100.0) * 100).otherwise(w)
+    return (out.join(at.select(*group, "_side"), group, "left")
+            .withColumn("suggest_width_mm", F.greatest(w, want.cast("double"))).drop("_side", "_all"))
 
 
 def level_for_width(levels: DataFrame, requests: DataFrame) -> DataFrame:
-    """Finest level that is still cuttable at each width, else the coarsest."""
-    usable = levels.where(F.col("for_map_mm").isNotNull())
-    floor = usable.agg(F.min("for_map_mm").alias("_min"))  # one row
-    sized = requests.join(F.broadcast(floor)).withColumn("_w", F.greatest(F.col("width_mm"), F.col("_min")))
-    fits = sized.join(F.broadcast(usable.select("level", "for_map_mm")), F.col("for_map_mm") <= F.col("_w"))
-    best = fits.groupBy("request_id").agg(F.max_by("level", "for_map_mm").alias("level"))
-    return requests.join(best, "request_id", "left").withColumn("level", F.coalesce("level", F.lit("L0")))
+    """Finest level that is still cuttable at each width, else the coarsest.
+
+    ``levels`` is the handful of widths a bundle was cut at; they become part of the expression.
+    """
+    usable = [(r["for_map_mm"], r["level"]) for r in levels.where(F.col("for_map_mm").isNotNull()).orderBy("for_map_mm", "level").limit(1_000).collect()]
+    level = F.lit(usable[0][1] if usable else "L0")
+    for mm, name in usable[1:]:
+        level = F.when(F.col("width_mm") >= mm, F.lit(name)).otherwise(level)
+    # a later, wider level is tested first: the last one wrapped is the outermost
+    return requests.withColumn("level", F.when(F.col("width_mm").isNull(), F.lit("L0")).otherwise(level))
 
 
 def poster_suggestion(scope: str, count: int) -> dict[str, int]:

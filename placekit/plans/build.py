@@ -205,28 +205,37 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def publish(spark: SparkSession, bundle: dict[str, DataFrame], live: str, checks) -> DataFrame:
     """All or nothing (K13): write a new version, gate it as written, then point the live name at it.
 
-    ``checks`` maps a bundle to a gate table (gate, ok, detail). A failed gate leaves the live
-    pointer as it was. Returns the gate table.
+    ``checks`` maps a bundle to a gate table (gate, ok, detail), which is stored with the version either way. A failed
+    gate leaves the live pointer as it was. A pointer is one new file; none is ever rewritten, so a crash at any point
+    leaves the version before. Returns the gate table.
     """
     version = f"{live}/versions/{uuid.uuid4().hex}"
     write_bundle(bundle, version)
     result = cut(checks(read_bundle(spark, version)))
+    sinks.write_table(result, f"{version}/gates")
     if result.where(~F.col("ok")).take(1):
         return result
-    sinks.write_table(result, f"{version}/gates")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{live}/current")
+    number = (_pointers(spark, live).agg(F.max("number")).first()[0] or 0) + 1
+    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").json(f"{live}/current")
     return result
 
 
-def live_version(spark: SparkSession, live: str) -> str | None:
-    """Folder of the live version, or None when nothing was published."""
+_POINTER = "number long, version string"
+
+
+def _pointers(spark: SparkSession, live: str) -> DataFrame:
+    """Every version that has been live, numbered in order."""
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.schema("version string").json(f"{live}/current").first()
+        return spark.read.schema(_POINTER).json(f"{live}/current")
     except AnalysisException:
-        return None
-    return row["version"] if row else None
+        return spark.createDataFrame([], _POINTER)
+
+
+def live_version(spark: SparkSession, live: str) -> str | None:
+    """Folder of the live version, or None when nothing was published."""
+    return _pointers(spark, live).agg(F.max_by("version", "number")).first()[0]
 
 
 def publish_from_tables(places: DataFrame, tile_edges: DataFrame, territories: DataFrame) -> dict[str, DataFrame]:

@@ -77,25 +77,25 @@ def _(v):
 
 
 @query("sorted_by_distance", sql(f"""SELECT place_id, km FROM (SELECT pin.place_id, {km('o', 'pin', '6371.0')} AS km
-  FROM pin, (SELECT 10.0::DOUBLE AS lat, -20.0::DOUBLE AS lon) o) ORDER BY km, place_id LIMIT 50""", "pin"))
+  FROM pin, (SELECT 10.0::DOUBLE AS lat, -20.0::DOUBLE AS lon) o)""", "pin"))
 def _(v):
-    return serve.sort_pins(v.pin, "distance", origin=(10.0, -20.0)).select("place_id", "km").limit(50)
+    return serve.sort_pins(v.pin, "distance", origin=(10.0, -20.0)).select("place_id", "km")
 
 
-@query("sorted_world", sql("""SELECT place_id, country, score, row_number() OVER (ORDER BY country, score DESC, place_id) AS nth FROM pin QUALIFY nth <= 100""", "pin"))
+@query("sorted_world", sql("""SELECT place_id, country, score, row_number() OVER (ORDER BY country, score DESC, place_id) AS nth FROM pin""", "pin"))
 def _(v):
     from placekit.plans.session import number_rows
 
     ranked = number_rows(v.pin, [F.col("country"), F.col("score").desc(), F.col("place_id")], "nth")
-    return ranked.where(F.col("nth") <= 100).select("place_id", "country", "score", "nth")
+    return ranked.select("place_id", "country", "score", "nth")
 
 
-@query("recent_marks", with_lww("""SELECT place_id, marked_at::VARCHAR AS marked_at FROM lww WHERE user_id = 7 AND visited ORDER BY marked_at DESC, place_id LIMIT 20""", "pin"))
+@query("recent_marks", with_lww("""SELECT place_id, marked_at::VARCHAR AS marked_at FROM lww WHERE user_id = 7 AND visited""", "pin"))
 def _(v):
     from placekit.operators.records import merge_visits
 
     rows = merge_visits(v.visit.where(F.col("user_id") == 7), tie="event_id").where("visited")
-    return serve.sort_pins(rows, "recent").limit(20).select("place_id", F.col("marked_at").cast("string").alias("marked_at"))
+    return serve.sort_pins(rows, "recent").select("place_id", F.col("marked_at").cast("string").alias("marked_at"))
 
 
 @query("country_top_places", sql("""SELECT country, place_id, nth::INT AS nth FROM (

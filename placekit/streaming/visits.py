@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +71,7 @@ def _new_kinds(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
     seen = state.get[0] if state.exists else 0
     before = seen
     for pdf in batches:
-        for mask in pdf.loc[pdf["visited"].astype(bool), "kmask"]:
-            seen |= int(mask)
+        seen |= int(np.bitwise_or.reduce(pdf.loc[pdf["visited"].astype(bool), "kmask"].to_numpy(np.int64), initial=0))
     state.update((seen,))
     fresh = seen & ~before
     kinds = [c for i, c in enumerate(KIND_CODES) if fresh >> i & 1]

@@ -135,3 +135,14 @@ def test_a_failed_publish_leaves_the_live_version(spark, tmp_path):
     first = jobs.live_version(spark, live)
     assert gates.failed(jobs.publish(spark, one, live, verdict(False))) == ["kind_audit"]
     assert jobs.live_version(spark, live) == first and first
+    jobs.publish(spark, one, live, verdict(True))
+    second = jobs.live_version(spark, live)
+    assert second not in (None, first)
+    # every version keeps its report, also the one that failed
+    assert sorted(r.ok for r in spark.read.parquet(f"{live}/versions/*/gates").collect()) == [False, True, True]
+
+
+def test_a_town_needs_its_own_region_to_bear_its_name(spark):
+    regions = spark.createDataFrame([("R1", "M", "Tanger-Tetouan"), ("R2", "M", "Souss"), ("R3", "M", "Greater Tangier")], "region_id string, iso3 string, name string")
+    towns = lambda r: spark.createDataFrame([("Tangier", r, "M")], "name string, region_id string, iso3 string")
+    assert {r: gates.polygon_naming(towns(r), regions).first().ok for r in ("R1", "R2", "R3", "R4")} == {"R1": True, "R2": False, "R3": True, "R4": False}
