@@ -6,8 +6,8 @@ cross such a border, so a document has as many tokens as its pre-tokens together
 this for the model that is given; where it doesn't hold, ``count_tokens`` refuses.
 
 Frequent pre-tokens come from a dictionary of at most ``dictionary_size`` entries, taken from about
-``dictionary_docs`` documents and counted once; all others are shuffled by pre-token, counted once each, and
-joined back. Which pre-tokens are in the dictionary decides only where the work is done, never a count.
+``dictionary_docs`` documents and counted once; all others are shuffled by pre-token, and counted once each where
+the rows of its documents meet. Which pre-tokens are in the dictionary decides only where the work is done, never a count.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,24 @@ def count_pieces(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("token").mapInArrow(count, "token string, pieces int")
 
 
+def _priced(path: str):
+    """Join of ``row, token, times``, sorted by token, to each token's pieces, which are counted once."""
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, last, last_pieces = PieceCounter(path), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column("token").dictionary_encode()
+            tokens = coded.dictionary.to_pylist()
+            pieces = [last_pieces, *counter.counts(tokens[1:])] if tokens[0] == last else counter.counts(tokens)
+            last, last_pieces = tokens[-1], pieces[-1]
+            more = np.array(pieces, np.int64)[coded.indices.to_numpy()] * batch.column("times").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(more, pa.int64())], ["row", "more"])
+
+    return price
+
+
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, dictionary_docs: int = 4000, dictionary_size: int = 200_000) -> DataFrame:
     """Tokens of each document: ``doc_id, n_bytes, n_tokens, over_limit``.
 
@@ -133,9 +152,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, dictionary
                 .withColumn("row", F.monotonically_increasing_id()))  # fixed once stored
     rest = (parts.where(F.size("tokens") > 0).select("row", F.explode(F.arrays_zip("tokens", "times")).alias("t"))
             .select("row", F.col("t.tokens").alias("token"), F.col("t.times").alias("times")))
-    # a pre-token outside the dictionary is rare, so no key is hot; each is counted once
-    pieces = count_pieces(rest.select("token").distinct(), model_path)
-    sums = (rest.join(pieces, "token").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more")))
+    # a pre-token outside the dictionary is rare, so no key is hot; all rows of one meet in one task, side by side
+    met = rest.repartition("token").sortWithinPartitions("token")
+    sums = met.mapInArrow(_priced(model_path), "row long, more long").groupBy("row").agg(F.sum("more").alias("more"))
     n = F.col("known") + F.coalesce("more", F.lit(0))
     return parts.select("row", "doc_id", "n_bytes", "known").join(sums, "row", "left").select(
         "doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
