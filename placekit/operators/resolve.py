@@ -239,7 +239,7 @@ def _grow_cities(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
 def _grow_cities_rounds(rows: DataFrame, share: float) -> DataFrame:
     """City growth over countries of any size.
 
-    A head is taken when no larger unfinished head lies within twice the widest radius, so the
+    A head is taken when no larger unfinished head that can grow lies within twice the widest radius, so the
     heads of one round cannot touch the same suburbs. Growth only ever adds, so each head's
     suburbs are the least fixed point of "in reach and small enough".
     """
@@ -251,11 +251,20 @@ def _grow_cities_rounds(rows: DataFrame, share: float) -> DataFrame:
         open_ = state.where(~F.col("done") & (F.col("heads") > 0))
         if is_empty(open_):
             break
-        firsts = spatial.block_min(open_, "rank", wide, ["country"]).withColumnRenamed("rank", "_first")
-        ready = (open_.withColumn("_block", spatial.block_of(wide)).join(firsts, ["_block", "country"])
+        near = spatial.as_right(state.where("harvest").select("candidate_id", "country", "lat", "lon", F.col("heads").alias("size")), guest_id="candidate_id")
+        # a head with nobody small enough in reach never has one: others only grow or go, so it is settled at once
+        reach = open_.select("candidate_id", "country", "lat", "lon", "heads", city_radius(F.col("heads")).alias("reach"))
+        able = spatial.radius_join(reach, near, "reach", ["country"]).where((F.col("guest_id") != F.col("candidate_id")) & (F.col("size") <= F.col("heads") * share))
+        able = cut(able.select("candidate_id").distinct())
+        if is_empty(able):
+            break
+        state = cut(state.join(able.withColumn("_able", F.lit(True)), "candidate_id", "left")
+                    .withColumn("done", F.col("done") | F.col("_able").isNull()).drop("_able"))
+        able = open_.join(able, "candidate_id", "left_semi")
+        firsts = spatial.block_min(able, "rank", wide, ["country"]).withColumnRenamed("rank", "_first")
+        ready = (able.withColumn("_block", spatial.block_of(wide)).join(firsts, ["_block", "country"])
                  .where(F.col("rank") == F.col("_first")))
         ready = cut(ready.select(F.col("candidate_id").alias("host_id"), "country", "lat", "lon", "heads"))
-        near = spatial.as_right(state.where("harvest").select("candidate_id", "country", "lat", "lon", F.col("heads").alias("size")), guest_id="candidate_id")
         pairs = cut(spatial.radius_join(ready, near, CITY_RADIUS_MAX, ["country"])
                     .where(F.col("guest_id") != F.col("host_id")).select("host_id", "heads", "guest_id", "size", "km"))
         grown = ready.select("host_id", F.col("heads").alias("now"))

@@ -117,6 +117,15 @@ def test_city_growth_rounds_equal_the_ordered_walk(cands):
     assert key(resolve.agglomerate(df)) == key(resolve.agglomerate(df, PARAMS.with_(local_group_rows=5)))
 
 
+def test_cities_that_cannot_grow_take_no_round_each(cands, monkeypatch):
+    df = cands(*[dict(id=f"c{i:02d}", lat=10 + i * 0.02, lon=20.0, population=5e5 + i) for i in range(20)])
+    rounds = []
+    plain = resolve.spatial.block_min
+    monkeypatch.setattr(resolve.spatial, "block_min", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    assert resolve.agglomerate(df, PARAMS.with_(local_group_rows=5)).log.count() == 0
+    assert len(rounds) <= 1
+
+
 def test_density_and_site_rounds_equal_the_ordered_walk(spark, cands):
     rnd = random.Random(8)
     kinds = ["A3", "A4", "A11"]
