@@ -43,7 +43,7 @@ SCOPES = frozenset("article body div section main td th table ul ol dl li blockq
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(?=/?[a-zA-Z])[^>]*\Z|</[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass(slots=True)
@@ -102,20 +102,46 @@ def _end(stack: list[Element], tags: set[str], until: frozenset | set) -> None:
 
 
 def is_frame(e: Element, inside: bool) -> bool:
-    """Whether an element says of itself that it is part of the page's frame."""
+    """Whether an element says of itself that it is part of the page's frame.
+
+    A header inside an article that holds its title is none, nor is anything that holds an article.
+    """
     if e.tag in DROP or "hidden" in e.attributes:
         return True
-    if e.tag == "header":
-        return not (inside and any(isinstance(p, Element) and p.tag == "h1" for p in e.parts))
-    if e.tag in ("html", "body", "main", "article", "#page"):
-        # an article may be a reader's comment
-        return e.tag == "article" and bool({"comment", "comments", "reply"} & _names(e))
-    return e.attributes.get("role", "").lower() in ROLES or bool(FRAME_WORDS & _names(e))
+    if e.tag in ("html", "body", "main", "#page"):
+        return False
+    if e.tag == "article":  # may be a reader's comment
+        return bool({"comment", "comments", "reply"} & set(e.attributes.get("class", "").lower().split()))
+    said = FRAME_WORDS & _names(e)
+    if e.tag == "header" or said and said <= {"header"}:
+        return not (inside and _holds(e, lambda x: x.tag == "h1")) and not _holds(e, is_main)
+    return (e.attributes.get("role", "").lower() in ROLES or bool(said)) and not _holds(e, is_main_text)
+
+
+def _holds(e: Element, what) -> bool:
+    """Whether something inside an element is ``what``."""
+    stack = [p for p in e.parts if isinstance(p, Element)]
+    while stack:
+        x = stack.pop()
+        if what(x):
+            return True
+        stack += [p for p in x.parts if isinstance(p, Element)]
+    return False
 
 
 def _names(e: Element) -> set[str]:
-    named = f"{e.attributes.get('class', '')} {e.attributes.get('id', '')}".strip()
-    return {w.lower() for w in _SPLIT.split(named)} if named else set()
+    """Words of an element's classes and id; classes such as "no-sidebar" or "has-menu" speak of others."""
+    out = set()
+    for name in f"{e.attributes.get('class', '')} {e.attributes.get('id', '')}".split():
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        if words and words[0] not in ("no", "not", "has", "is", "with", "without"):
+            out.update(words)
+    return out
+
+
+def is_main_text(e: Element) -> bool:
+    """The page's main part, or an article that isn't a comment."""
+    return is_main(e) and not is_frame(e, True)
 
 
 def is_main(e: Element) -> bool:

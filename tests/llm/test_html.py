@@ -27,6 +27,13 @@ def test_cut_off_and_odd_markup():
     assert text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
+def test_names_that_only_look_like_frames():
+    assert text('<div class="page has-sidebar no-comments"><p>a</p></div>') == "a"
+    assert text('<div id="sidebar-layout"><article class="post comments-open"><div class="entry-header"><h1>T</h1></div><p>b</p></article></div>') == "T\n\nb"
+    assert text('<div class="mainHeader"><h1>Site</h1></div><p>c</p><div class="articleComments"><article class="comment">no</article></div>') == "c"
+    assert text("<header><nav>x</nav><main><p>d</p></main></header>") == "d"
+
+
 def test_what_recurs_on_a_host_is_deleted(stored):
     rows = [(i, f"http://site.org/{i}", f"<body><div>Site name</div><div>Own words {i}</div><p>Read our other pages</p></body>") for i in range(20)]
     rows += [(100 + i, f"http://other.org/{i}", f"<body><div>Site name</div><div>Else {i}</div></body>") for i in range(5)]
