@@ -19,23 +19,37 @@ NAMESAKES = {"tanger": "tangier", "tangiers": "tangier", "fès": "fes", "fez": "
 
 # ---------------------------------------------------------------- folding
 @F.pandas_udf(StringType())
-def fold_key(names: pd.Series) -> pd.Series:
-    """Compatibility form, no marks, caseless, letters and digits only."""
+def _key_beyond_ascii(names: pd.Series) -> pd.Series:
     def one(text):
-        plain = (c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+        plain = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
         return "".join(c for c in "".join(plain).casefold() if c.isalnum())
 
-    return names.map(one)
+    return names.map(one, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def fold_words(names: pd.Series) -> pd.Series:
-    """Canonical form, no non-spacing marks, caseless; spaces and signs stay."""
+def _words_beyond_ascii(names: pd.Series) -> pd.Series:
     def one(text):
-        return "".join(c for c in unicodedata.normalize("NFD", text or "")
-                       if unicodedata.category(c) != "Mn").casefold()
+        return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").casefold()
+
+    return names.map(one, na_action="ignore")
+
+
+def _folded(name: Column | str, plain, beyond) -> Column:
+    """Most names are ASCII and stay in built-in functions; Python sees only the others."""
+    c = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+    simple = c.rlike(r"^\p{ASCII}*$")
+    return F.when(simple, plain(c)).otherwise(beyond(F.when(~simple, c)))
 
-    return names.map(one)
+
+def fold_key(name: Column | str) -> Column:
+    """Compatibility form, no marks, caseless, letters and digits only."""
+    return _folded(name, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), _key_beyond_ascii)
+
+
+def fold_words(name: Column | str) -> Column:
+    """Canonical form, no non-spacing marks, caseless; spaces and signs stay."""
+    return _folded(name, F.lower, _words_beyond_ascii)
 
 
 def transliterates(a: Column, b: Column) -> Column:

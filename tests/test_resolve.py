@@ -28,6 +28,15 @@ def test_two_spellings_at_one_point_are_one_place(cands):
     assert [r.n for r in resolve.absorption_counts(got.log).collect()] == [1]
 
 
+def test_names_fold_alike_with_and_without_marks(spark):
+    from placekit.functions import text
+
+    rows = ["Aït Melloul", "AIT-Melloul 2", "Straße", "Fès", "", None, "Ｗide", "İzmir", "Łódź", "a\nb"]
+    got = spark.createDataFrame([(r,) for r in rows], "n string").select(text.fold_key("n"), text.fold_words("n")).collect()
+    assert [r[0] for r in got] == ["aitmelloul", "aitmelloul2", "strasse", "fes", "", "", "wide", "izmir", "łodz", "ab"]
+    assert [r[1] for r in got] == ["ait melloul", "ait-melloul 2", "strasse", "fes", "", "", "ｗide", "izmir", "łodz", "a\nb"]
+
+
 def test_crowded_buckets_find_the_same_spellings(spark, cands):
     rnd = random.Random(3)
     rows = []
