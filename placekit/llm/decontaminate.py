@@ -33,6 +33,7 @@ RADIUS = 11
 BLOCK_ITEMS, BLOCK_WORDS = 2_000, 200_000
 BITS, PARTS = 64, 4
 PIECE = 1 << 17  # words fingerprinted at once
+RUN = 32
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -63,17 +64,23 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def bit_sums(pairs: np.ndarray, longest: int) -> np.ndarray:
-    """Running sums of each hash bit, one row more than pairs."""
+    """Running sums of each hash bit, one row more than pairs: inside runs of ``RUN`` rows, then over the runs."""
     kind = np.int16 if longest < 30_000 else np.int32
-    sums = np.zeros((len(pairs) + 1, BITS), kind)
-    np.cumsum(np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
-    return sums  # wraps around; differences don't
+    runs = -(-len(pairs) // RUN)
+    bits = np.unpackbits(np.pad(pairs, (0, runs * RUN - len(pairs))).view(np.uint8).reshape(-1, 8), axis=1).reshape(runs, RUN, BITS)
+    sums = np.zeros((runs * RUN + 1, BITS), kind)
+    inner = sums[1:].reshape(runs, RUN, BITS)
+    inner[:, 0] = bits[:, 0]
+    for i in range(1, RUN):
+        np.add(inner[:, i - 1], bits[:, i], out=inner[:, i])
+    inner[1:] += np.cumsum(inner[:-1, -1], axis=0, dtype=kind)[:, None]
+    return sums[:len(pairs) + 1]  # wraps around; differences don't
 
 
-def fingerprints(sums: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
-    """Fingerprints of the windows of ``w`` words that begin at ``at``."""
-    ones = sums[at + (w - 1)] - sums[at]
-    return np.packbits(ones * 2 > w - 1, axis=1).view(_U).ravel()
+def fingerprints(sums: np.ndarray, first: int, stop: int, stride: int, w: int) -> np.ndarray:
+    """Fingerprints of the windows of ``w`` words that begin at ``first``, ``first + stride``, ... before ``stop``."""
+    ones = sums[first + w - 1:stop + w - 1:stride] - sums[first:stop:stride]
+    return np.packbits(ones > (w - 1) // 2, axis=1).view(_U).ravel()
 
 
 def similar(a: Counter, b: Counter) -> float:
@@ -141,7 +148,7 @@ class BenchmarkIndex:
             prints, item, offset = [], [], []
             for i, h in of:
                 at = np.arange(len(h) - w + 1)
-                prints.append(fingerprints(bit_sums(pair_hashes(h), w), at, w))
+                prints.append(fingerprints(bit_sums(pair_hashes(h), w), 0, len(at), 1, w))
                 item.append(np.full(len(at), i))
                 offset.append(at)
             prints = np.concatenate(prints)
@@ -155,12 +162,11 @@ class BenchmarkIndex:
             part = h[a:a + piece + longest]
             sums = bit_sums(pair_hashes(part), longest) if len(part) > 1 else np.zeros((1, BITS), np.int16)
             for s in self.sizes:
-                first = -a % s.stride
-                at = np.arange(first, min(piece, len(part) - s.window + 1), s.stride)
-                if len(at):
-                    win, own = s.near(fingerprints(sums, at, s.window), self.radius)
+                first, stop = -a % s.stride, min(piece, len(part) - s.window + 1)
+                if first < stop:
+                    win, own = s.near(fingerprints(sums, first, stop, s.stride, s.window), self.radius)
                     if len(win):
-                        yield s.item[own], a + at[win] - s.offset[own]
+                        yield s.item[own], a + first + win * s.stride - s.offset[own]
 
     def search(self, texts: list[str | None], hashes: WordHashes) -> list[list[tuple[int, int, float]]]:
         """For each text, its items with the place and similarity of the best match."""
@@ -190,7 +196,7 @@ class BenchmarkIndex:
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
     """Items in blocks that each fit the driver and every task."""
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("w")).first()
     blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["w"] // BLOCK_WORDS))
     for b in range(blocks):
@@ -206,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFr
     reported; of equal places the first counts. Either table empty: no rows.
     """
     spark, out = docs.sparkSession, None
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     for items in item_blocks(benchmark):
         index = spark.sparkContext.broadcast(BenchmarkIndex(items, radius))
 
@@ -219,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFr
                     [batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
                      pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "item_id", "start_word", "similarity"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word long, similarity double")
+        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, start_word long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
