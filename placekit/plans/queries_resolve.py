@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placekit.functions import geo, kinds
+from placekit.functions.vocab import KIND_DOMINANT, PARAMS
 from placekit.operators import gates, identity, reports, resolve, scoring, selection, signals
 from placekit.plans import build as jobs
 from placekit.plans.oracles import km, sql
@@ -65,7 +66,13 @@ def _(v):
     return resolve.cap_density(cut(attached(v)), v.country).log.select("country", "guest_id", "host_id", "km")
 
 
-@query("orphan_sites")
+@query("orphan_sites", sql("", "asset", "near", "tw", "country").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+heavy AS MATERIALIZED (SELECT asset_id AS id, n, lat, lon, row_number() OVER (ORDER BY weight DESC, asset_id) AS rn FROM asset JOIN tw USING (tier)
+  WHERE radius_km = 0 AND weight >= 4 AND asset_id NOT IN (SELECT asset_id FROM near)),
+walk AS (SELECT 0 AS i, []::STRUCT(id VARCHAR, n INTEGER, lat DOUBLE, lon DOUBLE)[] AS got
+  UNION ALL SELECT h.rn, CASE WHEN len(list_filter(got, lambda q: {km('q', 'h')} <= {PARAMS.catchment_km})) = 0 THEN list_append(got, {{'id': h.id, 'n': h.n, 'lat': h.lat, 'lon': h.lon}}) ELSE got END
+  FROM walk w JOIN heavy h ON h.rn = w.i + 1)
+SELECT 'site:' || q.id AS candidate_id, country, q.lat AS lat, q.lon AS lon FROM (SELECT unnest(got) AS q FROM (SELECT max_by(got, i) AS got FROM walk)) JOIN country c ON c.n = q.n""")
 def _(v):
     from placekit.operators import assets
 
@@ -100,19 +107,58 @@ def _scored(v):
     return scored, cut(scoring.quotas(scoring.country_facts(scored, v.country)))
 
 
-@query("coverage_selection")
+_POOL = sql("", "top100", "cand", "country", "quota", "kv", "knorm").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+pool AS MATERIALIZED (SELECT c.country, q.quota, greatest(60, 0.35 * sqrt(c.area_km2 / greatest(q.quota, 1))) AS d_min, t.candidate_id AS id, cand.lat, cand.lon, t.score,
+    row_number() OVER (PARTITION BY c.country ORDER BY t.score DESC, t.candidate_id) AS nth
+  FROM top100 t JOIN cand USING (candidate_id, n) JOIN country c ON c.n = t.n JOIN quota q ON q.country = c.country)
+"""
+# the best gain of each pick, with the kinds seen and the places taken so far carried along
+_COVERAGE = _POOL.rstrip() + f""",
+strong AS (SELECT candidate_id AS id, kind, u, max(u) OVER (PARTITION BY candidate_id) AS most FROM (SELECT candidate_id, kind, w / len AS u FROM kv JOIN knorm USING (candidate_id))),
+vec AS (SELECT id, list(CASE WHEN most < {KIND_DOMINANT} OR u >= {KIND_DOMINANT} THEN u ELSE 0 END ORDER BY kind) AS weights, list(kind ORDER BY kind) AS codes,
+  list(kind ORDER BY kind) FILTER (u >= {KIND_DOMINANT}) AS shown FROM strong GROUP BY id),
+full_pool AS MATERIALIZED (SELECT pool.*, max(score) OVER (PARTITION BY country) AS top, coalesce(weights, []::DOUBLE[]) AS weights, coalesce(codes, []::VARCHAR[]) AS codes, coalesce(shown, []::VARCHAR[]) AS shown
+  FROM pool LEFT JOIN vec USING (id)),
+walk AS (SELECT DISTINCT country, 0 AS pick, ''::VARCHAR AS id, 0::DOUBLE AS gain, []::STRUCT(id VARCHAR, lat DOUBLE, lon DOUBLE)[] AS got, []::VARCHAR[] AS seen FROM pool
+  UNION ALL SELECT country, pick + 1, id, gain, list_append(got, {{'id': id, 'lat': lat, 'lon': lon}}), list_concat(seen, shown) FROM (
+    SELECT *, row_number() OVER (PARTITION BY country ORDER BY gain DESC, id) AS rn FROM (
+      SELECT country, pick, id, lat, lon, got, seen, shown, score * ({PARAMS.lam_red} * (relief + (1 - relief) * fresh) + (1 - {PARAMS.lam_red})) * ramp AS gain FROM (
+        SELECT p.*, w.pick, w.got, w.seen, {PARAMS.quality_relief} * (p.score / p.top) AS relief,
+          CASE WHEN list_sum(weights) > 0 THEN list_sum(list_transform(codes, lambda c, i: weights[i] * pow({PARAMS.coverage_decay}, len(list_filter(w.seen, lambda x: x = c))))) / list_sum(weights) ELSE 1 END AS fresh,
+          CASE WHEN w.pick = 0 THEN 1 ELSE (SELECT CASE WHEN min(d) < p.d_min THEN 0 ELSE least(1, (min(d) - p.d_min) / p.d_min) END FROM (SELECT unnest(list_transform(w.got, lambda q: {km('p', 'q')})) AS d)) END AS ramp
+        FROM walk w JOIN full_pool p ON p.country = w.country WHERE w.pick < p.quota AND NOT list_contains(list_transform(w.got, lambda q: q.id), p.id)))
+    WHERE gain > 0) WHERE rn = 1)
+"""
+
+
+@query("coverage_selection", _COVERAGE + "SELECT country, id AS candidate_id, pick, round(gain + 1e-9, 6) AS gain FROM walk WHERE pick > 0")
 def _(v):
     scored, quotas = _scored(v)
     return selection.select_coverage(scoring.above_floor(scored), quotas).select("country", "candidate_id", "pick", r6("gain").alias("gain"))
 
 
-@query("rank_selection")
+_RANK = f""",
+ranked AS (SELECT DISTINCT country, 0 AS i, []::STRUCT(id VARCHAR, lat DOUBLE, lon DOUBLE, score DOUBLE)[] AS got FROM pool
+  UNION ALL SELECT p.country, p.nth, CASE WHEN len(got) < p.quota AND len(list_filter(got, lambda q: {km('q', 'p')} < p.d_min)) = 0
+    THEN list_append(got, {{'id': p.id, 'lat': p.lat, 'lon': p.lon, 'score': p.score}}) ELSE got END FROM ranked w JOIN pool p ON p.country = w.country AND p.nth = w.i + 1),
+done AS (SELECT country, unnest(got) AS q, generate_subscripts(got, 1) AS pick FROM (SELECT country, max_by(got, i) AS got FROM ranked GROUP BY country))
+"""
+
+
+@query("rank_selection", _POOL.rstrip() + _RANK + "SELECT country, q.id AS candidate_id, pick, round(q.score + 1e-9, 6) AS score FROM done")
 def _(v):
     scored, quotas = _scored(v)
     return selection.select_by_rank(scoring.above_floor(scored), quotas).select("country", "candidate_id", "pick", r6("gain").alias("score"))
 
 
-@query("selection_redundancy")
+@query("selection_redundancy", _COVERAGE.rstrip() + _RANK.rstrip() + f""",
+chosen AS (SELECT 'coverage' AS how, country, id FROM walk WHERE pick > 0 UNION ALL SELECT 'rank', country, q.id FROM done),
+spot AS (SELECT how, country, id, lat, lon FROM chosen JOIN pool USING (country, id)),
+alike AS (SELECT a.how, a.country, a.id, b.id AS other, {km('a', 'b')} AS km, coalesce(sum(x.w * y.w) / any_value(m.len * o.len), 0) AS cosine
+  FROM spot a JOIN spot b ON a.how = b.how AND a.country = b.country AND a.id < b.id LEFT JOIN knorm m ON m.candidate_id = a.id LEFT JOIN knorm o ON o.candidate_id = b.id
+    LEFT JOIN kv x ON x.candidate_id = a.id LEFT JOIN kv y ON y.candidate_id = b.id AND y.kind = x.kind GROUP BY ALL)
+SELECT country, how, n, round(coalesce(redundancy, 0) + 1e-9, 6) AS redundancy, closest_km FROM (SELECT how, country, count(*) AS n FROM chosen GROUP BY ALL)
+  LEFT JOIN (SELECT how, country, avg(cosine) AS redundancy, min(km) AS closest_km FROM alike GROUP BY ALL) USING (how, country)""")
 def _(v):
     scored, quotas = _scored(v)
     kept = cut(scoring.above_floor(scored))
@@ -274,7 +320,7 @@ def _(v):
   UNION ALL SELECT 'still empty', country, count(*) FROM cand JOIN country USING (n) WHERE candidate_id NOT IN (SELECT candidate_id FROM held) GROUP BY ALL""")
 def _(v):
     places = cut(_signal_places(v))
-    filled, still = signals.fill_preview(places, signals.apply_signals(places, _layers(v)))
+    filled, still = signals.fill_preview(places, cut(signals.apply_signals(places, _layers(v)).select("place_id", "country", "kinds")))
     return filled.select(F.lit("filled").alias("what"), F.col("kind").alias("name"), "places").unionByName(
         still.select(F.lit("still empty").alias("what"), F.col("country").alias("name"), "places"))
 
