@@ -145,16 +145,14 @@ def search(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
         radius, left = codes.radius, {r["vec_id"]: r["embedding"] for r in block}
         while left:
             got = cut(_probe(index, parts, codes, left, radius, k))
-            found = got if found is None else found.unionByName(got)
-            if radius >= BITS:
-                break
-            full = {r["query_id"] for r in got.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select("query_id").collect()}
-            missing = {q: v for q, v in left.items() if q not in full}
-            # what too small a radius found is found again by the wider one
-            if missing and len(missing) < len(left):
-                found = found.where(~F.col("query_id").isin(list(missing)))
-            elif missing:
-                found = found.where(F.lit(False))
+            missing = {}
+            if radius < BITS:
+                full = {r["query_id"] for r in got.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select("query_id").collect()}
+                missing = {q: v for q, v in left.items() if q not in full}
+            # what too small a radius found is found again by the wider one; what is done stays
+            if len(missing) < len(left):
+                done = got.where(~F.col("query_id").isin(list(missing))) if missing else got
+                found = done if found is None else found.unionByName(done)
             left, radius = missing, min(BITS, radius + 8)
     if found is None:
         found = spark.createDataFrame([], "query_id long, vec_id long, score double")

@@ -56,3 +56,18 @@ def test_probing_retrieves_every_code_in_the_radius(radius):
     tables = ann.SubstringTables(codes)
     for q in base:
         assert sorted(tables.within(q, radius)) == list(np.flatnonzero(np.bitwise_count(codes ^ q) <= radius))
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_tight_clusters_and_far_outliers_keep_every_query(stored, monkeypatch, block):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 64))
+    rows = [(i, (centres[i % 20] + 0.01 * rng.normal(size=64)).astype(np.float32).tolist(), 0) for i in range(2000)]
+    rows += [(i, rng.normal(size=64).astype(np.float32).tolist(), 0) for i in (2000, 2200, 2400)]
+    monkeypatch.setattr(ann, "QUERY_BLOCK", block)
+    found = {}
+    for r in ann.search(stored(rows, SCHEMA), every=200).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(found) == set(range(0, 2401, 200)) and all(len(set(v)) == 5 == len(v) for v in found.values())
+    want = brute(rows, 5)
+    assert all(set(found[q]) == set(want[q]) for q in found if q < 2000)
