@@ -18,8 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard.drop_near_copies(docs)
+    """One document of each group of near copies, by five-word shingles and a similarity of 0.8."""
+    return jaccard.drop_near_copies(docs, jaccard.CORPUS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

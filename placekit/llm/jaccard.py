@@ -5,10 +5,13 @@ the document's point. Two sets share at most the summed minima of their coordina
 the largest and smallest coordinates of each node, finds the pairs that can still be similar enough; the sets
 themselves decide.
 
-Which points meet in one tree is settled exactly. Sets with Jaccard similarity of at least 9/10 differ in at most
-``smaller // 9`` elements; when the groups are more than that, some group must hold the same elements in both. So sets
-are linked to others that agree in a whole group (by a hash of its elements), connected components of that graph are
-the forest, and each component has a tree. A component too large for one task is packed into leaves by size, and
+A ``Law`` has the words of a shingle and the least similarity. Which points meet in one tree is settled exactly. Sets
+with Jaccard similarity of at least ``t`` differ in at most ``smaller * (1 - t) / t`` elements; when the groups are more
+than that, some group must hold the same elements in both. So sets are linked to others that agree in a whole group (by
+a hash of its elements). Below nine tenths such groups would hold so few elements that unrelated sets agree in them;
+there sets are linked that share one of their ``n - ceil(t * n) + 1`` first elements in one order of all shingles, which
+no similar pair can avoid either. The order puts shingles that are common in a sample last; it decides the work, never
+the result. Connected components of that graph are the forest, and each component has a tree. A component too large for one task is packed into leaves by size, and
 every two leaves whose sizes can be similar are one task: no pair is lost, none is emitted but links that connect.
 
 Equal sets are one point, so copies never meet in pairs. Shingles and sets are named by 64-bit hashes.
@@ -17,6 +20,7 @@ Equal sets are one point, so copies never meet in pairs. Shingles and sets are n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +30,54 @@ from pyspark.sql import functions as F
 from placekit.llm.common import WordHashes, concat_words, cut, fresh, may_be_in, mix, row_id, slices
 from placekit.operators.graph import components
 
-SHINGLE = 3
 DIMENSIONS = 64
 LEAF_POINTS, LEAF_ELEMENTS = 512, 1_000_000
 NODE = 16
+GROUPS_FROM = 90
+SAMPLE, COMMON = 4096, 100_000
 _U = np.uint64
 
 
+class Law(NamedTuple):
+    """When two documents are near copies: words of a shingle, and the least similarity of their sets in percent."""
+
+    shingle: int = 3
+    percent: int = 90
+
+    @property
+    def least(self) -> int:
+        """The first size that can differ from another."""
+        return -(-self.percent // (100 - self.percent))
+
+
+JOIN, CORPUS = Law(), Law(5, 80)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def linked(common, a, b):
-    """100 * intersection >= 90 * union."""
-    return 190 * common >= 90 * (a + b)
+def linked(common, a, b, percent: int = JOIN.percent):
+    """100 * intersection >= percent * union."""
+    return (100 + percent) * common >= percent * (a + b)
 
 
-def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], hashes: WordHashes, shingle: int = JOIN.shingle) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words than a shingle make one, no words none."""
     flat, starts = concat_words([words(t) for t in texts], hashes)
-    if len(flat) >= SHINGLE:
-        whole = flat[:-2] * _U(0x9E3779B97F4A7C15) + mix(flat[1:-1]) * _U(3) + mix(flat[2:] + _U(17)) * _U(5)
+    if len(flat) >= shingle:
+        n = len(flat) - shingle + 1
+        whole = flat[:n] * _U(0x9E3779B97F4A7C15)
+        for i in range(1, shingle):
+            whole += mix(flat[i:i + n] + _U(17 * (i - 1))) * _U(2 * i + 1)
         whole = mix(whole)
     else:
         whole = np.zeros(0, _U)
     out = []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(whole[a:b - SHINGLE + 1]))
+        if b - a >= shingle:
+            out.append(np.unique(whole[a:b - shingle + 1]))
         elif b > a:
             few = mix(flat[a:b]) * np.arange(1, b - a + 1, dtype=_U)
             out.append(mix(np.array([few.sum() + _U(b - a)], _U)))
@@ -68,34 +91,34 @@ def digest(s: np.ndarray) -> int:
     return int((mix(s + _U(99)).sum() + _U(len(s))).astype(np.int64)) if len(s) else 0
 
 
-def bands(top: int) -> list[int]:
-    """Sizes at which bands begin, past ``top``. The first size that can differ from another is 9."""
-    out = [9]
+def bands(top: int, law: Law = JOIN) -> list[int]:
+    """Sizes at which bands begin, past ``top``."""
+    out = [law.least]
     while out[-1] <= top:
         out.append(max(out[-1] + 2, out[-1] * 7 // 5))
     return out
 
 
-def band_groups(begin: int, end: int) -> tuple[int, int]:
+def band_groups(begin: int, end: int, law: Law = JOIN) -> tuple[int, int]:
     """For a band of sizes of the smaller set: the elements in which a pair may differ, and the groups."""
-    differ = (end - 1) // 9
+    differ = (end - 1) * (100 - law.percent) // law.percent
     return differ, differ + 4 + -(-3 * differ // 20)
 
 
-def group_keys(s: np.ndarray) -> np.ndarray:
+def group_keys(s: np.ndarray, law: Law = JOIN) -> np.ndarray:
     """Names of what the groups of a set hold, in each band in which it can be one of a pair.
 
     Groups of one element or none are left out when so many others remain that a similar set must agree
     in one of them; both sets of a pair then name it.
     """
     n, out = len(s), []
-    edges = bands(n)
+    edges = bands(n, law)
     spread = mix(s ^ _U(0xA5A5A5A5A5A5A5A5))
     for i in range(len(edges) - 1):
         begin, end = edges[i], edges[i + 1]
-        if n < begin or 9 * n > 10 * (end - 1):  # too small, or too large for any smaller partner here
+        if n < begin or law.percent * n > 100 * (end - 1):  # too small, or too large for any smaller partner here
             continue
-        differ, groups = band_groups(begin, end)
+        differ, groups = band_groups(begin, end, law)
         at = ((spread >> _U(32)) * _U(groups) >> _U(32)).astype(np.int64)
         count = np.bincount(at, minlength=groups)
         total = np.zeros(groups, _U)
@@ -108,11 +131,43 @@ def group_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def first_keys(s: np.ndarray, law: Law, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first elements of a set, as many as hold one that any similar set has among its first.
+
+    ``common`` has the shingles that come late, sorted, and how often each was seen.
+    """
+    n = len(s)
+    if n < law.least:
+        return np.zeros(0, np.int64)
+    seen = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
+        seen = np.where(common[0][at] == s, common[1][at], 0)
+    return s[np.lexsort((mix(s), seen))[:n + (-law.percent * n // 100) + 1]].astype(np.int64)
+
+
+def common_shingles(docs: DataFrame, law: Law) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample hold, sorted, and how many do; ``COMMON`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), hashes, law.shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64))], ["shingle"])
+
+    every = max(1, docs.count() // SAMPLE)
+    sample = row_id(docs.select("text")).where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("text")
+    counted = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas()
+    held = counted["shingle"].to_numpy(np.int64).astype(_U)
+    order = np.argsort(held)
+    return held[order], counted["count"].to_numpy(np.int64)[order]
+
+
+def _describe(batches: Iterator[pa.RecordBatch], law: Law, common) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches, "text"):
-        sets = shingle_sets(batch.column("text").to_pylist(), hashes)
-        keys = [group_keys(s) for s in sets]
+        sets = shingle_sets(batch.column("text").to_pylist(), hashes, law.shingle)
+        keys = [group_keys(s, law) if common is None else first_keys(s, law, common.value) for s in sets]
         offsets = np.zeros(len(keys) + 1, np.int32)
         np.cumsum([len(k) for k in keys], out=offsets[1:])
         yield pa.RecordBatch.from_arrays(
@@ -124,7 +179,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class CountTree:
     """A packed R-tree over count vectors, searched by the summed minima of coordinates."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = JOIN.percent):
+        self.percent = percent
         # sort-tile packing: slabs by size, inside a slab by the coordinate that varies most
         order = np.argsort(sizes, kind="stable")
         slab = NODE * NODE
@@ -142,10 +198,9 @@ class CountTree:
                 break
             starts = np.arange(0, len(hi), NODE)
 
-    @staticmethod
-    def _open(q, n, hi, lo_n, hi_n):
-        fits = (10 * hi_n >= 9 * n) & (9 * lo_n <= 10 * n)
-        return fits & linked(np.minimum(hi, q).sum(axis=1), n, np.maximum(lo_n, -(-9 * n // 10)))
+    def _open(self, q, n, hi, lo_n, hi_n):
+        fits = (100 * hi_n >= self.percent * n) & (self.percent * lo_n <= 100 * n)
+        return fits & linked(np.minimum(hi, q).sum(axis=1), n, np.maximum(lo_n, -(-self.percent * n // 100)), self.percent)
 
     def search(self, q: np.ndarray, n: int) -> np.ndarray:
         """Positions of all points that can be linked with one of ``n`` elements."""
@@ -162,7 +217,7 @@ class CountTree:
         return self.order[nodes[ok]]
 
 
-def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = JOIN.percent) -> list[tuple[int, int]]:
     """Links that connect all sets which links of (left, right) pairs connect; positions in ``sets``.
 
     ``left`` and ``right`` are the same, or two leaves of which only pairs across are looked at.
@@ -181,7 +236,7 @@ def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> l
             i = parent[i]
         return i
 
-    tree, found, same = CountTree(points[right], sizes[right]), [], len(left) == len(right) and bool((left == right).all())
+    tree, found, same = CountTree(points[right], sizes[right], percent), [], len(left) == len(right) and bool((left == right).all())
     for i in left:
         near = right[tree.search(points[i], int(sizes[i]))]
         near = near[near > i] if same else near
@@ -194,7 +249,7 @@ def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> l
         mine = where[starts[i]:starts[i + 1]]
         mark[mine] = True
         for j in near:
-            if linked(int(mark[where[starts[j]:starts[j + 1]]].sum()), int(sizes[i]), int(sizes[j])):
+            if linked(int(mark[where[starts[j]:starts[j + 1]]].sum()), int(sizes[i]), int(sizes[j]), percent):
                 a, b = root(i), root(j)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -203,7 +258,7 @@ def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> l
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (tree, leaf_a, leaf_b): links of each task's pairs of leaves."""
 
     def solve(key, rows):
@@ -213,7 +268,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(r[1], _U) for r in rows]
         leaf = np.array([r[2] for r in rows])
         left, right = np.flatnonzero(leaf == key[1]), np.flatnonzero(leaf == key[2])
-        return [(names[i], names[j]) for i, j in link_group(sets, left, right)] if len(left) and len(right) else []
+        return [(names[i], names[j]) for i, j in link_group(sets, left, right, percent)] if len(left) and len(right) else []
 
     key, rows = None, []
     for batch in batches:
@@ -231,21 +286,22 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _elements(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in slices(batches, "text"):
-        sets = shingle_sets(batch.column("text").to_pylist(), hashes)
+        sets = shingle_sets(batch.column("text").to_pylist(), hashes, shingle)
         yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("leaf"), batch.column("leaves"), batch.column("n"), batch.column("name"), pa.array([s.tobytes() for s in sets], pa.binary())],
                                          ["tree", "leaf", "leaves", "n", "name", "elements"])
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """Stored table with one row per document: ``_row, doc_id, n_shingles, name`` of its set, ``keys`` of its groups."""
+def describe(docs: DataFrame, law: Law = JOIN) -> DataFrame:
+    """Stored table with one row per document: ``_row, doc_id, n_shingles, name`` of its set, ``keys`` that similar sets share."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cut(row_id(docs.select("doc_id", "text")).mapInArrow(_describe, f"_row long, doc_id {kind}, n_shingles long, name long, keys array<long>"))
+    common = None if law.percent >= GROUPS_FROM else docs.sparkSession.sparkContext.broadcast(common_shingles(docs, law))
+    return cut(row_id(docs.select("doc_id", "text")).mapInArrow(lambda batches: _describe(batches, law, common), f"_row long, doc_id {kind}, n_shingles long, name long, keys array<long>"))
 
 
-def find_links(docs: DataFrame, described: DataFrame) -> DataFrame:
+def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFrame:
     """Links ``(a, b)`` between names of different sets that connect every component of linked sets."""
     keyed = described.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key"))
     # partial minima and maxima come first, so copies and hot keys shrink before they are shuffled
@@ -264,38 +320,38 @@ def find_links(docs: DataFrame, described: DataFrame) -> DataFrame:
     leaf = F.when(F.col("leaves") == 0, F.lit(0)).otherwise((F.col("size_band") + 1) * (1 << 32) + F.pmod(F.xxhash64("name"), F.greatest("leaves", F.lit(1)))).cast("long")
     placed = points.join(packs.select("tree", "size_band", "leaves"), ["tree", "size_band"]).withColumn("leaf", leaf)
     texts = may_be_in(row_id(docs.select("text")), points, "_row").join(placed.select("_row", "name", "n", "tree", "leaf", "leaves"), "_row")
-    members = cut(texts.select("tree", "leaf", "leaves", "n", "name", "text").mapInArrow(_elements, "tree long, leaf long, leaves long, n long, name long, elements binary"))
+    members = cut(texts.select("tree", "leaf", "leaves", "n", "name", "text").mapInArrow(lambda batches: _elements(batches, law.shingle), "tree long, leaf long, leaves long, n long, name long, elements binary"))
     large = members.where("leaves > 0")
     ranges = large.groupBy("tree", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = ranges.alias("x"), ranges.alias("y")
-    pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.leaf") <= F.col("y.leaf")) & (9 * F.col("y.lo") <= 10 * F.col("x.hi")) & (9 * F.col("x.lo") <= 10 * F.col("y.hi"))).select(
+    pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.leaf") <= F.col("y.leaf")) & (law.percent * F.col("y.lo") <= 100 * F.col("x.hi")) & (law.percent * F.col("x.lo") <= 100 * F.col("y.hi"))).select(
         F.col("x.tree").alias("tree"), F.col("x.leaf").alias("leaf_a"), F.col("y.leaf").alias("leaf_b"))
     # a leaf goes to each pair it is in, as one of them or both
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("leaf_a", "leaf_b"))).alias("leaf"))
     work = members.where("leaves = 0").select("tree", F.col("leaf").alias("leaf_a"), F.col("leaf").alias("leaf_b"), "leaf", "name", "elements").unionByName(
         large.join(sides, ["tree", "leaf"]).select("tree", "leaf_a", "leaf_b", "leaf", "name", "elements"))
     work = work.repartition("tree", "leaf_a", "leaf_b").sortWithinPartitions("tree", "leaf_a", "leaf_b")
-    return work.mapInArrow(_links, "a long, b long")
+    return work.mapInArrow(lambda batches: _links(batches, law.percent), "a long, b long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``_row, doc_id, n_shingles, component_id`` of each document of a stored table.
+def near_copies(docs: DataFrame, law: Law = JOIN) -> DataFrame:
+    """``_row, doc_id, n_shingles, component_id`` of each document of a stored table; ``law`` says which are linked.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. A null text, an empty one or one of white
     space has no shingle and is its own component. Equal texts, and rows that repeat, are one component. A null
     doc_id is never a component's name unless nothing else is in it. An empty table gives an empty result.
     """
-    described = describe(docs)
-    roots = cut(components(find_links(docs, described))).select(F.col("node").alias("name"), F.col("label").alias("root"))
+    described = describe(docs, law)
+    roots = cut(components(find_links(docs, described, law))).select(F.col("node").alias("name"), F.col("label").alias("root"))
     rows = described.select("_row", "doc_id", "n_shingles", "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
         "_row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, law: Law = JOIN) -> DataFrame:
     """One document of each component stays, with all columns: the one with the smallest doc_id, then the first row."""
-    found = near_copies(docs)
+    found = near_copies(docs, law)
     # a null id is after all others; documents without a shingle are alone
     lone = found.where("n_shingles = 0").select("_row")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))

@@ -9,12 +9,12 @@ from placekit.llm import jaccard
 SCHEMA = "doc_id long, text string"
 
 
-def brute(rows):
+def brute(rows, k=3, percent=90):
     """Set size and component of each (doc_id, text), by comparing all pairs."""
     sets = []
     for _, t in rows:
         w = jaccard.words(t)
-        sets.append(frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
     parent = list(range(len(rows)))
 
     def root(i):
@@ -24,7 +24,7 @@ def brute(rows):
 
     for i, j in combinations(range(len(rows)), 2):
         common = len(sets[i] & sets[j])
-        if common and 100 * common >= 90 * len(sets[i] | sets[j]):
+        if common and 100 * common >= percent * len(sets[i] | sets[j]):
             parent[root(j)] = root(i)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -108,3 +108,37 @@ def test_tree_finds_all_that_the_bound_allows():
     for q in range(0, 400, 7):
         bound = jaccard.linked(np.minimum(points, points[q]).sum(axis=1), sizes, sizes[q])
         assert sorted(tree.search(points[q], int(sizes[q]))) == list(np.flatnonzero(bound))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_the_corpus_law_equal_all_pairs(stored, monkeypatch, seed):
+    rng = random.Random(seed)
+    line = " ".join(f"line{k}" for k in range(9))
+    rows = corpus(rng) + [(10_000 + i, f"{line} " + " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(3, 60)))) for i in range(40)]
+    monkeypatch.setattr(jaccard, "LEAF_POINTS", 7 if seed == 2 else jaccard.LEAF_POINTS)
+    got = jaccard.near_copies(stored(rows, SCHEMA, extra=True), jaccard.CORPUS)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 5, 80)
+
+
+def test_similar_sets_share_a_first_element():
+    rng = np.random.default_rng(6)
+    for n in (4, 5, 6, 9, 10, 17, 40, 90, 500):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        common = (np.sort(rng.permutation(s)[:n // 2]), rng.integers(3, 6, n // 2))
+        for _ in range(20):
+            drop = int(rng.integers(0, n // 4 + 1))
+            add = int(rng.integers(0, n // 4 - drop + 1))
+            t = np.unique(np.concatenate([rng.permutation(s)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+            if jaccard.linked(len(np.intersect1d(s, t)), len(s), len(t), 80):
+                assert np.intersect1d(*(jaccard.first_keys(x, jaccard.CORPUS, common) for x in (s, t))).size
+
+
+def test_pipeline_stage_drops_a_copy_between_the_laws(spark, stored):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(50)]
+    copy = [*base[:25], "changed", *base[26:]]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(reversed(base)))]
+    docs = stored(rows, SCHEMA)
+    assert jaccard.drop_near_copies(docs).count() == 3
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [1, 3]
