@@ -188,10 +188,37 @@ def subtree_hashes(root: Element, host: str) -> dict[int, tuple[int, bool]]:
     return out
 
 
+def main_part(root: Element) -> set[int]:
+    """Of a page that marks no article: the elements, by identity, that no template deletes.
+
+    They are those that hold most of the text outside frames, and the paragraphs in the innermost container of them.
+    """
+    frames, size = set(), {}
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        if is_frame(e, False):
+            frames.add(id(e))
+        else:
+            stack += [p for p in e.parts if isinstance(p, Element)]
+    for e, _ in _walk(root):
+        size[id(e)] = 0 if id(e) in frames else sum(len(" ".join(p.split())) if isinstance(p, str) else size[id(p)] for p in e.parts)
+    kept, top, e = set(), root, root
+    while e is not None and size[id(root)]:
+        kept.add(id(e))
+        top = e if e.tag in BLOCK and e.tag not in PARAGRAPH else top
+        e = next((p for p in e.parts if isinstance(p, Element) and 2 * size[id(p)] > size[id(root)]), None)
+    if top.tag not in ("#page", "html", "body"):
+        kept |= {id(x) for x, _ in _walk(top) if x.tag in PARAGRAPH}
+    return kept
+
+
 def main_text(root: Element, templates: set[int], hashes: dict[int, tuple[int, bool]]) -> str:
     """The blocks that remain, joined by two line ends."""
+    kept: set[int] = set()
+
     def gone(e: Element, inside: bool) -> bool:
-        return is_frame(e, inside) or (id(e) in hashes and hashes[id(e)][0] in templates)
+        return is_frame(e, inside) or (id(e) in hashes and hashes[id(e)][0] in templates and id(e) not in kept)
 
     def mains(e: Element) -> list[Element]:
         found, stack = [], [e]
@@ -224,7 +251,10 @@ def main_text(root: Element, templates: set[int], hashes: dict[int, tuple[int, b
             blocks.append(text)
         line.clear()
 
-    for top in mains(root):
+    tops = mains(root)
+    if tops[0] is root and templates:
+        kept |= main_part(root)
+    for top in tops:
         inside = top is not root
         stack: list = [top]
         while stack:
@@ -250,23 +280,27 @@ def host_of(url: Column) -> Column:
 
 
 def _count_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, key, inside`` once per page and hash; a null key counts the page itself."""
+    """``host, page, key, inside`` once per page and hash; a null key counts the page itself, ``page`` names its text."""
     for batch in slices(batches, "html"):
-        hosts, keys, within = [], [], []
+        hosts, names, keys, within = [], [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            found = set(subtree_hashes(parse(html or ""), host).values())
+            root = parse(html or "")
+            found = set(subtree_hashes(root, host).values())
+            name = hashlib.blake2b(main_text(root, set(), {}).encode("utf-8", "surrogatepass"), digest_size=8).digest()
             hosts += [host] * (len(found) + 1)
+            names += [int.from_bytes(name, "little", signed=True)] * (len(found) + 1)
             keys += [None, *(k for k, _ in found)]
             within += [False, *(i for _, i in found)]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(within, pa.bool_())], ["host", "key", "inside"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.int64()), pa.array(keys, pa.int64()), pa.array(within, pa.bool_())], ["host", "page", "key", "inside"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``host, keys``: the subtrees that recur on at least ``min_pages`` pages of a host and on a share of them.
 
+    Pages of a host with the same text, such as mirrors and repeated rows, are one page.
     As each is on at least that share of the host's pages, a host has few: some tens times what a page holds.
     """
-    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_count_subtrees, "host string, key long, inside boolean")
+    seen = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_count_subtrees, "host string, page long, key long, inside boolean").distinct()
     counted = cut(seen.groupBy("host", "key", "inside").agg(F.count(F.lit(1)).alias("n")).where(F.col("key").isNull() | (F.col("n") >= min_pages)))
     size = counted.where("key is null").select("host", F.col("n").alias("pages"))
     share = F.when(F.col("inside"), F.lit(SHARE_INSIDE)).otherwise(F.lit(SHARE_OUTSIDE))
@@ -279,7 +313,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
     ``pages`` needs ``page_id, url, html``; other columns are ignored. A null or empty html, and a page with no main
     text, gives an empty text. Pages with a null or malformed url are one site without a name. Repeated rows each
-    give a row, and count towards what recurs. An empty table gives an empty result.
+    give a row, and count once towards what recurs. An empty table gives an empty result.
     """
     site = cut(site_templates(pages, min_pages))  # stored, so its size is known to the join
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").join(site, "host", "left")

@@ -68,3 +68,20 @@ def test_nulls_repeats_and_empty_table(stored):
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 1), (1, 0), (1, 0), (2, 0), (3, 0), (4, 999_999)]
     assert all(r.text is not None for r in got)
     assert html.extract(stored([], SCHEMA)).collect() == []
+
+
+def test_copies_of_a_page_are_one_page(stored):
+    page = "<body><div class='top'>Site name</div><div class='text'><p>The first passage of the page</p><p>and its second</p></div></body>"
+    rows = [(i, f"http://site.org/?v={i}", page.replace("<body>", f"<head><meta name='v' content='{i}'></head><body>") if i % 2 else page) for i in range(12)]
+    rows += [(100 + i, None, "<p>Alone</p>") for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(stored(rows, SCHEMA)).collect()}
+    assert got[1] == got[2] == "Site name\n\nThe first passage of the page\n\nand its second" and got[103] == "Alone"
+
+
+def test_most_of_an_unmarked_page_is_no_template(stored):
+    body = "<body><div>Site name</div><div id='wrap'><div class='text'>{}</div></div><div>All rights</div></body>"
+    rows = [(i, f"http://site.org/{i}", body.format(f"<p>A passage that many pages quote</p><p>Own words {i}</p><div>Read more</div>")) for i in range(20)]
+    rows += [(100 + i, f"http://site.org/{i}", body.format("<p>The same long text with another line below it</p>") + f"<span>{i}</span>") for i in range(10)]
+    got = {r.page_id: r.text for r in html.extract(stored(rows, SCHEMA)).collect()}
+    assert got[3] == "A passage that many pages quote\n\nOwn words 3"
+    assert got[104] == "The same long text with another line below it\n\n4"
