@@ -22,7 +22,7 @@ from placekit.llm.common import cut, slices
 
 MIN_PAGES = 8
 SHARE_OUTSIDE, SHARE_INSIDE = 0.02, 0.6
-MAX_DEPTH = 200
+H1, MAIN, MAIN_TEXT = 1, 2, 4
 
 # The tags and words of the markup language and of common page frames.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,12 +51,36 @@ class Element:
     tag: str
     attributes: dict[str, str]
     parts: list = field(default_factory=list)  # texts and elements, in page order
+    holds: int = 0  # which of H1, MAIN and MAIN_TEXT are inside it
+
+
+class Open:
+    """The open elements of a page, and the places of each tag among them, so depth costs nothing."""
+
+    def __init__(self, root: Element):
+        self.stack, self.places = [root], {}
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def close(self, tags, until=()) -> None:
+        """Close the nearest open element of ``tags``, unless one of ``until`` comes before."""
+        at = self._last(tags)
+        if at and at >= self._last(until):
+            for e in self.stack[at:]:
+                self.places[e.tag].pop()
+            del self.stack[at:]
+
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
 
 def parse(html: str) -> Element:
     """The tree of a page. Whatever isn't closed ends with what it is in; markup cut off at the end is dropped."""
     root = Element("#page", {})
-    stack, at, end = [root], 0, len(html)
+    opened, at, end = Open(root), 0, len(html)
+    stack = opened.stack
     while at < end:
         m = _MARKUP.search(html, at)
         if m is None:
@@ -70,15 +94,12 @@ def parse(html: str) -> Element:
             continue
         tag = tag.lower()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            opened.close((tag,))
             continue
         if tag in BLOCK:
-            _end(stack, {"p"}, SCOPES)
+            opened.close(("p",), SCOPES)
         if tag in CLOSED_BY:
-            _end(stack, *CLOSED_BY[tag])
+            opened.close(*CLOSED_BY[tag])
         element = Element(tag, {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {})
         stack[-1].parts.append(element)
         if tag in RAW:
@@ -86,21 +107,17 @@ def parse(html: str) -> Element:
             if close is None:
                 break
             at = close.start()
-        if tag not in VOID and not rest.endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(element)
+        if tag not in VOID and not rest.endswith("/"):
+            opened.push(element)
+    for e, _ in _walk(root):
+        for p in e.parts:
+            if isinstance(p, Element):
+                e.holds |= p.holds | (H1 if p.tag == "h1" else 0)
+                if is_main(p):
+                    e.holds |= MAIN if is_frame(p, True) else MAIN | MAIN_TEXT
     return root
 
 
-def _end(stack: list[Element], tags: set[str], until: frozenset | set) -> None:
-    """Close the nearest open element of ``tags``, unless one of ``until`` comes before."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in tags:
-            del stack[i:]
-            return
-        if stack[i].tag in until:
-            return
-
-
 def is_frame(e: Element, inside: bool) -> bool:
     """Whether an element says of itself that it is part of the page's frame.
 
@@ -114,19 +131,8 @@ def is_frame(e: Element, inside: bool) -> bool:
         return bool({"comment", "comments", "reply"} & set(e.attributes.get("class", "").lower().split()))
     said = FRAME_WORDS & _names(e)
     if e.tag == "header" or said and said <= {"header"}:
-        return not (inside and _holds(e, lambda x: x.tag == "h1")) and not _holds(e, is_main)
-    return (e.attributes.get("role", "").lower() in ROLES or bool(said)) and not _holds(e, is_main_text)
-
-
-def _holds(e: Element, what) -> bool:
-    """Whether something inside an element is ``what``."""
-    stack = [p for p in e.parts if isinstance(p, Element)]
-    while stack:
-        x = stack.pop()
-        if what(x):
-            return True
-        stack += [p for p in x.parts if isinstance(p, Element)]
-    return False
+        return not (inside and e.holds & H1) and not e.holds & MAIN
+    return (e.attributes.get("role", "").lower() in ROLES or bool(said)) and not e.holds & MAIN_TEXT
 
 
 def _names(e: Element) -> set[str]:
@@ -139,11 +145,6 @@ def _names(e: Element) -> set[str]:
     return out
 
 
-def is_main_text(e: Element) -> bool:
-    """The page's main part, or an article that isn't a comment."""
-    return is_main(e) and not is_frame(e, True)
-
-
 def is_main(e: Element) -> bool:
     return e.tag in ("article", "main") or e.attributes.get("role", "").lower() in ("main", "article")
 

@@ -85,3 +85,11 @@ def test_most_of_an_unmarked_page_is_no_template(stored):
     got = {r.page_id: r.text for r in html.extract(stored(rows, SCHEMA)).collect()}
     assert got[3] == "A passage that many pages quote\n\nOwn words 3"
     assert got[104] == "The same long text with another line below it\n\n4"
+
+
+def test_depth_changes_nothing():
+    for n in (3, 197, 250, 3000):
+        assert text("<div>" + "<b>" * n + "<article><p>one</p><div>in</div><p>two</p></article>") == "one\n\nin\n\ntwo"
+        assert text("<span>" * n + "<nav>menu</nav><p>text</p><div class='comments'><p>c</p></div><aside>side</aside>") == "text"
+    assert text("<div role='main' class='banner'>" * 300 + "x" + "</div>" * 300) == ""
+    assert text("<p><div>" + "<font>" * 50_000 + "<h1>t</h1>" * 3000).startswith("t\n\nt")
