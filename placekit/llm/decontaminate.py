@@ -8,6 +8,8 @@ one window of a whole copy equals one of the item's, wherever the copy begins.
 Fingerprints within ``radius`` bits must agree within ``radius // 4`` bits in one of four blocks; tables of all block
 values that near find every such pair. Each pair names an item and a place; there the item's words' worth of the
 document is compared by the exact similarity of weighted five-word shingles (a shingle weighs as often as it occurs).
+Where no such slice is similar enough, as when words were inserted or deleted, every span around the place that can be
+is compared, and the best counts.
 
 The benchmark is indexed in blocks of bounded size, one pass over the documents for each; a usual one needs one.
 """
@@ -88,6 +90,28 @@ def similar(a: Counter, b: Counter) -> float:
     return (a & b).total() / union if union else 0.0
 
 
+def best_span(r: np.ndarray, starts: np.ndarray, want: Counter) -> tuple[float, int]:
+    """The best similarity of a run of shingles of ``r`` that begins at one of ``starts``, and its begin; 0 if under ``PERCENT``.
+
+    The best begins and ends with a shingle of the item: without another one at an end it would be better.
+    """
+    m, best = want.total(), (0.0, 0)
+    fewest, most = -(-PERCENT * m // 100), 100 * m // PERCENT
+    held = np.isin(r, np.fromiter(want, _U, len(want)))
+    sums = np.concatenate([[0], np.cumsum(held)])
+    starts = starts[(starts >= 0) & (starts < len(r))]
+    starts = starts[held[starts] & (sums[np.minimum(starts + most, len(r))] - sums[starts] >= fewest)]
+    for a in starts.tolist():
+        left, common = dict(want), 0
+        for k, x in enumerate(r[a:a + most].tolist(), 1):
+            if left.get(x, 0):
+                left[x] -= 1
+                common += 1
+                if 100 * common >= PERCENT * (m + k - common) and common / (m + k - common) > best[0]:
+                    best = common / (m + k - common), a
+    return best
+
+
 @dataclass
 class SizeIndex:
     """Fingerprints of the items that windows of one size serve, and their block tables."""
@@ -168,6 +192,22 @@ class BenchmarkIndex:
                     if len(win):
                         yield s.item[own], a + first + win * s.stride - s.offset[own]
 
+    def span(self, h: np.ndarray, at: list[int], i: int) -> tuple[float, int]:
+        """The best similarity of item ``i`` with a span of the words ``h`` near the places ``at``, and where it begins."""
+        # a similar span has at most a quarter more or a fifth fewer shingles, so it begins no further away
+        m, best = self.lengths[i] - SHINGLE + 1, (0.0, 0)
+        near, k = -(-m // 4), 0
+        while k < len(at):
+            first = last = at[k]
+            while k < len(at) and at[k] <= last + 2 * near:
+                last, k = at[k], k + 1
+            a = max(0, first - near)
+            r = shingle_hashes(h[a:last + near + 100 * m // PERCENT + SHINGLE])
+            found = best_span(r, np.arange(max(0, last + near + 1 - a)), self.shingles[i])
+            if found[0] > best[0]:
+                best = found[0], a + found[1]
+        return best
+
     def search(self, texts: list[str | None], hashes: WordHashes) -> list[list[tuple[int, int, float]]]:
         """For each text, its items with the place and similarity of the best match."""
         h, starts = concat_words([words(t) for t in texts], hashes)
@@ -183,12 +223,20 @@ class BenchmarkIndex:
         # the item's place must be in the document that has the middle of it
         middle = np.clip(at + length // 2, 0, len(h) - 1)
         doc = np.searchsorted(starts, middle, side="right") - 1
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        places: dict[tuple[int, int], list[int]] = defaultdict(list)
         for d, i, p in sorted(set(zip(doc.tolist(), item.tolist(), at.tolist(), strict=True))):
-            a, b = max(p, int(starts[d])), min(p + self.lengths[i], int(starts[d + 1]))
-            score = similar(Counter(shingle_hashes(h[a:b]).tolist()), self.shingles[i])
-            if score * 100 >= PERCENT - 1e-9 and score > best.get((d, i), (0.0, 0))[0]:
-                best[d, i] = (score, a - int(starts[d]))
+            places[d, i].append(p)
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for (d, i), at in places.items():
+            for p in at:
+                a, b = max(p, int(starts[d])), min(p + self.lengths[i], int(starts[d + 1]))
+                score = similar(Counter(shingle_hashes(h[a:b]).tolist()), self.shingles[i])
+                if score * 100 >= PERCENT - 1e-9 and score > best.get((d, i), (0.0, 0))[0]:
+                    best[d, i] = (score, a - int(starts[d]))
+            if (d, i) not in best:
+                score, p = self.span(h[starts[d]:starts[d + 1]], [p - int(starts[d]) for p in at], i)
+                if score:
+                    best[d, i] = (score, p)
         for (d, i), (score, p) in sorted(best.items()):
             out[d].append((self.ids[i], p, score))
         return out
@@ -209,7 +257,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFr
 
     ``docs`` needs ``doc_id, text``, ``benchmark`` needs ``item_id, text``; other columns are ignored. Null and empty
     texts hold nothing. Items under five words have no shingle and are found nowhere. Rows that repeat are each
-    reported; of equal places the first counts. Either table empty: no rows.
+    reported; of equal places the first counts. ``similarity`` is that of as many words as the item has, or where those
+    aren't similar enough, of the most similar span. Either table empty: no rows.
     """
     spark, out = docs.sparkSession, None
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -85,3 +85,40 @@ def test_blocks_find_all_within_the_radius():
     got = set(zip(*(x.tolist() for x in index.near(windows, 11)), strict=True))
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.bitwise_count(windows[:, None] ^ prints) <= 11), strict=True)}
     assert got == want
+
+
+def edited(rng, n, inserted, deleted):
+    """An item of ``n`` words, and a copy of it with words inserted or deleted at even distances."""
+    w = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    v, k = list(w), inserted + deleted
+    for j in range(k, 0, -1):
+        at = j * n // (k + 1)
+        v[at:at + deleted // k] = [f"new{j}"] * (inserted // k)
+    return w, v
+
+
+@pytest.mark.parametrize("n, inserted, deleted", [(44, 1, 0), (46, 1, 0), (48, 1, 0), (45, 0, 1), (46, 0, 1), (84, 2, 0), (92, 2, 0)])
+def test_inserted_and_deleted_words_near_the_threshold(n, inserted, deleted):
+    rng = random.Random(n + inserted)
+    pairs = [edited(rng, n, inserted, deleted) for _ in range(20)]
+    index = dc.BenchmarkIndex([(i, " ".join(w)) for i, (w, _) in enumerate(pairs)])
+    hit = 0
+    for i, (w, v) in enumerate(pairs):
+        before = [f"x{rng.randrange(5000)}" for _ in range(rng.randrange(60))]
+        want = dc.similar(counter(v), counter(w))
+        assert want >= 0.8 > max(dc.similar(counter((before + v + ["y"] * 9)[p:p + n]), counter(w)) for p in range(len(before) + 5))
+        got = index.search([" ".join(before + v + [f"y{k}" for k in range(40)])], dc.WordHashes())[0]
+        hit += len(got)
+        for item, at, score in got:
+            assert (item, at) == (i, len(before)) and abs(score - want) < 1e-12
+    assert hit >= 18  # SimHash finds candidates with high probability
+
+
+def test_best_span_equals_all_spans():
+    rng = random.Random(4)
+    for _ in range(60):
+        item = [rng.randrange(12) for _ in range(rng.randrange(1, 25))]
+        r = [rng.randrange(14) for _ in range(5)] + [x for x in item if rng.random() > 0.06] + [rng.randrange(14) for _ in range(5)]
+        want = max(dc.similar(Counter(r[a:b]), Counter(item)) for a in range(len(r)) for b in range(a + 1, len(r) + 1))
+        got = dc.best_span(np.array(r, np.uint64), np.arange(len(r)), Counter(item))
+        assert abs(got[0] - (want if want >= 0.8 else 0)) < 1e-12
