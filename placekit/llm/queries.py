@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placekit.llm import ann, decontaminate, html, jaccard, langid, licenses, mixing, sharding, tokens, warc
+from placekit.llm import ann, decontaminate, divergence, html, interaction, jaccard, langid, licenses, mixing, pieces, sharding, tokens, warc
 from placekit.llm.common import read
 
 QUERIES: dict = {}
@@ -83,3 +83,29 @@ ORACLE["op4_license_sentences"] = licenses.oracle()
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with its place."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_source_divergence"] = divergence.oracle()
+
+
+@query
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at every step of each of their orders, per language."""
+    return interaction.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_interaction"] = interaction.oracle()
+
+
+@query
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded to piece ids and decoded again."""
+    import public_tokenizers
+
+    return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
