@@ -49,9 +49,6 @@ class Params:
     area_fanout: int = 40
     world_countries: int = 195
     default_area_km2: float = 100_000.0
-    # Engine bound, not a model value: a group up to this many rows may be folded
-    # inside one Arrow batch; larger groups go through distributed rounds.
-    local_group_rows: int = 5_000
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

@@ -1,18 +1,16 @@
-"""Ordered folding: walk rows from strongest to weakest, fold each into a kept host or keep it.
+"""Ordered folding: rows from strongest to weakest, each folded into a kept host or kept.
 
-The outcome depends on the order, so it is computed exactly. A group small enough for one
-Arrow batch is walked there; larger groups run distributed rounds that settle, in each round,
-every row no undecided stronger row nearby can still influence.
+The outcome is that of one row after another, found by dependency: who may decide about whom is joined once, and a row
+decides as soon as no undecided stronger row is left that could. The number of rounds is the longest chain of such
+waits, not the number of rows. Where very many rows crowd one place, rounds of leaders thin it first, so that the
+pairs stay near a fixed number per row.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placekit.functions.vocab import EARTH_KM
 from placekit.operators import spatial
 from placekit.plans.session import cut, is_empty
 
@@ -20,75 +18,16 @@ FOLDS = "guest_id string, host_id string, km double"
 
 # rule -> does the first or the nearest host win, and do hosts gather their guests' kinds
 NEAREST, FIRST, KINDS = "nearest", "first", "kinds"
+CROWD = 256  # undecided rows of a block from which on leaders thin it before pairs are made
 
 
-def arc_km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
-    """Haversine kilometres from one point to many, to the millimetre."""
-    p, q = np.radians(lat), np.radians(lats)
-    s = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lons - lon) / 2) ** 2
-    return np.rint(2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(s))) * 1e6) / 1e6
-
-
-def walk(lat, lon, radius, foldable, mask, rule: str):
-    """Hosts (-1 = kept) and distances for rows already in strength order."""
-    n = len(lat)
-    host, dist = np.full(n, -1), np.zeros(n)
-    kept, m = np.empty(n, dtype=int), 0
-    held = np.array(mask, dtype=np.int64)
-    for i in range(n):
-        if foldable[i] and m:
-            hosts = kept[:m]
-            km = arc_km(lat[i], lon[i], lat[hosts], lon[hosts])
-            ok = km <= radius[i]
-            if rule == KINDS:
-                ok &= (mask[i] == 0) | (held[hosts] == 0) | ((held[hosts] & mask[i]) != 0)
-            hits = np.flatnonzero(ok)
-            if len(hits):
-                j = hits[0] if rule == FIRST else hits[np.argmin(km[hits])]
-                host[i], dist[i] = hosts[j], km[j]
-                held[hosts[j]] |= mask[i]
-                continue
-        kept[m] = i
-        m += 1
-    return host, dist
-
-
-def split_by_size(rows: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups within ``limit`` and rows of larger groups (None when there are none)."""
-    if not keys:
-        big = len(rows.select(F.lit(1)).take(limit + 1)) > limit
-        return (rows.limit(0), rows) if big else (rows, None)
-    big = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-    if is_empty(big):
-        return rows, None
-    return rows.join(big, keys, "left_anti"), rows.join(big, keys, "left_semi")
-
-
-def fold(rows: DataFrame, on: list[str], rule: str, limit: int) -> DataFrame:
-    """Fold ``rows`` (id, rank, lat, lon, radius, foldable, mask, *on) group by group.
-
-    Rows that cannot fold must outrank the ones that can. Returns guest_id, host_id, km.
+def fold(rows: DataFrame, on: list[str], rule: str, crowd: int = CROWD) -> DataFrame:
+    """Fold ``rows`` (id, rank, lat, lon, radius, foldable, mask, *on) within groups of equal ``on``.
+
+    Rows that cannot fold must outrank the ones that can; KINDS takes one radius for all. Returns guest_id, host_id, km.
     """
     rows = cut(rows.select("id", "rank", "lat", "lon", "radius", "foldable", "mask", *on))
-    small, large = split_by_size(rows, on, limit)
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        ids = pdf["id"].to_numpy()
-        host, km = walk(*(pdf[c].to_numpy() for c in ("lat", "lon", "radius", "foldable", "mask")), rule)
-        hit = host >= 0
-        return pd.DataFrame({"guest_id": ids[hit], "host_id": ids[host[hit]], "km": km[hit]})
-
-    groups = small.groupBy(*on) if on else small.withColumn("_one", F.lit(0)).groupBy("_one")
-    out = groups.applyInPandas(local, FOLDS)
-    if large is not None:
-        out = out.unionByName(fold_rounds(large, on, rule))
-    return out
-
-
-def fold_rounds(rows: DataFrame, on: list[str], rule: str) -> DataFrame:
-    """The same fold over groups of any size."""
-    return _rounds_with_kinds(rows, on) if rule == KINDS else _rounds_fixed(rows, on, rule)
+    return _gathering(rows, on, crowd) if rule == KINDS else _fixed(rows, on, rule, crowd)
 
 
 def _as_hosts(rows: DataFrame, on: list[str]) -> DataFrame:
@@ -96,7 +35,36 @@ def _as_hosts(rows: DataFrame, on: list[str]) -> DataFrame:
                        F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), *on)
 
 
-def _rounds_fixed(rows: DataFrame, on: list[str], rule: str) -> DataFrame:
+def _crowded(rows: DataFrame, km: str, on: list[str], crowd: int) -> bool:
+    return not is_empty(rows.groupBy(spatial.block_of(km).alias("_block"), *on).count().where(F.col("count") > crowd))
+
+
+def settle(waits: DataFrame) -> DataFrame | None:
+    """Who is kept when a row folds exactly if a kept row it waits for exists: id, of ``waits`` (id, host_id).
+
+    Rows that wait for nobody are kept and are not listed; they must all be among the hosts or not matter.
+    """
+    waits = cut(waits.select("id", "host_id").distinct())
+    kept = cut(waits.select(F.col("host_id").alias("id")).distinct().join(waits.select("id").distinct(), "id", "left_anti"))
+    out = []
+    while not is_empty(kept):
+        out.append(kept)
+        folded = cut(waits.join(kept.withColumnRenamed("id", "host_id"), "host_id").select("id").distinct())
+        rest = cut(waits.join(folded, "id", "left_anti").join(folded.withColumnRenamed("id", "host_id"), "host_id", "left_anti"))
+        # what waited and waits no more is kept
+        kept = cut(waits.select("id").distinct().join(folded, "id", "left_anti").join(rest.select("id").distinct(), "id", "left_anti"))
+        waits = rest
+    return union(out)
+
+
+def union(frames: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def _fixed(rows: DataFrame, on: list[str], rule: str, crowd: int) -> DataFrame:
     """Hosts never change once kept, so a row with any host in range is sure to fold."""
     order = ("h_rank", "km") if rule == FIRST else ("km", "h_rank")
     best = F.min(F.struct(*order, "host_id")).alias("_b")
@@ -117,55 +85,87 @@ def _rounds_fixed(rows: DataFrame, on: list[str], rule: str) -> DataFrame:
         near = near.join(ranks, "host_id").select("id", F.struct(*order, "host_id").alias("_b"))
         todo = todo.join(near, "id", "left")
     todo = cut(todo)
-    block = spatial.block_of("radius")
-    while True:
-        open_ = todo.where(F.col("_b").isNull())
-        if is_empty(open_):
-            break
-        firsts = spatial.block_min(open_, "rank", "radius", on).withColumnRenamed("rank", "_first")
-        leaders = cut(open_.withColumn("_block", block).join(firsts, ["_block", *on])
-                      .where(F.col("rank") == F.col("_first")).drop("_block", "_first", "_b"))
-        rest = todo.join(leaders.select("id"), "id", "left_anti")
-        found = reach(rest.drop("_b"), _as_hosts(leaders, on)).withColumnRenamed("_b", "_new")
-        todo = cut(rest.join(found, "id", "left").withColumn("_b", F.least("_b", "_new")).drop("_new"))
-    return todo.select(F.col("id").alias("guest_id"), F.col("_b.host_id"), F.col("_b.km"))
 
+    def with_hosts(hosts: DataFrame) -> DataFrame:
+        rest = todo.join(hosts.select("id"), "id", "left_anti")
+        found = reach(rest.drop("_b"), _as_hosts(hosts, on)).withColumnRenamed("_b", "_new")
+        return cut(rest.join(found, "id", "left").withColumn("_b", F.least("_b", "_new")).drop("_new"))
 
-def _rounds_with_kinds(rows: DataFrame, on: list[str]) -> DataFrame:
+    open_ = todo.where(F.col("_b").isNull()).drop("_b")
+    while _crowded(open_, "radius", on, crowd):
+        firsts = spatial.block_min(open_, "rank", "radius", on).withColumnRenamed("rank", "_first")
+        leaders = open_.withColumn("_block", spatial.block_of("radius")).join(firsts, ["_block", *on])
+        todo = with_hosts(cut(leaders.where(F.col("rank") == F.col("_first")).drop("_block", "_first")))
+        open_ = todo.where(F.col("_b").isNull()).drop("_b")
+    open_ = cut(open_)
+    waits = cut(spatial.radius_join(open_, _as_hosts(open_, on), "radius", on).where(F.col("h_rank") < F.col("rank")).select("id", "host_id"))
+    kept = settle(waits)
+    alone = open_.select("id").join(waits.select("id"), "id", "left_anti")
+    kept = alone if kept is None else alone.unionByName(kept).distinct()
+    todo = with_hosts(cut(open_.join(kept, "id", "left_semi")))
+    return todo.where(F.col("_b").isNotNull()).select(F.col("id").alias("guest_id"), F.col("_b.host_id"), F.col("_b.km"))
+
+
+def _gathering(rows: DataFrame, on: list[str], crowd: int) -> DataFrame:
     """Hosts gather kinds, which changes whom they accept.
 
-    Only a row that becomes a host, or teaches its host a new kind, changes anything. Rows
-    ahead of the first such row within two radii are settled together; that row is applied.
+    A row must know what stronger rows made of the hosts in its reach, and they did so within two radii of it.
+    """
+    twice, mask, held = "2 * radius", F.col("mask"), F.col("h_mask")
+    takes = (mask == 0) | (held == 0) | (mask.bitwiseAND(held) != 0)
+    todo, hosts, folds = thin_crowds(rows, on, crowd)
+    waits = cut(spatial.radius_join(todo.withColumn("_twice", F.expr(twice)), _as_hosts(todo, on), "_twice", on)
+                .where(F.col("h_rank") < F.col("rank")).select("id", "mask", "host_id"))
+    reach = cut(spatial.radius_join(todo, hosts.unionByName(_as_hosts(todo, on)), "radius", on)
+                .where(F.col("h_rank") < F.col("rank")).select("id", "mask", "host_id", "h_rank", "km"))
+    state = hosts.select("host_id", "h_mask")
+    ready = todo.select("id", "mask").join(waits.select("id").distinct(), "id", "left_anti")
+    while True:
+        state = cut(state.join(reach.select("host_id").distinct(), "host_id", "left_semi"))
+        best = (reach.join(state, "host_id").where(takes).groupBy("id").agg(F.min(F.struct("km", "h_rank", "host_id")).alias("_b")))
+        step = cut(ready.join(best, "id", "left"))
+        folds.append(step.where(F.col("_b").isNotNull()).select(F.col("id").alias("guest_id"), "_b.host_id", "_b.km"))
+        if is_empty(waits):
+            return union(folds)
+        taught = step.where(F.col("_b").isNotNull()).groupBy("_b.host_id").agg(F.bit_or("mask").alias("_more"))
+        state = (state.join(taught, "host_id", "left").select("host_id", F.col("h_mask").bitwiseOR(F.coalesce("_more", F.lit(0))).alias("h_mask"))
+                 .unionByName(step.where(F.col("_b").isNull()).select(F.col("id").alias("host_id"), F.col("mask").alias("h_mask"))))
+        done = step.select(F.col("id").alias("host_id"))
+        left = cut(waits.join(done, "host_id", "left_anti"))
+        gone = step.where(F.col("_b").isNotNull()).select(F.col("id").alias("host_id"))
+        reach = cut(reach.join(step.select("id"), "id", "left_anti").join(gone, "host_id", "left_anti"))
+        ready = waits.select("id", "mask").distinct().join(left.select("id").distinct(), "id", "left_anti")
+        waits = left
+
+
+def thin_crowds(rows: DataFrame, on: list[str], crowd: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Undecided rows, kept hosts and folds once no block of two radii is crowded with undecided rows.
+
+    Only a row that becomes a host, or teaches its host a new kind, changes anything. Rows ahead of the first such row
+    within two radii are settled together; that row is applied.
     """
-    todo, folds = cut(rows), []
-    hosts = cut(_as_hosts(rows, on).limit(0))
+    todo, folds = rows, []
+    hosts = _as_hosts(rows, on).limit(0)
     twice = "2 * radius"
-    while not is_empty(todo):
+    while _crowded(todo, twice, on, crowd):
         mask, held = F.col("mask"), F.col("h_mask")
         pairs = spatial.radius_join(todo, hosts, "radius", on).where(F.col("h_rank") < F.col("rank"))
         pairs = pairs.where((mask == 0) | (held == 0) | (mask.bitwiseAND(held) != 0))
         best = pairs.groupBy("id").agg(F.min(F.struct("km", "h_rank", "host_id", "h_mask")).alias("_b"))
         seen = todo.join(best, "id", "left")
         grows = F.col("_b").isNull() | (mask.bitwiseAND(F.bitwise_not(F.col("_b.h_mask"))) != 0)
-        seen = seen.withColumn("_moves", F.coalesce(grows, F.lit(True))).withColumn("_block", spatial.block_of(twice))
-        seen = cut(seen)
+        seen = cut(seen.withColumn("_moves", F.coalesce(grows, F.lit(True))).withColumn("_block", spatial.block_of(twice)))
         firsts = spatial.block_min(seen.where("_moves"), "rank", twice, on).withColumnRenamed("rank", "_first")
         seen = seen.join(firsts, ["_block", *on], "left")
         ahead = F.col("_first").isNull() | (F.col("rank") < F.col("_first"))
         step = cut(seen.withColumn("_now", F.when(F.col("_moves"), F.col("rank") == F.col("_first")).otherwise(ahead)))
         done = step.where("_now")
-        folds.append(done.where(F.col("_b").isNotNull()).select(
-            F.col("id").alias("guest_id"), F.col("_b.host_id"), F.col("_b.km")))
-        taught = done.where(F.col("_b").isNotNull() & F.col("_moves")).select(
-            F.col("_b.host_id"), F.col("mask").alias("_more"))
-        grown = hosts.join(taught, "host_id", "left").withColumn(
-            "h_mask", F.col("h_mask").bitwiseOR(F.coalesce("_more", F.lit(0)))).drop("_more")
+        folds.append(done.where(F.col("_b").isNotNull()).select(F.col("id").alias("guest_id"), F.col("_b.host_id"), F.col("_b.km")))
+        taught = done.where(F.col("_b").isNotNull() & F.col("_moves")).groupBy("_b.host_id").agg(F.bit_or("mask").alias("_more"))
+        grown = hosts.join(taught, "host_id", "left").withColumn("h_mask", F.col("h_mask").bitwiseOR(F.coalesce("_more", F.lit(0)))).drop("_more")
         hosts = cut(grown.unionByName(_as_hosts(done.where(F.col("_b").isNull()), on)))
         todo = cut(step.where(~F.col("_now")).select(*rows.columns))
-    out = folds[0]
-    for more in folds[1:]:
-        out = out.unionByName(more)
-    return out
+    return todo, hosts, folds
 
 
 def roots(folds: DataFrame) -> DataFrame:

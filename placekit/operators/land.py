@@ -7,10 +7,8 @@ centre does. Areas, borders, unions and gaps of cells are joins and sums.
 
 from __future__ import annotations
 
-import heapq
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +19,7 @@ from placekit.functions.vocab import (
     SMALL_LAND_DEG2, SMALL_LAND_TOLERANCE, TILE_MAX_PLACES, TILE_MIN_PLACES,
 )
 from placekit.operators import graph, spatial
+from placekit.operators.folding import roots
 from placekit.operators.serve import cuttable
 from placekit.plans.session import cut, is_empty
 
@@ -345,9 +344,6 @@ def place_in_cells(places: DataFrame, cells: DataFrame, q: float, id_col: str) -
 
 
 # ------------------------------------------------------------------ merging tiles
-_MERGED = "grp string, unit string, tile string"
-
-
 def split_oversized(units: DataFrame, children: DataFrame) -> DataFrame:
     """Units holding more than six places give way to their children.
 
@@ -359,108 +355,82 @@ def split_oversized(units: DataFrame, children: DataFrame) -> DataFrame:
     return units.join(big, "unit", "left_anti").unionByName(kids, allowMissingColumns=True)
 
 
-class _Mosaic:
-    """Tiles of one cluster with what they share, and what each was made of."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.grp = rows["grp"].iloc[0]
-        own = rows[rows["b"].isna()]
-        self.tile = {r["unit"]: r for r in own.to_dict("records")}
-        self.made_of = {u: [u] for u in self.tile}
-        self.beside: dict[str, dict[str, float]] = {u: {} for u in self.tile}
-        for a, b, shared in rows.loc[rows["b"].notna(), ["unit", "b", "shared"]].itertuples(index=False):
-            if a in self.tile and b in self.tile:
-                self.beside[a][b] = self.beside[b][a] = float(shared)
-
-    def absorb(self, keep: str, gone: str) -> None:
-        """``gone`` becomes part of ``keep``; borders with a third tile add up."""
-        self.made_of[keep] += self.made_of.pop(gone)
-        del self.tile[gone]
-        for other, shared in self.beside.pop(gone).items():
-            self.beside[other].pop(gone)
-            if other != keep:
-                total = self.beside[keep].get(other, 0.0) + shared
-                self.beside[keep][other] = self.beside[other][keep] = total
-
-    def settle(self, weight: str, small, partner) -> pd.DataFrame:
-        """Lightest first, join every small tile that touches another to its ``partner``, until none is left.
-
-        ``partner`` names the pair (kept, gone) and what the kept tile becomes. A tile alone is set aside.
-        """
-        heap = [(t[weight], u) for u, t in self.tile.items() if small(t[weight])]
-        heapq.heapify(heap)
-        while heap:
-            size, u = heapq.heappop(heap)
-            if u not in self.tile or self.tile[u][weight] != size or not self.beside[u]:
-                continue  # an older entry, or an island
-            keep, gone, becomes = partner(u)
-            self.absorb(keep, gone)
-            self.tile[keep].update(becomes)
-            if small(self.tile[keep][weight]):
-                heapq.heappush(heap, (self.tile[keep][weight], keep))
-        return pd.DataFrame([(self.grp, u, t) for t, us in self.made_of.items() for u in us], columns=["grp", "unit", "tile"])
-
-
-def _settle_thin(rows: pd.DataFrame) -> pd.DataFrame:
-    m = _Mosaic(rows)
-
-    def joined(a: str, b: str) -> float:
-        return m.tile[a]["perimeter"] + m.tile[b]["perimeter"] - 2 * m.beside[a][b]
-
-    def price(a: str, b: str) -> float:
-        x, y = int(m.tile[a]["kmask"]), int(m.tile[b]["kmask"])
-        common = (x & y).bit_count() / (x | y).bit_count() if x and y else 0.0
-        longer = joined(a, b) - max(m.tile[a]["perimeter"], m.tile[b]["perimeter"])
-        return max(0.0, longer) + 4.0 * (1.0 - common)
-
-    def partner(u: str):
-        _, v = min((price(u, v), v) for v in m.beside[u])
-        a, b = m.tile[u], m.tile[v]
-        return min(u, v), max(u, v), {"n_places": a["n_places"] + b["n_places"], "perimeter": joined(u, v), "kmask": int(a["kmask"]) | int(b["kmask"])}
-
-    return m.settle("n_places", lambda n: 0 < n < TILE_MIN_PLACES, partner)
-
-
-def _settle_small(rows: pd.DataFrame, least: float, most: float) -> pd.DataFrame:
-    m = _Mosaic(rows)
-
-    def partner(u: str):
-        size = m.tile[u]["deg2"]
-        # the longest border with a tile that stays within bounds; where none does, the smallest tile
-        ranked = [((1, shared, v), v) if m.tile[v]["deg2"] + size <= most else ((0, 0.0, ""), v) for v, shared in m.beside[u].items()]
-        v = max(ranked)[1] if max(ranked)[0][0] else min((m.tile[v]["deg2"], v) for v in m.beside[u])[1]
-        return v, u, {"deg2": m.tile[v]["deg2"] + size}
-
-    return m.settle("deg2", lambda a: a < least, partner)
-
-
-def _by_cluster(units: DataFrame, border: DataFrame, cols: list[str], active: Column, solve) -> DataFrame:
-    """Merge each cluster of active units and the units that touch them on its own: grp, unit, tile.
-
-    A merge looks at and changes only neighbours, and what it makes is active only if both parts were, so clusters
-    (connected by borders of which one side is active) never meet. Units in none stay as they are.
+def _contract(tiles: DataFrame, border: DataFrame, small, best, become, in_turn: bool = False) -> DataFrame:
+    """Merge every small tile that touches another, lightest first, until none is left: grp, unit, tile.
+
+    ``tiles``: grp, unit, weight, pos and what ``best`` and ``become`` read; equal weights go by ``pos``. ``small`` tells a weight
+    that must merge, ``best`` orders the neighbours of a tile (its columns in u, theirs in v), ``become`` makes the
+    columns of the merged tile. A tile alone is set aside.
+
+    The outcome is that of one merge at a time, found in rounds over all countries: a merge reads its neighbours and
+    changes them and what touches them, so a tile that is the lightest of all small ones within two borders can go at
+    once. What others become meanwhile is heavier than a tile within two borders and so no lighter than this one. Where
+    neighbours may weigh nothing that doesn't hold; then (``in_turn``) only tiles of the lightest weight of a country go that
+    were merged least often.
     """
-    node = F.struct("grp", "unit")
-    flagged = cut(units.select("grp", "unit", *cols, active.alias("_active")))
-    side = flagged.select("grp", "unit", "_active")
-    near = border.select("grp", "a", "b", "shared")
-    near = near.join(side.select("grp", F.col("unit").alias("a"), F.col("_active").alias("_x")), ["grp", "a"])
-    near = cut(near.join(side.select("grp", F.col("unit").alias("b"), F.col("_active").alias("_y")), ["grp", "b"]).where("_x or _y"))
-    label = cut(graph.components(near.select(F.struct("grp", F.col("a").alias("unit")).alias("a"), F.struct("grp", F.col("b").alias("unit")).alias("b"))).select("node.*", F.col("label").alias("_cluster")))
-    rows = flagged.drop("_active").join(label, ["grp", "unit"]).withColumns({"b": F.lit(None).cast("string"), "shared": F.lit(0.0)})
-    sides = near.select("grp", F.col("a").alias("unit"), "b", "shared").join(label, ["grp", "unit"])
-    merged = rows.unionByName(sides, allowMissingColumns=True).groupBy("_cluster").applyInPandas(solve, _MERGED)
-    alone = flagged.select(node.alias("_n"), "grp", "unit").join(label.select(node.alias("_n")), "_n", "left_anti")
-    return merged.unionByName(alone.select("grp", "unit", F.col("unit").alias("tile")))
+    extra = [c for c in tiles.columns if c not in ("grp", "unit")]
+    state = F.struct(*extra)
+    key = lambda t: F.when(small(t["weight"]), F.struct(t["weight"].alias("weight"), t["pos"].alias("pos")))
+    sides = border.select("grp", "a", "b", "shared").unionByName(border.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    one, two = tiles.select("grp", F.col("unit").alias("a"), state.alias("u")), tiles.select("grp", F.col("unit").alias("b"), state.alias("v"))
+    # a border matters while one of its sides must merge, or weighs nothing and so may become part of one that must
+    matters = lambda t: small(t["weight"]) | (t["weight"] <= 0)
+    edges = cut(sides.join(one, ["grp", "a"]).join(two, ["grp", "b"]).where(matters(F.col("u")) | matters(F.col("v"))))
+    gone = None
+    while True:
+        open_ = edges.where(small(F.col("u.weight")))
+        if is_empty(open_):
+            break
+        near = edges.groupBy("grp", "a").agg(F.least(F.first(key(F.col("u"))), F.min(key(F.col("v")))).alias("near"))
+        around = open_.join(near.withColumnRenamed("a", "b"), ["grp", "b"]).groupBy("grp", "a").agg(
+            F.first(key(F.col("u"))).alias("own"), F.min("near").alias("least"))
+        ready = around.where(F.col("own") == F.col("least"))
+        if in_turn:
+            # a position ends in a digest; what is before it tells how often, and at what weights, the tile was merged
+            batch = lambda t: F.struct(t["weight"], F.substring(t["pos"], F.lit(1), F.length(t["pos"]) - 32))
+            turn = open_.groupBy("grp").agg(F.min(batch(F.col("u"))).alias("_turn"))
+            ready = ready.join(turn, "grp").where(batch(F.col("own")) == F.col("_turn"))
+        ready = ready.select("grp", "a")
+        pick = open_.join(ready, ["grp", "a"]).groupBy("grp", "a").agg(F.min_by(F.struct("b", "shared", "u", "v"), best).alias("p"))
+        pairs = pick.select("grp", F.col("a").alias("u_id"), F.col("p.b").alias("v_id"), F.col("p.shared").alias("shared"), F.col("p.u").alias("u"), F.col("p.v").alias("v"))
+        merged = become()
+        pairs = cut(pairs.select("grp", "u_id", "v_id", merged["unit"].alias("keep"), F.struct(*[merged[c].cast(tiles.schema[c].dataType).alias(c) for c in extra]).alias("now")))
+        lost = pairs.select("grp", F.when(F.col("keep") == F.col("u_id"), F.col("v_id")).otherwise(F.col("u_id")).alias("unit"), F.col("keep").alias("tile"))
+        gone = lost if gone is None else gone.unionByName(lost)
+        new = pairs.select("grp", F.explode(F.array("u_id", "v_id")).alias("old"), "keep", "now")
+        for side, was in (("a", "u"), ("b", "v")):
+            edges = edges.join(new.select("grp", F.col("old").alias(side), F.col("keep").alias("_keep"), F.col("now").alias("_now")), ["grp", side], "left").withColumns(
+                {side: F.coalesce("_keep", side), was: F.coalesce("_now", was)}).drop("_keep", "_now")
+        edges = cut(edges.where((F.col("a") != F.col("b")) & (matters(F.col("u")) | matters(F.col("v"))))
+                    .groupBy("grp", "a", "b").agg(F.sum("shared").alias("shared"), F.first("u").alias("u"), F.first("v").alias("v")))
+    if gone is None:
+        return tiles.select("grp", "unit", F.col("unit").alias("tile"))
+    link = gone.select(F.struct("grp", "unit").alias("guest_id"), F.struct("grp", F.col("tile").alias("unit")).alias("host_id"))
+    last = roots(link).select("guest_id.*", F.col("root_id.unit").alias("tile"))
+    return tiles.select("grp", "unit").join(last, ["grp", "unit"], "left").select("grp", "unit", F.coalesce("tile", "unit").alias("tile"))
+
+
+def _joined() -> Column:
+    """Outline of tiles u and v together."""
+    return F.col("u.perimeter") + F.col("v.perimeter") - 2 * F.col("shared")
 
 
 def merge_undersized(units: DataFrame, border: DataFrame) -> DataFrame:
     """Merge units of one or two places with their cheapest neighbour (G09): grp, unit, tile.
 
-    ``units``: grp, unit, n_places, perimeter, kmask. Cost is added outline plus four times the
-    share of kinds not held in common. A tile never crosses a border; one without a neighbour stays.
+    ``units``: grp, unit, n_places, perimeter, kmask. Cost is added outline plus four times the share of kinds not held in
+    common. Fewest places first; equal ones in the order of their ids' digests, and what merging made after those. A
+    tile is named for the smaller id, never crosses a border, and stays when it has no neighbour.
     """
-    return _by_cluster(units, border, ["n_places", "perimeter", "kmask"], F.col("n_places") < TILE_MIN_PLACES, _settle_thin)
+    x, y = F.col("u.kmask"), F.col("v.kmask")
+    common = F.when((x != 0) & (y != 0), F.bit_count(x.bitwiseAND(y)) / F.bit_count(x.bitwiseOR(y))).otherwise(0.0)
+    longer = _joined() - F.greatest("u.perimeter", "v.perimeter")
+    price = F.greatest(F.lit(0.0), longer) + 4.0 * (1.0 - common)
+    tiles = units.select("grp", "unit", F.col("n_places").cast("long").alias("weight"), F.concat(F.lit("0"), F.md5("unit")).alias("pos"), F.col("perimeter").cast("double"), F.col("kmask").cast("long"))
+    # a tile that merging made comes after all it was made beside, in the order of the merges
+    become = lambda: {"unit": F.least("u_id", "v_id"), "weight": F.col("u.weight") + F.col("v.weight"),
+                      "pos": F.concat(F.lit("1"), F.col("u.weight").cast("string"), F.col("u.pos")), "perimeter": _joined(), "kmask": x.bitwiseOR(y)}
+    return _contract(tiles, border, lambda w: (w > 0) & (w < TILE_MIN_PLACES), F.struct(price, "v.pos"), become, in_turn=True)
 
 
 def side_deg(width_mm: float) -> float:
@@ -469,9 +439,20 @@ def side_deg(width_mm: float) -> float:
 
 
 def merge_to_size(units: DataFrame, border: DataFrame, width_mm: float, cap_times: float = 3.0) -> DataFrame:
-    """Merge the smallest tile into its longest-border neighbour until all can be cut (G10): grp, unit, tile."""
+    """Merge the smallest tile into its longest-border neighbour until all can be cut (G10): grp, unit, tile.
+
+    ``units``: grp, unit, deg2 (above 0). Of the neighbours that stay within ``cap_times`` the least size, the one with the
+    longest border takes it; where none does, the smallest. Equal ones go by their ids' digests. A tile keeps the id of
+    what took in the rest.
+    """
     least = side_deg(width_mm) ** 2
-    return _by_cluster(units, border, ["deg2"], F.col("deg2") < least, lambda rows: _settle_small(rows, least, least * cap_times))
+    fits = F.col("u.weight") + F.col("v.weight") <= least * cap_times
+    # later digests first among equal borders, earlier ones among equal sizes
+    best = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, -F.col("shared")).otherwise(F.col("v.weight")),
+                    F.when(fits, F.translate("v.pos", "0123456789abcdef", "fedcba9876543210")).otherwise(F.col("v.pos")))
+    tiles = units.select("grp", "unit", F.col("deg2").cast("double").alias("weight"), F.md5("unit").alias("pos"))
+    become = lambda: {"unit": F.col("v_id"), "weight": F.col("v.weight") + F.col("u.weight"), "pos": F.col("v.pos")}
+    return _contract(tiles, border, lambda w: w < least, best, become)
 
 
 def nest_levels(cells: DataFrame, base: DataFrame, q: float, widths=LEVEL_WIDTHS) -> DataFrame:

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,9 +22,7 @@ from placekit.functions.vocab import (
     TIER_WEIGHT, Params, lookup,
 )
 from placekit.operators import spatial
-from placekit.operators.folding import (
-    FIRST, FOLDS, KINDS, NEAREST, arc_km, fold, roots, split_by_size, walk,
-)
+from placekit.operators.folding import FIRST, KINDS, NEAREST, fold, roots, union
 from placekit.operators.scoring import bulk
 from placekit.plans.session import cut, is_empty, number_rows
 
@@ -211,99 +207,58 @@ def merge_transliterations(cands: DataFrame, p: Params = PARAMS, bucket_pairs: i
 
 
 # ------------------------------------------------------------------ G02
-def _grow_cities(pdf: pd.DataFrame, share: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["population", "candidate_id"], ascending=[False, True])
-    ids, lat, lon = (pdf[c].to_numpy() for c in ("candidate_id", "lat", "lon"))
-    heads, harvest = pdf["population"].to_numpy().copy(), pdf["harvest"].to_numpy()
-    free = np.ones(len(ids), dtype=bool)
-    rows = []
-    for i in range(len(ids)):
-        if not free[i] or heads[i] <= 0:
-            continue
-        km = arc_km(lat[i], lon[i], lat, lon)
-        around = np.flatnonzero(free & harvest & (km <= CITY_RADIUS_MAX))
-        around = around[around != i]
-        while len(around):
-            reach = next((r for floor, r in CITY_RADIUS if heads[i] >= floor), CITY_RADIUS_MIN)
-            take = (km[around] <= reach) & (heads[around] <= heads[i] * share)
-            if not take.any():
-                break
-            got = around[take]
-            heads[i] += heads[got].sum()
-            free[got] = False
-            rows.extend((ids[g], ids[i], km[g]) for g in got)
-            around = around[~take]
-    return pd.DataFrame(rows, columns=["guest_id", "host_id", "km"])
-
-
-def _grow_cities_rounds(rows: DataFrame, share: float) -> DataFrame:
-    """City growth over countries of any size.
+def _grow_cities(rows: DataFrame, share: float) -> DataFrame:
+    """Suburbs of each growing head: guest_id, host_id, km.
 
-    A head is taken when no larger unfinished head that can grow lies within twice the widest radius, so the
-    heads of one round cannot touch the same suburbs. Growth only ever adds, so each head's
-    suburbs are the least fixed point of "in reach and small enough".
+    A head with nobody small enough in reach never has one, for others only grow or go, so it takes no part. The others
+    wait for the larger ones within twice the widest radius, which could take the same suburbs or the head itself. Growth
+    only ever adds, so a head's suburbs are the least fixed point of "in reach and small enough".
     """
-    wide = 2 * CITY_RADIUS_MAX
-    state = cut(number_rows(rows, [F.col("population").desc(), F.col("candidate_id")])
-                .withColumn("heads", F.col("population")).withColumn("done", F.lit(False)))
-    folds = None
+    state = cut(number_rows(rows, [F.col("population").desc(), F.col("candidate_id")]).withColumn("reach", city_radius(F.col("population"))))
+    heads = state.where(F.col("population") > 0).select("candidate_id", "country", "lat", "lon", "rank", "population", "reach")
+    near = spatial.as_right(state.where("harvest").select("candidate_id", "country", "lat", "lon", F.col("population").alias("size")), guest_id="candidate_id")
+    first = spatial.radius_join(heads, near, "reach", ["country"]).where((F.col("guest_id") != F.col("candidate_id")) & (F.col("size") <= F.col("population") * share))
+    able = cut(heads.join(first.select("candidate_id").distinct(), "candidate_id", "left_semi").withColumnsRenamed({"candidate_id": "host_id", "population": "heads"}).drop("reach"))
+    # no head outgrows all that lies in the widest circle around it
+    pairs = cut(spatial.radius_join(able, near, CITY_RADIUS_MAX, ["country"]).where(F.col("guest_id") != F.col("host_id"))
+                .select("host_id", "heads", "guest_id", "size", "km"))
+    larger = spatial.as_right(able.select("host_id", "country", "lat", "lon", F.col("rank").alias("h_rank")), on_id="host_id")
+    waits = cut(spatial.radius_join(able, larger, 2.0 * CITY_RADIUS_MAX, ["country"]).where(F.col("h_rank") < F.col("rank")).select("host_id", "on_id"))
+    ready = able.select("host_id").join(waits.select("host_id").distinct(), "host_id", "left_anti")
+    folds = []
     while True:
-        open_ = state.where(~F.col("done") & (F.col("heads") > 0))
-        if is_empty(open_):
-            break
-        near = spatial.as_right(state.where("harvest").select("candidate_id", "country", "lat", "lon", F.col("heads").alias("size")), guest_id="candidate_id")
-        # a head with nobody small enough in reach never has one: others only grow or go, so it is settled at once
-        reach = open_.select("candidate_id", "country", "lat", "lon", "heads", city_radius(F.col("heads")).alias("reach"))
-        able = spatial.radius_join(reach, near, "reach", ["country"]).where((F.col("guest_id") != F.col("candidate_id")) & (F.col("size") <= F.col("heads") * share))
-        able = cut(able.select("candidate_id").distinct())
-        if is_empty(able):
-            break
-        state = cut(state.join(able.withColumn("_able", F.lit(True)), "candidate_id", "left")
-                    .withColumn("done", F.col("done") | F.col("_able").isNull()).drop("_able"))
-        able = open_.join(able, "candidate_id", "left_semi")
-        firsts = spatial.block_min(able, "rank", wide, ["country"]).withColumnRenamed("rank", "_first")
-        ready = (able.withColumn("_block", spatial.block_of(wide)).join(firsts, ["_block", "country"])
-                 .where(F.col("rank") == F.col("_first")))
-        ready = cut(ready.select(F.col("candidate_id").alias("host_id"), "country", "lat", "lon", "heads"))
-        pairs = cut(spatial.radius_join(ready, near, CITY_RADIUS_MAX, ["country"])
-                    .where(F.col("guest_id") != F.col("host_id")).select("host_id", "heads", "guest_id", "size", "km"))
-        grown = ready.select("host_id", F.col("heads").alias("now"))
+        mine = cut(pairs.join(ready, "host_id"))
+        grown = mine.groupBy("host_id").agg(F.first("heads").alias("now"), F.first("heads").alias("start"))
+        inside = (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share)
 
         def relax(cur: DataFrame) -> DataFrame:
-            inside = pairs.join(cur, "host_id").where(
-                (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share))
-            return ready.join(inside.groupBy("host_id").agg(F.sum("size").alias("_more")), "host_id", "left").select(
-                "host_id", (F.col("heads") + F.coalesce("_more", F.lit(0.0))).alias("now"))
+            gain = mine.join(cur, "host_id").groupBy("host_id").agg(F.first("start").alias("start"), F.sum(F.when(inside, F.col("size")).otherwise(0.0)).alias("_more"))
+            return gain.select("host_id", (F.col("start") + F.col("_more")).alias("now"), "start")
 
         while True:
-            nxt = cut(relax(relax(grown)))
-            moved = nxt.join(grown.withColumnRenamed("now", "_was"), "host_id").where(F.col("now") > F.col("_was") + 1e-6)
-            grown = nxt
-            if is_empty(moved):
+            before = cut(relax(relax(grown)))
+            grown = cut(relax(before))
+            if is_empty(grown.join(before.select("host_id", F.col("now").alias("_was")), "host_id").where(F.col("now") > F.col("_was") + 1e-6)):
                 break
-        taken = cut(pairs.join(grown, "host_id").where(
-            (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share)).select("guest_id", "host_id", "km"))
-        folds = taken if folds is None else folds.unionByName(taken)
-        sizes = grown.withColumnRenamed("host_id", "candidate_id")
-        state = cut(state.join(taken.select(F.col("guest_id").alias("candidate_id")), "candidate_id", "left_anti")
-                    .join(sizes, "candidate_id", "left")
-                    .withColumn("heads", F.coalesce("now", "heads"))
-                    .withColumn("done", F.col("done") | F.col("now").isNotNull()).drop("now"))
-    if folds is None:
-        return rows.select(F.col("candidate_id").alias("guest_id"), F.col("candidate_id").alias("host_id"), F.lit(0.0).alias("km")).limit(0)
-    return folds
+        taken = cut(mine.join(grown, "host_id").where(inside).select("guest_id", "host_id", "km"))
+        folds.append(taken)
+        if is_empty(waits):
+            return union(folds)
+        gone = taken.select(F.col("guest_id").alias("host_id"))
+        over = ready.select("host_id").unionByName(gone).distinct()
+        left = cut(waits.join(gone, "host_id", "left_anti").join(over.withColumnRenamed("host_id", "on_id"), "on_id", "left_anti"))
+        ready = cut(waits.select("host_id").distinct().join(gone, "host_id", "left_anti").join(left.select("host_id").distinct(), "host_id", "left_anti"))
+        sizes = grown.select(F.col("host_id").alias("guest_id"), F.col("now").alias("_now"))
+        pairs = cut(pairs.join(over, "host_id", "left_anti").join(taken.select("guest_id"), "guest_id", "left_anti")
+                    .join(sizes, "guest_id", "left").withColumn("size", F.coalesce("_now", "size")).drop("_now"))
+        waits = left
 
 
 def agglomerate(cands: DataFrame, p: Params = PARAMS) -> Resolved:
     """Fold suburbs into growing cities, largest head first (G02); comparable cities never merge."""
     rows = cut(cands.where(~F.col("is_site")).select(
         "candidate_id", "country", "lat", "lon", "population", harvest_only().alias("harvest")))
-    small, large = split_by_size(rows, ["country"], p.local_group_rows)
-    share = p.suburb_share
-    folds = small.groupBy("country").applyInPandas(lambda pdf: _grow_cities(pdf, share), FOLDS)
-    if large is not None:
-        folds = folds.unionByName(_grow_cities_rounds(large, share))
-    return _finish(cands, folds, "agglomerated", 1, True, population="sum")
+    return _finish(cands, _grow_cities(rows, p.suburb_share), "agglomerated", 1, True, population="sum")
 
 
 # ------------------------------------------------------------------ G03
@@ -312,49 +267,27 @@ def absorb_near_duplicates(cands: DataFrame, p: Params = PARAMS) -> Resolved:
     rows = _fold_rows(cands, p).select(
         F.col("candidate_id").alias("id"), "rank", "lat", "lon", F.lit(float(p.close_pair_km)).alias("radius"),
         F.lit(True).alias("foldable"), kinds.mask(F.col("kinds")).alias("mask"), "country")
-    return _finish(cands, fold(rows, ["country"], KINDS, p.local_group_rows), "absorbed", 2, False)
+    return _finish(cands, fold(rows, ["country"], KINDS), "absorbed", 2, False)
 
 
 # ------------------------------------------------------------------ G04
-def _thin_country(pdf: pd.DataFrame, p: Params) -> pd.DataFrame:
-    pdf = pdf.sort_values("rank").reset_index(drop=True)
-    spacing, target = float(pdf["spacing"].iloc[0]), float(pdf["target"].iloc[0])
-    alive, out = pdf, []
-    while True:
-        gone = []
-        for _, part in alive.groupby("kind", dropna=True):
-            lat, lon = part["lat"].to_numpy(), part["lon"].to_numpy()
-            host, km = walk(lat, lon, np.full(len(part), spacing), part["extra"].to_numpy(),
-                            np.zeros(len(part), dtype=np.int64), NEAREST)
-            ids = part["candidate_id"].to_numpy()
-            hit = host >= 0
-            gone.extend(part.index[hit])
-            out.extend(zip(ids[hit], ids[host[hit]], km[hit]))
-        alive = alive.drop(index=gone)
-        if not (len(alive) > target * 1.5 and spacing < p.harvest_max_spacing_km):
-            return pd.DataFrame(out, columns=["guest_id", "host_id", "km"])
-        spacing = min(p.harvest_max_spacing_km, spacing * 1.25)
-
-
-def _thin_rounds(rows: DataFrame, p: Params) -> DataFrame:
-    """Density passes over countries of any size; only crowded countries widen and go again."""
-    from placekit.operators.folding import fold_rounds
-
-    alive, folds = cut(rows), None
+def _thin(rows: DataFrame, p: Params) -> DataFrame:
+    """Density passes; only countries that stay crowded widen their spacing and go again."""
+    alive, folds = cut(rows), []
     active = alive.select("country", "spacing", "target").distinct()
     while True:
         part = alive.join(active.select("country", F.col("spacing").alias("radius")), "country").where(F.col("kind").isNotNull())
         part = part.select(F.col("candidate_id").alias("id"), "rank", "lat", "lon", "radius",
                            F.col("extra").alias("foldable"), F.lit(0).alias("mask"), "country", "kind")
-        new = cut(fold_rounds(cut(part), ["country", "kind"], NEAREST))
-        folds = new if folds is None else folds.unionByName(new)
+        new = cut(fold(part, ["country", "kind"], NEAREST))
+        folds.append(new)
         alive = cut(alive.join(new.select(F.col("guest_id").alias("candidate_id")), "candidate_id", "left_anti"))
         left = alive.groupBy("country").count()
         active = cut(active.join(left, "country").where(
             (F.col("count") > F.col("target") * 1.5) & (F.col("spacing") < p.harvest_max_spacing_km)).select(
             "country", F.least(F.lit(p.harvest_max_spacing_km), F.col("spacing") * 1.25).alias("spacing"), "target"))
         if is_empty(active):
-            return folds
+            return union(folds)
 
 
 def density_rows(cands: DataFrame, countries: DataFrame, p: Params = PARAMS) -> DataFrame:
@@ -375,12 +308,7 @@ def cap_density(cands: DataFrame, countries: DataFrame, p: Params = PARAMS) -> R
 
     Cities and globally listed places never fold, and a kind's only place always stays.
     """
-    rows = cut(density_rows(cands, countries, p))
-    small, large = split_by_size(rows, ["country"], p.local_group_rows)
-    folds = small.groupBy("country").applyInPandas(lambda pdf: _thin_country(pdf, p), FOLDS)
-    if large is not None:
-        folds = folds.unionByName(_thin_rounds(large, p))
-    return _finish(cands, folds, "density", 1, True)
+    return _finish(cands, _thin(density_rows(cands, countries, p), p), "density", 1, True)
 
 
 # ------------------------------------------------------------------ G05
@@ -394,7 +322,7 @@ def orphan_sites(orphans: DataFrame, p: Params = PARAMS, min_weight: float = 4.0
     rows = number_rows(heavy, [F.col("weight").desc(), F.col("asset_id")]).select(
         F.col("asset_id").alias("id"), "rank", "lat", "lon", F.lit(float(p.catchment_km)).alias("radius"),
         F.lit(True).alias("foldable"), F.lit(0).alias("mask"))
-    folds = cut(fold(rows, [], FIRST, p.local_group_rows))
+    folds = cut(fold(rows, [], FIRST))
     member = heavy.join(folds.select(F.col("guest_id").alias("asset_id"), F.col("host_id").alias("leader_id")), "asset_id", "left")
     member = member.withColumn("leader_id", F.coalesce("leader_id", "asset_id"))
     groups = member.groupBy("leader_id").agg(
@@ -407,31 +335,12 @@ def orphan_sites(orphans: DataFrame, p: Params = PARAMS, min_weight: float = 4.0
 
 
 # ------------------------------------------------------------------ G06, J04
-_SIMILAR = "site_id string, host_id string, km double, similarity double, absorbed boolean"
-
-
-def _absorb_host(pdf: pd.DataFrame, least: float, scale: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("site_id")
-    held = np.array(pdf["host_kinds"].iloc[0], dtype=float)
-    sims, took = [], []
-    for mine in pdf["site_kinds"]:
-        v = np.array(mine, dtype=float)
-        size = np.sqrt(v @ v) * np.sqrt(held @ held)
-        sim = float(v @ held / size) if size > 0 else 0.0
-        ok = sim >= least
-        if ok:
-            held = np.maximum(held, v * scale)
-        sims.append(sim)
-        took.append(ok)
-    return pdf[["site_id", "host_id", "km"]].assign(similarity=sims, absorbed=took)
-
-
-def _absorb_rounds(pairs: DataFrame, least: float, scale: float) -> DataFrame:
-    """Ordered absorption for hosts with very many sites: settle everything up to the first
-    site that would change its host, apply that one, go again."""
+def _absorb_in_order(pairs: DataFrame, least: float, scale: float) -> DataFrame:
+    """Sites in order per host: settle everything up to the first site that would change its host, apply that one, go
+    again. A host changes only where a site lifts one of its kinds, so rounds are few whatever the number of sites."""
     todo = cut(pairs)
     hosts = cut(pairs.groupBy("host_id").agg(kinds.max_vector("host_kinds").alias("held")))
-    out = None
+    out = []
     while not is_empty(todo):
         sim = kinds.cosine(F.col("site_kinds"), F.col("held"))
         seen = todo.join(hosts, "host_id").withColumn("similarity", sim).withColumn("absorbed", F.col("similarity") >= least)
@@ -441,12 +350,14 @@ def _absorb_rounds(pairs: DataFrame, least: float, scale: float) -> DataFrame:
         step = cut(seen.join(first, "host_id", "left").withColumn(
             "_now", F.col("_first").isNull() | (F.col("site_id") <= F.col("_first"))))
         done = step.where("_now").select("site_id", "host_id", "km", "similarity", "absorbed")
-        out = done if out is None else out.unionByName(done)
+        out.append(done)
         taught = step.where(F.col("site_id") == F.col("_first")).select("host_id", F.col("site_kinds").alias("_v"))
         hosts = cut(hosts.join(taught, "host_id", "left").select("host_id", F.when(
             F.col("_v").isNull(), F.col("held")).otherwise(kinds.longest(F.col("held"), F.transform("_v", lambda w: w * scale))).alias("held")))
         todo = cut(step.where(~F.col("_now")).select(*todo.columns))
-    return out
+    if not out:
+        return todo.select("site_id", "host_id", "km", F.lit(0.0).alias("similarity"), F.lit(False).alias("absorbed"))
+    return union(out)
 
 
 def site_decisions(cands: DataFrame, p: Params = PARAMS, scale: float = 0.8) -> DataFrame:
@@ -459,12 +370,7 @@ def site_decisions(cands: DataFrame, p: Params = PARAMS, scale: float = 0.8) ->
              .join(towns.select(F.col("candidate_id").alias("host_id"), F.col("kinds").alias("host_kinds")), "host_id")
              .withColumnRenamed("candidate_id", "site_id"))
     pairs = cut(pairs)
-    small, large = split_by_size(pairs, ["host_id"], p.local_group_rows)
-    least = p.absorb_similarity
-    out = small.groupBy("host_id").applyInPandas(lambda pdf: _absorb_host(pdf, least, scale), _SIMILAR)
-    if large is not None:
-        out = out.unionByName(_absorb_rounds(large, least, scale))
-    return out
+    return _absorb_in_order(pairs, p.absorb_similarity, scale)
 
 
 def absorb_sites(cands: DataFrame, p: Params = PARAMS) -> Resolved:

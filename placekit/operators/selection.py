@@ -14,15 +14,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placekit.functions import geo, kinds
-from placekit.functions.vocab import KIND_DOMINANT, PARAMS, Params
+from placekit.functions.vocab import EARTH_KM, KIND_DOMINANT, PARAMS, Params
 from placekit.operators import spatial
-from placekit.operators.folding import arc_km
 from placekit.plans.session import cut, is_empty
 
 HEAD_ROWS = 2_000
 PICKS = "country string, candidate_id string, pick int, gain double, complete boolean"
 
 
+def arc_km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """Haversine kilometres from one point to many, to the millimetre."""
+    p, q = np.radians(lat), np.radians(lats)
+    s = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lons - lon) / 2) ** 2
+    return np.rint(2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(s))) * 1e6) / 1e6
+
+
 def _head(rows: DataFrame, limit: int) -> DataFrame:
     """The best-scored rows of each country, marked with the best score left behind."""
     best_first = W.partitionBy("country").orderBy(F.col("score").desc(), "candidate_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placekit.functions import geo, kinds
-from placekit.functions.vocab import KIND_DOMINANT, PARAMS
+from placekit.functions.vocab import KIND_DOMINANT, PARAMS, PROTECTED_SOURCES, PROTECTED_TIERS
 from placekit.operators import gates, identity, reports, resolve, scoring, selection, signals
 from placekit.plans import build as jobs
 from placekit.plans.oracles import km, sql
@@ -46,22 +46,96 @@ def _(v):
     return rows.select("country", r6("spacing").alias("spacing_km")).distinct()
 
 
-@query("agglomerate")
+def _walked(final: str, *needs: str) -> str:
+    """SQL with views that call themselves, one step of an ordered walk at a time."""
+    return sql("", *needs).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + final
+
+
+def _closest(rows: str, at: str) -> str:
+    """The nearest of a list of places, of equal ones the first of the list, as a list of none or one."""
+    return f"list_sort(list_transform({rows}, lambda q: {{'km': {km(at, 'q')}, 'rn': q.rn, 'id': q.id}}))[1]"
+
+
+# heads from the largest on; the one that is on grows wave by wave, then the next is on
+_REACH = "CASE WHEN h.heads >= 1000000 THEN 18 WHEN h.heads >= 500000 THEN 14 WHEN h.heads >= 250000 THEN 12 WHEN h.heads >= 50000 THEN 8 ELSE 5 END"
+_GROWTH = _walked(f""",
+town AS (SELECT c.country, candidate_id AS id, cand.lat, cand.lon, population AS heads, source <> 'wdpa' AS harvest,
+    row_number() OVER (PARTITION BY c.country ORDER BY population DESC, candidate_id) AS rn
+  FROM cand JOIN attr USING (candidate_id) JOIN country c USING (n) WHERE NOT is_site),
+walk AS (SELECT country, 0 AS step, 1 AS i, list({{'rn': rn, 'id': id, 'lat': lat, 'lon': lon, 'heads': heads, 'harvest': harvest}} ORDER BY rn) AS alive, []::STRUCT(guest VARCHAR, host VARCHAR, km DOUBLE)[] AS folds
+    FROM town GROUP BY country
+  UNION ALL SELECT country, step + 1, CASE WHEN len(got) = 0 THEN i + 1 ELSE i END,
+    list_transform(list_filter(alive, lambda q: NOT list_contains(list_transform(got, lambda g: g.id), q.id)),
+      lambda q: {{'rn': q.rn, 'id': q.id, 'lat': q.lat, 'lon': q.lon, 'heads': CASE WHEN q.rn = i AND len(got) > 0 THEN q.heads + list_sum(list_transform(got, lambda g: g.heads)) ELSE q.heads END, 'harvest': q.harvest}}),
+    list_concat(folds, list_transform(got, lambda g: {{'guest': g.id, 'host': h.id, 'km': {km('h', 'g')}}})) FROM (
+      SELECT *, CASE WHEN h IS NULL OR h.heads <= 0 THEN [] ELSE list_filter(alive, lambda q: q.harvest AND q.rn <> i AND q.heads <= h.heads * {PARAMS.suburb_share} AND {km('h', 'q')} <= {_REACH}) END AS got
+      FROM (SELECT *, list_filter(alive, lambda q: q.rn = i)[1] AS h FROM walk WHERE i <= (SELECT max(rn) FROM town t WHERE t.country = walk.country))))
+SELECT country, f.guest AS guest_id, f.host AS host_id, round_even(f.km, 1) AS km FROM (SELECT country, unnest(folds) AS f FROM (SELECT country, max_by(folds, step) AS folds FROM walk GROUP BY country))""",
+    "cand", "attr", "country")
+
+
+@query("agglomerate", _GROWTH)
 def _(v):
     return resolve.agglomerate(candidates(v)).log.select("country", "guest_id", "host_id", "km")
 
 
-@query("absorb_sites")
+# each host's sites in the order of their ids; what it takes in lifts its kinds
+_SITES = _walked(f""",
+beside AS (SELECT site_id, host_id, n, km FROM (SELECT s.candidate_id AS site_id, t.candidate_id AS host_id, s.n, {km('s', 't')} AS km, row_number() OVER (PARTITION BY s.candidate_id ORDER BY {km('s', 't')}, t.candidate_id) AS rn
+    FROM cand s JOIN cand t ON s.is_site AND NOT t.is_site AND t.lat BETWEEN s.lat - 0.6 AND s.lat + 0.6 AND t.lon BETWEEN s.lon - 1 AND s.lon + 1 WHERE {km('s', 't')} <= 60) WHERE rn = 1),
+vec AS (SELECT candidate_id, list(coalesce(w, 0) ORDER BY k.ord) AS w FROM (SELECT candidate_id, kindtab.ord FROM cand, kindtab) k LEFT JOIN (SELECT candidate_id, ord, w FROM kv) USING (candidate_id, ord) GROUP BY candidate_id),
+site AS (SELECT b.*, s.w AS mine, t.w AS held, row_number() OVER (PARTITION BY host_id ORDER BY site_id) AS rn FROM beside b JOIN vec s ON s.candidate_id = site_id JOIN vec t ON t.candidate_id = host_id),
+walk AS (SELECT DISTINCT host_id, 0::BIGINT AS i, held, ''::VARCHAR AS site_id, 0::INT AS n, 0::DOUBLE AS km, 0::DOUBLE AS similarity FROM site
+  UNION ALL SELECT host_id, rn, CASE WHEN sim >= {PARAMS.absorb_similarity} THEN list_transform(range(1, 13), lambda k: greatest(held[k], mine[k] * 0.8)) ELSE held END, site_id, n, km, sim FROM (
+    SELECT w.host_id, s.rn, w.held, s.mine, s.site_id, s.n, s.km, CASE WHEN list_sum(list_transform(s.mine, lambda x: x * x)) > 0 AND list_sum(list_transform(w.held, lambda x: x * x)) > 0
+      THEN list_sum(list_transform(range(1, 13), lambda k: s.mine[k] * w.held[k])) / sqrt(list_sum(list_transform(s.mine, lambda x: x * x))) / sqrt(list_sum(list_transform(w.held, lambda x: x * x))) ELSE 0 END AS sim
+    FROM walk w JOIN site s ON s.host_id = w.host_id AND s.rn = w.i + 1))
+SELECT c.country, site_id AS guest_id, host_id, CASE WHEN similarity >= {PARAMS.absorb_similarity} THEN 'absorbed' ELSE 'retained' END AS decision, round_even(km, 0) AS km, round_even(similarity, 2) AS similarity
+FROM walk JOIN country c USING (n) WHERE i > 0""", "cand", "kv", "kindtab", "country")
+
+
+@query("absorb_sites", _SITES)
 def _(v):
     return resolve.absorb_sites(cut(attached(v))).log.select("country", "guest_id", "host_id", "decision", "km", "similarity")
 
 
-@query("absorb_near_duplicates")
+_PROTECTED = ", ".join(f"'{t}'" for t in PROTECTED_TIERS)
+_SAFE = ", ".join(f"'{s}'" for s in PROTECTED_SOURCES)
+# candidates with their assets from the strongest on, per country
+_STRONG = f""",
+held AS (SELECT candidate_id, count(DISTINCT source) AS sources, count(DISTINCT source) FILTER (source IN ({_SAFE})) AS safe FROM (
+  SELECT candidate_id, source FROM attr UNION ALL SELECT candidate_id, source FROM near UNION ALL SELECT candidate_id, source FROM fan) GROUP BY ALL),
+tiers AS (SELECT candidate_id, sum(n) AS total, coalesce(sum(n) FILTER (tier IN ({_PROTECTED})), 0) AS safe FROM tn GROUP BY ALL),
+seen AS (SELECT candidate_id, sum(1 << (ord - 1)::INT)::INT AS kmask, min_by(kind, (-w, ord)) AS kind FROM kv WHERE w > 0 GROUP BY ALL),
+strong AS MATERIALIZED (SELECT country, area_km2, id, lat, lon, kmask, kind, extra, row_number() OVER (PARTITION BY country ORDER BY city DESC, listed DESC, population DESC, sources DESC, total DESC, length(name), id) AS rn FROM (
+  SELECT c.country, c.area_km2, cand.candidate_id AS id, cand.lat, cand.lon, name, population, population >= 50000 AS city, coalesce(t.safe, 0) + held.safe > 0 AS listed, sources, coalesce(t.total, 0) AS total,
+    coalesce(kmask, 0) AS kmask, kind, coalesce(t.safe, 0) + held.safe = 0 AND population < 50000 AND kind IS NOT NULL AS extra
+  FROM cand JOIN held USING (candidate_id) LEFT JOIN tiers t USING (candidate_id) LEFT JOIN seen USING (candidate_id) JOIN country c USING (n)))"""
+
+
+@query("absorb_near_duplicates", _walked(_STRONG + f""",
+walk AS (SELECT DISTINCT country, 0::BIGINT AS i, []::STRUCT(rn BIGINT, id VARCHAR, lat DOUBLE, lon DOUBLE, kmask INT)[] AS got, NULL::STRUCT(km DOUBLE, rn BIGINT, id VARCHAR) AS host, ''::VARCHAR AS id FROM strong
+  UNION ALL SELECT country, rn, CASE WHEN best IS NULL THEN list_append(got, {{'rn': rn, 'id': id, 'lat': lat, 'lon': lon, 'kmask': kmask}})
+      ELSE list_transform(got, lambda q: {{'rn': q.rn, 'id': q.id, 'lat': q.lat, 'lon': q.lon, 'kmask': CASE WHEN q.id = best.id THEN q.kmask | kmask ELSE q.kmask END}}) END, best, id FROM (
+    SELECT s.*, w.got, {_closest(f"list_filter(w.got, lambda q: (s.kmask = 0 OR q.kmask = 0 OR (s.kmask & q.kmask) <> 0) AND {km('s', 'q')} <= {PARAMS.close_pair_km})", 's')} AS best
+    FROM walk w JOIN strong s ON s.country = w.country AND s.rn = w.i + 1))
+SELECT country, id AS guest_id, host.id AS host_id, round_even(host.km, 2) AS km FROM walk WHERE host IS NOT NULL""", "cand", "attr", "kv", "tn", "near", "fan", "country"))
 def _(v):
     return resolve.absorb_near_duplicates(cut(attached(v))).log.select("country", "guest_id", "host_id", "km")
 
 
-@query("density_cap")
+# row by row; where a country stays crowded its kept rows go again at a wider spacing
+@query("density_cap", _walked(_STRONG + f""",
+fact AS (SELECT country, greatest(m, 1) * (8 + 4 * ln(1 + greatest(area_km2, 1) / 50000.0)) AS target, greatest(area_km2, 1) AS area_km2 FROM (
+  SELECT s.country, any_value(area_km2) AS area_km2, count(DISTINCT kv.kind) AS m FROM strong s LEFT JOIN kv ON kv.candidate_id = s.id AND kv.w > 0 GROUP BY s.country)),
+walk AS (SELECT country, 0 AS step, 1 AS i, target, greatest({PARAMS.harvest_min_spacing_km}, {PARAMS.harvest_spacing_coef} * sqrt(any_value(f.area_km2) / greatest(target, 1))) AS spacing,
+    list({{'rn': rn, 'id': id, 'lat': lat, 'lon': lon, 'kind': kind, 'extra': extra}} ORDER BY rn) AS alive, []::STRUCT(rn BIGINT, id VARCHAR, lat DOUBLE, lon DOUBLE, kind VARCHAR, extra BOOLEAN)[] AS got,
+    NULL::STRUCT(km DOUBLE, rn BIGINT, id VARCHAR) AS host, ''::VARCHAR AS id FROM strong JOIN fact f USING (country) GROUP BY country, target
+  UNION ALL SELECT country, step + 1, CASE WHEN again THEN 1 ELSE i + 1 END, target, CASE WHEN again THEN least({PARAMS.harvest_max_spacing_km}, spacing * 1.25) ELSE spacing END,
+    CASE WHEN again THEN got ELSE alive END, CASE WHEN again THEN [] WHEN best IS NULL THEN list_append(got, s) ELSE got END, CASE WHEN again THEN NULL ELSE best END, s.id FROM (
+    SELECT *, CASE WHEN s.extra THEN {_closest(f"list_filter(got, lambda q: q.kind = s.kind AND {km('s', 'q')} <= spacing)", 's')} END AS best FROM (
+      SELECT *, alive[i] AS s, i > len(alive) AS again FROM walk WHERE i <= len(alive) OR (len(got) > target * 1.5 AND spacing < {PARAMS.harvest_max_spacing_km}))))
+SELECT country, id AS guest_id, host.id AS host_id, round_even(host.km, 1) AS km FROM walk WHERE host IS NOT NULL""", "cand", "attr", "kv", "tn", "near", "fan", "country"))
 def _(v):
     return resolve.cap_density(cut(attached(v)), v.country).log.select("country", "guest_id", "host_id", "km")
 

@@ -1,3 +1,9 @@
+import hashlib
+import heapq
+import itertools
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from placekit.operators import land
@@ -92,56 +98,96 @@ def test_grown_land_goes_to_the_nearest_tile_of_its_country(spark):
 
 
 def _merge_by_hand(units, border, weight, small, pick, join):
-    """One merge at a time over the whole country, always the lightest small tile that touches another."""
+    """One merge at a time over the whole country: always the lightest small tile that touches another, of equal ones the first in the list."""
     tile = {u: dict(r) for u, r in units.items()}
-    of, near = {u: u for u in units}, {frozenset(k): v for k, v in border.items()}
-    while True:
-        todo = sorted((t[weight], u) for u, t in tile.items() if small(t[weight]) and any(u in k for k in near))
-        if not todo:
-            return of
-        u = todo[0][1]
-        beside = {next(iter(k - {u})): s for k, s in near.items() if u in k}
-        v = pick(tile, u, beside)
-        keep, gone, new = join(tile, u, v, beside[v])
+    order = sorted(units, key=lambda u: hashlib.md5(u.encode()).hexdigest())
+    beside = {u: {} for u in units}
+    for (a, b), shared in border.items():
+        beside[a][b] = beside[b][a] = shared
+    heap = [(tile[u][weight], i, u) for i, u in enumerate(order) if small(tile[u][weight]) and beside[u]]
+    heapq.heapify(heap)
+    at, made = {u: i for i, u in enumerate(order)}, {u: [u] for u in units}
+    while heap:
+        w, i, u = heapq.heappop(heap)
+        if u not in tile or tile[u][weight] != w or at[u] != i or not beside[u]:
+            continue
+        v = pick(tile, u, beside[u], at)
+        keep, gone, new, last = join(tile, u, v, beside[u][v])
         tile[keep] |= new
         del tile[gone]
-        of = {x: keep if t == gone else t for x, t in of.items()}
-        moved = {}
-        for k, s in near.items():
-            k = frozenset(keep if x == gone else x for x in k)
-            if len(k) == 2:
-                moved[k] = moved.get(k, 0.0) + s
-        near = moved
+        made[keep] += made.pop(gone)
+        at[keep] = next(_later) if last else at[v]
+        for other, shared in beside.pop(gone).items():
+            del beside[other][gone]
+            if other != keep:
+                beside[keep][other] = beside[other][keep] = beside[keep].get(other, 0.0) + shared
+        if small(tile[keep][weight]):
+            heapq.heappush(heap, (tile[keep][weight], at[keep], keep))
+    return {u: t for t, us in made.items() for u in us}
 
 
-def test_merges_equal_one_merge_at_a_time(spark):
-    import random
+_later = itertools.count(10**9)
 
-    rng = random.Random(4)
-    units = {f"u{i:02d}": {"n_places": rng.choice([0, 0, 1, 1, 2, 4, 7]), "perimeter": rng.randrange(4, 40) / 4, "kmask": rng.randrange(0, 8), "deg2": rng.randrange(1, 64) / 16} for i in range(40)}
-    names = sorted(units)
-    border = {(names[i], names[j]): rng.randrange(1, 9) / 4 for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.06}
-    rows = spark.createDataFrame([("X", u, r["n_places"], r["perimeter"], r["kmask"], r["deg2"]) for u, r in units.items()], "grp string, unit string, n_places int, perimeter double, kmask int, deg2 double")
-    edge = spark.createDataFrame([("X", a, b, s) for (a, b), s in border.items()], "grp string, a string, b string, shared double")
-    least = land.side_deg(1400.0) ** 2
 
-    def longest(tile, u, beside):
-        fit = [(s, v) for v, s in beside.items() if tile[v]["deg2"] + tile[u]["deg2"] <= 3 * least]
-        return max(fit)[1] if fit else min((tile[v]["deg2"], v) for v in beside)[1]
+def _longest(least):
+    def pick(tile, u, beside, at):
+        fit = [(s, at[v], v) for v, s in beside.items() if tile[v]["deg2"] + tile[u]["deg2"] <= 3 * least]
+        return max(fit)[2] if fit else min((tile[v]["deg2"], at[v], v) for v in beside)[2]
+    return pick
 
-    want = _merge_by_hand(units, border, "deg2", lambda a: a < least, longest, lambda t, u, v, s: (v, u, {"deg2": t[u]["deg2"] + t[v]["deg2"]}))
-    assert {r.unit: r.tile for r in land.merge_to_size(rows, edge, 1400.0).collect()} == want
 
-    def cheapest(tile, u, beside):
-        def cost(v):
-            a, b = tile[u], tile[v]
-            x, y = a["kmask"], b["kmask"]
-            alike = bin(x & y).count("1") / bin(x | y).count("1") if x and y else 0.0
-            return max(0.0, a["perimeter"] + b["perimeter"] - 2 * beside[v] - max(a["perimeter"], b["perimeter"])) + 4.0 * (1.0 - alike)
-        return min((cost(v), v) for v in beside)[1]
+def _cheapest(tile, u, beside, at):
+    def cost(v):
+        a, b = tile[u], tile[v]
+        x, y = a["kmask"], b["kmask"]
+        alike = bin(x & y).count("1") / bin(x | y).count("1") if x and y else 0.0
+        return max(0.0, a["perimeter"] + b["perimeter"] - 2 * beside[v] - max(a["perimeter"], b["perimeter"])) + 4.0 * (1.0 - alike)
+    return min((cost(v), at[v], v) for v in beside)[2]
+
+
+def _smaller_name(t, u, v, s):
+    return min(u, v), max(u, v), {"n_places": t[u]["n_places"] + t[v]["n_places"], "perimeter": t[u]["perimeter"] + t[v]["perimeter"] - 2 * s, "kmask": t[u]["kmask"] | t[v]["kmask"]}, True
+
+
+def _into_neighbour(t, u, v, s):
+    return v, u, {"deg2": t[v]["deg2"] + t[u]["deg2"]}, False
+
 
-    def smaller_name(t, u, v, s):
-        return min(u, v), max(u, v), {"n_places": t[u]["n_places"] + t[v]["n_places"], "perimeter": t[u]["perimeter"] + t[v]["perimeter"] - 2 * s, "kmask": t[u]["kmask"] | t[v]["kmask"]}
+UNITS = "grp string, unit string, n_places int, perimeter double, kmask int, deg2 double"
 
-    want = _merge_by_hand(units, border, "n_places", lambda n: 0 < n < 3, cheapest, smaller_name)
+
+def _frames(spark, units, border):
+    rows = spark.createDataFrame([("X", u, r["n_places"], r["perimeter"], r["kmask"], r["deg2"]) for u, r in units.items()], UNITS)
+    return rows, spark.createDataFrame([("X", a, b, s) for (a, b), s in border.items()], "grp string, a string, b string, shared double")
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_merges_equal_one_merge_at_a_time(spark, seed):
+    rng = random.Random(seed)
+    n = 70
+    units = {f"u{i:02d}": {"n_places": rng.choice([0, 0, 1, 1, 2, 4, 7]), "perimeter": rng.randrange(4, 40) / 4, "kmask": rng.randrange(0, 8), "deg2": rng.randrange(1, 32) / 16} for i in range(n)}
+    names = sorted(units)
+    border = {(names[i], names[j]): rng.randrange(1, 9) / 4 for i in range(n) for j in range(i + 1, n) if rng.random() < 0.04}
+    rows, edge = _frames(spark, units, border)
+    least = land.side_deg(1400.0) ** 2
+    want = _merge_by_hand(units, border, "deg2", lambda a: a < least, _longest(least), _into_neighbour)
+    assert {r.unit: r.tile for r in land.merge_to_size(rows, edge, 1400.0).collect()} == want
+    want = _merge_by_hand(units, border, "n_places", lambda n: 0 < n < 3, _cheapest, _smaller_name)
     assert {r.unit: r.tile for r in land.merge_undersized(rows, edge).collect()} == want
+
+
+def test_a_country_of_fifty_thousand_units(spark):
+    """A grid of 250 by 200 units, most of them under size."""
+    rng = random.Random(6)
+    units = {f"{y:03d}-{x:03d}": {"n_places": 0, "perimeter": 1.0, "kmask": 0, "deg2": rng.randrange(1, 5000) / 1024} for y in range(250) for x in range(200)}
+    border = {}
+    for y in range(250):
+        for x in range(200):
+            for dy, dx in ((0, 1), (1, 0)):
+                if y + dy < 250 and x + dx < 200:
+                    border[f"{y:03d}-{x:03d}", f"{y + dy:03d}-{x + dx:03d}"] = rng.randrange(1, 64) / 64
+    rows, edge = _frames(spark, units, border)
+    least = land.side_deg(1400.0) ** 2
+    got = {r.unit: r.tile for r in land.merge_to_size(rows, edge, 1400.0).collect()}
+    assert got == _merge_by_hand(units, border, "deg2", lambda a: a < least, _longest(least), _into_neighbour)
+    assert len(set(got.values())) < 40_000

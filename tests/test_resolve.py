@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import ordered_walks
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,18 +105,16 @@ def cloud(n, seed, spread=0.3):
     return [(f"n{i:03d}", i + 1, 10 + rnd.uniform(0, spread), 20 + rnd.uniform(0, spread), rnd.choice([0, 1, 2, 4, 3, 6])) for i in range(n)]
 
 
-@pytest.mark.parametrize("rule,radius", [(folding.NEAREST, 8.0), (folding.FIRST, 10.0), (folding.KINDS, 4.0)])
+@pytest.mark.parametrize("rule,radius", [(folding.NEAREST, 8.0), (folding.FIRST, 10.0), (folding.KINDS, 4.0), (folding.KINDS, 1.5)])
 def test_rounds_equal_the_ordered_walk(spark, rule, radius):
     rows = cloud(60, 11)
     lat, lon, mask = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
     free = np.array([rule == folding.KINDS or rule == folding.FIRST or i >= 6 for i in range(len(rows))])
-    host, dist = folding.walk(lat, lon, np.full(len(rows), radius), free, mask, rule)
+    host, dist = ordered_walks.walk(lat, lon, np.full(len(rows), radius), free, mask, rule)
     want = {(rows[i][0], rows[host[i]][0], round(float(dist[i]), 6)) for i in range(len(rows)) if host[i] >= 0}
     df = spark.createDataFrame([(*r[:4], radius, bool(f), r[4], "g") for r, f in zip(rows, free)],
                                "id string, rank bigint, lat double, lon double, radius double, foldable boolean, mask int, grp string")
-    local = folding.fold(df, ["grp"], rule, 1000)
-    spread = folding.fold(df, ["grp"], rule, 5)
-    for got in (local, spread):
+    for got in (folding.fold(df, ["grp"], rule), folding.fold(df, ["grp"], rule, crowd=5)):
         assert {(r.guest_id, r.host_id, round(r.km, 6)) for r in got.collect()} == want
 
 
@@ -122,26 +122,46 @@ def test_city_growth_rounds_equal_the_ordered_walk(cands):
     rnd = random.Random(21)
     df = cands(*[dict(id=f"c{i:02d}", lat=10 + rnd.uniform(0, .6), lon=20 + rnd.uniform(0, .6), population=float(rnd.choice([0, 2e3, 4e4, 2e5, 7e5, 1.2e6])) * rnd.uniform(.5, 1),
                           sources=["wdpa"] if i % 9 == 0 else ["osm"]) for i in range(50)])
-    key = lambda r: {(x.guest_id, x.host_id) for x in r.log.collect()}
-    assert key(resolve.agglomerate(df)) == key(resolve.agglomerate(df, PARAMS.with_(local_group_rows=5)))
+    rows = df.select("candidate_id", "lat", "lon", "population", resolve.harvest_only().alias("harvest")).toPandas()
+    want = {(r.guest_id, r.host_id) for r in ordered_walks.grow_cities(rows, PARAMS.suburb_share).itertuples()}
+    assert {(x.guest_id, x.host_id) for x in resolve.agglomerate(df).log.collect()} == want and len(want) > 5
 
 
-def test_cities_that_cannot_grow_take_no_round_each(cands, monkeypatch):
+def test_cities_that_cannot_grow_take_no_round(cands, monkeypatch):
     df = cands(*[dict(id=f"c{i:02d}", lat=10 + i * 0.02, lon=20.0, population=5e5 + i) for i in range(20)])
-    rounds = []
-    plain = resolve.spatial.block_min
-    monkeypatch.setattr(resolve.spatial, "block_min", lambda *a, **k: rounds.append(1) or plain(*a, **k))
-    assert resolve.agglomerate(df, PARAMS.with_(local_group_rows=5)).log.count() == 0
-    assert len(rounds) <= 1
+    joins = []
+    plain = resolve.spatial.radius_join
+    monkeypatch.setattr(resolve.spatial, "radius_join", lambda *a, **k: joins.append(1) or plain(*a, **k))
+    assert resolve.agglomerate(df).log.count() == 0
+    assert len(joins) == 3
 
 
-def test_density_and_site_rounds_equal_the_ordered_walk(spark, cands):
+def test_density_and_site_folds_equal_the_ordered_walk(spark, cands):
     rnd = random.Random(8)
     kinds = ["A3", "A4", "A11"]
     df = cands(*[dict(id=f"c{i:02d}", lat=10 + rnd.uniform(0, .5), lon=20 + rnd.uniform(0, .5), kinds={rnd.choice(kinds): .9, rnd.choice(kinds): .5},
                           is_site=i % 2 == 0, sources=["osm"], population=float(rnd.choice([0, 9e4]))) for i in range(40)])
     land = spark.createDataFrame([("X", 20_000.0)], "country string, area_km2 double")
-    tight = PARAMS.with_(local_group_rows=3)
-    key = lambda r: {(x.guest_id, x.host_id, x.decision) for x in r.log.collect()}
-    assert key(resolve.cap_density(df, land)) == key(resolve.cap_density(df, land, tight))
-    assert key(resolve.absorb_sites(df)) == key(resolve.absorb_sites(df, tight))
+    rows = resolve.density_rows(df, land).toPandas()
+    want = {(r.guest_id, r.host_id) for _, part in rows.groupby("country") for r in ordered_walks.thin_country(part, PARAMS).itertuples()}
+    assert {(x.guest_id, x.host_id) for x in resolve.cap_density(df, land).log.collect()} == want and want
+    sites = {r.site_id: (r.host_id, r.absorbed) for r in resolve.site_decisions(df).collect()}
+    vec = {r.candidate_id: list(r.kinds) for r in df.collect()}
+    near = pd.DataFrame([(s, h, 0.0, vec[s], vec[h]) for s, (h, _) in sites.items()], columns=["site_id", "host_id", "km", "site_kinds", "host_kinds"])
+    hand = pd.concat([ordered_walks.absorb_host(part, PARAMS.absorb_similarity, 0.8) for _, part in near.groupby("host_id")])
+    assert {r.site_id: (r.host_id, r.absorbed) for r in hand.itertuples()} == sites and len(set(x for _, x in sites.values())) == 2
+
+
+@pytest.mark.parametrize("rule", [folding.NEAREST, folding.KINDS])
+def test_a_country_of_many_rows(spark, rule):
+    """Thousands of rows in one group, a third of them crowded at one place."""
+    rnd = random.Random(5)
+    rows = [(f"n{i:05d}", i + 1, 10 + rnd.uniform(0, 3), 20 + rnd.uniform(0, 3), rnd.choice([1, 2, 4, 3, 6])) for i in range(4000)]
+    rows += [(f"m{i:05d}", 4001 + i, 11 + rnd.uniform(0, .03), 21 + rnd.uniform(0, .03), rnd.choice([0, 1, 2, 4, 3, 6])) for i in range(2000)]
+    lat, lon, mask = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+    free = np.array([rule == folding.KINDS or i >= 500 for i in range(len(rows))])
+    host, _ = ordered_walks.walk(lat, lon, np.full(len(rows), 3.0), free, mask, rule)
+    df = spark.createDataFrame([(*r[:4], 3.0, bool(f), r[4], "g") for r, f in zip(rows, free)],
+                               "id string, rank bigint, lat double, lon double, radius double, foldable boolean, mask int, grp string")
+    want = {(rows[i][0], rows[host[i]][0]) for i in range(len(rows)) if host[i] >= 0}
+    assert {(r.guest_id, r.host_id) for r in folding.fold(df, ["grp"], rule).collect()} == want
