@@ -25,7 +25,6 @@ from placekit.llm.tokens import BLANK, check_vocabulary, pre_tokens
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 UNKNOWN_TEXT = " ⁇ "  # what the library writes for the unknown piece
 NEVER = float("inf")
-FOREIGN = -1  # in a table: a character outside the vocabulary, spelled in bytes
 
 codecs.register_error("placekit-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -49,14 +48,15 @@ class Pieces:
         self.begin, self.end = names[model.trainer_spec.bos_piece or "<s>"], names[model.trainer_spec.eos_piece or "</s>"]
         self.byte_ids = [names[f"<0x{b:02X}>"] for b in range(256)]
         self.kinds, self.texts = kinds, [p.piece for p in model.pieces]
+        self.size, self.packed = [len(t) for t in self.texts], [i.to_bytes(4, "little") for i in range(len(kinds))]
         self.surface = [bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else p.piece.replace(BLANK, " ").encode() if p.type == NORMAL
                         else UNKNOWN_TEXT.encode() if p.type == UNKNOWN else b"" for p in model.pieces]
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         # smaller is merged sooner; equal scores share an order and are merged from the left
         order = {s: n for n, s in enumerate(sorted({p.score for p in model.pieces if p.type == NORMAL}, reverse=True))}
         self.rank = {s: order[model.pieces[i].score] for s, i in normal.items() if len(s) > 1}
-        self.known = {s for s in normal if len(s) == 1}
-        if {c for s in normal for c in s} - self.known:
+        self.characters = {s: i for s, i in normal.items() if len(s) == 1}
+        if {c for s in normal for c in s} - self.characters.keys():
             raise ValueError("a piece holds a character that is no piece")
         shared: dict[int, int] = {}
         for r in self.rank.values():
@@ -72,7 +72,7 @@ class Pieces:
                 if len(self.merge(s, steps)) > 1:
                     continue  # never the outcome of merges, so in no encoding
                 halves[s] = steps[-1]
-            self.automaton.add_word(s, (i, len(s)))
+                self.automaton.add_word(s, i)
             for side, edges in ((0, self.left), (1, self.right)):
                 part, lives, until = s, [], NEVER
                 while part is not None:
@@ -103,15 +103,6 @@ class Pieces:
 
     def compatible(self, a: int, b: int) -> bool:
         """Do pieces ``a`` and ``b``, side by side and merged alone, stay ``a`` and ``b``?"""
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= self.ROOM:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(a, b)
-        return known
-
-    def _compatible(self, a: int, b: int) -> bool:
         if a not in self.right or b not in self.left:
             return self.merge(self.texts[a] + self.texts[b]) == [self.texts[a], self.texts[b]]
         # a merge across the border needs a right part of a and a left part of b that live at once, and comes before
@@ -129,28 +120,44 @@ class Pieces:
             else:
                 j += 1
 
-    def table(self, token: str) -> list[int]:
-        """Per prefix of ``token`` the id of its last piece (``FOREIGN`` for a character outside the vocabulary)."""
-        last = [FOREIGN] * (len(token) + 1)
-        compatible = self.compatible
-        for at, (piece, size) in self.automaton.iter(token):
-            before = last[at + 1 - size]
-            if at + 1 == size or before == FOREIGN or compatible(before, piece):
-                last[at + 1] = piece
+    def table(self, token: str) -> list[int | None]:
+        """Per prefix of ``token`` the id of its last piece; None for a character outside the vocabulary, and for no prefix.
+
+        The automaton holds pieces of two characters or more: where none of them is compatible, the last piece of a
+        prefix is its last character.
+        """
+        last = [None, *map(self.characters.get, token)]
+        pairs, compatible, size, found = self.pairs, self.compatible, self.size, -1
+        for at, piece in self.automaton.iter(token):
+            if at == found:
+                continue  # a prefix has one last piece only
+            before = last[at + 1 - size[piece]]
+            if before is not None:
+                key = before << 32 | piece
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= self.ROOM:
+                        pairs.clear()
+                    fits = pairs[key] = compatible(before, piece)
+                if not fits:
+                    continue
+            last[at + 1] = piece
+            found = at
         return last
 
     def ids(self, token: str) -> list[int]:
         """Ids of a pre-token, read off its table from the end."""
-        last, at, out = self.table(token), len(token), []
+        last, at, out, size = self.table(token), len(token), [], self.size
         while at:
             piece = last[at]
-            if piece == FOREIGN:
+            if piece is None:
                 out += [self.byte_ids[b] for b in reversed(token[at - 1].encode("utf-8", "surrogatepass"))]
                 at -= 1
             else:
                 out.append(piece)
-                at -= len(self.texts[piece])
-        return out[::-1]
+                at -= size[piece]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, as the library gives it: control ids are nothing, the blank the encoder puts first goes,
@@ -178,22 +185,24 @@ class Pieces:
 
 
 class TokenIds(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers, worked out once; forgets all when it grows too large."""
+    """Pre-token -> its ids as little-endian 32-bit integers, worked out once; when it grows too large it forgets what
+    was not used since the last time."""
 
     ROOM = 300_000
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.older = pieces, {}
 
     def __missing__(self, token: str) -> bytes:
-        ids = self.pieces.ids(token.replace(" ", BLANK))
-        value = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(token) > 1000:
-            return value
-        if len(self) >= self.ROOM:
-            self.clear()
-        self[token] = value
+        value = self.older.get(token)
+        if value is None:
+            value = b"".join(map(self.pieces.packed.__getitem__, self.pieces.ids(token.replace(" ", BLANK))))
+        if len(token) <= 1000:
+            if len(self) >= self.ROOM:
+                self.older = dict(self)
+                self.clear()
+            self[token] = value
         return value
 
 
@@ -210,8 +219,7 @@ def _ids(path: str) -> TokenIds:
 def _packed(table: TokenIds, text: str | None, begin: bool, end: bool) -> bytes:
     """Ids of a whole text as little-endian 32-bit integers."""
     p = table.pieces
-    body = [table[t] for t in pre_tokens(text or "")]
-    return b"".join([p.begin.to_bytes(4, "little") if begin else b"", *body, p.end.to_bytes(4, "little") if end else b""])
+    return b"".join([p.packed[p.begin] if begin else b"", *map(table.__getitem__, pre_tokens(text or "")), p.packed[p.end] if end else b""])
 
 
 def _unpacked(packed: bytes) -> list[int]:
