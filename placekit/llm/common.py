@@ -28,12 +28,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def row_id(df: DataFrame, name: str = "_row") -> DataFrame:
-    """A number per row of a stored table: where in which split it was read.
+    """A name per row of a stored table: a hash of the path of its file, and its place there.
 
-    Two scans of one table number it alike, so decisions made on a few columns can be joined back to
-    whole rows even where rows repeat or keys are null. ``df`` must be a table read from storage.
+    Two scans of one table name it alike, however it is split, so decisions made on a few columns can be joined back to
+    whole rows even where rows repeat or keys are null. ``df`` must be a table read from Parquet, or columns of one.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    place = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.concat_ws(":", F.hex(F.xxhash64(place["file_path"])), place["row_index"].cast("string")))
 
 
 def fresh(df: DataFrame, name: str) -> str:

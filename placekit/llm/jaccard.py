@@ -7,12 +7,16 @@ themselves decide.
 
 A ``Law`` has the words of a shingle and the least similarity. Which points meet in one tree is settled exactly. Sets
 with Jaccard similarity of at least ``t`` differ in at most ``smaller * (1 - t) / t`` elements; when the groups are more
-than that, some group must hold the same elements in both. So sets are linked to others that agree in a whole group (by
-a hash of its elements). Below nine tenths such groups would hold so few elements that unrelated sets agree in them;
-there sets are linked that share one of their ``n - ceil(t * n) + 1`` first elements in one order of all shingles, which
-no similar pair can avoid either. The order puts shingles that are common in a sample last; it decides the work, never
-the result. Connected components of that graph are the forest, and each component has a tree. A component too large for one task is packed into leaves by size, and
-every two leaves whose sizes can be similar are one task: no pair is lost, none is emitted but links that connect.
+than that, some group must hold the same elements in both. So sets meet that agree in a whole group (by a hash of its
+elements). Below nine tenths such groups would hold so few elements that unrelated sets agree in them; there sets meet
+that share one of their ``n - ceil(t * n) + 1`` first elements in one order of all shingles, which no similar pair can
+avoid either. The order puts shingles that are common in a sample last; it decides the work, never the result.
+
+The forest has a tree per such key; keys under which the same sets meet are one tree. A tree too large for one task is
+packed into leaves by size, and every two leaves whose sizes can be similar are one task. Only points travel there. A
+point names all its candidates if they are few; else some, and the others only where the links found so far leave them
+apart. Texts are fetched for the pairs that survive, and their sets decide. So no pair is lost, and none is emitted in
+a crowd but what connects it.
 
 Equal sets are one point, so copies never meet in pairs. Shingles and sets are named by 64-bit hashes.
 """
@@ -29,9 +33,14 @@ from pyspark.sql import functions as F
 
 from placekit.llm.common import WordHashes, concat_words, cut, fresh, may_be_in, mix, row_id, slices
 from placekit.operators.graph import components
+from placekit.plans.session import is_empty
 
 DIMENSIONS = 64
-LEAF_POINTS, LEAF_ELEMENTS = 512, 1_000_000
+LEAF_POINTS = 512
+FEW = 8            # candidates a point names at first
+HUB_PAIRS = 500    # pairs of one set that a task decides
+RUN_ROOM = 2_000_000  # names of one key held to tell whether other keys have the same
+NAMES_ROOM = 1_000_000
 NODE = 16
 GROUPS_FROM = 90
 SAMPLE, COMMON = 4096, 100_000
@@ -163,17 +172,83 @@ def common_shingles(docs: DataFrame, law: Law) -> tuple[np.ndarray, np.ndarray]:
     return held[order], counted["count"].to_numpy(np.int64)[order]
 
 
+def points_of(sets: list[np.ndarray]) -> list[bytes]:
+    """Count vectors, two bytes a coordinate, or four where one needs them."""
+    out = []
+    for s in sets:
+        counts = np.bincount((s >> _U(58)).astype(np.int64), minlength=DIMENSIONS)
+        out.append(counts.astype("<u2" if counts.max() < 65536 else "<u4").tobytes())
+    return out
+
+
+def read_points(raw: list[bytes]) -> np.ndarray:
+    return np.array([np.frombuffer(r, "<u2" if len(r) == 2 * DIMENSIONS else "<u4") for r in raw], np.int64).reshape(-1, DIMENSIONS)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], law: Law, common) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes, told = WordHashes(), set()
+    none = np.zeros(0, np.int64)
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column("text").to_pylist(), hashes, law.shingle)
-        keys = [group_keys(s, law) if common is None else first_keys(s, law, common.value) for s in sets]
+        names, keys = [digest(s) for s in sets], []
+        for s, name in zip(sets, names, strict=True):
+            # of sets that repeat in a task one brings the keys
+            keys.append(none if name in told else group_keys(s, law) if common is None else first_keys(s, law, common.value))
+            told.add(name)
+        if len(told) > NAMES_ROOM:
+            told.clear()
         offsets = np.zeros(len(keys) + 1, np.int32)
         np.cumsum([len(k) for k in keys], out=offsets[1:])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))],
-            ["_row", "doc_id", "n_shingles", "name", "keys"])
+            [batch.column("_row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(points_of(sets), pa.binary()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else none))],
+            ["_row", "doc_id", "n_shingles", "name", "points", "keys"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, name) sorted by key: the sets of each key that has several, under a name that keys of the same sets share."""
+
+    def trees(keys: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((names, keys))
+        keys, names = keys[order], names[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])
+        keys, names = keys[first], names[first]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(keys)))
+        if not (counts > 1).any():
+            return
+        tree = mix(np.add.reduceat(mix(names.astype(_U) + _U(7)), starts) + counts.astype(_U)).astype(np.int64)
+        _, kept = np.unique(np.where(counts > 1, tree, 0), return_index=True)
+        kept = kept[counts[kept] > 1]
+        take = np.zeros(len(starts), bool)
+        take[kept] = True
+        rows = np.repeat(take, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(tree, counts)[rows]), pa.array(names[rows])], ["tree", "name"])
+
+    keys, names, long_key = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column("key").to_numpy()])
+        names = np.concatenate([names, batch.column("name").to_numpy()])
+        if not len(keys):
+            continue
+        if long_key is not None:
+            # a key of very many sets keeps its own name
+            end = int(np.searchsorted(keys, long_key, "right")) if keys[0] == long_key else 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:end]), pa.array(names[:end])], ["tree", "name"])
+            keys, names = keys[end:], names[end:]
+            if not len(keys):
+                continue
+            long_key = None
+        last = int(np.searchsorted(keys, keys[-1]))
+        yield from trees(keys[:last], names[:last])
+        keys, names = keys[last:], names[last:]
+        if len(keys) > RUN_ROOM:
+            long_key = keys[0]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names)], ["tree", "name"])
+            keys, names = keys[:0], names[:0]
+    if long_key is None:
+        yield from trees(keys, names)
 
 
 class CountTree:
@@ -217,121 +292,140 @@ class CountTree:
         return self.order[nodes[ok]]
 
 
-def link_group(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = JOIN.percent) -> list[tuple[int, int]]:
-    """Links that connect all sets which links of (left, right) pairs connect; positions in ``sets``.
+def candidates(points: np.ndarray, sizes: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray, apart: np.ndarray | None, percent: int) -> tuple[list, list]:
+    """Pairs of ``left`` and ``right`` that their points allow, and the sets of ``left`` that have more.
 
-    ``left`` and ``right`` are the same, or two leaves of which only pairs across are looked at.
+    Without ``apart`` a set names its ``FEW`` candidates of smallest name and the one it may share most with. With it, the
+    labels of what links connect already, all candidates that are labelled otherwise.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.array([np.bincount((s >> _U(58)).astype(np.int64), minlength=DIMENSIONS) for s in sets], np.int64).reshape(-1, DIMENSIONS)
-    everything, where = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.zeros(len(sets) + 1, np.int64)
-    np.cumsum(sizes, out=starts[1:])
-    mark = np.zeros(len(everything), bool)
-    parent = np.arange(len(sets))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    tree, found, same = CountTree(points[right], sizes[right], percent), [], len(left) == len(right) and bool((left == right).all())
+    tree, pairs, more = CountTree(points[right], sizes[right], percent), [], []
     for i in left:
         near = right[tree.search(points[i], int(sizes[i]))]
-        near = near[near > i] if same else near
-        if not len(near):
-            continue
-        r = root(i)
-        near = near[np.array([root(j) != r for j in near], bool)]
-        if not len(near):
-            continue
-        mine = where[starts[i]:starts[i + 1]]
-        mark[mine] = True
-        for j in near:
-            if linked(int(mark[where[starts[j]:starts[j + 1]]].sum()), int(sizes[i]), int(sizes[j]), percent):
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((int(i), int(j)))
-        mark[mine] = False
-    return found
-
-
-def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tree, leaf_a, leaf_b): links of each task's pairs of leaves."""
-
-    def solve(key, rows):
+        near = near[near != i]
+        if apart is not None:
+            near = near[apart[near] != apart[i]]
+        elif len(near) > FEW + 1:
+            more.append(int(names[i]))
+            shared = np.minimum(points[near], points[i]).sum(axis=1) * 2 - sizes[near]
+            near = np.append(near[np.argsort(names[near])[:FEW]], near[np.argmax(shared)])
+        pairs += [(int(min(names[i], n)), int(max(names[i], n))) for n in names[near]]
+    return pairs, more
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int, across: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (tree, leaf_a, leaf_b): candidates of each task's pairs of leaves; a row without b names a set that has more."""
+
+    def solve(key, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts)
         if len(rows) < 2:
-            return []
-        names = [r[0] for r in rows]
-        sets = [np.frombuffer(r[1], _U) for r in rows]
-        leaf = np.array([r[2] for r in rows])
+            return None
+        names, leaf = rows["name"].to_numpy(), rows["leaf"].to_numpy()
+        points, sizes = read_points(rows["points"].to_pylist()), rows["n"].to_numpy()
+        apart = rows["label"].to_numpy() if across else None
         left, right = np.flatnonzero(leaf == key[1]), np.flatnonzero(leaf == key[2])
-        return [(names[i], names[j]) for i, j in link_group(sets, left, right, percent)] if len(left) and len(right) else []
-
-    key, rows = None, []
+        pairs, more = candidates(points, sizes, names, left, right, apart, percent)
+        if key[1] != key[2]:
+            others = candidates(points, sizes, names, right, left, apart, percent)
+            pairs, more = pairs + others[0], more + others[1]
+        pairs = sorted(set(pairs))
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * (len(pairs) + len(more)), pa.int64()), pa.array([p[0] for p in pairs] + more, pa.int64()),
+                                           pa.array([p[1] for p in pairs] + [None] * len(more), pa.int64())], ["tree", "a", "b"])
+
+    key, parts = None, []
     for batch in batches:
-        out = []
-        for tree, a, b, leaf, name, elements in zip(*(batch.column(c).to_pylist() for c in ("tree", "leaf_a", "leaf_b", "leaf", "name", "elements")), strict=True):
-            if (tree, a, b) != key:
-                out += solve(key, rows)
-                key, rows = (tree, a, b), []
-            rows.append((name, elements, leaf))
-        yield _pairs(out)
-    yield _pairs(solve(key, rows))
-
-
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
-
-
-def _elements(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+        if not batch.num_rows:
+            continue
+        tree, one, two = (batch.column(c).to_numpy() for c in ("tree", "leaf_a", "leaf_b"))
+        starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            here = (int(tree[start]), int(one[start]), int(two[start]))
+            if here != key:
+                if parts and (out := solve(key, parts)) is not None:
+                    yield out
+                key, parts = here, []
+            parts.append(batch.slice(start, end - start))
+    if parts and (out := solve(key, parts)) is not None:
+        yield out
+
+
+def _decided(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, salt, role), the hub's own text first: the members whose sets are similar enough."""
+    hashes, key, own = WordHashes(), None, None
     for batch in slices(batches, "text"):
-        sets = shingle_sets(batch.column("text").to_pylist(), hashes, shingle)
-        yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("leaf"), batch.column("leaves"), batch.column("n"), batch.column("name"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                         ["tree", "leaf", "leaves", "n", "name", "elements"])
+        sets = shingle_sets(batch.column("text").to_pylist(), hashes, law.shingle)
+        a, b = [], []
+        for hub, salt, role, member, s in zip(*(batch.column(c).to_pylist() for c in ("hub", "salt", "role", "member")), sets, strict=True):
+            if role == 0:
+                key, own = (hub, salt), s
+            elif (hub, salt) == key and linked(len(np.intersect1d(own, s, assume_unique=True)), len(own), len(s), law.percent):
+                a.append(hub)
+                b.append(member)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def describe(docs: DataFrame, law: Law = JOIN) -> DataFrame:
-    """Stored table with one row per document: ``_row, doc_id, n_shingles, name`` of its set, ``keys`` that similar sets share."""
+    """Stored table with one row per document: ``_row, doc_id, n_shingles, name`` of its set, ``points``, ``keys`` that similar sets share."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     common = None if law.percent >= GROUPS_FROM else docs.sparkSession.sparkContext.broadcast(common_shingles(docs, law))
-    return cut(row_id(docs.select("doc_id", "text")).mapInArrow(lambda batches: _describe(batches, law, common), f"_row long, doc_id {kind}, n_shingles long, name long, keys array<long>"))
-
-
-def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFrame:
-    """Links ``(a, b)`` between names of different sets that connect every component of linked sets."""
-    keyed = described.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key"))
-    # partial minima and maxima come first, so copies and hot keys shrink before they are shuffled
-    shared = keyed.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low < high").select("key", "low")
-    star = keyed.join(shared, "key").where("name > low").select(F.col("name").alias("a"), F.col("low").alias("b")).distinct()
-    forest = components(star).select(F.col("node").alias("name"), F.col("label").alias("tree"))
-    # one row stands for each set
-    stand = described.groupBy("name").agg(F.min("_row").alias("_row"), F.min("n_shingles").alias("n"))
-    points = cut(forest.join(stand, "name").withColumn("size_band", F.floor(F.log("n") / F.log(F.lit(1.05)))))
-    packs = points.groupBy("tree", "size_band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    trees = packs.groupBy("tree").agg(F.sum("m").alias("all_m"), F.sum("total").alias("all_n"))
-    packs = packs.join(trees, "tree").withColumn(
-        "leaves", F.when((F.col("all_m") <= LEAF_POINTS) & (F.col("all_n") <= LEAF_ELEMENTS), F.lit(0))
-        .otherwise(F.greatest(F.ceil(F.col("m") / LEAF_POINTS), F.ceil(F.col("total") / LEAF_ELEMENTS)))).select("tree", "size_band", "leaves", "lo", "hi")
+    return cut(row_id(docs.select("doc_id", "text")).mapInArrow(
+        lambda batches: _describe(batches, law, common), f"_row string, doc_id {kind}, n_shingles long, name long, points binary, keys array<long>"))
+
+
+def decide(docs: DataFrame, stand: DataFrame, pairs: DataFrame, law: Law) -> DataFrame:
+    """The pairs ``(a, b)`` of set names whose sets are similar enough; a set with many pairs is split over tasks."""
+    split = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts"))
+    rows = pairs.join(split, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    sides = rows.select(F.col("a").alias("hub"), "salt", F.lit(0).alias("role"), F.col("a").alias("member")).distinct().unionByName(
+        rows.select(F.col("a").alias("hub"), "salt", F.lit(1).alias("role"), F.col("b").alias("member")))
+    sides = cut(sides.join(stand.select(F.col("name").alias("member"), "_row"), "member"))
+    texts = may_be_in(row_id(docs.select("text")), sides, "_row").join(sides, "_row").select("hub", "salt", "role", "member", "text")
+    met = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return cut(met.mapInArrow(lambda batches: _decided(batches, law), "a long, b long"))
+
+
+def leaf_pairs(forest: DataFrame, law: Law) -> DataFrame:
+    """Rows of ``forest`` (tree, name, n, ...) once per pair of leaves that they are looked at in: leaf, leaf_a, leaf_b."""
+    banded = forest.withColumn("size_band", F.floor(F.log("n") / F.log(F.lit(1.05))))
+    packs = banded.groupBy("tree", "size_band").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    whole = packs.groupBy("tree").agg(F.sum("m").alias("all_m"))
+    big = cut(packs.join(whole.where(F.col("all_m") > LEAF_POINTS), "tree").withColumn("leaves", F.ceil(F.col("m") / LEAF_POINTS)))
     # leaf 0 is a whole small tree; others are (size band, number) as one number
-    leaf = F.when(F.col("leaves") == 0, F.lit(0)).otherwise((F.col("size_band") + 1) * (1 << 32) + F.pmod(F.xxhash64("name"), F.greatest("leaves", F.lit(1)))).cast("long")
-    placed = points.join(packs.select("tree", "size_band", "leaves"), ["tree", "size_band"]).withColumn("leaf", leaf)
-    texts = may_be_in(row_id(docs.select("text")), points, "_row").join(placed.select("_row", "name", "n", "tree", "leaf", "leaves"), "_row")
-    members = cut(texts.select("tree", "leaf", "leaves", "n", "name", "text").mapInArrow(lambda batches: _elements(batches, law.shingle), "tree long, leaf long, leaves long, n long, name long, elements binary"))
-    large = members.where("leaves > 0")
-    ranges = large.groupBy("tree", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    leaf = F.when(F.col("leaves").isNull(), F.lit(0)).otherwise((F.col("size_band") + 1) * (1 << 32) + F.pmod(F.xxhash64("name"), F.greatest("leaves", F.lit(1)))).cast("long")
+    placed = banded.join(big.select("tree", "size_band", "leaves"), ["tree", "size_band"], "left").withColumn("leaf", leaf).drop("size_band")
+    ranges = big.select("tree", "lo", "hi", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1), lambda i: (F.col("size_band") + 1) * (1 << 32) + i)).alias("leaf"))
     x, y = ranges.alias("x"), ranges.alias("y")
     pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.leaf") <= F.col("y.leaf")) & (law.percent * F.col("y.lo") <= 100 * F.col("x.hi")) & (law.percent * F.col("x.lo") <= 100 * F.col("y.hi"))).select(
         F.col("x.tree").alias("tree"), F.col("x.leaf").alias("leaf_a"), F.col("y.leaf").alias("leaf_b"))
     # a leaf goes to each pair it is in, as one of them or both
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("leaf_a", "leaf_b"))).alias("leaf"))
-    work = members.where("leaves = 0").select("tree", F.col("leaf").alias("leaf_a"), F.col("leaf").alias("leaf_b"), "leaf", "name", "elements").unionByName(
-        large.join(sides, ["tree", "leaf"]).select("tree", "leaf_a", "leaf_b", "leaf", "name", "elements"))
-    work = work.repartition("tree", "leaf_a", "leaf_b").sortWithinPartitions("tree", "leaf_a", "leaf_b")
-    return work.mapInArrow(lambda batches: _links(batches, law.percent), "a long, b long")
+    small = placed.where(F.col("leaves").isNull()).withColumns({"leaf_a": F.col("leaf"), "leaf_b": F.col("leaf")})
+    return small.drop("leaves").unionByName(placed.where(F.col("leaves").isNotNull()).drop("leaves").join(sides, ["tree", "leaf"]))
+
+
+def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFrame:
+    """Links ``(a, b)`` between names of different sets that connect every component of linked sets."""
+    keyed = described.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key"))
+    forest = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "tree long, name long").distinct())
+    # one row stands for each set
+    rows = described.select("name", "_row", F.col("n_shingles").alias("n"), "points").join(forest.select("name").distinct(), "name", "left_semi")
+    stand = cut(rows.groupBy("name").agg(F.min(F.struct("_row", "n", "points")).alias("s")).select("name", "s.*"))
+    placed = forest.join(stand.select("name", "n", "points"), "name")
+
+    def proposed(trees: DataFrame, across: bool) -> DataFrame:
+        work = leaf_pairs(trees, law).repartition("tree", "leaf_a", "leaf_b").sortWithinPartitions("tree", "leaf_a", "leaf_b")
+        return cut(work.mapInArrow(lambda batches: _candidates(batches, law.percent, across), "tree long, a long, b long"))
+
+    named = proposed(placed, False)
+    pairs = cut(named.where(F.col("b").isNotNull()).select("a", "b").distinct())
+    links = decide(docs, stand, pairs, law)
+    more = named.where(F.col("b").isNull()).select("tree", F.col("a").alias("name"))
+    if is_empty(more):
+        return links
+    # a pair of sets of which one named all its candidates is settled
+    label = components(links).select(F.col("node").alias("name"), "label")
+    open_ = placed.join(more, ["tree", "name"]).join(label, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    rest = proposed(open_, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    return links.unionByName(decide(docs, stand, cut(rest), law))
 
 
 def near_copies(docs: DataFrame, law: Law = JOIN) -> DataFrame:

@@ -64,7 +64,9 @@ def test_components_equal_all_pairs(stored, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
-def test_small_leaves_lose_no_link(stored, monkeypatch):
+@pytest.mark.parametrize("few", [0, 2, 8])
+def test_small_leaves_lose_no_link(stored, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
     rng = random.Random(3)
     base = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
     rows = [(i, near(base, rng, rng.randrange(1, 4))) for i in range(60)]
@@ -142,3 +144,42 @@ def test_pipeline_stage_drops_a_copy_between_the_laws(spark, stored):
     docs = stored(rows, SCHEMA)
     assert jaccard.drop_near_copies(docs).count() == 3
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [1, 3]
+
+
+def test_keys_of_the_same_sets_are_one_tree(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = sorted([(k, n) for k in range(40) for n in ([1, 2, 3] if k < 20 else [k] if k < 25 else [5, k])] + [(7, 1), (9, 2)])
+    for room in (10**6, 4):
+        monkeypatch.setattr(jaccard, "RUN_ROOM", room)
+        batches, at = [], 0
+        while at < len(rows):
+            step = rng.randrange(1, 6)
+            part = rows[at:at + step]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64())], ["key", "name"]))
+            at += step
+        got = {}
+        for b in jaccard._trees(iter(batches)):
+            for t, n in zip(b.column("tree").to_pylist(), b.column("name").to_pylist()):
+                got.setdefault(t, set()).add(n)
+        sets = sorted(map(sorted, got.values()))
+        assert [1, 2, 3] in sets and all([5, k] in sets for k in range(25, 40)) and all(len(x) > 1 for x in sets)
+        if room > 10:
+            assert len({tuple(x) for x in sets}) == 16
+
+
+def test_row_names_are_the_same_however_a_table_is_split(spark, stored):
+    from placekit.llm.common import row_id
+
+    docs = stored([(i % 50, f"text {i % 70} " * 30) for i in range(5000)], SCHEMA, extra=True, files=2)
+    named = []
+    for cores in ("3", "11"):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(10_000 * int(cores)))
+        try:
+            named.append(sorted((r.name_, r.doc_id, r.text) for r in row_id(docs.select("doc_id", "text"), "name_").collect()))
+        finally:
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert named[0] == named[1] and len({n for n, _, _ in named[0]}) == 5000
