@@ -22,7 +22,8 @@ from placekit.llm.common import cut, slices
 
 MIN_PAGES = 8
 SHARE_OUTSIDE, SHARE_INSIDE = 0.02, 0.6
-H1, MAIN, MAIN_TEXT = 1, 2, 4
+SHORT = 120  # characters; a block of an article named like a frame is one if no longer, and what holds most of a page is longer
+H1, MAIN, MAIN_TEXT, MOST = 1, 2, 4, 8
 
 # The tags and words of the markup language and of common page frames.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,11 +33,19 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 DROP = frozenset("head script style noscript template title textarea nav aside footer form button select input option optgroup fieldset dialog menu "
                  "iframe object embed applet canvas svg math audio video map noembed noframes xmp".split())
+# of these, what may be a wrapper around a page's text
+WRAPPERS = frozenset("form fieldset dialog".split())
+MAY_HOLD = WRAPPERS | {"nav", "aside", "footer", "menu"}
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 FRAME_WORDS = frozenset("nav navbar navigation menu menus header masthead footer sidebar sidebars aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored "
                         "sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
                         "login comment comments commentlist disqus reply replies respond share sharing social breadcrumb breadcrumbs related recommended recommendations pagination "
                         "pager toolbar widget widgets skip".split())
+# names of readers' comments, and words that say nothing of what a block holds
+COMMENTS = frozenset("comments commentlist disqus replies respond".split())
+PLAIN_WORDS = frozenset("area bar block bottom box button buttons container content group icon icons inner item items left link links list main module page panel post posts right row "
+                        "section site slot top unit widget wrap wrapper".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
              "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = frozenset("article body div section main td th table ul ol dl li blockquote form fieldset aside header footer nav figure button details".split())
@@ -51,7 +60,9 @@ class Element:
     tag: str
     attributes: dict[str, str]
     parts: list = field(default_factory=list)  # texts and elements, in page order
-    holds: int = 0  # which of H1, MAIN and MAIN_TEXT are inside it
+    holds: int = 0  # which of H1, MAIN and MAIN_TEXT are inside it, and whether most of the page's text is (MOST)
+    plain: int = 0  # characters of text inside it that is no link, and
+    linked: int = 0  # of links
 
 
 class Open:
@@ -83,11 +94,12 @@ def parse(html: str) -> Element:
     stack = opened.stack
     while at < end:
         m = _MARKUP.search(html, at)
+        if (until := m.start() if m else end) > at:
+            if stack[-1].tag == "head" and not html[at:until].isspace():
+                opened.close(("head",))
+            stack[-1].parts.append(html[at:until])
         if m is None:
-            stack[-1].parts.append(html[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(html[at:m.start()])
         at = m.end()
         closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
@@ -96,6 +108,8 @@ def parse(html: str) -> Element:
         if closing:
             opened.close((tag,))
             continue
+        if tag not in IN_HEAD:
+            opened.close(("head",))  # its end tag may be left out
         if tag in BLOCK:
             opened.close(("p",), SCOPES)
         if tag in CLOSED_BY:
@@ -111,37 +125,64 @@ def parse(html: str) -> Element:
             opened.push(element)
     for e, _ in _walk(root):
         for p in e.parts:
-            if isinstance(p, Element):
-                e.holds |= p.holds | (H1 if p.tag == "h1" else 0)
-                if is_main(p):
-                    e.holds |= MAIN if is_frame(p, True) else MAIN | MAIN_TEXT
+            if isinstance(p, str):
+                e.plain += len(" ".join(p.split()))
+                continue
+            e.holds |= p.holds | (H1 if p.tag == "h1" else 0)
+            if is_main(p):
+                e.holds |= MAIN if is_frame(p, True) else MAIN | MAIN_TEXT
+            if p.tag not in DROP or p.tag in WRAPPERS:
+                e.plain += 0 if p.tag == "a" else p.plain
+                e.linked += p.linked + (p.plain if p.tag == "a" else 0)
+    for e, _ in _walk(root):
+        e.holds |= MOST if 2 * e.plain > root.plain and e.plain > SHORT else 0
     return root
 
 
 def is_frame(e: Element, inside: bool) -> bool:
     """Whether an element says of itself that it is part of the page's frame.
 
-    A header inside an article that holds its title is none, nor is anything that holds an article.
+    A header inside an article that holds its title is none, nor is anything that holds an article. On a page that marks
+    no article, a name or a form around most of the text is none. Inside an article a name alone isn't enough.
     """
-    if e.tag in DROP or "hidden" in e.attributes:
+    if "hidden" in e.attributes:
         return True
+    if e.tag in DROP and not (e.tag in WRAPPERS and not inside and e.holds & MOST):
+        return not (e.holds & MAIN_TEXT and e.tag in MAY_HOLD)
     if e.tag in ("html", "body", "main", "#page"):
         return False
     if e.tag == "article":  # may be a reader's comment
         return bool({"comment", "comments", "reply"} & set(e.attributes.get("class", "").lower().split()))
-    said = FRAME_WORDS & _names(e)
-    if e.tag == "header" or said and said <= {"header"}:
-        return not (inside and e.holds & H1) and not e.holds & MAIN
-    return (e.attributes.get("role", "").lower() in ROLES or bool(said)) and not e.holds & MAIN_TEXT
+    most = not inside and e.holds & MOST
+    said = FRAME_WORDS & set().union(*_names(e))
+    if e.tag == "header" or not inside and said and said <= {"header"}:
+        return not (inside and e.holds & H1) and not e.holds & MAIN and not most
+    if e.holds & MAIN_TEXT or most:
+        return False
+    return e.attributes.get("role", "").lower() in ROLES or (frame_in_article(e) if inside else bool(said))
+
+
+def frame_in_article(e: Element) -> bool:
+    """Whether a block of an article that is named like a frame is one: readers' comments, mostly links, or a short block."""
+    if any(COMMENTS & set(words) for words in _names(e)):
+        return True
+    if not named_frame(e) or e.holds & H1:
+        return False
+    return e.linked >= max(1, e.plain) or e.tag not in PARAGRAPH and e.plain + e.linked <= SHORT
+
+
+def named_frame(e: Element) -> bool:
+    """A class or id of nothing but words of frames, and words that say nothing of what is in it."""
+    return any(FRAME_WORDS & set(words) and set(words) <= FRAME_WORDS | PLAIN_WORDS for words in _names(e))
 
 
-def _names(e: Element) -> set[str]:
-    """Words of an element's classes and id; classes such as "no-sidebar" or "has-menu" speak of others."""
-    out = set()
+def _names(e: Element) -> list[list[str]]:
+    """Words of each class and the id of an element; names such as "no-sidebar" or "has-menu" speak of others."""
+    out = []
     for name in f"{e.attributes.get('class', '')} {e.attributes.get('id', '')}".split():
         words = [w.lower() for w in _SPLIT.split(name) if w]
         if words and words[0] not in ("no", "not", "has", "is", "with", "without"):
-            out.update(words)
+            out.append(words)
     return out
 
 
@@ -165,7 +206,8 @@ def _walk(root: Element) -> Iterator[tuple[Element, bool]]:
 def subtree_hashes(root: Element, host: str) -> dict[int, tuple[int, bool]]:
     """Hash of each element that may be part of a template, by the element's identity, with whether it is inside an article.
 
-    The host is part of each hash. Elements without text have none; paragraphs inside an article are never templates.
+    The host is part of each hash. Elements without text have none; paragraphs inside an article are templates only if
+    they are named like a frame, and what is so named counts as if it were outside.
     """
     own: dict[int, bytes] = {}
     out: dict[int, tuple[int, bool]] = {}
@@ -183,6 +225,7 @@ def subtree_hashes(root: Element, host: str) -> dict[int, tuple[int, bool]]:
                 said.append(inner)
         value = hashlib.blake2b(b"\x1f".join(said), digest_size=8).digest() if text else b""
         own[id(e)] = value
+        inside = inside and not named_frame(e)
         if value and e.tag not in ("#page", "html", "body") and not is_main(e) and not (inside and e.tag in PARAGRAPH):
             key = hashlib.blake2b(value + (b"\1" if inside else b"\0") + host.encode("utf-8", "surrogatepass"), digest_size=8).digest()
             out[id(e)] = (int.from_bytes(key, "little", signed=True), inside)

@@ -93,3 +93,44 @@ def test_depth_changes_nothing():
         assert text("<span>" * n + "<nav>menu</nav><p>text</p><div class='comments'><p>c</p></div><aside>side</aside>") == "text"
     assert text("<div role='main' class='banner'>" * 300 + "x" + "</div>" * 300) == ""
     assert text("<p><div>" + "<font>" * 50_000 + "<h1>t</h1>" * 3000).startswith("t\n\nt")
+
+
+def test_a_head_without_its_end_tag():
+    assert text("<html><head><title>T</title><meta charset=utf-8><body><article><p>in</p></article></body>") == "in"
+    assert text("<head><title>T</title><style>x{}</style><p>para</p>") == "para" and text("<head><title>T</title>bare text") == "bare text"
+
+
+def test_wrapped_pages_keep_their_text():
+    long = "A long text that makes up most of what this page says. " * 5
+    for wrap in ('<form action="/">{}</form>', '<div class="sticky-header">{}</div>', '<div class="content-sidebar-wrap">{}</div>', "<header>{}</header>", '<div role="form">{}</div>'):
+        assert text("<body>" + wrap.format(f"<nav><a>m</a></nav><p>{long}</p>") + "<footer>f</footer></body>") == long.strip()
+        assert text("<body>" + wrap.format(f"<nav><a>m</a></nav><article><p>{long}</p></article>") + "</body>") == long.strip()
+    assert text(f"<body><nav>{'<a>link of the menu</a> ' * 50}</nav><p>short</p><form>Search</form></body>") == "short"
+
+
+def test_names_inside_an_article_need_evidence():
+    long = "What is said here is part of the article and longer than a label, whatever its block is called by the people who wrote the page. "
+    for block in ('<section id="related-work">{}</section>', '<div class="comment-box">{}</div>', '<p class="alert">{}</p>', '<div class="share-price">{}</div>'):
+        assert text("<article><p>one</p>" + block.format(long) + "<p>two</p></article>") == f"one\n\n{long.strip()}\n\ntwo"
+    assert text('<article><p>one</p><div class="share-price">ACME 12.50</div><p class="alert">Mind the gap</p></article>') == "one\n\nACME 12.50\n\nMind the gap"
+    for block in (f'<div id="comments"><p>{long}</p></div>', '<div class="share-bar">Share this</div>', f'<div class="related-posts">{"<a>an older article of ours</a> " * 20}</div>',
+                  f'<section class="comment-list comments"><article class="comment"><p>{long}</p></article></section>'):
+        assert text(f"<article><p>one</p>{block}<p>two</p></article>") == "one\n\ntwo"
+
+
+def test_only_the_count_tells_a_named_block_of_an_article(stored):
+    note = "This offer of the house goes on for longer than a label would, so that only its recurring on many pages of the site tells what it is. " * 2
+    rows = [(i, f"http://site.org/{i}", f'<article><p>Own text {i}</p><div class="promo-box"><p>{note}</p></div></article>') for i in range(20)]
+    rows += [(100, "http://other.org/1", f'<article><p>Own</p><div class="promo-box"><p>{note}</p></div></article>')]
+    got = {r.page_id: r.text for r in html.extract(stored(rows, SCHEMA)).collect()}
+    assert got[7] == "Own text 7" and got[100] == f"Own\n\n{note.strip()}"
+
+
+def test_whole_results_by_hand(stored):
+    """Texts of a small site, worked out page by page with counts in plain Python."""
+    rows = [(i, f"http://site.org/{i}", f"<head><title>{i}</title><body><div>Site name</div><div class='c{i % 3}'>Section {i % 3}</div><div><p>Own words of page {i}, a few more than the frame has</p></div>"
+             f"<div>Only {i // 4}</div><ul><li>one<li>two</ul>") for i in range(24)]
+    got = {r.page_id: r.text for r in html.extract(stored(rows, SCHEMA)).collect()}
+    for i, _, _ in rows:
+        # the name and the list are on all pages, a section on eight, "Only" lines on four
+        assert got[i] == f"Own words of page {i}, a few more than the frame has\n\nOnly {i // 4}"
