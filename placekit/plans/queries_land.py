@@ -99,7 +99,46 @@ def _(v):
     return land.disjoint(both, [F.col("p").desc()]).select("gy", "gx", "owner")
 
 
-@query("merge_undersized")
+_SIDES = """sides AS (SELECT a.grp, a.owner AS a, b.owner AS b, count(*) * 0.25::DOUBLE AS s FROM cells a JOIN cells b USING (grp)
+  WHERE a.owner <> b.owner AND abs(b.gy - a.gy) + abs(b.gx - a.gx) = 1 GROUP BY ALL)"""
+# a place off the land is nearest to the cell at the land's edge beside it
+_FILL = """box AS (SELECT grp, min(gy) AS y0, max(gy) AS y1, min(gx) AS x0, max(gx) AS x1 FROM cells GROUP BY grp),
+fill AS (SELECT c.owner AS id, count(*) AS n, bit_or(kmask) AS kmask, count(*) FILTER (printed) AS holes FROM pin p JOIN box b ON b.grp = p.iso3
+  JOIN cells c ON c.grp = p.iso3 AND c.gy = least(greatest(CAST(floor(lat * 4) AS BIGINT), y0), y1) AND c.gx = least(greatest(CAST(floor(lon * 4) AS BIGINT), x0), x1) GROUP BY c.owner)"""
+_UNITS = """units AS (SELECT r.iso3 AS grp, region_id AS id, (x1 - x0) * (y1 - y0)::DOUBLE AS deg2, 2.0::DOUBLE * (x1 - x0 + y1 - y0) AS perimeter, coalesce(fill.n, 0)::BIGINT AS n_places, coalesce(fill.kmask, 0)::BIGINT AS kmask
+  FROM admin_rect r LEFT JOIN fill ON fill.id = region_id)"""
+
+
+def _merging(weight: str, pos: str, small: str, order: str, keep: str, new_pos: str, final: str) -> str:
+    """SQL that merges one tile at a time per country: the lightest small one that touches another (u) with its best neighbour (v)."""
+    tile = "{'id': %s, 'w': %s, 'pos': %s, 'per': %s, 'k': %s}"
+    u, v = "list_filter(tiles, lambda t: t.id = u.id)[1]", "list_filter(tiles, lambda t: t.id = e.b)[1]"
+    return with_cells(f""", {_SIDES}, {_FILL}, {_UNITS},
+walk AS (SELECT grp, 0 AS step, list({tile % ('id', weight, pos, 'perimeter', 'kmask')} ORDER BY id) AS tiles, list({{'unit': id, 'tile': id}} ORDER BY id) AS made, any_value(e.edges) AS edges
+    FROM units JOIN (SELECT grp, list({{'a': a, 'b': b, 's': s}} ORDER BY a, b) AS edges FROM sides GROUP BY grp) e USING (grp) GROUP BY grp
+  UNION ALL SELECT grp, step + 1, list_append(list_filter(tiles, lambda t: t.id <> u.id AND t.id <> v.id), {tile % (keep, 'u.w + v.w', new_pos, 'u.per + v.per - 2 * v.s', 'u.k | v.k')}),
+    list_transform(made, lambda m: {{'unit': m.unit, 'tile': CASE WHEN m.tile = u.id OR m.tile = v.id THEN {keep} ELSE m.tile END}}),
+    list_transform(list_distinct(list_transform(moved, lambda e: {{'a': e.a, 'b': e.b}})), lambda p: {{'a': p.a, 'b': p.b, 's': list_sum(list_transform(list_filter(moved, lambda e: e.a = p.a AND e.b = p.b), lambda e: e.s))}}) FROM (
+      SELECT *, list_transform(list_filter(edges, lambda e: NOT (e.a IN (u.id, v.id) AND e.b IN (u.id, v.id))),
+        lambda e: {{'a': CASE WHEN e.a IN (u.id, v.id) THEN {keep} ELSE e.a END, 'b': CASE WHEN e.b IN (u.id, v.id) THEN {keep} ELSE e.b END, 's': e.s}}) AS moved FROM (
+        SELECT *, list_sort(list_transform(list_filter(beside, lambda v: true), lambda v: {order}))[1].v AS v FROM (
+          SELECT *, list_transform(list_filter(edges, lambda e: e.a = u.id), lambda e: {{'id': e.b, 's': e.s, 'w': {v}.w, 'pos': {v}.pos, 'per': {v}.per, 'k': {v}.k}}) AS beside FROM (
+            SELECT *, list_sort(list_transform(list_filter(tiles, lambda t: {small} AND len(list_filter(edges, lambda e: e.a = t.id)) > 0), lambda t: {{'w': t.w, 'pos': t.pos, 'id': t.id, 'per': t.per, 'k': t.k}}))[1] AS u FROM walk)
+          WHERE u IS NOT NULL)))),
+done AS (SELECT grp, unnest(made) AS m FROM (SELECT grp, max_by(made, step) AS made FROM walk GROUP BY grp)),
+tile AS (SELECT grp, m.unit AS unit, m.tile AS tile FROM done)
+{final}""", "pin").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ALIKE = "CASE WHEN u.k <> 0 AND v.k <> 0 THEN bit_count(u.k & v.k)::DOUBLE / bit_count(u.k | v.k) ELSE 0 END"
+_THIN = _merging("n_places", "'0' || md5(id)", "t.w > 0 AND t.w < 3", f"{{'c': greatest(0, u.per + v.per - 2 * v.s - greatest(u.per, v.per)) + 4 * (1 - {_ALIKE}), 'p': v.pos, 'v': v}}",
+                 "least(u.id, v.id)", "'1' || u.w || u.pos", "SELECT grp, unit, tile FROM tile")
+_LEAST = f"{land.side_deg(1400.0) ** 2!r}::DOUBLE"
+_SIZED = _merging("deg2", "md5(id)", f"t.w < {_LEAST}", f"CASE WHEN u.w + v.w <= 3 * {_LEAST} THEN {{'f': 0, 'x': -v.s, 'p': translate(v.pos, '0123456789abcdef', 'fedcba9876543210'), 'v': v}} ELSE {{'f': 1, 'x': v.w, 'p': v.pos, 'v': v}} END",
+                  "v.id", "v.pos", "SELECT grp, unit, tile FROM tile")
+
+
+@query("merge_undersized", _THIN)
 def _(v):
     cells, fill = _busy_units(v)
     units = land.measures(cells, Q).select("grp", F.col("owner").alias("unit"), "perimeter").join(fill.withColumnRenamed("owner", "unit"), "unit", "left")
@@ -107,7 +146,7 @@ def _(v):
     return land.merge_undersized(units, land.borders(cells, Q))
 
 
-@query("merge_to_size")
+@query("merge_to_size", _SIZED)
 def _(v):
     cells, _ = _busy_units(v)
     units = land.measures(cells, Q).select("grp", F.col("owner").alias("unit"), "deg2")
