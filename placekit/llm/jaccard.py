@@ -35,7 +35,10 @@ from placekit.llm.common import WordHashes, concat_words, cut, fresh, may_be_in,
 from placekit.operators.graph import components
 from placekit.plans.session import is_empty
 
-DIMENSIONS = 64
+DIMENSIONS = 64        # coordinates of a tree, and the fewest of a set
+MOST_DIMENSIONS = 4096
+PER_DIMENSION = 6      # elements a coordinate, about: with more, unrelated sets look alike
+FEW_POINTS = 8         # sets that are compared without a tree
 LEAF_POINTS = 512
 FEW = 8            # candidates a point names at first
 HUB_PAIRS = 500    # pairs of one set that a task decides
@@ -172,17 +175,38 @@ def common_shingles(docs: DataFrame, law: Law) -> tuple[np.ndarray, np.ndarray]:
     return held[order], counted["count"].to_numpy(np.int64)[order]
 
 
+def dimensions(n: int) -> int:
+    """Coordinates of a set of ``n`` elements: a power of two, so that neighbours added up are those of a smaller set."""
+    d = DIMENSIONS
+    while d < MOST_DIMENSIONS and d * PER_DIMENSION < n:
+        d *= 2
+    return d
+
+
 def points_of(sets: list[np.ndarray]) -> list[bytes]:
-    """Count vectors, two bytes a coordinate, or four where one needs them."""
+    """Count vectors, with as few bytes a coordinate as hold all of one."""
     out = []
     for s in sets:
-        counts = np.bincount((s >> _U(58)).astype(np.int64), minlength=DIMENSIONS)
-        out.append(counts.astype("<u2" if counts.max() < 65536 else "<u4").tobytes())
+        d = dimensions(len(s))
+        counts = np.bincount((s >> _U(65 - d.bit_length())).astype(np.int64), minlength=d)
+        top = int(counts.max())
+        out.append(counts.astype("<u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes())
     return out
 
 
-def read_points(raw: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(r, "<u2" if len(r) == 2 * DIMENSIONS else "<u4") for r in raw], np.int64).reshape(-1, DIMENSIONS)
+def read_point(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // dimensions(n)}").astype(np.int32)
+
+
+def fold(point: np.ndarray, d: int) -> np.ndarray:
+    """A point with ``d`` coordinates."""
+    return point.reshape(d, -1).sum(axis=1) if len(point) > d else point
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """The most elements two sets can share, by their points."""
+    d = min(len(a), len(b))
+    return int(np.minimum(fold(a, d), fold(b, d)).sum())
 
 
 def _describe(batches: Iterator[pa.RecordBatch], law: Law, common) -> Iterator[pa.RecordBatch]:
@@ -292,60 +316,82 @@ class CountTree:
         return self.order[nodes[ok]]
 
 
-def candidates(points: np.ndarray, sizes: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray, apart: np.ndarray | None, percent: int) -> tuple[list, list]:
+def candidates(points: list[np.ndarray], sizes: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray, apart: np.ndarray | None, percent: int) -> tuple[list, list]:
     """Pairs of ``left`` and ``right`` that their points allow, and the sets of ``left`` that have more.
 
     Without ``apart`` a set names its ``FEW`` candidates of smallest name and the one it may share most with. With it, the
     labels of what links connect already, all candidates that are labelled otherwise.
     """
-    tree, pairs, more = CountTree(points[right], sizes[right], percent), [], []
+    coarse = np.array([fold(p, DIMENSIONS) for p in points], np.int64)
+    tree, pairs, more = CountTree(coarse[right], sizes[right], percent), [], []
     for i in left:
-        near = right[tree.search(points[i], int(sizes[i]))]
+        near = right[tree.search(coarse[i], int(sizes[i]))]
         near = near[near != i]
         if apart is not None:
             near = near[apart[near] != apart[i]]
-        elif len(near) > FEW + 1:
+        shared = np.array([most_common(points[i], points[j]) for j in near], np.int64)
+        fits = linked(shared, int(sizes[i]), sizes[near], percent)
+        near, shared = near[fits], shared[fits]
+        if apart is None and len(near) > FEW + 1:
             more.append(int(names[i]))
-            shared = np.minimum(points[near], points[i]).sum(axis=1) * 2 - sizes[near]
-            near = np.append(near[np.argsort(names[near])[:FEW]], near[np.argmax(shared)])
+            near = np.append(near[np.argsort(names[near])[:FEW]], near[np.argmax(2 * shared - sizes[near])])
         pairs += [(int(min(names[i], n)), int(max(names[i], n))) for n in names[near]]
     return pairs, more
 
 
+def few_candidates(points: list[np.ndarray], sizes: np.ndarray, names: np.ndarray, apart: np.ndarray | None, percent: int) -> list:
+    """All pairs of a handful of sets that their points allow."""
+    out = []
+    for i in range(len(points)):
+        for j in range(i):
+            small, large = sorted((int(sizes[i]), int(sizes[j])))
+            if 100 * small >= percent * large and (apart is None or apart[i] != apart[j]) and linked(most_common(points[i], points[j]), small, large, percent):
+                out.append((int(min(names[i], names[j])), int(max(names[i], names[j]))))
+    return out
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, across: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (tree, leaf_a, leaf_b): candidates of each task's pairs of leaves; a row without b names a set that has more."""
 
-    def solve(key, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        rows = pa.Table.from_batches(parts)
-        if len(rows) < 2:
-            return None
-        names, leaf = rows["name"].to_numpy(), rows["leaf"].to_numpy()
-        points, sizes = read_points(rows["points"].to_pylist()), rows["n"].to_numpy()
-        apart = rows["label"].to_numpy() if across else None
+    def solve(key, parts: list[tuple]) -> tuple[list, list]:
+        names, leaf, sizes, label, raw = (np.concatenate([p[k] for p in parts]) if k < 4 else [x for p in parts for x in p[4]] for k in range(5))
+        if len(names) < 2:
+            return [], []
+        points = [read_point(r, int(n)) for r, n in zip(raw, sizes, strict=True)]
+        apart = label if across else None
+        if key[1] == key[2] and len(names) <= FEW_POINTS:
+            return few_candidates(points, sizes, names, apart, percent), []
         left, right = np.flatnonzero(leaf == key[1]), np.flatnonzero(leaf == key[2])
         pairs, more = candidates(points, sizes, names, left, right, apart, percent)
         if key[1] != key[2]:
             others = candidates(points, sizes, names, right, left, apart, percent)
             pairs, more = pairs + others[0], more + others[1]
-        pairs = sorted(set(pairs))
-        return pa.RecordBatch.from_arrays([pa.array([key[0]] * (len(pairs) + len(more)), pa.int64()), pa.array([p[0] for p in pairs] + more, pa.int64()),
-                                           pa.array([p[1] for p in pairs] + [None] * len(more), pa.int64())], ["tree", "a", "b"])
+        return sorted(set(pairs)), more
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        tree = [key[0] for key, pairs, more in found for _ in range(len(pairs) + len(more))]
+        a = [x for _, pairs, more in found for x in (*(p[0] for p in pairs), *more)]
+        b = [x for _, pairs, more in found for x in (*(p[1] for p in pairs), *(None for _ in more))]
+        return pa.RecordBatch.from_arrays([pa.array(tree, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tree", "a", "b"])
 
     key, parts = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        tree, one, two = (batch.column(c).to_numpy() for c in ("tree", "leaf_a", "leaf_b"))
+        tree, one, two, names, leaf, sizes = (batch.column(c).to_numpy() for c in ("tree", "leaf_a", "leaf_b", "name", "leaf", "n"))
+        label = batch.column("label").to_numpy() if across else names
+        raw, found = batch.column("points").to_pylist(), []
         starts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
         for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             here = (int(tree[start]), int(one[start]), int(two[start]))
             if here != key:
-                if parts and (out := solve(key, parts)) is not None:
-                    yield out
+                if parts:
+                    found.append((key, *solve(key, parts)))
                 key, parts = here, []
-            parts.append(batch.slice(start, end - start))
-    if parts and (out := solve(key, parts)) is not None:
-        yield out
+            parts.append((names[start:end], leaf[start:end], sizes[start:end], label[start:end], raw[start:end]))
+        yield rows(found)
+    if parts:
+        yield rows([(key, *solve(key, parts))])
 
 
 def _decided(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordBatch]:

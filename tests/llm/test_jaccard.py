@@ -183,3 +183,26 @@ def test_row_names_are_the_same_however_a_table_is_split(spark, stored):
             spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert named[0] == named[1] and len({n for n, _, _ in named[0]}) == 5000
+
+
+def test_points_bound_what_sets_share():
+    rng = np.random.default_rng(7)
+    for n in (5, 60, 400, 1000, 5000, 40_000):
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        t = np.unique(np.concatenate([s[: n // 2], rng.integers(0, 2**64, n, dtype=np.uint64)]))
+        a, b = (jaccard.read_point(jaccard.points_of([x])[0], len(x)) for x in (s, t))
+        assert a.sum() == len(s) and b.sum() == len(t) and len(a) == jaccard.dimensions(len(s))
+        assert jaccard.most_common(a, b) >= len(np.intersect1d(s, t))
+
+
+@pytest.mark.parametrize("few_points", [0, 8])
+def test_long_texts_meet_by_finer_points(stored, monkeypatch, few_points):
+    monkeypatch.setattr(jaccard, "FEW_POINTS", few_points)
+    rng = random.Random(11)
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = []
+    for i in range(12):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(2500))
+        rows += [(10 * i, base + " " + passage), (10 * i + 1, near(base, rng, 40) + " " + passage)]
+    got = jaccard.near_copies(stored(rows, SCHEMA), jaccard.CORPUS)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 5, 80)
