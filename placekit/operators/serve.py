@@ -22,6 +22,8 @@ from placekit.operators import spatial
 DENSITY_MIN, DENSITY_MAX = 6, 48
 ROW_ADVISORY = 10_000
 
+MOST_LEVELS = 1_000  # cut levels of one bundle
+
 
 # ------------------------------------------------------------------ filters
 def clamp_density(n: float | None) -> int:
@@ -308,9 +310,12 @@ def tile_size_report(tiles: DataFrame, width_mm: float, by: list[str] | None = N
 def level_for_width(levels: DataFrame, requests: DataFrame) -> DataFrame:
     """Finest level that is still cuttable at each width, else the coarsest.
 
-    ``levels`` is the handful of widths a bundle was cut at; they become part of the expression.
+    ``levels`` is the handful of widths a bundle was cut at; they become part of the expression, so more than
+    ``MOST_LEVELS`` of them are refused.
     """
-    usable = [(r["for_map_mm"], r["level"]) for r in levels.where(F.col("for_map_mm").isNotNull()).orderBy("for_map_mm", "level").limit(1_000).collect()]
+    usable = [(r["for_map_mm"], r["level"]) for r in levels.where(F.col("for_map_mm").isNotNull()).orderBy("for_map_mm", "level").limit(MOST_LEVELS + 1).collect()]
+    if len(usable) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} cut levels")
     level = F.lit(usable[0][1] if usable else "L0")
     for mm, name in usable[1:]:
         level = F.when(F.col("width_mm") >= mm, F.lit(name)).otherwise(level)

@@ -113,8 +113,11 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right
     fixed = isinstance(km, (int, float))
     pts = right.select(right_id, "r_lat", "r_lon", *on)
     # copies at one position: only the first k ids can ever be among the k nearest
-    copies = W.partitionBy("r_lat", "r_lon", *on).orderBy(right_id)
-    pts = pts.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
+    if k == 1:
+        pts = pts.groupBy("r_lat", "r_lon", *on).agg(F.min(right_id).alias(right_id))
+    else:
+        copies = W.partitionBy("r_lat", "r_lon", *on).orderBy(right_id)
+        pts = pts.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
     l = left.select(left_id, "lat", "lon", *on, _radius(km).alias("_r"))
     keyed = _keyed_right(pts, km, _classes(left, km))
     crowd = hottest_cube(keyed, on)
@@ -122,7 +125,9 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right
         pairs = _pyramid(l, pts, k, left_id, on)
     elif k == 1 and fixed and crowd > BUSY_CUBE_ROWS:
         # most rows have a neighbour close by; only the others look at the whole radius
-        close = _best(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, right_id)
+        pts = cut(pts)  # read three times, the search below once
+        keyed = _keyed_right(pts, km, None)
+        close = cut(_best(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, right_id))
         rest = l.join(close.select(left_id), left_id, "left_anti")
         far = _best(_cube_join(rest, keyed, km, on, False, hot_rows), left_id, right_id)
         return close.unionByName(far)

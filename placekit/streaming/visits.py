@@ -11,12 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from placekit.functions.vocab import KIND_CODES
 from placekit.operators.records import merge_visits
 
-_SEEN = "user_id bigint, kind string"
+_SEEN = "user_id bigint, scope string, kind string"
 
 
 def read_marks(spark, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -67,26 +67,53 @@ def merged_table(spark, path: str, batch: int, compact_every: int = 16) -> DataF
     return _combine(_parts(spark, path, batch, compact_every)).select("user_id", "place_id", "visited", "marked_at", "note")
 
 
-def _new_kinds(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = state.get[0] if state.exists else 0
-    before = seen
-    for pdf in batches:
-        seen |= int(np.bitwise_or.reduce(pdf.loc[pdf["visited"].astype(bool), "kmask"].to_numpy(np.int64), initial=0))
-    state.update((seen,))
-    fresh = seen & ~before
-    kinds = [c for i, c in enumerate(KIND_CODES) if fresh >> i & 1]
-    if kinds:
-        yield pd.DataFrame({"user_id": [key[0]] * len(kinds), "kind": kinds})
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def newly_seen(marks: DataFrame, places: DataFrame) -> DataFrame:
-    """Each kind a traveller sees for the first time, emitted once.
+class _FirstSeen(StatefulProcessor):
+    """Kinds seen so far of one traveller, a bitmask per scope."""
 
-    State per user is one bitmask. ``places``: place_id, kmask.
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.masks = handle.getMapState("masks", "scope string", "mask bigint", self.forget_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[str, int] = {}
+        for pdf in rows:
+            pdf = pdf[pdf["visited"].astype(bool)]
+            for scope, masks in pdf.groupby("scope")["kmask"]:
+                new[scope] = new.get(scope, 0) | int(np.bitwise_or.reduce(masks.to_numpy(np.int64), initial=0))
+        out = []
+        for scope, mask in sorted(new.items()):
+            seen = int(self.masks.getValue((scope,))[0]) if self.masks.containsKey((scope,)) else 0
+            self.masks.updateValue((scope,), (seen | mask,))
+            out += [(key[0], scope, c) for i, c in enumerate(KIND_CODES) if (mask & ~seen) >> i & 1]
+        yield pd.DataFrame(out, columns=["user_id", "scope", "kind"])
+
+    def close(self) -> None:
+        pass
+
+
+def scopes(places: DataFrame) -> DataFrame:
+    """``place_id, kmask, scope``: a place once in the world, in its country and in its territory.
+
+    ``places``: place_id, kmask, and iso3 and territory_id where they are known.
+    """
+    have = [F.concat(F.lit(f"{name}:"), F.col(c)) for name, c in (("country", "iso3"), ("territory", "territory_id")) if c in places.columns]
+    return places.select("place_id", "kmask", F.explode(F.filter(F.array(F.lit("world"), *have), lambda s: s.isNotNull())).alias("scope"))
+
+
+def newly_seen(marks: DataFrame, places: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Each kind a traveller sees for the first time in a scope, emitted once: user_id, scope, kind.
+
+    State is a map per user, one bitmask a scope, kept by RocksDB (``STATE_STORE`` must be the session's provider). With
+    ``forget_ms`` a scope that saw no mark for so long is forgotten, and its kinds are new again.
     """
-    rows = marks.join(places.select("place_id", "kmask"), "place_id").select("user_id", "visited", "kmask")
-    return rows.groupBy("user_id").applyInPandasWithState(
-        _new_kinds, _SEEN, "mask bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = marks.join(scopes(places), "place_id").select("user_id", "visited", "scope", "kmask")
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        _FirstSeen(forget_ms), _SEEN, "Append", "ProcessingTime" if forget_ms else "None")
 
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:

@@ -66,10 +66,20 @@ def test_the_stream_converges_to_the_batch_merge(spark, tmp_path):
     want = visits.batch_equivalent(spark.createDataFrame(rows, schema))
     got = visits.merged_table(spark, str(tmp_path / "out"), 4, compact_every=2)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    places = spark.createDataFrame([(f"p{i}", 1 << i % 3) for i in range(11)], "place_id string, kmask int")
-    q = (visits.newly_seen(visits.read_marks(spark, src, schema, 2), places).writeStream.format("memory").queryName("fresh_kinds")
-         .option("checkpointLocation", str(tmp_path / "ck2")).outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    out = [(r.user_id, r.kind) for r in spark.table("fresh_kinds").collect()]
-    seen = {(r[1], f"A{int(r[2][1:]) % 3 + 1}") for r in rows if r[3]}
-    assert len(out) == len(set(out)) and set(out) == seen
+    # three scopes, and a restart after the first half
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", visits.STATE_STORE)
+    places = spark.createDataFrame([(f"p{i}", 1 << i % 3, f"C{i % 2}", f"T{i % 4}" if i else None) for i in range(11)], "place_id string, kmask int, iso3 string, territory_id string")
+    half, df = str(tmp_path / "half"), spark.createDataFrame(rows, schema)
+    df.where("event_id % 2 = 0").write.parquet(half)
+    got = set()
+    for _ in range(2):
+        q = (visits.newly_seen(visits.read_marks(spark, half, schema, 2), places).writeStream.format("parquet").option("path", str(tmp_path / "fresh"))
+             .option("checkpointLocation", str(tmp_path / "ck2")).outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        out = [(r.user_id, r.scope, r.kind) for r in spark.read.parquet(str(tmp_path / "fresh")).collect()]
+        assert len(out) == len(set(out)) and got <= set(out)
+        got = set(out)
+        df.where("event_id % 2 = 1").write.mode("append").parquet(half)
+    where = {f"p{i}": ["world", f"country:C{i % 2}", *([f"territory:T{i % 4}"] if i else [])] for i in range(11)}
+    seen = {(r[1], s, f"A{int(r[2][1:]) % 3 + 1}") for r in rows if r[3] for s in where[r[2]]}
+    assert got == seen and {s.split(":")[0] for _, s, _ in got} == {"world", "country", "territory"}
