@@ -190,14 +190,16 @@ def _(v):
 
 
 @query("newly_seen", sql("", "visit", "pin", "kindtab").rstrip() + """,
-b AS (SELECT user_id, bit_or(kmask) AS m FROM visit JOIN pin USING (place_id) WHERE visited AND side = 0 GROUP BY ALL),
-a AS (SELECT user_id, bit_or(kmask) AS m FROM visit JOIN pin USING (place_id) WHERE visited GROUP BY ALL)
-SELECT a.user_id, k.kind FROM a LEFT JOIN b USING (user_id) CROSS JOIN kindtab k
+b AS (SELECT user_id, iso3, bit_or(kmask) AS m FROM visit JOIN pin USING (place_id) WHERE visited AND event_id % 5 = 0 GROUP BY ALL),
+a AS (SELECT user_id, iso3, bit_or(kmask) AS m FROM visit JOIN pin USING (place_id) WHERE visited GROUP BY ALL)
+SELECT a.user_id, a.iso3, k.kind FROM a LEFT JOIN b ON b.user_id = a.user_id AND b.iso3 = a.iso3 CROSS JOIN kindtab k
 WHERE a.m & (1 << (k.ord - 1)::INT) <> 0 AND coalesce(b.m, 0) & (1 << (k.ord - 1)::INT) = 0""")
 def _(v):
-    seen = v.visit.where("visited").join(v.pin.select("place_id", "kmask"), "place_id").withColumn("seen", F.lit(True))
-    before, after = serve.seen_mask(seen.where(F.col("side") == 0), ["user_id"]), serve.seen_mask(seen, ["user_id"])
-    return serve.newly_seen(before, after, ["user_id"]).select("user_id", F.explode("kinds").alias("kind"))
+    """Kinds that a traveller's marks add in a country to those of every fifth mark."""
+    scope = ["user_id", "iso3"]
+    seen = v.visit.where("visited").join(v.pin.select("place_id", "iso3", "kmask"), "place_id").withColumn("seen", F.lit(True))
+    before, after = serve.seen_mask(seen.where(F.col("event_id") % 5 == 0), scope), serve.seen_mask(seen, scope)
+    return serve.newly_seen(before, after, scope).select(*scope, F.explode("kinds").alias("kind"))
 
 
 # ------------------------------------------------------------------ entry rules
