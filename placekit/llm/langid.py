@@ -8,7 +8,6 @@ log probability over its windows, weighted by their letters' bytes.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from placekit.llm.common import keep_rows, slices
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 WIDTHS = (2, 3, 4)
 
 
@@ -37,12 +35,11 @@ class Settings:
     epochs: int = 8
     batch: int = 64
     rate: float = 0.01
-    languages: int = 512
     seed: int = 7
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(map(str.isalpha, text or ""))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -180,13 +177,13 @@ class Network:
 
 
 def sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labelled windows to learn from: about ``rows_per_language`` rows of each of at most ``languages`` languages."""
+    """Labelled windows to learn from: about ``rows_per_language`` rows of each language."""
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, settings.window), np.uint8), np.zeros(0, np.int64)
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, settings.rows_per_language / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(settings.seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     size, most = settings.window, settings.windows_per_row
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,8 @@ def test_windows_hold_the_whole_text():
     for n in (1, 255, 256, 257, 5000):
         raw = bytes((i % 250) + 1 for i in range(n))
         assert langid.windows_of(raw, 256).tobytes().rstrip(b"\0") == raw
+
+
+def test_signs_that_are_no_letters():
+    assert not any(langid.has_letter(t) for t in (None, "", "12 %", "½ Ⅷ ²", "_-_", "\u0301"))
+    assert all(langid.has_letter(t) for t in ("a", "1 é", "ª", "日"))

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -73,3 +74,21 @@ def test_broken_records_are_refused():
             list(warc.read_records(io.BytesIO(gzip.compress(bad))))
     with pytest.raises(warc.BrokenRecord):
         list(warc.read_records(io.BytesIO(gzip.compress(good)[:-20])))
+
+
+@pytest.mark.parametrize("write", [lambda d: d.hex(), lambda d: base64.b32encode(d).decode(), lambda d: base64.b32encode(d).decode().lower().rstrip("=")])
+def test_digests_in_hex_and_base32(write):
+    body = b"payload of a record"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+
+    def archive(payload, kind="sha1"):
+        head = (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:1>\r\nContent-Type: application/http;msgtype=response\r\n"
+                f"WARC-Payload-Digest: {kind}:{write(hashlib.sha1(payload).digest())}\r\nContent-Length: {len(http)}\r\n\r\n").encode()
+        info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nnote\r\n\r\n"
+        return io.BytesIO(gzip.compress(info) + gzip.compress(head + http + b"\r\n\r\n"))
+
+    records = list(warc.read_records(archive(body)))
+    assert [r.headers["warc-type"] for r in records] == ["warcinfo", "response"] and records[1].payload() == body
+    assert len(list(warc.read_records(archive(b"other", "blake9000")))) == 2  # an unknown algorithm tells nothing
+    with pytest.raises(warc.BrokenRecord):
+        list(warc.read_records(archive(b"other")))
