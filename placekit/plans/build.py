@@ -6,9 +6,11 @@ lost is recomputed from the table before it, not from the sources.
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,20 +208,53 @@ def publish(spark: SparkSession, bundle: dict[str, DataFrame], live: str, checks
     """All or nothing (K13): write a new version, gate it as written, then point the live name at it.
 
     ``checks`` maps a bundle to a gate table (gate, ok, detail), which is stored with the version either way. A failed
-    gate leaves the live pointer as it was. A pointer is one new file; none is ever rewritten, so a crash at any point
-    leaves the version before. Returns the gate table.
+    gate leaves the live pointer as it was. A pointer is one new file that is created only if it isn't there; none is
+    ever rewritten, so a crash at any point leaves the version before, and of two publishers that started from one
+    version the second is refused with ``Overtaken``. Returns the gate table.
     """
+    number = _last_pointer(spark, live) + 1
     version = f"{live}/versions/{uuid.uuid4().hex}"
     write_bundle(bundle, version)
     result = cut(checks(read_bundle(spark, version)))
     sinks.write_table(result, f"{version}/gates")
     if result.where(~F.col("ok")).take(1):
         return result
-    number = (_pointers(spark, live).agg(F.max("number")).first()[0] or 0) + 1
-    spark.createDataFrame([(number, version)], _POINTER).coalesce(1).write.mode("append").json(f"{live}/current")
+    _create_pointer(spark, live, number, version)
     return result
 
 
+class Overtaken(RuntimeError):
+    """Another publisher made a version live since this one started."""
+
+
+def _pointer_file(spark: SparkSession, live: str, name: str = ""):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{live}/current/{name}".rstrip("/"))
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _last_pointer(spark: SparkSession, live: str) -> int:
+    """Number of the newest pointer, by its file's name, so that one left empty by a crash counts too."""
+    folder, files = _pointer_file(spark, live)
+    if not files.exists(folder):
+        return 0
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:1].isdigit()), default=0)
+
+
+def _create_pointer(spark: SparkSession, live: str, number: int, version: str) -> None:
+    path, files = _pointer_file(spark, live, f"{number:09d}.json")
+    try:
+        out = files.create(path, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName() or files.exists(path):
+            raise Overtaken(f"version {number} of {live} is another publisher's") from None
+        raise
+    try:
+        out.write(bytearray(json.dumps({"number": number, "version": version}).encode()))
+    finally:
+        out.close()
+
+
 _POINTER = "number long, version string"
 
 
@@ -235,7 +270,7 @@ def _pointers(spark: SparkSession, live: str) -> DataFrame:
 
 def live_version(spark: SparkSession, live: str) -> str | None:
     """Folder of the live version, or None when nothing was published."""
-    return _pointers(spark, live).agg(F.max_by("version", "number")).first()[0]
+    return _pointers(spark, live).where(F.col("version").isNotNull()).agg(F.max_by("version", "number")).first()[0]
 
 
 def publish_from_tables(places: DataFrame, tile_edges: DataFrame, territories: DataFrame) -> dict[str, DataFrame]:

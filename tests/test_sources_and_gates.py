@@ -142,6 +142,28 @@ def test_a_failed_publish_leaves_the_live_version(spark, tmp_path):
     assert sorted(r.ok for r in spark.read.parquet(f"{live}/versions/*/gates").collect()) == [False, True, True]
 
 
+def test_of_two_publishers_at_once_one_is_refused(spark, tmp_path):
+    live = str(tmp_path / "live")
+    places = spark.createDataFrame([("A-1", "Alpha", "A", "AAA", 1.0, 1.0, 3, True)], "place_id string, name string, country string, iso3 string, lat double, lon double, kmask int, printed boolean")
+    bundle = {n: places.select("place_id", F.lit(1).alias("x")) for n in ("pins", "index", "kinds", "territories", "manifest")} | {"places": places}
+    fine = lambda b: b["places"].select(F.lit("kind_audit").alias("gate"), F.lit("r").alias("rule"), F.lit(True).alias("ok"))
+    inner = []
+
+    def gate_while_another_publishes(b):
+        inner.append(jobs.publish(spark, bundle, live, fine))
+        return fine(b)
+
+    with pytest.raises(jobs.Overtaken):
+        jobs.publish(spark, bundle, live, gate_while_another_publishes)
+    first = jobs.live_version(spark, live)
+    assert first and len(inner) == 1
+    # a pointer that a crash left empty is nobody's, and its number is not given again
+    (tmp_path / "live" / "current" / "000000002.json").write_text("")
+    assert jobs.live_version(spark, live) == first
+    jobs.publish(spark, bundle, live, fine)
+    assert jobs.live_version(spark, live) not in (None, first)
+
+
 def test_a_town_needs_its_own_region_to_bear_its_name(spark):
     regions = spark.createDataFrame([("R1", "M", "Tanger-Tetouan"), ("R2", "M", "Souss"), ("R3", "M", "Greater Tangier")], "region_id string, iso3 string, name string")
     towns = lambda r: spark.createDataFrame([("Tangier", r, "M")], "name string, region_id string, iso3 string")
