@@ -316,20 +316,41 @@ class CountTree:
         return self.order[nodes[ok]]
 
 
+class Shared:
+    """The most elements a set can share with others, by their points, many at a time."""
+
+    def __init__(self, points: list[np.ndarray]):
+        self.points, self.length, self.levels = points, np.array([len(p) for p in points], np.int64), {}
+
+    def _level(self, d: int) -> np.ndarray:
+        """All points that have ``d`` coordinates or more, with ``d``."""
+        if d not in self.levels:
+            self.levels[d] = np.array([fold(p, d) if len(p) >= d else np.zeros(d, np.int32) for p in self.points], np.int32)
+        return self.levels[d]
+
+    def most(self, i: int, others: np.ndarray) -> np.ndarray:
+        out, d = np.zeros(len(others), np.int64), np.minimum(self.length[others], self.length[i])
+        for k in np.unique(d):
+            at = d == k
+            out[at] = np.minimum(self._level(int(k))[others[at]], fold(self.points[i], int(k))).sum(axis=1)
+        return out
+
+
 def candidates(points: list[np.ndarray], sizes: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray, apart: np.ndarray | None, percent: int) -> tuple[list, list]:
     """Pairs of ``left`` and ``right`` that their points allow, and the sets of ``left`` that have more.
 
     Without ``apart`` a set names its ``FEW`` candidates of smallest name and the one it may share most with. With it, the
     labels of what links connect already, all candidates that are labelled otherwise.
     """
-    coarse = np.array([fold(p, DIMENSIONS) for p in points], np.int64)
+    held = Shared(points)
+    coarse = held._level(DIMENSIONS)
     tree, pairs, more = CountTree(coarse[right], sizes[right], percent), [], []
     for i in left:
         near = right[tree.search(coarse[i], int(sizes[i]))]
-        near = near[near != i]
-        if apart is not None:
-            near = near[apart[near] != apart[i]]
-        shared = np.array([most_common(points[i], points[j]) for j in near], np.int64)
+        near = near[near != i] if apart is None else near[apart[near] != apart[i]]
+        if not len(near):
+            continue
+        shared = held.most(i, near)
         fits = linked(shared, int(sizes[i]), sizes[near], percent)
         near, shared = near[fits], shared[fits]
         if apart is None and len(near) > FEW + 1:
