@@ -36,8 +36,9 @@ from placekit.operators.graph import components
 from placekit.plans.session import is_empty
 
 DIMENSIONS = 64        # coordinates of a tree, and the fewest of a set
-MOST_DIMENSIONS = 4096
+MOST_DIMENSIONS = 8192
 PER_DIMENSION = 6      # elements a coordinate, about: with more, unrelated sets look alike
+FINE_PER_DIMENSION = 2  # where sets of one crowd must be told apart
 FEW_POINTS = 8         # sets that are compared without a tree
 LEAF_POINTS = 512
 FEW = 8            # candidates a point names at first
@@ -175,27 +176,27 @@ def common_shingles(docs: DataFrame, law: Law) -> tuple[np.ndarray, np.ndarray]:
     return held[order], counted["count"].to_numpy(np.int64)[order]
 
 
-def dimensions(n: int) -> int:
+def dimensions(n: int, per: int = PER_DIMENSION) -> int:
     """Coordinates of a set of ``n`` elements: a power of two, so that neighbours added up are those of a smaller set."""
     d = DIMENSIONS
-    while d < MOST_DIMENSIONS and d * PER_DIMENSION < n:
+    while d < MOST_DIMENSIONS and d * per < n:
         d *= 2
     return d
 
 
-def points_of(sets: list[np.ndarray]) -> list[bytes]:
-    """Count vectors, with as few bytes a coordinate as hold all of one."""
+def points_of(sets: list[np.ndarray], per: int = PER_DIMENSION) -> list[bytes]:
+    """Count vectors, with as few bytes a coordinate as hold all of one; that many bytes are told by the first."""
     out = []
     for s in sets:
-        d = dimensions(len(s))
+        d = dimensions(len(s), per)
         counts = np.bincount((s >> _U(65 - d.bit_length())).astype(np.int64), minlength=d)
-        top = int(counts.max())
-        out.append(counts.astype("<u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes())
+        wide = 1 if counts.max() < 256 else 2 if counts.max() < 65536 else 4
+        out.append(bytes([wide]) + counts.astype(f"<u{wide}").tobytes())
     return out
 
 
-def read_point(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // dimensions(n)}").astype(np.int32)
+def read_point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int32)
 
 
 def fold(point: np.ndarray, d: int) -> np.ndarray:
@@ -224,9 +225,9 @@ def _describe(batches: Iterator[pa.RecordBatch], law: Law, common) -> Iterator[p
         offsets = np.zeros(len(keys) + 1, np.int32)
         np.cumsum([len(k) for k in keys], out=offsets[1:])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(points_of(sets), pa.binary()),
+            [batch.column("_row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(points_of(sets), pa.binary()), pa.array(points_of(sets, FINE_PER_DIMENSION), pa.binary()),
              pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else none))],
-            ["_row", "doc_id", "n_shingles", "name", "points", "keys"])
+            ["_row", "doc_id", "n_shingles", "name", "points", "fine", "keys"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +379,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, across: bool) -
         names, leaf, sizes, label, raw = (np.concatenate([p[k] for p in parts]) if k < 4 else [x for p in parts for x in p[4]] for k in range(5))
         if len(names) < 2:
             return [], []
-        points = [read_point(r, int(n)) for r, n in zip(raw, sizes, strict=True)]
+        points = [read_point(r) for r in raw]
         apart = label if across else None
         if key[1] == key[2] and len(names) <= FEW_POINTS:
             return few_candidates(points, sizes, names, apart, percent), []
@@ -431,11 +432,11 @@ def _decided(batches: Iterator[pa.RecordBatch], law: Law) -> Iterator[pa.RecordB
 
 
 def describe(docs: DataFrame, law: Law = JOIN) -> DataFrame:
-    """Stored table with one row per document: ``_row, doc_id, n_shingles, name`` of its set, ``points``, ``keys`` that similar sets share."""
+    """Stored table with one row per document: ``_row, doc_id, n_shingles, name`` of its set, ``points`` and ``fine`` ones, ``keys`` that similar sets share."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     common = None if law.percent >= GROUPS_FROM else docs.sparkSession.sparkContext.broadcast(common_shingles(docs, law))
     return cut(row_id(docs.select("doc_id", "text")).mapInArrow(
-        lambda batches: _describe(batches, law, common), f"_row string, doc_id {kind}, n_shingles long, name long, points binary, keys array<long>"))
+        lambda batches: _describe(batches, law, common), f"_row string, doc_id {kind}, n_shingles long, name long, points binary, fine binary, keys array<long>"))
 
 
 def decide(docs: DataFrame, stand: DataFrame, pairs: DataFrame, law: Law) -> DataFrame:
@@ -474,8 +475,8 @@ def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFr
     keyed = described.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key"))
     forest = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "tree long, name long").distinct())
     # one row stands for each set
-    rows = described.select("name", "_row", F.col("n_shingles").alias("n"), "points").join(forest.select("name").distinct(), "name", "left_semi")
-    stand = cut(rows.groupBy("name").agg(F.min(F.struct("_row", "n", "points")).alias("s")).select("name", "s.*"))
+    rows = described.select("name", "_row", F.col("n_shingles").alias("n"), "points", "fine").join(forest.select("name").distinct(), "name", "left_semi")
+    stand = cut(rows.groupBy("name").agg(F.min(F.struct("_row", "n", "points", "fine")).alias("s")).select("name", "s.*"))
     placed = forest.join(stand.select("name", "n", "points"), "name")
 
     def proposed(trees: DataFrame, across: bool) -> DataFrame:
@@ -485,12 +486,13 @@ def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFr
     named = proposed(placed, False)
     pairs = cut(named.where(F.col("b").isNotNull()).select("a", "b").distinct())
     links = decide(docs, stand, pairs, law)
-    more = named.where(F.col("b").isNull()).select("tree", F.col("a").alias("name"))
+    more = named.where(F.col("b").isNull()).select("tree", F.col("a").alias("name")).distinct()
     if is_empty(more):
         return links
-    # a pair of sets of which one named all its candidates is settled
+    # a pair of sets of which one named all its candidates is settled; the others are told apart by finer points
+    crowd = forest.join(more, ["tree", "name"]).join(stand.select("name", "n", F.col("fine").alias("points")), "name")
     label = components(links).select(F.col("node").alias("name"), "label")
-    open_ = placed.join(more, ["tree", "name"]).join(label, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    open_ = crowd.join(label, "name", "left").withColumn("label", F.coalesce("label", "name"))
     rest = proposed(open_, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     return links.unionByName(decide(docs, stand, cut(rest), law))
 

@@ -190,7 +190,7 @@ def test_points_bound_what_sets_share():
     for n in (5, 60, 400, 1000, 5000, 40_000):
         s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         t = np.unique(np.concatenate([s[: n // 2], rng.integers(0, 2**64, n, dtype=np.uint64)]))
-        a, b = (jaccard.read_point(jaccard.points_of([x])[0], len(x)) for x in (s, t))
+        a, b = (jaccard.read_point(jaccard.points_of([x])[0]) for x in (s, t))
         assert a.sum() == len(s) and b.sum() == len(t) and len(a) == jaccard.dimensions(len(s))
         assert jaccard.most_common(a, b) >= len(np.intersect1d(s, t))
 
