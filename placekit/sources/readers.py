@@ -302,6 +302,7 @@ def _tag(name: str) -> Column:
 @source("osm", "ODbL-1.0", "OpenStreetMap contributors", False)
 def openstreetmap(spark: SparkSession, path: str, country: str = "") -> DataFrame:
     """Tagged elements to heritage, institution, market and craft assets (S08); an element may be several."""
+    # The tags and tag values that make an element an asset of a tier.
     rules = {
         "osm_heritage": (_tag("historic") != "") | (_tag("heritage") != "") | _tag("building").rlike("^(cathedral|mosque|temple|castle|palace|synagogue)$"),
         "institution": (_tag("tourism") == "museum") | _tag("amenity").rlike("^(theatre|arts_centre)$"),
@@ -317,6 +318,7 @@ def openstreetmap(spark: SparkSession, path: str, country: str = "") -> DataFram
 
 def lodging_points(spark: SparkSession, path: str) -> DataFrame:
     rows = osm_elements(spark, path)
+    # What counts as lodging.
     return rows.where(_tag("tourism").rlike("^(hotel|guest_house|hostel|camp_site|apartment)$")).select("type", "id", "lat", "lon")
 
 
@@ -420,11 +422,11 @@ def cuisine_records(spark: SparkSession, path: str) -> DataFrame:
         F.lower(F.trim(F.coalesce(_opt(df, "is_modal"), F.lit("")))).isin("1", "true", "yes").alias("is_modal"))
     unread = F.col("lat").isNull() | F.col("lon").isNull() | F.col("radius_km").isNull()
     rules = [
-        F.when(unread, F.lit("unreadable number")),
-        F.when(F.size("dishes") < 3, F.concat(F.lit("only "), F.size("dishes").cast("string"), F.lit(" dishes, need 3"))),
-        F.when(F.size("cited") < 2, F.concat(F.lit("only "), F.size("cited").cast("string"), F.lit(" sources, need 2"))),
-        F.when(F.col("name_local") == "", "missing endonym"), F.when(F.col("retrieved") == "", "missing retrieval date"),
-        F.when(~((F.col("radius_km") > 0) & (F.col("radius_km") <= 600)), F.concat(F.lit("implausible radius "), F.col("radius_km").cast("string"), F.lit(" km"))),
+        F.when(unread, F.lit("a number that can't be read")),
+        F.when(F.size("dishes") < 3, F.concat(F.lit("dishes: "), F.size("dishes").cast("string"), F.lit(" of at least 3"))),
+        F.when(F.size("cited") < 2, F.concat(F.lit("sources: "), F.size("cited").cast("string"), F.lit(" of at least 2"))),
+        F.when(F.col("name_local") == "", "no local name"), F.when(F.col("retrieved") == "", "no date of retrieval"),
+        F.when(~((F.col("radius_km") > 0) & (F.col("radius_km") <= 600)), F.concat(F.lit("radius of "), F.col("radius_km").cast("string"), F.lit(" km is out of range"))),
     ]
     return rows.withColumn("problems", F.filter(F.array(*rules), lambda p: p.isNotNull()))
 
