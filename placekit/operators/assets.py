@@ -37,9 +37,11 @@ def orphans(assets: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def fan_out(cands: DataFrame, areas: DataFrame, limit: int = PARAMS.area_fanout) -> DataFrame:
     """Area assets reach the nearest ``limit`` candidates inside their own radius."""
-    pairs = spatial.nearest_k(areas.select("asset_id", "lat", "lon", "radius_km"), _sites(cands),
-                              limit, "radius_km", "asset_id", "candidate_id")
-    return areas.join(pairs, "asset_id")
+    rest = tuple(c for c in areas.columns if c not in ("asset_id", "lat", "lon", "radius_km"))
+    places = areas.withColumns({"_lat": F.col("lat"), "_lon": F.col("lon"), "_radius_km": F.col("radius_km")})
+    pairs = spatial.nearest_k(places, _sites(cands), limit, "radius_km", "asset_id", "candidate_id",
+                              keep=("_lat", "_lon", "_radius_km", *rest))
+    return pairs.withColumnsRenamed({"_lat": "lat", "_lon": "lon", "_radius_km": "radius_km"})
 
 
 def tier_table(*attached: DataFrame) -> DataFrame:
@@ -48,8 +50,10 @@ def tier_table(*attached: DataFrame) -> DataFrame:
     for df in attached:
         part = df.select("candidate_id", "tier", "source")
         rows = part if rows is None else rows.unionByName(part)
+    # a candidate has few different (tier, source), so only those travel
+    rows = rows.groupBy("candidate_id", "tier", "source").agg(F.count(F.lit(1)).alias("_n"))
     return rows.groupBy("candidate_id").agg(
-        kinds.tier_counts("tier").alias("tiers"),
+        kinds.tier_counts("tier", "_n").alias("tiers"),
         F.array_sort(F.collect_set("source")).alias("asset_sources"))
 
 

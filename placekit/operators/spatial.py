@@ -6,21 +6,26 @@ only propose pairs, the haversine test decides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from placekit.functions import geo
 from placekit.functions.vocab import EARTH_KM
-from placekit.plans.session import cut
+from placekit.plans.session import cut, is_empty
 
 # A cube with more right-hand rows than this is split (all-pairs join) or searched through
 # finer cubes (nearest join).
 HOT_CUBE_ROWS = 5_000
 # Above this a nearest join first tries a quarter of the radius.
 BUSY_CUBE_ROWS = 64
-PYRAMID_STEP = 3        # each level is 2**3 times finer
-PYRAMID_FLOOR = -2      # finest cube edge 0.25 km
+# A nearest join for several looks cell by cell from this many rows of a cube on, per one wanted.
+BUSY_PER_NEAREST = 16
+CELL_FLOOR = -7         # finest cell edge 8 m
+LIST_ROOM = 32          # points a cell's list may hold, beside two for each wanted
+FEW_ROWS = 16           # left rows for which a cell is not worth dividing
 
 
 def _radius(km) -> Column:
@@ -103,11 +108,11 @@ def _cube_join(left: DataFrame, r: DataFrame, km, on: list[str], salted: bool, h
 
 
 def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right_id: str,
-              on: list[str] | None = None, hot_rows: int = HOT_CUBE_ROWS) -> DataFrame:
-    """The ``k`` nearest right rows within ``km`` of each left row, as (left_id, right_id, km, nth).
+              on: list[str] | None = None, hot_rows: int = HOT_CUBE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` nearest right rows within ``km`` of each left row, as (left_id, right_id, km, nth, *keep).
 
-    Ties go to the smaller right id. When no cube is crowded this is the cube join plus a
-    top-k; otherwise a coarse-to-fine search that never opens a crowded cube it can rule out.
+    Ties go to the smaller right id; ``keep`` names columns of ``left`` to carry. When no cube is crowded this is the
+    cube join plus a top-k; otherwise cells of left rows look for their points from coarse to fine.
     """
     on = on or []
     fixed = isinstance(km, (int, float))
@@ -118,31 +123,30 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right
     else:
         copies = W.partitionBy("r_lat", "r_lon", *on).orderBy(right_id)
         pts = pts.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop("_copy")
-    l = left.select(left_id, "lat", "lon", *on, _radius(km).alias("_r"))
+    l = left.select(left_id, "lat", "lon", *on, *keep, _radius(km).alias("_r"))
     keyed = _keyed_right(pts, km, _classes(left, km))
     crowd = hottest_cube(keyed, on)
-    if crowd > hot_rows:
-        pairs = _pyramid(l, pts, k, left_id, on)
-    elif k == 1 and fixed and crowd > BUSY_CUBE_ROWS:
+    if crowd > hot_rows or (k > 1 and crowd > BUSY_PER_NEAREST * k):
+        return _search(l, pts, k, left_id, right_id, on, keep)
+    if k == 1 and fixed and crowd > BUSY_CUBE_ROWS:
         # most rows have a neighbour close by; only the others look at the whole radius
         pts = cut(pts)  # read three times, the search below once
         keyed = _keyed_right(pts, km, None)
-        close = cut(_best(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, right_id))
+        close = cut(_best(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, right_id, keep))
         rest = l.join(close.select(left_id), left_id, "left_anti")
-        far = _best(_cube_join(rest, keyed, km, on, False, hot_rows), left_id, right_id)
+        far = _best(_cube_join(rest, keyed, km, on, False, hot_rows), left_id, right_id, keep)
         return close.unionByName(far)
-    else:
-        pairs = _cube_join(l, keyed, km if fixed else "_r", on, False, hot_rows)
+    pairs = _cube_join(l, keyed, km if fixed else "_r", on, False, hot_rows)
     if k == 1:
-        return _best(pairs, left_id, right_id)
+        return _best(pairs, left_id, right_id, keep)
     top = W.partitionBy(left_id).orderBy("km", right_id)
-    return (pairs.select(left_id, right_id, "km").withColumn("nth", F.row_number().over(top))
+    return (pairs.select(left_id, right_id, "km", *keep).withColumn("nth", F.row_number().over(top))
             .where(F.col("nth") <= k))
 
 
-def _best(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    return pairs.groupBy(left_id).agg(F.min(F.struct("km", F.col(right_id))).alias("_b")).select(
-        left_id, F.col(f"_b.{right_id}"), F.col("_b.km"), F.lit(1).alias("nth"))
+def _best(pairs: DataFrame, left_id: str, right_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return pairs.groupBy(left_id).agg(F.min(F.struct("km", F.col(right_id))).alias("_b"), *[F.first(c).alias(c) for c in keep]).select(
+        left_id, F.col(f"_b.{right_id}"), F.col("_b.km"), F.lit(1).alias("nth"), *keep)
 
 
 def nearest(left: DataFrame, right: DataFrame, km, left_id: str, right_id: str,
@@ -151,59 +155,98 @@ def nearest(left: DataFrame, right: DataFrame, km, left_id: str, right_id: str,
     return nearest_k(left, right, 1, km, left_id, right_id, on, hot_rows).drop("nth")
 
 
-def _pyramid(left: DataFrame, pts: DataFrame, k: int, left_id: str, on: list[str]) -> DataFrame:
-    """Candidate pairs of a k-nearest join found by narrowing cubes from coarse to fine.
+def _cell_at(prefix: str, level: int) -> Column:
+    """The cell of a position: three 21-bit slab numbers, which hold every edge down to ``CELL_FLOOR``."""
+    slab = [f"cast(floor({prefix}{a} / {2.0 ** level!r}D) + {1 << 20} as bigint)" for a in "xyz"]
+    return F.expr(f"shiftleft({slab[0]}, 42) + shiftleft({slab[1]}, 21) + {slab[2]}")
+
+
+def _boxes(df: DataFrame, prefix: str, level: int, on: list[str], name: str, *aggs: Column) -> DataFrame:
+    """Cells of one level with the box around their positions (_{name}x0, _{name}x1, ...) and the cell above them."""
+    ends = [f(f"{prefix}{a}").alias(f"_{name}{a}{s}") for a in "xyz" for f, s in ((F.min, "0"), (F.max, "1"))]
+    return df.groupBy(_cell_at(prefix, level + 1).alias(f"_{name}up"), _cell_at(prefix, level).alias(f"_{name}cell"), *on).agg(*ends, *aggs)
+
 
-    At each level a left row keeps the boxes whose nearest corner is no farther than the
-    distance within which boxes already seen hold at least ``k`` points. Distances are chords,
-    which order pairs exactly as arcs do.
+def _search(left: DataFrame, pts: DataFrame, k: int, left_id: str, right_id: str, on: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """A k-nearest join in which cells of left rows, not the rows, narrow down where their points are.
+
+    From coarse to fine a cell keeps the boxes of points that are no farther than the distance within which boxes hold
+    ``k`` points for any of its rows. A cell whose boxes hold few points is done: each of its rows meets the list of
+    them once and picks. Only rows, cells and lists are shuffled, never pairs of rows. Distances are chords, which
+    order pairs exactly as arcs do; the final haversine test is the exact one.
     """
-    pts = cut(pts.withColumns({f"_{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("r_lat", "r_lon"))}))
-    # chord tests get a hair of slack; the final haversine test is the exact one
-    top = left.agg(F.max(F.expr(geo.cube_class("_r"))).alias("c")).first()["c"]
-    if top is None:
-        return left.join(pts, on or F.lit(False)).withColumn("km", F.lit(0.0)).limit(0)
-    level = int(top)
-    front = _probe(left, "_r", level).withColumn("_reach", F.expr(f"{geo.chord('_r')} * {1 + 1e-9!r}D + 1e-6D"))
-    front = front.withColumnsRenamed({f"_l{a}": f"_q{a}" for a in "xyz"})
+    spots = cut(pts.groupBy("r_lat", "r_lon", *on).agg(F.array_sort(F.collect_list(right_id)).alias("_ids"))  # k at most
+                .withColumns({f"_p{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("r_lat", "r_lon"))}))
+    # chord tests get a hair of slack, wider than the millimetre to which distances tie
+    slack = 2e-6
+    rows = cut(left.where("lat is not null and lon is not null and _r is not null")
+               .withColumns({f"_q{a}": F.expr(e) for a, e in zip("xyz", geo.xyz("lat", "lon"))})
+               .withColumn("_reach", F.expr(f"{geo.chord('_r')} * {1 + 1e-9!r}D + {slack!r}D")))
+    room, out = 2 * k + LIST_ROOM, []
+    top = rows.agg(F.max(F.expr(geo.cube_class("_r"))).alias("c")).first()["c"]
+    level, open_ = int(top) if top is not None else CELL_FLOOR, None
+    near, far = F.lit(0.0), F.lit(0.0)
+    for a in "xyz":
+        lo, hi, r_lo, r_hi = (F.col(f"_{n}{a}{s}") for n in "lr" for s in "01")
+        gap, span = F.greatest(r_lo - hi, lo - r_hi, F.lit(0.0)), F.greatest(r_hi - lo, hi - r_lo)
+        near, far = near + gap * gap, far + span * span
     while True:
-        edge = float(2.0 ** level)
-        boxes = (pts.withColumn("_cube", F.expr(geo.cube_at("r_lat", "r_lon", level)))
-                 .groupBy("_cube", *on)
-                 .agg(F.count(F.lit(1)).alias("_n"), *[f(a).alias(f"_{a[1]}{s}") for a in ("_x", "_y", "_z")
-                                                       for f, s in ((F.min, "0"), (F.max, "1"))]))
-        near, far = F.lit(0.0), F.lit(0.0)
-        for a in "xyz":
-            q, lo, hi = F.col(f"_q{a}"), F.col(f"_{a}0"), F.col(f"_{a}1")
-            gap = F.greatest(lo - q, q - hi, F.lit(0.0))
-            span = F.greatest(F.abs(q - lo), F.abs(q - hi))
-            near, far = near + gap * gap, far + span * span
-        seen = (front.join(boxes, ["_cube", *on])
-                .withColumn("_near", F.sqrt(near)).withColumn("_far", F.sqrt(far))
-                .where(F.col("_near") <= F.col("_reach")))
-        filling = W.partitionBy(left_id).orderBy("_far", "_cube").rowsBetween(W.unboundedPreceding, 0)
-        full = F.when(F.sum("_n").over(filling) >= k, F.col("_far"))
-        seen = seen.withColumn("_full", full).withColumn(
-            "_bound", F.min("_full").over(W.partitionBy(left_id)))
-        seen = cut(seen.where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") + 1e-6)))
-        if level <= PYRAMID_FLOOR:
+        cells = _boxes(rows, "_q", level, on, "l", F.max("_reach").alias("_reach"), F.count(F.lit(1)).alias("_rows"))
+        boxes = _boxes(spots, "_p", level, on, "r", F.sum(F.size("_ids")).alias("_n"), F.count(F.lit(1)).alias("_spots"))
+        if open_ is None:
+            # the edge is at least the widest radius, so neighbours hold all that is in reach
+            steps = F.array(*[F.lit((x << 42) + (y << 21) + z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+            met = cells.withColumn("_step", F.explode(steps)).withColumn("_rcell", F.col("_lcell") + F.col("_step"))
+            met = met.drop("_step").join(boxes, ["_rcell", *on]).withColumn("_bound", F.col("_reach"))
+        else:
+            met = cells.join(open_, ["_lup", *on]).join(boxes, ["_rup", *on])
+        met = met.withColumn("_near", F.sqrt(near)).withColumn("_far", F.sqrt(far)).where(F.col("_near") <= F.least("_reach", "_bound"))
+        one = W.partitionBy("_lcell", *on)
+        filling = one.orderBy("_far", "_rcell").rowsBetween(W.unboundedPreceding, 0)
+        met = met.withColumn("_full", F.when(F.sum("_n").over(filling) >= k, F.col("_far") + slack))
+        met = met.withColumn("_bound", F.least("_bound", "_reach", F.min("_full").over(one))).where(F.col("_near") <= F.col("_bound"))
+        met = cut(met.withColumn("_points", F.sum("_spots").over(one)).select(
+            "_lcell", "_rcell", *on, "_bound", "_rows", "_points", *[f"_l{a}{s}" for a in "xyz" for s in "01"]))
+        divide = (F.col("_points") > room) & ((F.col("_rows") > FEW_ROWS) | (F.col("_points") > 8 * room))
+        done = met.where(~divide) if level > CELL_FLOOR else met
+        if not is_empty(done):
+            out.append(_pick(rows, spots, done, level, k, left_id, right_id, on, keep))
+        open_ = met.where(divide).select(F.col("_lcell").alias("_lup"), F.col("_rcell").alias("_rup"), *on, "_bound")
+        if level <= CELL_FLOOR or is_empty(open_):
             break
-        level = max(PYRAMID_FLOOR, level - PYRAMID_STEP)
-        edge = float(2.0 ** level)
-        spans = [F.sequence(F.floor(F.col(f"_{a}0") / edge), F.floor(F.col(f"_{a}1") / edge)) for a in "xyz"]
-        front = seen
-        for a, s in zip("xyz", spans):
-            front = front.withColumn(f"_i{a}", F.explode(s))
-            # skip slabs already out of reach
-            lo, hi, q = F.col(f"_i{a}") * edge, (F.col(f"_i{a}") + 1) * edge, F.col(f"_q{a}")
-            reach = F.least(F.col("_reach"), F.coalesce(F.col("_bound"), F.col("_reach"))) + 1e-6
-            front = front.where(F.greatest(lo - q, q - hi) <= reach)
-        front = front.select(left_id, "lat", "lon", *on, "_r", "_qx", "_qy", "_qz", "_reach",
-                             F.expr(geo.cube_key(level, "_ix", "_iy", "_iz")).alias("_cube"))
-    last = pts.withColumn("_cube", F.expr(geo.cube_at("r_lat", "r_lon", level))).drop("_x", "_y", "_z")
-    pairs = seen.select(left_id, "lat", "lon", *on, "_r", "_cube").join(last, ["_cube", *on])
-    return (pairs.withColumn("km", geo.tick(geo.haversine("lat", "lon", "r_lat", "r_lon")))
-            .where(F.col("km") <= F.col("_r")).drop("_cube", "_r"))
+        level -= 1
+    if not out:
+        none = rows.limit(0).join(pts.select(right_id).limit(0), F.lit(False))
+        return none.select(left_id, right_id, F.lit(0.0).alias("km"), F.lit(1).alias("nth"), *keep)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _pick(rows: DataFrame, spots: DataFrame, done: DataFrame, level: int, k: int, left_id: str, right_id: str,
+          on: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """The ``k`` nearest of each row whose cell is done, from its cell's list."""
+    off = F.lit(0.0)
+    for a in "xyz":
+        gap = F.greatest(F.col(f"_p{a}") - F.col(f"_l{a}1"), F.col(f"_l{a}0") - F.col(f"_p{a}"), F.lit(0.0))
+        off = off + gap * gap
+    lists = (done.join(spots.withColumn("_rcell", _cell_at("_p", level)), ["_rcell", *on]).where(F.sqrt(off) <= F.col("_bound"))
+             .groupBy("_lcell", *on).agg(F.collect_list(F.struct("_px", "_py", "_pz", "r_lat", "r_lon", "_ids")).alias("_list")))
+    met = rows.withColumn("_lcell", _cell_at("_q", level)).join(lists, ["_lcell", *on])
+
+    def gap2(p: Column) -> Column:
+        return sum(((p[f"_p{a}"] - F.col(f"_q{a}")) * (p[f"_p{a}"] - F.col(f"_q{a}")) for a in "xyz"), F.lit(0.0))
+
+    seen = F.transform("_list", lambda p: F.struct(gap2(p).alias("g"), p["r_lat"].alias("r_lat"), p["r_lon"].alias("r_lon"), p["_ids"].alias("ids")))
+    met = met.withColumn("_seen", F.array_sort(F.filter(seen, lambda p: p["g"] <= F.col("_reach") * F.col("_reach")))).drop("_list")
+    # how far the k-th can be at most; the explode keeps it from being worked out again for each point
+    full = F.aggregate("_seen", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("g")), lambda s, p: F.when(s["n"] >= k, s).otherwise(
+        F.struct((s["n"] + F.size(p["ids"])).alias("n"), p["g"].alias("g"))))
+    met = met.withColumn("_most", F.explode(F.array(F.pow(F.sqrt(full["g"]) + 2e-6, 2))))
+    first = F.filter("_seen", lambda p: p["g"] <= F.col("_most"))
+    scored = F.transform(first, lambda p: F.struct(geo.tick(geo.haversine(F.col("lat"), F.col("lon"), p["r_lat"], p["r_lon"])).alias("km"), p["ids"].alias("ids")))
+    within = F.filter(scored, lambda p: p["km"] <= F.col("_r"))
+    each = F.flatten(F.transform(within, lambda p: F.transform(p["ids"], lambda i: F.struct(p["km"].alias("km"), i.alias("id")))))
+    best = met.select(left_id, *keep, F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("_nth", "_b"))
+    return best.select(left_id, F.col("_b.id").alias(right_id), F.col("_b.km").alias("km"), (F.col("_nth") + 1).alias("nth"), *keep)
 
 
 def as_right(df: DataFrame, **names: str) -> DataFrame:

@@ -95,3 +95,25 @@ def test_order_statistic_is_the_plain_index(spark):
     got = {r.g: r.v for r in order_statistic(spark.createDataFrame(rows, "g string, v double"), "g", "v", 0.75, buckets=8).collect()}
     vals = sorted(v for g, v in rows if g == "g")
     assert got == {"g": vals[int(0.75 * (len(vals) - 1))], "h": 3.0}
+
+
+def test_many_nearest_travel_as_rows_cells_and_lists_not_as_pairs(spark):
+    """Crowded copies: the search joins every row with its cell's list once, whatever ``k`` is; before, its boxes met every row."""
+    rnd = random.Random(3)
+    spots = [(10 + rnd.uniform(0, 1), 20 + rnd.uniform(0, 1)) for _ in range(150)]
+    right = [(f"b{i:04d}", *spots[i % 150]) for i in range(1500)]
+    left = [(f"a{i:03d}", 10 + rnd.uniform(0, 1), 20 + rnd.uniform(0, 1), rnd.choice([2.0, 30.0, 80.0]), i % 3) for i in range(300)]
+    l = spark.createDataFrame(left, "a string, lat double, lon double, reach double, tag int")
+    r = spark.createDataFrame(right, "b string, r_lat double, r_lon double")
+    got = spatial.nearest_k(l, r, 12, "reach", "a", "b", keep=("tag",))
+    want = {(a, tag, b, n) for a, y, x, reach, tag in left for n, (_, b) in enumerate(sorted(
+        (round(km((y, x), p[1:]), 6), p[0]) for p in right if round(km((y, x), p[1:]), 6) <= reach)[:12], 1)}
+    assert {(x.a, x.tag, x.b, x.nth) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("_list") > 0
+
+
+def test_a_nearest_search_of_no_rows_is_empty(spark):
+    left, right = frames(spark)
+    got = spatial.nearest_k(left.limit(0), right, 3, 80.0, "a", "b", hot_rows=4)
+    assert got.columns == ["a", "b", "km", "nth"] and got.count() == 0
