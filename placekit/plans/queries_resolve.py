@@ -170,7 +170,20 @@ def _(v):
     return resolve.moved_ids(got.log, got.kept)
 
 
-@query("absorption_counts", sql("""SELECT c.country, 'transliteration' AS decision, count(*) AS n FROM supplier JOIN cand ON candidate_id = 's' || s_suppkey JOIN country c USING (n) GROUP BY ALL""", "cand", "country"))
+# the records of a rounded point from the strongest on; one that spells a kept one folds
+_SPELT = _walked("""
+, spelt AS (SELECT c.country, round_even(cand.lat, 3) AS y, round_even(cand.lon, 3) AS x, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS f, count(*) OVER (PARTITION BY c.country, round_even(cand.lat, 3), round_even(cand.lon, 3)) AS m,
+    row_number() OVER (PARTITION BY c.country, round_even(cand.lat, 3), round_even(cand.lon, 3) ORDER BY population >= 50000 DESC, source = 'wdpa' DESC, population DESC, length(name), candidate_id) AS rn
+  FROM cand JOIN attr USING (candidate_id) JOIN country c USING (n)),
+walk AS (SELECT country, y, x, rn, [f] AS got, false AS folded FROM spelt WHERE rn = 1 AND m > 1
+  UNION ALL SELECT country, y, x, rn, CASE WHEN met THEN got ELSE list_append(got, f) END, met FROM (
+    SELECT s.*, w.got, len(list_filter(w.got, lambda q: least(length(q), length(s.f)) > 0 AND (q = s.f OR (abs(length(q) - length(s.f)) <= 2 AND (starts_with(q, s.f) OR starts_with(s.f, q)))
+      OR levenshtein(q, s.f) <= CASE WHEN least(length(q), length(s.f)) < 8 THEN 1 ELSE 2 END))) > 0 AS met
+    FROM walk w JOIN spelt s ON s.country = w.country AND s.y = w.y AND s.x = w.x AND s.rn = w.rn + 1))
+SELECT country, 'transliteration' AS decision, count(*) AS n FROM walk WHERE folded GROUP BY ALL""".lstrip("\n"), "cand", "attr", "country")
+
+
+@query("absorption_counts", _SPELT)
 def _(v):
     return resolve.absorption_counts(resolve.merge_transliterations(candidates(v)).log)
 
