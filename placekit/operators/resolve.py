@@ -207,51 +207,99 @@ def merge_transliterations(cands: DataFrame, p: Params = PARAMS, bucket_pairs: i
 
 
 # ------------------------------------------------------------------ G02
-def _grow_cities(rows: DataFrame, share: float) -> DataFrame:
+FIRST_HEADS = 4096  # heads of the first slice, or a share of all
+HEADS_SHARE, HEADS_STEP = 64, 4
+
+
+def _grow_cities(rows: DataFrame, share: float, first_heads: int = FIRST_HEADS) -> DataFrame:
     """Suburbs of each growing head: guest_id, host_id, km.
 
-    A head with nobody small enough in reach never has one, for others only grow or go, so it takes no part. The others
-    wait for the larger ones within twice the widest radius, which could take the same suburbs or the head itself. Growth
-    only ever adds, so a head's suburbs are the least fixed point of "in reach and small enough".
+    Heads are taken in slices from the largest on, each some times wider than those before it. Smaller heads cannot
+    change what larger ones do, and by the time they are looked at, most of what they could take is gone; so pairs are
+    made of what is left only.
     """
-    state = cut(number_rows(rows, [F.col("population").desc(), F.col("candidate_id")]).withColumn("reach", city_radius(F.col("population"))))
-    heads = state.where(F.col("population") > 0).select("candidate_id", "country", "lat", "lon", "rank", "population", "reach")
-    near = spatial.as_right(state.where("harvest").select("candidate_id", "country", "lat", "lon", F.col("population").alias("size")), guest_id="candidate_id")
-    first = spatial.radius_join(heads, near, "reach", ["country"]).where((F.col("guest_id") != F.col("candidate_id")) & (F.col("size") <= F.col("population") * share))
-    able = cut(heads.join(first.select("candidate_id").distinct(), "candidate_id", "left_semi").withColumnsRenamed({"candidate_id": "host_id", "population": "heads"}).drop("reach"))
-    # no head outgrows all that lies in the widest circle around it
-    pairs = cut(spatial.radius_join(able, near, CITY_RADIUS_MAX, ["country"]).where(F.col("guest_id") != F.col("host_id"))
-                .select("host_id", "heads", "guest_id", "size", "km"))
-    larger = spatial.as_right(able.select("host_id", "country", "lat", "lon", F.col("rank").alias("h_rank")), on_id="host_id")
-    waits = cut(spatial.radius_join(able, larger, 2.0 * CITY_RADIUS_MAX, ["country"]).where(F.col("h_rank") < F.col("rank")).select("host_id", "on_id"))
-    ready = able.select("host_id").join(waits.select("host_id").distinct(), "host_id", "left_anti")
-    folds = []
+    towns = cut(number_rows(rows, [F.col("population").desc(), F.col("candidate_id")]).withColumn("size", F.col("population")))
+    able = cut(_with_guests(towns.where(F.col("population") > 0), towns, share).select("candidate_id", "rank"))
+    last = able.agg(F.max("rank").alias("r")).first()["r"] or 0
+    done, end, folds = 0, max(first_heads, last // HEADS_SHARE), [towns.select(F.col("candidate_id").alias("guest_id"), F.col("candidate_id").alias("host_id"), F.lit(0.0).alias("km")).limit(0)]
     while True:
+        chosen = able.where((F.col("rank") > done) & (F.col("rank") <= end)).select("candidate_id")
+        taken, grown = _grow_slice(towns.join(chosen, "candidate_id", "left_semi"), towns, share)
+        folds += taken
+        if end >= last:
+            return union(folds)
+        if taken:
+            gone, sizes = union(taken).select(F.col("guest_id").alias("candidate_id")), union(grown).select(F.col("host_id").alias("candidate_id"), "now")
+            towns = cut(towns.join(gone, "candidate_id", "left_anti").join(sizes, "candidate_id", "left")
+                        .withColumn("size", F.coalesce("now", "size")).drop("now"))
+        done, end = end, end * HEADS_STEP
+
+
+def _as_guests(towns: DataFrame) -> DataFrame:
+    return spatial.as_right(towns.where("harvest").select("candidate_id", "country", "lat", "lon", "size", F.col("rank").alias("g_rank")), guest_id="candidate_id")
+
+
+def _with_guests(heads: DataFrame, towns: DataFrame, share: float) -> DataFrame:
+    """Heads with somebody small enough in reach; the others never have one, for towns only grow or go."""
+    wide = heads.withColumn("reach", city_radius(F.col("population"))).select("candidate_id", "country", "lat", "lon", "population", "reach")
+    first = spatial.radius_join(wide, _as_guests(towns), "reach", ["country"]).where(
+        (F.col("guest_id") != F.col("candidate_id")) & (F.col("size") <= F.col("population") * share))
+    return heads.join(first.select("candidate_id").distinct(), "candidate_id", "left_semi")
+
+
+def _rising(pairs: DataFrame, share: float, most: bool) -> DataFrame:
+    """The least fixed point of "a head holds those in reach and small enough": host_id, now. Growth only ever adds.
+
+    With ``most``, larger guests count with what they can hold themselves, so that no head comes to more than this.
+    """
+    grown = pairs.groupBy("host_id").agg(F.first("heads").alias("now"))
+    inside = (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share)
+
+    def relax(cur: DataFrame) -> DataFrame:
+        met, brought = pairs.join(cur, "host_id"), F.col("size")
+        if most:
+            met = met.join(cur.select(F.col("host_id").alias("guest_id"), F.col("now").alias("_held")), "guest_id", "left")
+            brought = F.when(F.col("g_rank") < F.col("h_rank"), F.greatest("size", "_held")).otherwise(F.col("size"))
+        gain = met.groupBy("host_id").agg(F.first("heads").alias("heads"), F.sum(F.when(inside, brought).otherwise(0.0)).alias("_more"))
+        return gain.select("host_id", (F.col("heads") + F.col("_more")).alias("now"))
+
+    while True:
+        before = cut(relax(grown) if most else relax(relax(grown)))
+        grown = cut(relax(before))
+        if is_empty(grown.join(before.withColumnRenamed("now", "_was"), "host_id").where(F.col("now") > F.col("_was") + 1e-6)):
+            return grown
+
+
+def _grow_slice(heads: DataFrame, towns: DataFrame, share: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """What the heads of one slice take (guest_id, host_id, km) and come to (host_id, now), in rounds.
+
+    A head decides once no larger one can take the head or any of its guests, and no larger head is among these; who
+    can is judged by the most that each can come to. A head whose guests are all gone is done and keeps nobody waiting.
+    """
+    able = cut(_with_guests(heads, towns, share).select(F.col("candidate_id").alias("host_id"), "country", "lat", "lon", F.col("population").alias("heads"), F.col("rank").alias("h_rank")))
+    # no head outgrows all that lies in the widest circle around it
+    pairs = cut(spatial.radius_join(able, _as_guests(towns), CITY_RADIUS_MAX, ["country"]).where(F.col("guest_id") != F.col("host_id"))
+                .select("host_id", "h_rank", "heads", "guest_id", "g_rank", "size", "km"))
+    inside = (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share)
+    pairs = cut(pairs.join(_rising(pairs, share, True), "host_id").where(inside).drop("now"))
+    folds, sizes = [], []
+    while not is_empty(pairs):
+        claims = cut(pairs.groupBy("guest_id").agg(F.min("h_rank").alias("_first")))
+        hosts = pairs.select("host_id", "h_rank").distinct()
+        outdone = pairs.join(claims, "guest_id").where(F.col("_first") < F.col("h_rank")).select("host_id")
+        claimed = hosts.join(claims.withColumnRenamed("guest_id", "host_id"), "host_id").where(F.col("_first") < F.col("h_rank")).select("host_id")
+        above = pairs.where(F.col("g_rank") < F.col("h_rank")).join(hosts.select(F.col("host_id").alias("guest_id")), "guest_id", "left_semi").select("host_id")
+        ready = cut(hosts.select("host_id").join(outdone.unionByName(claimed).unionByName(above).distinct(), "host_id", "left_anti"))
         mine = cut(pairs.join(ready, "host_id"))
-        grown = mine.groupBy("host_id").agg(F.first("heads").alias("now"), F.first("heads").alias("start"))
-        inside = (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share)
-
-        def relax(cur: DataFrame) -> DataFrame:
-            gain = mine.join(cur, "host_id").groupBy("host_id").agg(F.first("start").alias("start"), F.sum(F.when(inside, F.col("size")).otherwise(0.0)).alias("_more"))
-            return gain.select("host_id", (F.col("start") + F.col("_more")).alias("now"), "start")
-
-        while True:
-            before = cut(relax(relax(grown)))
-            grown = cut(relax(before))
-            if is_empty(grown.join(before.select("host_id", F.col("now").alias("_was")), "host_id").where(F.col("now") > F.col("_was") + 1e-6)):
-                break
+        grown = _rising(mine, share, False)
         taken = cut(mine.join(grown, "host_id").where(inside).select("guest_id", "host_id", "km"))
         folds.append(taken)
-        if is_empty(waits):
-            return union(folds)
-        gone = taken.select(F.col("guest_id").alias("host_id"))
-        over = ready.select("host_id").unionByName(gone).distinct()
-        left = cut(waits.join(gone, "host_id", "left_anti").join(over.withColumnRenamed("host_id", "on_id"), "on_id", "left_anti"))
-        ready = cut(waits.select("host_id").distinct().join(gone, "host_id", "left_anti").join(left.select("host_id").distinct(), "host_id", "left_anti"))
-        sizes = grown.select(F.col("host_id").alias("guest_id"), F.col("now").alias("_now"))
-        pairs = cut(pairs.join(over, "host_id", "left_anti").join(taken.select("guest_id"), "guest_id", "left_anti")
-                    .join(sizes, "guest_id", "left").withColumn("size", F.coalesce("_now", "size")).drop("_now"))
-        waits = left
+        sizes.append(grown)
+        gone = taken.select("guest_id")
+        pairs = cut(pairs.join(ready.unionByName(gone.withColumnRenamed("guest_id", "host_id")), "host_id", "left_anti").join(gone, "guest_id", "left_anti")
+                    .join(grown.withColumnsRenamed({"host_id": "guest_id", "now": "_now"}), "guest_id", "left")
+                    .withColumn("size", F.coalesce("_now", "size")).drop("_now"))
+    return folds, sizes
 
 
 def agglomerate(cands: DataFrame, p: Params = PARAMS) -> Resolved:

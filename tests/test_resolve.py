@@ -165,3 +165,18 @@ def test_a_country_of_many_rows(spark, rule):
                                "id string, rank bigint, lat double, lon double, radius double, foldable boolean, mask int, grp string")
     want = {(rows[i][0], rows[host[i]][0]) for i in range(len(rows)) if host[i] >= 0}
     assert {(r.guest_id, r.host_id) for r in folding.fold(df, ["grp"], rule).collect()} == want
+
+
+@pytest.mark.parametrize("first_heads", [3, 4096])
+def test_city_growth_by_slices_equals_the_ordered_walk_in_few_rounds(spark, monkeypatch, first_heads):
+    """A row of towns, each larger than the next and in its widest circle: only those that could share guests wait for each other."""
+    rnd = random.Random(5)
+    towns = [(f"t{i:02d}", "g", 10 + i * 0.2, 20.0, 9e5 - i * 1e3, False) for i in range(10)]
+    towns += [(f"v{i:03d}", "g", 10 + i % 10 * 0.2 + rnd.uniform(-.04, .04), 20 + rnd.uniform(-.02, .02), rnd.choice([0.0, 5e2, 3e3]), True) for i in range(50)]
+    df = spark.createDataFrame(towns, "candidate_id string, country string, lat double, lon double, population double, harvest boolean")
+    rounds, plain = [], resolve._rising
+    monkeypatch.setattr(resolve, "_rising", lambda p, s, most: (rounds.append(1) if not most else None) or plain(p, s, most))
+    want = {(r.guest_id, r.host_id) for r in ordered_walks.grow_cities(df.toPandas().drop(columns="country"), PARAMS.suburb_share).itertuples()}
+    got = resolve._grow_cities(df, PARAMS.suburb_share, first_heads)
+    assert {(x.guest_id, x.host_id) for x in got.collect()} == want and len(want) > 40
+    assert first_heads < 4096 or len(rounds) < 4
