@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from placekit.functions import geo
 from placekit.functions.vocab import EARTH_KM
-from placekit.plans.session import cut, is_empty
+from placekit.plans.session import cut, is_empty, number_rows
 
 # A cube with more right-hand rows than this is split (all-pairs join) or searched through
 # finer cubes (nearest join).
@@ -130,12 +130,15 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, km, left_id: str, right
         return _search(l, pts, k, left_id, right_id, on, keep)
     if k == 1 and fixed and crowd > BUSY_CUBE_ROWS:
         # most rows have a neighbour close by; only the others look at the whole radius
-        pts = cut(pts)  # read three times, the search below once
-        keyed = _keyed_right(pts, km, None)
-        close = cut(_best(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, right_id, keep))
+        pts = cut(number_rows(pts, [F.col(right_id)], "_no"))
+        l, many = l.select(left_id, "lat", "lon", *on, "_r"), pts.count()
+        close = cut(_least(_cube_join(l, _keyed_right(pts, km / 4, None), km / 4, on, False, hot_rows), left_id, many))
         rest = l.join(close.select(left_id), left_id, "left_anti")
-        far = _best(_cube_join(rest, keyed, km, on, False, hot_rows), left_id, right_id, keep)
-        return close.unionByName(far)
+        far = _least(_cube_join(rest, _keyed_right(pts, km, None), km, on, False, hot_rows), left_id, many)
+        found = close.unionByName(far).join(pts.select("_no", right_id), "_no")
+        if keep:
+            found = found.join(left.select(left_id, *keep), left_id)
+        return found.select(left_id, right_id, "km", F.lit(1).alias("nth"), *keep)
     pairs = _cube_join(l, keyed, km if fixed else "_r", on, False, hot_rows)
     if k == 1:
         return _best(pairs, left_id, right_id, keep)
@@ -149,6 +152,18 @@ def _best(pairs: DataFrame, left_id: str, right_id: str, keep: tuple[str, ...] =
         left_id, F.col(f"_b.{right_id}"), F.col("_b.km"), F.lit(1).alias("nth"), *keep)
 
 
+def _least(pairs: DataFrame, left_id: str, many: int) -> DataFrame:
+    """Distance and number ``_no`` (1 to ``many``) of the nearest right row of each left row.
+
+    Millimetres and number make one integer, whose minimum is a hash aggregate; that of a struct sorts all pairs.
+    """
+    exact = "bigint" if (EARTH_KM * 4e6 * (many + 1)) < 2 ** 63 else "decimal(38, 0)"
+    code = F.rint(F.col("km") * 1e6).cast(exact) * F.lit(many + 1).cast(exact) + F.col("_no")
+    each, unit = F.col("_code"), F.lit(many + 1)
+    return (pairs.select(left_id, code.alias("_code")).groupBy(left_id).agg(F.min("_code").alias("_code"))
+            .select(left_id, (each % unit).cast("bigint").alias("_no"), (F.expr(f"_code div {many + 1}").cast("double") / 1e6).alias("km")))
+
+
 def nearest(left: DataFrame, right: DataFrame, km, left_id: str, right_id: str,
             on: list[str] | None = None, hot_rows: int = HOT_CUBE_ROWS) -> DataFrame:
     """The single nearest right row within ``km`` (J02, J05, J06): (left_id, right_id, km)."""
@@ -236,7 +251,8 @@ def _pick(rows: DataFrame, spots: DataFrame, done: DataFrame, level: int, k: int
         return sum(((p[f"_p{a}"] - F.col(f"_q{a}")) * (p[f"_p{a}"] - F.col(f"_q{a}")) for a in "xyz"), F.lit(0.0))
 
     seen = F.transform("_list", lambda p: F.struct(gap2(p).alias("g"), p["r_lat"].alias("r_lat"), p["r_lon"].alias("r_lon"), p["_ids"].alias("ids")))
-    met = met.withColumn("_seen", F.array_sort(F.filter(seen, lambda p: p["g"] <= F.col("_reach") * F.col("_reach")))).drop("_list")
+    # sort_array compares values itself, array_sort runs an expression for each comparison
+    met = met.withColumn("_seen", F.sort_array(F.filter(seen, lambda p: p["g"] <= F.col("_reach") * F.col("_reach")))).drop("_list")
     # how far the k-th can be at most; the explode keeps it from being worked out again for each point
     full = F.aggregate("_seen", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("g")), lambda s, p: F.when(s["n"] >= k, s).otherwise(
         F.struct((s["n"] + F.size(p["ids"])).alias("n"), p["g"].alias("g"))))
@@ -245,7 +261,7 @@ def _pick(rows: DataFrame, spots: DataFrame, done: DataFrame, level: int, k: int
     scored = F.transform(first, lambda p: F.struct(geo.tick(geo.haversine(F.col("lat"), F.col("lon"), p["r_lat"], p["r_lon"])).alias("km"), p["ids"].alias("ids")))
     within = F.filter(scored, lambda p: p["km"] <= F.col("_r"))
     each = F.flatten(F.transform(within, lambda p: F.transform(p["ids"], lambda i: F.struct(p["km"].alias("km"), i.alias("id")))))
-    best = met.select(left_id, *keep, F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("_nth", "_b"))
+    best = met.select(left_id, *keep, F.posexplode(F.slice(F.sort_array(each), 1, k)).alias("_nth", "_b"))
     return best.select(left_id, F.col("_b.id").alias(right_id), F.col("_b.km").alias("km"), (F.col("_nth") + 1).alias("nth"), *keep)
 
 

@@ -117,3 +117,23 @@ def test_a_nearest_search_of_no_rows_is_empty(spark):
     left, right = frames(spark)
     got = spatial.nearest_k(left.limit(0), right, 3, 80.0, "a", "b", hot_rows=4)
     assert got.columns == ["a", "b", "km", "nth"] and got.count() == 0
+
+
+def test_nearest_of_many_adds_up_by_hash_and_ties_to_the_smaller_id(spark):
+    rnd = random.Random(5)
+    spots = [(10 + rnd.randrange(40) / 100, 20 + rnd.randrange(40) / 100) for _ in range(200)]
+    right = [(f"b{(i * 7919) % 200:03d}", *at) for i, at in enumerate(spots)]
+    # also half way between two points, and some only the whole radius reaches
+    left = [(f"a{i:03d}", 10 + rnd.randrange(80) / 200, 20 + rnd.randrange(200) / 200, f"t{i}") for i in range(120)]
+    want = set()
+    for a in left:
+        best = min((round(km(a[1:3], b[1:]), 6), b[0]) for b in right)
+        if best[0] <= 60:
+            want.add((a[0], best[1], best[0], a[3]))
+    l, r = spark.createDataFrame(left, "a string, lat double, lon double, t string"), spark.createDataFrame(right, "b string, r_lat double, r_lon double")
+    got = spatial.nearest_k(l, r, 1, 60.0, "a", "b", keep=("t",))
+    assert {(x.a, x.b, round(x.km, 6), x.t) for x in got.collect()} == want and any(w[2] > 15 for w in want)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    # numbers too large for 64 bits go on as decimals
+    pairs = spark.createDataFrame([("a", 2.5, 7), ("a", 2.5, 3), ("a", 9.0, 1)], "a string, km double, _no bigint")
+    assert [tuple(x) for x in spatial._least(pairs, "a", 10 ** 12).collect()] == [("a", 3, 2.5)]
