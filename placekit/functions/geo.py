@@ -57,9 +57,9 @@ def cube_key(cls, ix: str, iy: str, iz: str) -> str:
     return f"(shiftleft(cast(({cls}) + 8 as bigint), 48) + {part(ix, 32)} + {part(iy, 16)} + {part(iz, 0)})"
 
 
-def cube_at(lat: str, lon: str, cls) -> str:
-    """The cube of class ``cls`` holding a point."""
-    return cube_key(cls, *(f"floor({v} / pow(2.0D, {cls}))" for v in xyz(lat, lon)))
+def cube_at(lat: str, lon: str, cls, shift: float = 0.0) -> str:
+    """The cube of class ``cls`` holding a point, of cubes moved by a share of their edge."""
+    return cube_key(cls, *(f"floor({v} / pow(2.0D, {cls}) + {shift!r}D)" for v in xyz(lat, lon)))
 
 
 def chord(km) -> str:

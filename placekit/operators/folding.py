@@ -2,12 +2,15 @@
 
 The outcome is that of one row after another, found by dependency: who may decide about whom is joined once, and a row
 decides as soon as no undecided stronger row is left that could. The number of rounds is the longest chain of such
-waits, not the number of rows. Where very many rows crowd one place, rounds of leaders thin it first, so that the
-pairs stay near a fixed number per row.
+waits, not the number of rows; where hosts gather kinds, blocks of space settle such chains in order. Where very many
+rows crowd one place, rounds of leaders thin it first, so that the pairs stay near a fixed number per row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +22,15 @@ FOLDS = "guest_id string, host_id string, km double"
 # rule -> does the first or the nearest host win, and do hosts gather their guests' kinds
 NEAREST, FIRST, KINDS = "nearest", "first", "kinds"
 CROWD = 256  # undecided rows of a block from which on leaders thin it before pairs are made
+BLOCK_RADII = 64  # least width of a block that is walked in order
+GOLDEN = 0.381966  # share of a width by which blocks move between rounds, so that borders do not come back soon
 
 
 def fold(rows: DataFrame, on: list[str], rule: str, crowd: int = CROWD) -> DataFrame:
     """Fold ``rows`` (id, rank, lat, lon, radius, foldable, mask, *on) within groups of equal ``on``.
 
-    Rows that cannot fold must outrank the ones that can; KINDS takes one radius for all. Returns guest_id, host_id, km.
+    Ranks are unique. Rows that cannot fold must outrank the ones that can; KINDS takes one radius for all. Returns
+    guest_id, host_id, km.
     """
     rows = cut(rows.select("id", "rank", "lat", "lon", "radius", "foldable", "mask", *on))
     return _gathering(rows, on, crowd) if rule == KINDS else _fixed(rows, on, rule, crowd)
@@ -109,33 +115,85 @@ def _fixed(rows: DataFrame, on: list[str], rule: str, crowd: int) -> DataFrame:
 def _gathering(rows: DataFrame, on: list[str], crowd: int) -> DataFrame:
     """Hosts gather kinds, which changes whom they accept.
 
-    A row must know what stronger rows made of the hosts in its reach, and they did so within two radii of it.
+    A row must know what stronger rows made of the hosts in its reach, and they did so within two radii of it. Rows go
+    to blocks of space, and each block decides in order all that waits for nobody outside it; the borders of blocks
+    move from round to round. So rounds follow how often a chain of waits crosses borders, not its length.
     """
-    twice, mask, held = "2 * radius", F.col("mask"), F.col("h_mask")
-    takes = (mask == 0) | (held == 0) | (mask.bitwiseAND(held) != 0)
     todo, hosts, folds = thin_crowds(rows, on, crowd)
-    waits = cut(spatial.radius_join(todo.withColumn("_twice", F.expr(twice)), _as_hosts(todo, on), "_twice", on)
-                .where(F.col("h_rank") < F.col("rank")).select("id", "mask", "host_id"))
-    reach = cut(spatial.radius_join(todo, hosts.unionByName(_as_hosts(todo, on)), "radius", on)
-                .where(F.col("h_rank") < F.col("rank")).select("id", "mask", "host_id", "h_rank", "km"))
-    state = hosts.select("host_id", "h_mask")
-    ready = todo.select("id", "mask").join(waits.select("id").distinct(), "id", "left_anti")
-    while True:
-        state = cut(state.join(reach.select("host_id").distinct(), "host_id", "left_semi"))
-        best = (reach.join(state, "host_id").where(takes).groupBy("id").agg(F.min(F.struct("km", "h_rank", "host_id")).alias("_b")))
-        step = cut(ready.join(best, "id", "left"))
-        folds.append(step.where(F.col("_b").isNotNull()).select(F.col("id").alias("guest_id"), "_b.host_id", "_b.km"))
-        if is_empty(waits):
-            return union(folds)
-        taught = step.where(F.col("_b").isNotNull()).groupBy("_b.host_id").agg(F.bit_or("mask").alias("_more"))
-        state = (state.join(taught, "host_id", "left").select("host_id", F.col("h_mask").bitwiseOR(F.coalesce("_more", F.lit(0))).alias("h_mask"))
-                 .unionByName(step.where(F.col("_b").isNull()).select(F.col("id").alias("host_id"), F.col("mask").alias("h_mask"))))
-        done = step.select(F.col("id").alias("host_id"))
-        left = cut(waits.join(done, "host_id", "left_anti"))
-        gone = step.where(F.col("_b").isNotNull()).select(F.col("id").alias("host_id"))
-        reach = cut(reach.join(step.select("id"), "id", "left_anti").join(gone, "host_id", "left_anti"))
-        ready = waits.select("id", "mask").distinct().join(left.select("id").distinct(), "id", "left_anti")
-        waits = left
+    own = ["rank", "mask", "lat", "lon", "radius", *on]
+    stronger = F.col("h_rank") < F.col("rank")
+    # beyond the radius a row is only waited for
+    waits = spatial.radius_join(todo.withColumn("_twice", F.expr("2 * radius")), _as_hosts(todo, on), "_twice", on).where(stronger).select(
+        *own, "h_rank", F.when(F.col("km") <= F.col("radius"), F.col("km")).alias("km"), F.lit(None).cast("long").alias("held"))
+    met = spatial.radius_join(todo, hosts, "radius", on).where(stronger).select(*own, "h_rank", "km", F.col("h_mask").cast("long").alias("held"))
+    lone = todo.select(*own, F.lit(None).cast(rows.schema["rank"].dataType).alias("h_rank"), F.lit(None).cast("double").alias("km"), F.lit(None).cast("long").alias("held"))
+    open_, turn, done = cut(waits.unionByName(met).unionByName(lone)), 0, []
+    while not is_empty(open_):
+        block = spatial.block_of(f"{BLOCK_RADII}D * radius", turn * GOLDEN % 1)
+        dealt = open_.select(F.xxhash64(block, *on).alias("block"), "rank", F.col("mask").cast("long").alias("mask"), F.col("h_rank").cast("long"), "km", "held")
+        step = cut(dealt.repartition("block").sortWithinPartitions("block", "rank").mapInArrow(_walk, "rank long, mask long, host long, km double"))
+        done.append(step.where(F.col("host").isNotNull()).select("rank", "host", "km"))
+        # a kept row brings its own kinds, a guest brings its host more, and a guest is nobody's host
+        guest = F.col("host").isNotNull()
+        news = step.select(F.col("rank").alias("h_rank"), F.when(~guest, F.col("mask")).alias("more"), guest.alias("gone")).unionByName(
+            step.where(guest).select(F.col("host").alias("h_rank"), F.col("mask").alias("more"), F.lit(False).alias("gone")))
+        news = news.groupBy("h_rank").agg(F.bit_or("more").alias("more"), F.max("gone").alias("gone"))
+        left = open_.join(step.select("rank"), "rank", "left_anti").join(news, "h_rank", "left").where(~F.coalesce("gone", F.lit(False)))
+        left = left.withColumn("held", F.when(F.col("more").isNull(), F.col("held")).otherwise(F.coalesce("held", F.lit(0).cast("long")).bitwiseOR(F.col("more"))))
+        open_ = cut(left.where(F.col("h_rank").isNull() | F.col("held").isNull() | F.col("km").isNotNull()).select(*open_.columns))
+        turn += 1
+    if done:
+        names = cut(rows.select("rank", "id"))
+        found = union(done).join(names.withColumnRenamed("id", "guest_id"), "rank").drop("rank")
+        folds.append(found.join(names.select(F.col("rank").alias("host"), F.col("id").alias("host_id")), "host").select("guest_id", "host_id", "km"))
+    if folds:
+        return union(folds)
+    return rows.select(F.col("id").alias("guest_id"), F.col("id").alias("host_id"), F.lit(0.0).alias("km")).limit(0)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, rank), one for each stronger row met: those that can be decided, with their hosts.
+
+    A row waits when a stronger one in two radii is undecided and not in its block, or waits itself.
+    """
+    block = rank = mask = best = None
+    waiting, state = False, {}  # of a kept row its kinds, of a guest -1; who waits is not in it
+    out: list[tuple] = []
+
+    def decide() -> None:
+        if rank is None or waiting:
+            return
+        if best is None:
+            state[rank] = mask
+            out.append((rank, mask, None, None))
+        else:
+            state[rank] = -1
+            state[best[1]] = best[2] | mask
+            out.append((rank, mask, best[1], best[0]))
+
+    def found() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["rank", "mask", "host", "km"])
+        out.clear()
+        return got
+
+    for batch in batches:
+        for at, number, own, host, km, held in zip(*(batch.column(c).to_pylist() for c in ("block", "rank", "mask", "h_rank", "km", "held")), strict=True):
+            if at != block or number != rank:
+                decide()
+                if at != block:
+                    state = {}
+                block, rank, mask, best, waiting = at, number, own, None, False
+            if host is None:
+                continue
+            held = state.get(host, held)
+            if held is None:
+                waiting = True
+            elif held >= 0 and km is not None and (own == 0 or held == 0 or own & held) and (best is None or (km, host) < best[:2]):
+                best = (km, host, held)
+        yield found()
+    decide()
+    yield found()
 
 
 def thin_crowds(rows: DataFrame, on: list[str], crowd: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:

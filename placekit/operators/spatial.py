@@ -289,9 +289,9 @@ def block_min(df: DataFrame, value: str, km, on: list[str]) -> DataFrame:
             .groupBy(*on, "_block").agg(F.min(value).alias(value)))
 
 
-def block_of(km) -> Column:
-    """The block cube of a row, matching :func:`block_min`."""
-    return F.expr(geo.cube_at("lat", "lon", _block_class(km)))
+def block_of(km, shift: float = 0.0) -> Column:
+    """The block cube of a row, matching :func:`block_min`; ``shift`` moves all cubes by a share of their edge."""
+    return F.expr(geo.cube_at("lat", "lon", _block_class(km), shift))
 
 
 def _block_class(km) -> str:

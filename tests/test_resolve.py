@@ -118,6 +118,34 @@ def test_rounds_equal_the_ordered_walk(spark, rule, radius):
         assert {(r.guest_id, r.host_id, round(r.km, 6)) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("block", [2, 8])
+def test_small_blocks_equal_the_ordered_walk(spark, monkeypatch, block):
+    monkeypatch.setattr(folding, "BLOCK_RADII", block)
+    rows = cloud(150, 12, 0.4)
+    lat, lon, mask = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+    host, dist = ordered_walks.walk(lat, lon, np.full(len(rows), 2.0), np.full(len(rows), True), mask, folding.KINDS)
+    want = {(rows[i][0], rows[host[i]][0], round(float(dist[i]), 6)) for i in range(len(rows)) if host[i] >= 0}
+    df = spark.createDataFrame([(*r[:4], 2.0, True, r[4], "g") for r in rows],
+                               "id string, rank bigint, lat double, lon double, radius double, foldable boolean, mask int, grp string")
+    for crowd in (folding.CROWD, 5):
+        got = folding.fold(df, ["grp"], folding.KINDS, crowd=crowd)
+        assert {(r.guest_id, r.host_id, round(r.km, 6)) for r in got.collect()} == want and len(want) > 30
+
+
+def test_a_long_chain_of_waits_takes_few_rounds(spark, monkeypatch):
+    """Each row waits for the one before it along 270 km; of three in reach the middle one may lose its host to kinds."""
+    rows = [(f"n{i:03d}", i + 1, 10 + i * 0.0135, 20.0, (1, 3, 2, 4)[i % 4]) for i in range(180)]
+    lat, lon, mask = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+    host, _ = ordered_walks.walk(lat, lon, np.full(180, 2.0), np.full(180, True), mask, folding.KINDS)
+    df = spark.createDataFrame([(*r[:4], 2.0, True, r[4], "g") for r in rows],
+                               "id string, rank bigint, lat double, lon double, radius double, foldable boolean, mask int, grp string")
+    cuts, plain = [], folding.cut
+    monkeypatch.setattr(folding, "cut", lambda d: cuts.append(1) or plain(d))
+    got = {(r.guest_id, r.host_id) for r in folding.fold(df, ["grp"], folding.KINDS).collect()}
+    assert got == {(rows[i][0], rows[host[i]][0]) for i in range(180) if host[i] >= 0} and got
+    assert len(cuts) < 20
+
+
 def test_city_growth_rounds_equal_the_ordered_walk(cands):
     rnd = random.Random(21)
     df = cands(*[dict(id=f"c{i:02d}", lat=10 + rnd.uniform(0, .6), lon=20 + rnd.uniform(0, .6), population=float(rnd.choice([0, 2e3, 4e4, 2e5, 7e5, 1.2e6])) * rnd.uniform(.5, 1),
