@@ -10,8 +10,10 @@ exact in the order it states. Steps do not commute.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from placekit.functions.vocab import (
     TIER_WEIGHT, Params, lookup,
 )
 from placekit.operators import spatial
-from placekit.operators.folding import FIRST, KINDS, NEAREST, fold, roots, union
+from placekit.operators.folding import FIRST, GOLDEN, KINDS, NEAREST, fold, roots, union
 from placekit.operators.scoring import bulk
 from placekit.plans.session import cut, is_empty, number_rows
 
@@ -209,6 +211,7 @@ def merge_transliterations(cands: DataFrame, p: Params = PARAMS, bucket_pairs: i
 # ------------------------------------------------------------------ G02
 FIRST_HEADS = 4096  # heads of the first slice, or a share of all
 HEADS_SHARE, HEADS_STEP = 64, 4
+GROWTH_BLOCK_KM = 256.0  # least width of a block whose heads are walked in order
 
 
 def _grow_cities(rows: DataFrame, share: float, first_heads: int = FIRST_HEADS) -> DataFrame:
@@ -275,33 +278,95 @@ def _grow_slice(heads: DataFrame, towns: DataFrame, share: float) -> tuple[list[
 
     A head decides once no larger one can take the head or any of its guests, and no larger head is among these; who
     can is judged by the most that each can come to. A head whose guests are all gone is done and keeps nobody waiting.
+    Blocks of space decide in order all heads that wait for nobody outside; their borders move from round to round.
     """
     able = cut(_with_guests(heads, towns, share).select(F.col("candidate_id").alias("host_id"), "country", "lat", "lon", F.col("population").alias("heads"), F.col("rank").alias("h_rank")))
     # no head outgrows all that lies in the widest circle around it
     pairs = cut(spatial.radius_join(able, _as_guests(towns), CITY_RADIUS_MAX, ["country"]).where(F.col("guest_id") != F.col("host_id"))
-                .select("host_id", "h_rank", "heads", "guest_id", "g_rank", "size", "km"))
+                .select("host_id", "lat", "lon", "h_rank", "heads", "guest_id", "g_rank", "size", "km"))
     inside = (F.col("km") <= city_radius(F.col("now"))) & (F.col("size") <= F.col("now") * share)
-    pairs = cut(pairs.join(_rising(pairs, share, True), "host_id").where(inside).drop("now"))
-    folds, sizes = [], []
+    pairs = cut(pairs.join(_rising(pairs, share, True), "host_id").where(inside).select("lat", "lon", "h_rank", "heads", "g_rank", "size", "km"))
+    names = towns.select("rank", "candidate_id")
+    folds, sizes, turn = [], [], 0
     while not is_empty(pairs):
-        claims = cut(pairs.groupBy("guest_id").agg(F.min("h_rank").alias("_first")))
-        hosts = pairs.select("host_id", "h_rank").distinct()
-        outdone = pairs.join(claims, "guest_id").where(F.col("_first") < F.col("h_rank")).select("host_id")
-        claimed = hosts.join(claims.withColumnRenamed("guest_id", "host_id"), "host_id").where(F.col("_first") < F.col("h_rank")).select("host_id")
-        above = pairs.where(F.col("g_rank") < F.col("h_rank")).join(hosts.select(F.col("host_id").alias("guest_id")), "guest_id", "left_semi").select("host_id")
-        ready = cut(hosts.select("host_id").join(outdone.unionByName(claimed).unionByName(above).distinct(), "host_id", "left_anti"))
-        mine = cut(pairs.join(ready, "host_id"))
-        grown = _rising(mine, share, False)
-        taken = cut(mine.join(grown, "host_id").where(inside).select("guest_id", "host_id", "km"))
-        folds.append(taken)
-        sizes.append(grown)
-        gone = taken.select("guest_id")
-        pairs = cut(pairs.join(ready.unionByName(gone.withColumnRenamed("guest_id", "host_id")), "host_id", "left_anti").join(gone, "guest_id", "left_anti")
-                    .join(grown.withColumnsRenamed({"host_id": "guest_id", "now": "_now"}), "guest_id", "left")
-                    .withColumn("size", F.coalesce("_now", "size")).drop("_now"))
+        dealt = cut(pairs.withColumn("block", spatial.block_of(GROWTH_BLOCK_KM, turn * GOLDEN % 1)).drop("lat", "lon"))
+        # of each town the two blocks with the largest heads that can take it, and the block in which it is a head
+        claims = dealt.groupBy("g_rank", "block").agg(F.min("h_rank").alias("least")).groupBy(F.col("g_rank").alias("rank")).agg(
+            F.slice(F.array_sort(F.collect_list(F.struct("least", "block"))), 1, 2).alias("claims"))
+        about = cut(claims.join(dealt.groupBy(F.col("h_rank").alias("rank")).agg(F.first("block").alias("own")), "rank", "full"))
+        told = (dealt.join(about.withColumnsRenamed({"rank": "g_rank", "claims": "_g", "own": "_at"}), "g_rank")
+                .join(about.select(F.col("rank").alias("h_rank"), F.col("claims").alias("_h")), "h_rank"))
+
+        def outside(claims: str) -> Column:
+            return F.coalesce(F.exists(claims, lambda c: (c["block"] != F.col("block")) & (c["least"] < F.col("h_rank"))), F.lit(False))
+
+        above = F.coalesce((F.col("_at") != F.col("block")) & (F.col("g_rank") < F.col("h_rank")), F.lit(False))
+        told = told.select("block", F.col("h_rank").cast("long"), "heads", F.col("g_rank").cast("long"), "size", "km", outside("_h").alias("claimed"), (outside("_g") | above).alias("shared"))
+        step = cut(told.repartition("block").sortWithinPartitions("block", "h_rank").mapInArrow(lambda batches: _walk_heads(batches, share), "rank long, host long, value double"))
+        guest = F.col("host").isNotNull()
+        named = step.where(guest).join(names, "rank").select(F.col("candidate_id").alias("guest_id"), F.col("host").alias("rank"), F.col("value").alias("km"))
+        folds.append(cut(named.join(names, "rank").select("guest_id", F.col("candidate_id").alias("host_id"), "km")))
+        sizes.append(cut(step.where(~guest).join(names, "rank").select(F.col("candidate_id").alias("host_id"), F.col("value").alias("now"))))
+        news = cut(step.groupBy("rank").agg(F.max(guest).alias("gone"), F.max(F.when(~guest, F.col("value"))).alias("now")))
+        pairs = cut(pairs.join(news.select(F.col("rank").alias("h_rank")), "h_rank", "left_anti").join(news.withColumnRenamed("rank", "g_rank"), "g_rank", "left")
+                    .where(~F.coalesce("gone", F.lit(False))).withColumn("size", F.coalesce("now", "size")).select(*pairs.columns))
+        turn += 1
     return folds, sizes
 
 
+def _walk_heads(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, h_rank), one for each guest of a head: what the heads take, and what they come to.
+
+    ``claimed`` and ``shared`` say that a larger head of another block is to be waited for, because of the head or of
+    the guest. Returns (guest, head, km) and (head, null, size).
+    """
+    block = head = None
+    heads, claimed, guests = 0.0, False, []
+    gone, grown, waiting, held = set(), {}, set(), set()
+    out: list[tuple] = []
+
+    def decide() -> None:
+        if head is None or head in gone:
+            return
+        left = [(g, grown.get(g, size), km, shared) for g, size, km, shared in guests if g not in gone]
+        if claimed or head in held or any(shared or g in held or g in waiting for g, _, _, shared in left):
+            waiting.add(head)
+            held.update(g for g, *_ in left)
+            return
+        now = heads
+        while True:
+            reach = next((km for floor, km in CITY_RADIUS if now >= floor), CITY_RADIUS_MIN)
+            got = [g for g in left if g[2] <= reach and g[1] <= now * share]
+            if not got:
+                break
+            now += sum(g[1] for g in got)
+            out.extend((g[0], head, g[2]) for g in got)
+            taken = {g[0] for g in got}
+            gone.update(taken)
+            left = [g for g in left if g[0] not in taken]
+        grown[head] = now
+        out.append((head, None, now))
+
+    def found() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.float64())
+        got = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(types)], ["rank", "host", "value"])
+        out.clear()
+        return got
+
+    columns = ("block", "h_rank", "heads", "g_rank", "size", "km", "claimed", "shared")
+    for batch in batches:
+        for at, number, people, guest, size, km, mine, shared in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if at != block or number != head:
+                decide()
+                if at != block:
+                    gone, grown, waiting, held = set(), {}, set(), set()
+                block, head, heads, claimed, guests = at, number, people, mine, []
+            guests.append((guest, size, km, shared))
+        yield found()
+    decide()
+    yield found()
+
+
 def agglomerate(cands: DataFrame, p: Params = PARAMS) -> Resolved:
     """Fold suburbs into growing cities, largest head first (G02); comparable cities never merge."""
     rows = cut(cands.where(~F.col("is_site")).select(

@@ -208,3 +208,27 @@ def test_city_growth_by_slices_equals_the_ordered_walk_in_few_rounds(spark, monk
     got = resolve._grow_cities(df, PARAMS.suburb_share, first_heads)
     assert {(x.guest_id, x.host_id) for x in got.collect()} == want and len(want) > 40
     assert first_heads < 4096 or len(rounds) < 4
+
+
+@pytest.mark.parametrize("block", [8.0, 30.0])
+def test_city_growth_by_small_blocks_equals_the_ordered_walk(spark, monkeypatch, block):
+    monkeypatch.setattr(resolve, "GROWTH_BLOCK_KM", block)
+    rnd = random.Random(17)
+    towns = [(f"t{i:03d}", "g", 10 + rnd.uniform(0, 1.2), 20 + rnd.uniform(0, 1.2), round(rnd.choice([0, 2e3, 4e4, 2e5, 7e5, 1.2e6]) * rnd.uniform(.5, 1)), i % 9 != 0) for i in range(160)]
+    df = spark.createDataFrame([(*t[:4], float(t[4]), t[5]) for t in towns], "candidate_id string, country string, lat double, lon double, population double, harvest boolean")
+    want = {(r.guest_id, r.host_id) for r in ordered_walks.grow_cities(df.toPandas().drop(columns="country"), PARAMS.suburb_share).itertuples()}
+    for first_heads in (20, 4096):
+        got = resolve._grow_cities(df, PARAMS.suburb_share, first_heads)
+        assert {(x.guest_id, x.host_id) for x in got.collect()} == want and len(want) > 40
+
+
+def test_heads_in_a_long_row_take_few_rounds(spark, monkeypatch):
+    """Each head shares a guest with the next along 400 km: a chain of waits that blocks walk in order."""
+    towns = [(f"t{i:02d}", "g", 10 + i * 0.09, 20.0, 3e5 - i, False) for i in range(40)]
+    towns += [(f"v{i:02d}", "g", 10.045 + i * 0.09, 20.0, 1e3 + i, True) for i in range(40)]
+    df = spark.createDataFrame(towns, "candidate_id string, country string, lat double, lon double, population double, harvest boolean")
+    want = {(r.guest_id, r.host_id) for r in ordered_walks.grow_cities(df.toPandas().drop(columns="country"), PARAMS.suburb_share).itertuples()}
+    cuts, plain = [], resolve.cut
+    monkeypatch.setattr(resolve, "cut", lambda d: cuts.append(1) or plain(d))
+    assert {(x.guest_id, x.host_id) for x in resolve._grow_cities(df, PARAMS.suburb_share).collect()} == want and len(want) == 40
+    assert len(cuts) < 50
