@@ -475,8 +475,8 @@ def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFr
     keyed = described.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key"))
     forest = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_trees, "tree long, name long").distinct())
     # one row stands for each set
-    rows = described.select("name", "_row", F.col("n_shingles").alias("n"), "points", "fine").join(forest.select("name").distinct(), "name", "left_semi")
-    stand = cut(rows.groupBy("name").agg(F.min(F.struct("_row", "n", "points", "fine")).alias("s")).select("name", "s.*"))
+    rows = described.select("name", "_row", F.col("n_shingles").alias("n"), "points").join(forest.select("name").distinct(), "name", "left_semi")
+    stand = cut(rows.groupBy("name").agg(F.min(F.struct("_row", "n", "points")).alias("s")).select("name", "s.*"))
     placed = forest.join(stand.select("name", "n", "points"), "name")
 
     def proposed(trees: DataFrame, across: bool) -> DataFrame:
@@ -490,7 +490,8 @@ def find_links(docs: DataFrame, described: DataFrame, law: Law = JOIN) -> DataFr
     if is_empty(more):
         return links
     # a pair of sets of which one named all its candidates is settled; the others are told apart by finer points
-    crowd = forest.join(more, ["tree", "name"]).join(stand.select("name", "n", F.col("fine").alias("points")), "name")
+    finer = cut(stand.select("name", "_row", "n").join(more.select("name").distinct(), "name", "left_semi"))
+    crowd = more.join(may_be_in(described.select("_row", F.col("fine").alias("points")), finer, "_row").join(finer, "_row").drop("_row"), "name")
     label = components(links).select(F.col("node").alias("name"), "label")
     open_ = crowd.join(label, "name", "left").withColumn("label", F.coalesce("label", "name"))
     rest = proposed(open_, True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")

@@ -206,3 +206,15 @@ def test_long_texts_meet_by_finer_points(stored, monkeypatch, few_points):
         rows += [(10 * i, base + " " + passage), (10 * i + 1, near(base, rng, 40) + " " + passage)]
     got = jaccard.near_copies(stored(rows, SCHEMA), jaccard.CORPUS)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 5, 80)
+
+
+def test_fine_points_are_stored_once(stored, monkeypatch):
+    """Only the sets of a crowd need them again, so no other step carries them along."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    rows = [(i, near(base, rng, rng.randrange(1, 4))) for i in range(40)]
+    tables, plain = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: tables.append(df.columns) or plain(df))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_copies(stored(rows, SCHEMA)).collect()) == brute(rows)
+    assert sum("fine" in c for c in tables) == 1 and len(tables) > 4
