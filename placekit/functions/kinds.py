@@ -47,19 +47,24 @@ def max_vector(col: str) -> Column:
     return F.expr("array(" + ", ".join(f"coalesce(max({col}[{i}]), 0.0D)" for i in range(N)) + ")")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once; a lambda works out again what it names, for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ranked(vec: Column) -> Column:
     """Kinds with weight, strongest first, ties in code order: array<struct<neg,i,w,code>>."""
     pairs = F.zip_with(vec, codes(), lambda w, c: F.struct(w.alias("w"), c.alias("code")))
     pairs = F.transform(pairs, lambda p, i: F.struct((-p["w"]).alias("neg"), i.alias("i"),
                                                      p["w"].alias("w"), p["code"].alias("code")))
-    return F.array_sort(F.filter(pairs, lambda p: p["w"] > 0))
+    return F.sort_array(F.filter(pairs, lambda p: p["w"] > 0))
 
 
 def keep_top(vec: Column, limit: int = KIND_LIMIT, floor: float = KIND_FLOOR, digits: int = 3) -> Column:
     """Keep the strongest kinds above the floor, rounded half-even; the rest become zero."""
     best = F.slice(ranked(vec), 1, limit)
     kept = F.transform(F.filter(best, lambda p: p["w"] >= floor), lambda p: p["i"])
-    return F.transform(vec, lambda w, i: F.when(F.array_contains(kept, i), F.bround(w, digits)).otherwise(0.0))
+    return _once(kept, lambda k: F.transform(vec, lambda w, i: F.when(F.array_contains(k, i), F.bround(w, digits)).otherwise(0.0)))
 
 
 def merge(vec: Column, extra: Column) -> Column:
@@ -97,8 +102,7 @@ def norm(vec: Column) -> Column:
 
 def unit(vec: Column) -> Column:
     """L2-normalised vector; an empty one stays zero."""
-    n = norm(vec)
-    return F.transform(vec, lambda w: F.when(n > 0, w / n).otherwise(0.0))
+    return _once(norm(vec), lambda n: F.transform(vec, lambda w: F.when(n > 0, w / n).otherwise(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -110,8 +114,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def covered_mask(vec: Column, threshold: float = KIND_DOMINANT) -> Column:
     """Bitmask of kinds whose unit weight reaches the threshold."""
-    n = norm(vec)
-    return _mask(F.transform(vec, lambda w: F.when(n > 0, w / n >= threshold).otherwise(False)))
+    return _mask(_once(norm(vec), lambda n: F.transform(vec, lambda w: F.when(n > 0, w / n >= threshold).otherwise(False))))
 
 
 def mask(vec: Column) -> Column:

@@ -93,3 +93,14 @@ def test_selection_keeps_its_spacing_and_is_more_varied_than_ranking(spark):
         stats[name] = {r.country: r for r in selection.pair_stats(chosen).collect()}
     assert min(r.closest_km for r in stats["cover"].values()) >= 60
     assert stats["cover"]["X"].redundancy < stats["rank"]["X"].redundancy
+
+
+def test_vector_parts_are_worked_out_once(spark):
+    # a lambda that names a whole ranking ranks again for each of the twelve elements
+    df = spark.createDataFrame([([0.9, 0.0, 0.5, 0.5, 0.0, 0.61, 0.0, 0.0, 0.7, 0.0, 0.0, 0.0],)], "v array<double>")
+    plan = df.select(kinds.keep_top(F.col("v")).alias("top"))._jdf.queryExecution().analyzed().toString()
+    assert "array_contains(lambda" in plan and plan.count("zip_with") == 1
+    assert "/ sqrt" not in df.select(kinds.unit(F.col("v")).alias("unit"))._jdf.queryExecution().analyzed().toString().lower()
+    row = df.select(kinds.keep_top(F.col("v"), 3, 0.3).alias("top"), kinds.unit(F.col("v")).alias("unit")).first()
+    assert row["top"] == [0.9, 0.0, 0.0, 0.0, 0.0, 0.61, 0.0, 0.0, 0.7, 0.0, 0.0, 0.0]
+    assert abs(sum(w * w for w in row["unit"]) - 1.0) < 1e-12
