@@ -130,7 +130,9 @@ def _gathering(rows: DataFrame, on: list[str], crowd: int) -> DataFrame:
     open_, turn, done = cut(waits.unionByName(met).unionByName(lone)), 0, []
     while not is_empty(open_):
         block = spatial.block_of(f"{BLOCK_RADII}D * radius", turn * GOLDEN % 1)
-        dealt = open_.select(F.xxhash64(block, *on).alias("block"), "rank", F.col("mask").cast("long").alias("mask"), F.col("h_rank").cast("long"), "km", "held")
+        dealt = open_.select(F.xxhash64(block, *on).alias("block"), F.col("rank").cast("long"), F.col("mask").cast("long").alias("mask"),
+                             F.coalesce("h_rank", F.lit(-1)).cast("long").alias("h_rank"), F.coalesce("km", F.lit(-1.0)).alias("km"),
+                             F.coalesce("held", F.lit(-2)).cast("long").alias("held"))
         step = cut(dealt.repartition("block").sortWithinPartitions("block", "rank").mapInArrow(_walk, "rank long, mask long, host long, km double"))
         done.append(step.where(F.col("host").isNotNull()).select("rank", "host", "km"))
         # a kept row brings its own kinds, a guest brings its host more, and a guest is nobody's host
@@ -154,14 +156,20 @@ def _gathering(rows: DataFrame, on: list[str], crowd: int) -> DataFrame:
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (block, rank), one for each stronger row met: those that can be decided, with their hosts.
 
-    A row waits when a stronger one in two radii is undecided and not in its block, or waits itself.
+    A row waits when a stronger one in two radii is undecided and not in its block, or waits itself. But it folds at once
+    when it brings its host no new kind and nobody nearer can still become one that takes it: hosts only ever gain kinds,
+    so the host takes it in any case, and who is waited for sees that host as if the row had not come.
+
+    There are no nulls: a row that meets nobody has the host -1, who is beyond the radius the km -1, who is undecided holds -2.
     """
-    block = rank = mask = best = None
+    block = rank = mask = best = nearer = None
     waiting, state = False, {}  # of a kept row its kinds, of a guest -1; who waits is not in it
     out: list[tuple] = []
 
     def decide() -> None:
-        if rank is None or waiting:
+        if rank is None:
+            return
+        if waiting and (best is None or mask & ~best[2] or (nearer is not None and nearer < best[:2])):
             return
         if best is None:
             state[rank] = mask
@@ -178,19 +186,24 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     for batch in batches:
-        for at, number, own, host, km, held in zip(*(batch.column(c).to_pylist() for c in ("block", "rank", "mask", "h_rank", "km", "held")), strict=True):
+        for at, number, own, host, km, held in zip(*(batch.column(c).to_numpy().tolist() for c in ("block", "rank", "mask", "h_rank", "km", "held")), strict=True):
             if at != block or number != rank:
                 decide()
                 if at != block:
                     state = {}
-                block, rank, mask, best, waiting = at, number, own, None, False
-            if host is None:
+                block, rank, mask, best, nearer, waiting = at, number, own, None, None, False
+            if host < 0:
                 continue
             held = state.get(host, held)
-            if held is None:
+            if held == -2:
                 waiting = True
-            elif held >= 0 and km is not None and (own == 0 or held == 0 or own & held) and (best is None or (km, host) < best[:2]):
-                best = (km, host, held)
+            if km < 0 or held == -1:
+                continue
+            if held >= 0 and (own == 0 or held == 0 or own & held):
+                if best is None or (km, host) < best[:2]:
+                    best = (km, host, held)
+            elif nearer is None or (km, host) < nearer:
+                nearer = (km, host)  # undecided, or may still learn a kind of the row's
         yield found()
     decide()
     yield found()

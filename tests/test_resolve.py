@@ -153,6 +153,26 @@ def test_a_long_chain_of_waits_takes_few_rounds(spark, monkeypatch):
     assert len(cuts) < 20
 
 
+def test_rows_that_teach_their_host_nothing_wait_for_nobody_farther(spark, monkeypatch):
+    """Crowded points in small blocks: the walk needs few rounds, for most rows know their host before their neighbours have decided."""
+    monkeypatch.setattr(folding, "BLOCK_RADII", 4)
+    rnd, rows = random.Random(7), []
+    for i in range(400):
+        at = (10 + rnd.uniform(0, 0.25), 20 + rnd.uniform(0, 0.25))
+        if rows and rnd.random() < 0.6:
+            at = rnd.choice(rows)[2:4]
+        rows.append((f"n{i:03d}", i + 1, *at, rnd.choice([1, 1, 1, 2, 3])))
+    lat, lon, mask = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+    host, _ = ordered_walks.walk(lat, lon, np.full(400, 2.0), np.full(400, True), mask, folding.KINDS)
+    df = spark.createDataFrame([(*r[:4], 2.0, True, r[4], "g") for r in rows],
+                               "id string, rank bigint, lat double, lon double, radius double, foldable boolean, mask int, grp string")
+    cuts, plain = [], folding.cut
+    monkeypatch.setattr(folding, "cut", lambda d: cuts.append(1) or plain(d))
+    got = {(r.guest_id, r.host_id) for r in folding.fold(df, ["grp"], folding.KINDS).collect()}
+    assert got == {(rows[i][0], rows[host[i]][0]) for i in range(400) if host[i] >= 0} and len(got) > 300
+    assert len(cuts) < 22
+
+
 def test_city_growth_rounds_equal_the_ordered_walk(cands):
     rnd = random.Random(21)
     df = cands(*[dict(id=f"c{i:02d}", lat=10 + rnd.uniform(0, .6), lon=20 + rnd.uniform(0, .6), population=float(rnd.choice([0, 2e3, 4e4, 2e5, 7e5, 1.2e6])) * rnd.uniform(.5, 1),
