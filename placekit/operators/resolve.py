@@ -147,7 +147,7 @@ def _finish(cands: DataFrame, folds: DataFrame, decision: str, digits: int, chai
 
 
 # ------------------------------------------------------------------ G01, J07
-# Buckets up to this size compare every pair; larger ones join on shared near-spellings. A name has some 170 of these, each
+# Buckets up to this size compare every pair; larger ones join on shared near-spellings. One of 17 letters has up to 154 of these, each
 # opened, sorted and met, which is dearer than comparing it with a few hundred others.
 BUCKET_PAIRS = 512
 
